@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from .simhash import op2_simhash
+from .tokens import op6_best_fit_packing, op9_token_counts
 
 QUERIES = {
     "op2_simhash": op2_simhash,
+    "op6_best_fit_packing": op6_best_fit_packing,
+    "op9_token_counts": op9_token_counts,
 }
 
 ORACLE_SQL: dict[str, str] = {}
