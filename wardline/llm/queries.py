@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from .pii import op1_pii
 from .simhash import op2_simhash
 from .tokens import op6_best_fit_packing, op9_token_counts
 
 QUERIES = {
+    "op1_pii": op1_pii,
     "op2_simhash": op2_simhash,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op9_token_counts": op9_token_counts,
