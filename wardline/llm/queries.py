@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from .media import op7_media
 from .pii import op1_pii
+from .quality_rules import op8_quality_rules
 from .simhash import op2_simhash
 from .tokens import op6_best_fit_packing, op9_token_counts
 
@@ -10,6 +12,8 @@ QUERIES = {
     "op1_pii": op1_pii,
     "op2_simhash": op2_simhash,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_media": op7_media,
+    "op8_quality_rules": op8_quality_rules,
     "op9_token_counts": op9_token_counts,
 }
 
