@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .media import op7_media
+from .pieces import op5_sentencepiece
 from .pii import op1_pii
 from .quality_rules import op8_quality_rules
 from .simhash import op2_simhash
@@ -11,6 +12,7 @@ from .tokens import op6_best_fit_packing, op9_token_counts
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_simhash": op2_simhash,
+    "op5_sentencepiece": op5_sentencepiece,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_media": op7_media,
     "op8_quality_rules": op8_quality_rules,
