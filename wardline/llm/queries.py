@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .licenses import op3_licenses
 from .media import op7_media
 from .pieces import op5_sentencepiece
 from .pii import op1_pii
@@ -12,6 +13,7 @@ from .tokens import op6_best_fit_packing, op9_token_counts
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_simhash": op2_simhash,
+    "op3_licenses": op3_licenses,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_media": op7_media,
