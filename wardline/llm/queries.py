@@ -9,11 +9,13 @@ from .pii import op1_pii
 from .quality_rules import op8_quality_rules
 from .simhash import op2_simhash
 from .tokens import op6_best_fit_packing, op9_token_counts
+from .toxicity import op4_toxicity
 
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_simhash": op2_simhash,
     "op3_licenses": op3_licenses,
+    "op4_toxicity": op4_toxicity,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_media": op7_media,
