@@ -74,3 +74,20 @@ def map_batches(df: DataFrame, fn: Callable[..., dict], schema: str) -> DataFram
 def text_rows(docs: DataFrame) -> DataFrame:
     """(doc_id, text) alone, a null text as the empty one."""
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+
+
+def keep_rows(docs: DataFrame, columns: list, decide: Callable[..., list]) -> DataFrame:
+    """The rows of docs for which decide, given lists of the columns (a null text as ''), is true; no shuffle. Rows
+    pass through whole, whatever their other columns."""
+    import pyarrow.compute as pc
+
+    names = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                got = [batch.column(names.index(c)) if c in names else pa.nulls(batch.num_rows, pa.string()) for c in columns]
+                lists = [(pc.fill_null(g, "") if c == "text" else g).to_pylist() for c, g in zip(columns, got)]
+                yield batch.filter(pa.array(decide(*lists), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

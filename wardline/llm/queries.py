@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .cotraining import op10_quality_classifier
 from .licenses import op3_licenses
 from .media import op7_media
 from .pieces import op5_sentencepiece
@@ -21,6 +22,7 @@ QUERIES = {
     "op7_media": op7_media,
     "op8_quality_rules": op8_quality_rules,
     "op9_token_counts": op9_token_counts,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, labels, map_batches, small_batches, text_rows
+from .common import documents, keep_rows, labels, map_batches, small_batches, text_rows
 
 BUCKETS, WIDTH, SIZES, WINDOW = 1 << 17, 4, (3, 4, 5), 3
 #: The labelled rows that training takes at most, of each class, and of each of them that many passages.
@@ -246,6 +246,13 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
     return map_batches(rows, make, "doc_id long, held_out boolean, score double, predicted int")
 
 
+def kept(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
+    """The rows of docs that score below the threshold, with all their columns."""
+    small_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return keep_rows(docs, ["text"], lambda texts: [s < threshold for s in shared.value.scores(texts, _numbers(shared))])
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return score(docs, train(docs, labels(spark, sf_dir)))
