@@ -11,12 +11,14 @@ what it shares with the word before it.
 
 from __future__ import annotations
 
-import hashlib
 import re
-import zlib
+from array import array
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import documents, map_batches, small_batches, text_rows
 
@@ -48,59 +50,71 @@ class Pieces:
         self.bytes[model.unk_id()] = " ⁇ ".encode()
         for b, i in enumerate(self.byte_ids):
             self.bytes[i] = bytes([b])
-        self.longest = max(map(len, self.ids))
-        self.fits: dict[tuple[str, str], bool] = {}
+        self.length = list(map(len, names))
+        self.edge = n  # stands for the start of a word and for a character that no piece has
+        #: Pieces by their characters from the last to the first: character -> (id or -1, what goes on before it).
+        self.backward: dict = {}
+        for piece, i in self.ids.items():
+            kids = self.backward
+            for c in piece[:0:-1]:
+                kids = kids.setdefault(c, (-1, {}))[1]
+            kids[piece[0]] = (i, kids.get(piece[0], (-1, {}))[1])
+        self.names = names
+        self.fits: dict[int, bool] = {}
         self.known: dict[str, bytes] = {}
 
-    def follows(self, last: str, piece: str) -> bool:
-        """Whether piece may come after last ('' at the start, and after a character that no piece has): whether the
-        two, with a line feed before them that nothing merges with, encode to themselves."""
-        key = (last, piece)
+    def follows(self, last: int, piece: int) -> bool:
+        """Whether piece may come after last: whether the two, with a line feed before them that nothing merges with,
+        encode to themselves. At an edge: whether piece does."""
+        key = last * (self.edge + 1) + piece
         if key not in self.fits:
             if len(self.fits) > 2_000_000:
                 self.fits.clear()
-            self.fits[key] = self.model.encode("\n" + last + piece)[2:] == [self.ids[p] for p in key if p]
+            pair = [piece] if last == self.edge else [last, piece]
+            self.fits[key] = self.model.encode("\n" + "".join(self.names[i] for i in pair))[2:] == pair
         return self.fits[key]
 
-    def encode_sorted(self, words: list[str]) -> list[list[str]]:
-        """The pieces of each word; words are sorted and differ. states[i] is the last piece of the encoding of the
-        first i characters, found once for all words that begin with them."""
-        states, before, out = [""], "", []
-        ids, longest, follows, fits = self.ids, self.longest, self.follows, self.fits
+    def encode_sorted(self, words: list[str]) -> list[bytes]:
+        """The ids of each word, packed; words are sorted and differ. states[i] is the last piece of the encoding of the
+        first i characters, found once for all words that begin with them; below -1 a character without a piece."""
+        edge, many, backward, length, fits, follows = self.edge, self.edge + 1, self.backward, self.length, self.fits, self.follows
+        states, before, out = [edge], "", []
         for word in words:
             shared, both = 0, min(len(word), len(before))
             while shared < both and word[shared] == before[shared]:
                 shared += 1
             del states[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
-                last = word[end - 1]
-                if last in ids:
-                    for start in range(end - longest if end > longest else 0, end):
-                        piece = word[start:end]
-                        if piece in ids:
-                            ahead = states[start]
-                            fit = fits.get((ahead, piece))
-                            if follows(ahead if ahead in ids else "", piece) if fit is None else fit:
-                                last = piece
-                                break
-                states.append(last)
-            parts, at = [], len(word)
+                at, kids, ending = end, backward, []
+                while at and (node := kids.get(word[at - 1])):
+                    at -= 1
+                    piece, kids = node
+                    if piece >= 0:
+                        ending.append((at, piece))
+                state = -2 - ord(word[end - 1])
+                for start, piece in reversed(ending):
+                    ahead = states[start]
+                    if ahead < 0:
+                        ahead = edge
+                    fit = fits.get(ahead * many + piece)
+                    if follows(ahead, piece) if fit is None else fit:
+                        state = piece
+                        break
+                states.append(state)
+            ids, at = [], len(word)
             while at:
-                parts.append(states[at])
-                at -= len(states[at])
-            out.append(parts[::-1])
+                state = states[at]
+                if state >= 0:
+                    ids.append(state)
+                    at -= length[state]
+                else:
+                    ids.extend(self.byte_ids[b] for b in reversed(chr(-2 - state).encode("utf-8", "surrogatepass")))
+                    at -= 1
+            ids.reverse()
+            out.append(array("i", ids).tobytes())
             before = word
         return out
 
-    def _packed(self, parts: list[str]) -> bytes:
-        ids: list[int] = []
-        for p in parts:
-            if p in self.ids:
-                ids.append(self.ids[p])
-            else:
-                ids += [self.byte_ids[b] for b in p.encode()]
-        return np.array(ids, dtype="<i4").tobytes()
-
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, as the library gives them."""
         split = [_WORDS(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
@@ -108,12 +122,11 @@ class Pieces:
             self.known.clear()
         known = self.known
         new = sorted(set().union(*split).difference(known))
-        fresh = dict(zip(new, map(self._packed, self.encode_sorted(new))))
-        table = known | fresh if len(known) < len(fresh) else fresh
+        fresh = dict(zip(new, self.encode_sorted(new)))
         known.update((w, v) for w, v in fresh.items() if len(w) <= CACHE_CHARS)
-        if table is fresh:
-            return [np.frombuffer(b"".join([known[w] if w in known else fresh[w] for w in ws]), dtype="<i4") for ws in split]
-        return [np.frombuffer(b"".join(map(table.__getitem__, ws)), dtype="<i4") for ws in split]
+        long = {w: v for w, v in fresh.items() if len(w) > CACHE_CHARS}
+        look = known.__getitem__ if not long else lambda w: known[w] if w in known else long[w]
+        return [np.frombuffer(b"".join(map(look, ws)), dtype=np.int32) for ws in split]
 
     def decode(self, ids: list[int]) -> str:
         text = b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace").replace(MARK, " ")
@@ -143,21 +156,22 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
-    """Adds decoded: the text that the ids stand for, marks as blanks and without the blank put before the text."""
+    """Adds decoded: the text that the ids stand for, marks as blanks and without the blank put before the text; null
+    for null ids."""
     path = path or vocabulary_path()
 
-    def make(doc: list, texts: list, ids: list) -> dict:
-        return {"doc_id": doc, "text": texts, "ids": ids, "decoded": [_pieces(path).decode(i or []) for i in ids]}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(2)
+            ids, ends, null = lists.values.to_numpy(), lists.offsets.to_numpy(), lists.is_null().to_pylist()
+            texts = [None if n else _pieces(path).decode(ids[a:b].tolist()) for a, b, n in zip(ends, ends[1:], null)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=["doc_id", "text", "ids", "decoded"])
 
-    return map_batches(encoded.select("doc_id", "text", "ids"), make, "doc_id long, text string, ids array<int>, decoded string")
+    return encoded.select("doc_id", "text", "ids").mapInArrow(run, "doc_id long, text string, ids array<int>, decoded string")
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def digest(doc: list, texts: list, ids: list, decoded: list) -> dict:
-        return {
-            "doc_id": doc, "n_pieces": [len(i) for i in ids], "ids_crc32": [zlib.crc32(np.array(i, dtype="<u4").tobytes()) for i in ids],
-            "decoded_sha256": [hashlib.sha256(d.encode()).hexdigest() for d in decoded],
-            "round_trip": [d == t.replace(MARK, " ") for d, t in zip(decoded, texts)],
-        }
-
-    return map_batches(decode(encode(documents(spark, sf_dir))), digest, "doc_id long, n_pieces long, ids_crc32 long, decoded_sha256 string, round_trip boolean")
+    return decode(encode(documents(spark, sf_dir))).select(
+        "doc_id", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_xxhash64"),
+        F.sha2("decoded", 256).alias("decoded_sha256"), (F.col("decoded") == F.replace("text", F.lit(MARK), F.lit(" "))).alias("round_trip"),
+    )
