@@ -13,7 +13,9 @@ from __future__ import annotations
 
 import math
 import zlib
+from collections.abc import Iterable
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -85,16 +87,17 @@ class Numbers(dict):
         return out
 
 
-def passages(text: str) -> list[list[str]]:
-    """Evenly spread passages of a text, TRAIN_PASSAGES at most; the last ends with the text."""
+def passages(text: str) -> list[str]:
+    """The words of evenly spread passages of a text, TRAIN_PASSAGES at most, one after the other: WINDOW words each,
+    the last ending with the text. A text of fewer words is one passage."""
     words = text.lower().split()
     n = len(words)
     if n <= WINDOW:
-        return [words] if n else []
+        return words
     first = np.unique(np.append(np.arange(0, n - WINDOW + 1, WINDOW), n - WINDOW))
     if len(first) > TRAIN_PASSAGES:
         first = first[np.linspace(0, len(first) - 1, TRAIN_PASSAGES).astype(int)]
-    return [words[i : i + WINDOW] for i in first]
+    return [w for i in first for w in words[i : i + WINDOW]]
 
 
 def _within(sizes: np.ndarray) -> np.ndarray:
@@ -108,38 +111,47 @@ def _mean(columns: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.add.reduceat(columns, starts, axis=1) / (ends - starts).astype(np.float32)
 
 
-def fit(texts: list[list[list[str]]], classes: list[int], seed: int = 0, rounds: int = 6, steps: int = 20, rate: float = 0.05, least: int = 4) -> Model:
-    """Train on documents given as passages of words. Embeddings and softmax learn together, by Adam.
+def fit(docs: Iterable[tuple[str, int]], seed: int = 0, rounds: int = 6, steps: int = 20, rate: float = 0.05, least: int = 4) -> Model:
+    """Train on documents given as the joined words of their passages, with their classes. Embeddings and softmax learn
+    together, by Adam.
 
-    Passages of documents of class 0 are all of class 0; each round takes up to NEGATIVES of them anew. Of a document
-    of class 1 the first round takes all passages, later ones the passage that the model so far finds most toxic.
-    N-grams that fewer than least documents hold have no vector."""
+    Passages of documents of class 0 are all of class 0; each round takes some of them at random and those that seem
+    most toxic, NEGATIVES at most. Of a document of class 1 the first round takes all passages, later ones the passage
+    that the model so far finds most toxic. N-grams that fewer than least documents hold have no vector."""
+    vocab: dict[str, int] = {}
+    parts, classes = [], []
+    for text, c in docs:
+        own = [vocab.setdefault(w, len(vocab)) for w in text.split(" ") if w]
+        if own:
+            parts.append(np.array(own, dtype=np.int32))
+            classes.append(c)
     y_all = np.array(classes, dtype=np.int64)
     share = float(np.clip(y_all.mean(), 0.01, 0.5)) if len(y_all) else 0.01
     nothing = Model(np.zeros(BUCKETS, dtype=np.float32), float(np.log(share / (1 - share))), round(share, 6))
     if not len(y_all) or y_all.min() == y_all.max():
         return nothing
     rng = np.random.default_rng(seed)
-    vocab: dict[str, int] = {}
-    flat = [[vocab.setdefault(w, len(vocab)) for w in p] for doc in texts for p in doc]
-    size = np.array([len(p) for p in flat])
-    words = np.concatenate([np.array(p, dtype=np.int64) for p in flat])
+    words = np.concatenate(parts)
+    n_words = np.array([len(p) for p in parts])
+    n_passages = np.maximum(1, n_words // WINDOW)
+    size = np.repeat(np.where(n_words < WINDOW, n_words, WINDOW), n_passages).astype(np.int32)
     end = np.cumsum(size)
-    doc_of = np.repeat(np.arange(len(texts)), [len(d) for d in texts])
-    doc_start = np.flatnonzero(np.diff(doc_of, prepend=-1))
+    doc_of = np.repeat(np.arange(len(parts)), n_passages)
+    doc_start = np.cumsum(n_passages) - n_passages
 
     gram = [n_grams(w) or [0] for w in vocab]
     gram_size = np.array([len(g) for g in gram])
-    gram, gram_end = np.concatenate([np.array(g, dtype=np.int64) for g in gram]), np.cumsum(gram_size)
-    pairs = np.unique(words * len(texts) + np.repeat(doc_of, size))  # a word in a document
-    at = pairs // len(texts)
-    inside = gram[np.repeat(gram_end[at] - gram_size[at], gram_size[at]) + _within(gram_size[at])]
-    held = np.bincount(np.unique(inside * len(texts) + np.repeat(pairs % len(texts), gram_size[at])) // len(texts), minlength=BUCKETS)
+    gram, gram_end = np.fromiter(chain.from_iterable(gram), dtype=np.int32, count=int(gram_size.sum())), np.cumsum(gram_size)
+    held = np.zeros(BUCKETS, dtype=np.int32)  # documents with each n-gram
+    for own in parts:
+        at = np.unique(own)
+        held[np.unique(gram[np.repeat(gram_end[at] - gram_size[at], gram_size[at]) + _within(gram_size[at])])] += 1
+    del parts
     used = np.flatnonzero(held >= least)
     if not len(used):
         return nothing
-    place = np.full(BUCKETS, len(used), dtype=np.int64)  # the last column stands for all others and stays 0
-    place[used] = np.arange(len(used))
+    place = np.full(BUCKETS, len(used), dtype=np.int32)  # the last column stands for all others and stays 0
+    place[used] = np.arange(len(used), dtype=np.int32)
     gram = place[gram]
 
     table = rng.normal(0, 0.1, (WIDTH, len(used) + 1)).astype(np.float32)
@@ -215,11 +227,11 @@ def train(docs: DataFrame, marks: DataFrame) -> Model:
     chosen = text_rows(docs).join(F.broadcast(training_rows(docs, marks)), "doc_id").select("doc_id", "class", "text")
 
     def cut(ids: list, classes: list, texts: list) -> dict:
-        return {"doc_id": ids, "class": classes, "passages": [[" ".join(p) for p in passages(t)] for t in texts]}
+        return {"doc_id": ids, "class": classes, "words": [" ".join(passages(t)) for t in texts]}
 
-    rows = map_batches(chosen, cut, "doc_id long, class int, passages array<string>").where("size(passages) > 0").collect()
-    rows.sort(key=lambda r: (r.doc_id, r.passages))
-    return fit([[p.split() for p in r.passages] for r in rows], [r["class"] for r in rows])
+    rows = map_batches(chosen, cut, "doc_id long, class int, words string").collect()
+    rows.sort(key=lambda r: (r.doc_id, r.words))
+    return fit((r.words, r["class"]) for r in rows)
 
 
 _KEPT: dict = {}
