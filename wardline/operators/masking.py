@@ -42,25 +42,25 @@ def spared(hits: DataFrame, queries: DataFrame, vault: DataFrame | None = None)
     asked = queries.where("query is not null and query <> ''")
     found = asked.withColumn("s", F.explode(detector()(F.col("query")))).where("s.category = 'person'").select("partition", "request", canonical_column(F.col("s.value")).alias("name"))
     if vault is not None:
-        words = F.filter(F.split(F.lower("query"), r"[^\p{L}'-]+"), lambda w: w != "")
-        grams = asked.select("partition", "request", F.explode(ngrams(words, 3)).alias("name")).distinct()
-        known = vault.where("category = 'person'").select("partition", F.regexp_replace("canonical", r"^person\|", "").alias("name")).distinct()
-        found = found.union(grams.join(known, ["partition", "name"]).select("partition", "request", "name"))
+        known = vault.where("category = 'person'").select("partition", F.regexp_replace("canonical", r"^person\|", "").alias("name")).distinct().withColumn("word", _key_word(F.col("name")))
+        words = asked.select("partition", "request", "query", F.explode(_words(F.col("query"))).alias("word"))
+        spaced = lambda c: F.concat(F.lit(" "), F.regexp_replace(F.lower(c), r"[^\p{L}'-]+", " "), F.lit(" "))
+        met = words.join(known, ["partition", "word"]).where(F.contains(spaced(F.col("query")), F.concat(F.lit(" "), "name", F.lit(" "))))
+        found = found.union(met.select("partition", "request", "name"))
     keys = found.union(found.select("partition", "request", _last_word(F.col("name")))).distinct()
     names = keys.groupBy("partition", "request").agg(F.collect_set("name").alias("asked"))
     is_asked = F.coalesce(F.array_contains("asked", F.col("canonical")) | F.array_contains("asked", _last_word(F.col("canonical"))), F.lit(False))
     return hits.join(names, ["partition", "request"], "left").where((F.col("category") != "person") | ~is_asked).drop("asked")
 
 
-def ngrams(words: Column, most: int) -> Column:
-    """All runs of 1 to most words, joined by blanks."""
-    n = F.size(words)
-    runs = [F.when(n >= k, _runs(words, n, k)).otherwise(F.array().cast("array<string>")) for k in range(1, most + 1)]
-    return F.concat(*runs)
+def _words(text: Column) -> Column:
+    """The different words of a text, hyphenated ones in parts."""
+    return F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}']+"), lambda w: w != ""))
 
 
-def _runs(words: Column, n: Column, k: int) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.greatest(n - (k - 1), F.lit(1))), lambda i: F.array_join(F.slice(words, i, F.lit(k)), " "))
+def _key_word(name: Column) -> Column:
+    """The part of a name by which texts that may hold it are found: its last word, after any hyphen."""
+    return F.try_element_at(F.filter(F.split(name, r"[^\p{L}']+"), lambda w: w != ""), F.lit(-1))
 
 
 def minted(hits: DataFrame, vault: DataFrame | None = None) -> DataFrame:
@@ -133,8 +133,8 @@ def masked(messages: DataFrame, policy: Policy = Policy(), vault: DataFrame | No
     """(messages with masked text, counts, density and the map back; the vault after them).
 
     second_pass: 'corpus' replaces every name of the partition wherever it stands in any message; 'asof' only names
-    first seen up to that message; 'off' none. Names meet messages by an equi-join on runs of words, so no message
-    is compared with names that it doesn't hold. Null and empty texts pass unmasked."""
+    first seen up to that message; 'off' none. Names meet messages by an equi-join on their last words, so no message
+    is compared with names of which it holds nothing. Null and empty texts pass unmasked."""
     messages = messages.withColumn("text", F.coalesce("text", F.lit("")))
     hits = detected(messages, policy)
     if policy.keep_asked and queries is not None:
@@ -152,10 +152,8 @@ def masked(messages: DataFrame, policy: Policy = Policy(), vault: DataFrame | No
         names = book.where("category = 'person'").select("partition", F.regexp_replace("canonical", r"^person\|", "").alias("name"), "token", "seq")
         if policy.allow:
             names = names.where(~F.col("name").isin([" ".join(a.lower().split()) for a in policy.allow]))
-        words = F.filter(F.split(F.lower("masked"), r"[^\p{L}'-]+"), lambda w: w != "")
-        tails = F.flatten(F.transform(words, lambda w: F.split(w, "-")))
-        grams = out.select(*key, "ord", F.explode(F.array_distinct(F.concat(ngrams(words, 3), ngrams(tails, 3)))).alias("name"))
-        met = grams.join(names, ["partition", "name"])
+        words = out.select(*key, "ord", F.explode(_words(F.col("masked"))).alias("word"))
+        met = words.join(names.withColumn("word", _key_word(F.col("name"))), ["partition", "word"])
         if second_pass == "asof":
             met = met.where("seq <= ord")
         known = met.groupBy(*key).agg(F.collect_set(F.struct("name", shown(F.col("token")).alias("shown"), "token")).alias("known"))
