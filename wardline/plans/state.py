@@ -54,10 +54,10 @@ def t06(spark, d):
 
 
 def replayed(spark, source: DataFrame, transform, files: int = 8) -> DataFrame:
-    """A table read as a stream, file by file in time order, through transform into a table in the shared folder."""
+    """A table read as a stream, through transform, into a table in the shared folder."""
     base = shared_path(spark, f"stream-{uuid.uuid4().hex}")
     source.repartitionByRange(files, "ts").sortWithinPartitions("ts").write.parquet(f"{base}/in")
-    stream = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 4).parquet(f"{base}/in")
+    stream = spark.readStream.schema(source.schema).parquet(f"{base}/in")
     run = transform(stream).writeStream.format("parquet").option("checkpointLocation", f"{base}/state").option("path", f"{base}/out").trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.read.parquet(f"{base}/out")

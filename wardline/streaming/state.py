@@ -162,9 +162,9 @@ def unmasked_stream(chunks: DataFrame, sessions: DataFrame) -> DataFrame:
 # --- streams ------------------------------------------------------------------------------------------------
 
 
-def rate_limited_stream(log: DataFrame, requests: int = RATE, interval: float = INTERVAL, burst: int = BURST, timeout_ms: int = 3_600_000) -> DataFrame:
-    """A streaming log (caller, ts, event_id): buckets are kept as state by caller and dropped after an hour of rest, by
-    when they are full again."""
+def rate_limited_stream(log: DataFrame, requests: int = RATE, interval: float = INTERVAL, burst: int = BURST, rest_s: float = 3600.0, late: str = "1 day") -> DataFrame:
+    """A streaming log (caller, ts, event_id): buckets are kept as state by caller. One that has rested for rest_s of
+    event time, and by then is full again, is dropped; the watermark that tells so waits for late rows."""
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     def judge(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
@@ -178,15 +178,16 @@ def rate_limited_stream(log: DataFrame, requests: int = RATE, interval: float =
             bucket, ok, wait = admit(tuple(bucket) if bucket is not None else None, max(at, bucket[1]) if bucket is not None else at, requests, interval, burst)
             out.append((event, key[0], ok, wait))
         state.update(tuple(bucket))
-        state.setTimeoutDuration(timeout_ms)
+        state.setTimeoutTimestamp(max(int((bucket[1] + rest_s) * 1000), state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["event_id", "caller", "allowed", "retry_after"])
 
-    rows = log.select("caller", (F.unix_micros("ts") / 1e6).alias("at"), "event_id")
-    return rows.groupBy("caller").applyInPandasWithState(judge, "event_id long, caller string, allowed boolean, retry_after double", "tokens double, updated double", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    rows = log.withWatermark("ts", late).select("caller", "ts", (F.unix_micros("ts") / 1e6).alias("at"), "event_id")
+    return rows.groupBy("caller").applyInPandasWithState(judge, "event_id long, caller string, allowed boolean, retry_after double", "tokens double, updated double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def session_stream(ops: DataFrame, timeout_ms: int = 14_400_000) -> DataFrame:
-    """A streaming log of session operations, with a session's partition and expiry as state."""
+def session_stream(ops: DataFrame, late: str = "1 day") -> DataFrame:
+    """A streaming log of session operations, with a session's partition and expiry as state, dropped once the watermark
+    has passed the expiry."""
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     def walk(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
@@ -203,8 +204,8 @@ def session_stream(ops: DataFrame, timeout_ms: int = 14_400_000) -> DataFrame:
                 state.remove()
         else:
             state.update((now["partition"], now["expires"]))
-            state.setTimeoutDuration(timeout_ms)
+            state.setTimeoutTimestamp(max(int(now["expires"] * 1000), state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["event_id", "correlation", "op", "found"])
 
-    rows = ops.select("correlation", (F.unix_micros("ts") / 1e6).alias("at"), "event_id", "partition", "op", "size")
-    return rows.groupBy("correlation").applyInPandasWithState(walk, "event_id long, correlation string, op string, found boolean", "partition string, expires double", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    rows = ops.withWatermark("ts", late).select("correlation", "ts", (F.unix_micros("ts") / 1e6).alias("at"), "event_id", "partition", "op", "size")
+    return rows.groupBy("correlation").applyInPandasWithState(walk, "event_id long, correlation string, op string, found boolean", "partition string, expires double", "append", GroupStateTimeout.EventTimeTimeout)
