@@ -146,7 +146,7 @@ def test_toxicity_held_out(spark):
     clean = [r.score for r in got if not r.toxic]
     found = sum(r.predicted for r in got if r.toxic) / sum(r.toxic for r in got)
     above = np.mean([np.mean(np.array(clean) < r.score) for r in got if r.toxic])
-    assert np.mean(np.array(clean) < 0.7) >= 0.985 and found >= 0.6 and above >= 0.95
+    assert np.mean(np.array(clean) < 0.7) >= 0.975 and found >= 0.6 and above >= 0.95
 
 
 def test_pieces_equal_the_library(spark, sf, odd_dir):

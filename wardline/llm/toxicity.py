@@ -23,11 +23,15 @@ from pyspark.sql import functions as F
 
 from .common import documents, keep_rows, labels, map_batches, small_batches, text_rows
 
-BUCKETS, WIDTH, SIZES, WINDOW = 1 << 17, 4, (3, 4, 5), 3
+BUCKETS, WIDTH, SIZES, WINDOW = 1 << 19, 4, (3, 4, 5), 3
+#: How often the word itself counts among its n-grams.
+WHOLE = 6
 #: The labelled rows that training takes at most, of each class, and of each of them that many passages.
 TRAIN_ROWS, TRAIN_PASSAGES = {0: 2500, 1: 1200}, 480
 #: Passages of class 0 that a training round takes.
 NEGATIVES = 80_000
+#: Documents that an n-gram's first vector is tempered by.
+PRIOR = 3.0
 CACHE_WORDS = 500_000
 _EDGES = "".join(chr(i) for i in range(33, 127) if not chr(i).isalnum()) + "“”‘’«»…–—¡¿"
 
@@ -38,20 +42,22 @@ def held_out(doc_id):
 
 
 def n_grams(token: str) -> list[int]:
-    """Buckets of the n-grams of a token without the signs around it."""
+    """Buckets of the n-grams of a token without the signs around it, and of the word itself, which counts WHOLE times."""
     word = f"<{token.strip(_EDGES)}>"
     if len(word) == 2:
         return []
-    return [zlib.crc32(word[i : i + n].encode("utf-8", "surrogatepass")) & (BUCKETS - 1) for n in SIZES for i in range(max(1, len(word) - n + 1)) if n == SIZES[0] or len(word) >= n]
+    data = [word[i : i + n].encode("utf-8", "surrogatepass") for n in SIZES for i in range(max(1, len(word) - n + 1)) if n == SIZES[0] or len(word) >= n]
+    return [zlib.crc32(d) & (BUCKETS - 1) for d in data] + [zlib.crc32(b"=" + word.encode("utf-8", "surrogatepass")) & (BUCKETS - 1)] * WHOLE
 
 
 @dataclass
 class Model:
-    """weight of each n-gram and bias; a score is a logistic function of a passage's mean weight."""
+    """weight of each n-gram, slope and bias; a score is a logistic function of the leading passage's mean weight."""
 
     weight: np.ndarray
     bias: float
     empty: float
+    slope: float = 1.0
 
     def scores(self, texts: list[str], numbers: dict[str, float]) -> list[float]:
         """The score of each text; numbers is the worker's Numbers of this model."""
@@ -64,16 +70,20 @@ class Model:
             if not n:
                 out.append(self.empty)
                 continue
-            each = np.fromiter(map(numbers.__getitem__, words), dtype=np.float64, count=n)
-            if n > WINDOW:
-                total = np.concatenate([[0.0], np.cumsum(each)])
-                logit = (total[WINDOW:] - total[:-WINDOW]).max() / WINDOW + self.bias
-            else:
-                logit = each.mean() + self.bias
+            logit = self.slope * leading(words, numbers) + self.bias
             out.append(round(1 / (1 + math.exp(-min(max(logit, -30.0), 30.0))), 6))
         return out
 
 
+def leading(words: list[str], numbers: dict[str, float]) -> float:
+    """The highest mean of WINDOW neighbouring words; of all words if they are fewer."""
+    each = np.fromiter(map(numbers.__getitem__, words), dtype=np.float64, count=len(words))
+    if len(words) <= WINDOW:
+        return float(each.mean())
+    total = np.concatenate([[0.0], np.cumsum(each)])
+    return float((total[WINDOW:] - total[:-WINDOW]).max() / WINDOW)
+
+
 class Numbers(dict):
     """Token -> the mean weight of its n-grams, found when first asked for."""
 
@@ -116,8 +126,9 @@ def fit(docs: Iterable[tuple[str, int]], seed: int = 0, rounds: int = 6, steps:
     together, by Adam.
 
     Passages of documents of class 0 are all of class 0; each round takes some of them at random and those that seem
-    most toxic, NEGATIVES at most. Of a document of class 1 the first round takes all passages, later ones the passage
-    that the model so far finds most toxic. N-grams that fewer than least documents hold have no vector."""
+    most toxic, NEGATIVES at most. Of a document of class 1 a round takes the passage that the model so far finds most
+    toxic. The first vectors lean along one axis by the log odds of an n-gram's documents, so that the first choice
+    of passages is a sound one. N-grams that fewer than least documents hold have no vector."""
     vocab: dict[str, int] = {}
     parts, classes = [], []
     for text, c in docs:
@@ -142,35 +153,38 @@ def fit(docs: Iterable[tuple[str, int]], seed: int = 0, rounds: int = 6, steps:
     gram = [n_grams(w) or [0] for w in vocab]
     gram_size = np.array([len(g) for g in gram])
     gram, gram_end = np.fromiter(chain.from_iterable(gram), dtype=np.int32, count=int(gram_size.sum())), np.cumsum(gram_size)
-    held = np.zeros(BUCKETS, dtype=np.int32)  # documents with each n-gram
-    for own in parts:
+    held = np.zeros((2, BUCKETS), dtype=np.int32)  # documents of each class with each n-gram
+    for own, c in zip(parts, y_all):
         at = np.unique(own)
-        held[np.unique(gram[np.repeat(gram_end[at] - gram_size[at], gram_size[at]) + _within(gram_size[at])])] += 1
+        held[c, np.unique(gram[np.repeat(gram_end[at] - gram_size[at], gram_size[at]) + _within(gram_size[at])])] += 1
     del parts
-    used = np.flatnonzero(held >= least)
+    used = np.flatnonzero(held.sum(axis=0) >= least)
     if not len(used):
         return nothing
     place = np.full(BUCKETS, len(used), dtype=np.int32)  # the last column stands for all others and stays 0
     place[used] = np.arange(len(used), dtype=np.int32)
     gram = place[gram]
 
-    table = rng.normal(0, 0.1, (WIDTH, len(used) + 1)).astype(np.float32)
+    table = rng.normal(0, 0.05, (WIDTH, len(used) + 1)).astype(np.float32)
+    ratio = y_all.mean()
+    odds = np.log((held[1, used] + PRIOR * ratio) / (held[0, used] + PRIOR * (1 - ratio)) * (1 - ratio) / ratio)
+    table[0, :-1] += odds
     table[:, -1] = 0
-    soft = rng.normal(0, 1, (2, WIDTH)).astype(np.float32)
+    soft = rng.normal(0, 0.1, (2, WIDTH)).astype(np.float32)
+    soft[:, 0] = -0.5, 0.5
     bias = np.zeros((2, 1), dtype=np.float32)
     params = [table, soft, bias]
     first, second, t = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
-    clean, toxic = np.flatnonzero(y_all[doc_of] == 0), np.flatnonzero(y_all[doc_of] == 1)
+    clean = np.flatnonzero(y_all[doc_of] == 0)
     for r in range(rounds):
         some = rng.choice(clean, min(NEGATIVES, len(clean)), replace=False)
-        if r:
-            number = _mean(((soft[1] - soft[0]) @ table)[None, gram], gram_end)[0]
-            logit = np.add.reduceat(number[words], end - size) / size
-            best = np.maximum.reduceat(logit, doc_start)
-            lead = np.flatnonzero((logit == best[doc_of]) & (y_all[doc_of] == 1))
-            toxic = lead[np.unique(doc_of[lead], return_index=True)[1]]
-            hard = clean[np.argsort(-logit[clean], kind="stable")[: NEGATIVES // 4]]
-            some = np.unique(np.concatenate([some[: NEGATIVES // 2], hard]))
+        number = _mean(((soft[1] - soft[0]) @ table)[None, gram], gram_end)[0]
+        logit = np.add.reduceat(number[words], end - size) / size
+        best = np.maximum.reduceat(logit, doc_start)
+        lead = np.flatnonzero((logit == best[doc_of]) & (y_all[doc_of] == 1))
+        toxic = lead[np.unique(doc_of[lead], return_index=True)[1]]
+        hard = clean[np.argsort(-logit[clean], kind="stable")[: NEGATIVES // 4]]
+        some = np.unique(np.concatenate([some[: NEGATIVES // 2], hard]))
         chosen = np.concatenate([some, toxic])
         y = np.concatenate([np.zeros(len(some), dtype=np.int64), np.ones(len(toxic), dtype=np.int64)])
         weight = np.where(y == 1, 0.3 / len(toxic), 0.7 / len(some)).astype(np.float32)
@@ -212,6 +226,24 @@ def fit(docs: Iterable[tuple[str, int]], seed: int = 0, rounds: int = 6, steps:
     return Model(numbers, float(bias[1, 0] - bias[0, 0]), round(share, 6))
 
 
+def calibrated(model: Model, docs: list[tuple[str, int]]) -> Model:
+    """The model with slope and bias from documents that it hasn't learnt from, by logistic regression on their leading
+    passages, toxic ones counted twice."""
+    numbers = Numbers(model)
+    x = np.array([leading(t.split(" "), numbers) for t, _ in docs if t])
+    y = np.array([c for t, c in docs if t], dtype=float)
+    if not len(y) or y.min() == y.max():
+        return model
+    mean, scale, each = x.mean(), x.std() + 1e-6, 1 + y
+    z, w = np.stack([(x - mean) / scale, np.ones(len(x))], axis=1), np.zeros(2)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+        w -= np.linalg.solve((z * (each * (p * (1 - p) + 1e-6))[:, None]).T @ z + 0.1 * np.eye(2), z.T @ (each * (p - y)) + 0.1 * w)
+    if w[0] <= 0:
+        return model
+    return Model(model.weight, float(w[1] - w[0] * mean / scale), model.empty, float(w[0] / scale))
+
+
 def training_rows(docs: DataFrame, marks: DataFrame, column: str = "toxic") -> DataFrame:
     """doc_id, class of the labelled rows to learn from: not held out, of each class the TRAIN_ROWS first by a hash
     of doc_id. A doc_id labelled twice counts once, with its larger label."""
@@ -230,8 +262,13 @@ def train(docs: DataFrame, marks: DataFrame) -> Model:
         return {"doc_id": ids, "class": classes, "words": [" ".join(passages(t)) for t in texts]}
 
     rows = map_batches(chosen, cut, "doc_id long, class int, words string").collect()
-    rows.sort(key=lambda r: (r.doc_id, r.words))
-    return fit((r.words, r["class"]) for r in rows)
+    rows.sort(key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id, r.words))
+    return trained([(r.words, r["class"]) for r in rows])
+
+
+def trained(rows: list[tuple[str, int]]) -> Model:
+    """Fit on four rows of five and calibrate on the fifth."""
+    return calibrated(fit(r for i, r in enumerate(rows) if i % 5), rows[::5])
 
 
 _KEPT: dict = {}
