@@ -9,7 +9,7 @@ from ..operators.storage import stored
 from ..sources import dialects, logs, streams
 from .fixtures import derived, messages, table
 from .registry import query
-from .screening import ANSWERS, _decided
+from .screening import _BYTES_SQL, ANSWERS, _attachments, _decided
 
 DIALECTS = ("openai", "anthropic", "ollama")
 
@@ -192,3 +192,9 @@ def s23(spark, d):
     line = F.when(k == 0, v).when(k == 1, F.to_json(F.struct(F.array("embedding").alias("embeddings")))).otherwise(F.to_json(F.struct(F.array(F.struct("embedding")).alias("data"))))
     rows = table(spark, d, "embeddings").select("vec_id", dialects.embedding_of(line).alias("e"))
     return rows.select("vec_id", F.size("e").cast("long").alias("dims"), F.round(F.aggregate("e", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
+
+
+@query("S24_attachments", f"WITH b AS ({_BYTES_SQL}) SELECT doc_id, media_type, octet_length(bytes) AS n_bytes, sha256(bytes) AS bytes_sha256 FROM b")
+def s24(spark, d):
+    rows = _attachments(spark, d)
+    return rows.select("doc_id", "media_type", F.octet_length("bytes").cast("long").alias("n_bytes"), F.sha2("bytes", 256).alias("bytes_sha256"))
