@@ -39,6 +39,12 @@ def c02(spark, d):
     return rows.select("request", "idx", F.sha2(F.array_join(cache.signature(F.col("text")), ","), 256).alias("signature_sha256"))
 
 
+@query("C02_entity_signature_all")
+def c02_all(spark, d):
+    """All messages: DuckDB's lower differs from Spark's beyond ASCII, so there is no SQL."""
+    return messages(spark, d).select("request", "idx", F.sha2(F.array_join(cache.signature(F.col("text")), ","), 256).alias("signature_sha256"))
+
+
 @query("C03_exact_lookup", f"""{E}, b AS (SELECT q.lookup_id, arg_max(e.response, e.stored_at) AS response FROM q JOIN e ON q.partition = e.partition AND q.model = e.model AND q.prompt = e.prompt
  AND q.temperature IS NOT DISTINCT FROM e.temperature AND q.max_tokens IS NOT DISTINCT FROM e.max_tokens AND epoch_us(q.ts) - epoch_us(e.stored_at) <= {TTL}000000 GROUP BY 1)
  SELECT q.lookup_id, b.response IS NOT NULL AS hit FROM q LEFT JOIN b ON q.lookup_id = b.lookup_id""")
