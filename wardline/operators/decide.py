@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dlp import redacted
+from ..functions.payload import payload_findings
 from ..functions.scan import FINDING, SEVERITIES, finding, multiplier, no_findings, role_trust, scan
 
 MAX_BYTES, MAX_MESSAGES, THRESHOLD = 1_000_000, 1000, 0.7
@@ -34,12 +35,38 @@ def budget_verdict(timings: Column, budget: float = 50.0, fail_closed: bool = Tr
     return F.struct((F.size(slow) > 0).alias("degraded"), first.alias("slow_stage"), ((F.size(slow) > 0) & F.lit(fail_closed)).alias("blocked"))
 
 
-def decided(messages: DataFrame, threshold: float = THRESHOLD, max_bytes: int = MAX_BYTES, max_messages: int = MAX_MESSAGES, cap_system: bool = False, masked: DataFrame | None = None, normalize: bool = True) -> DataFrame:
+def attached(files: DataFrame) -> DataFrame:
+    """files (request, ord, bytes, media_type) -> a row a request: attachment_bytes, payload (findings in order), risk0."""
+    rows = files.select("request", "ord", F.octet_length("bytes").alias("n"), payload_findings(F.col("bytes"), F.col("media_type")).alias("f"))
+    rows = rows.withColumn("score", F.least(F.lit(1.0), F.aggregate("f", F.lit(0.0), lambda a, f: a + f["weight"])))
+    listed = F.array_sort(F.collect_list(F.struct("ord", "f")))
+    return rows.groupBy("request").agg(F.sum("n").alias("attachment_bytes"), F.flatten(F.transform(listed, lambda x: x["f"])).alias("payload"), F.max("score").alias("risk0"))
+
+
+def _with_files(requests: DataFrame, attachments: DataFrame | None) -> DataFrame:
+    """requests with payload, risk0, and the attachments in bytes."""
+    if attachments is None:
+        return requests.withColumns({"payload": no_findings(), "risk0": F.lit(0.0)})
+    out = requests.join(attachments, "request", "left").withColumns({"payload": F.coalesce("payload", no_findings()), "risk0": F.coalesce("risk0", F.lit(0.0))})
+    return out.withColumn("bytes", F.col("bytes") + F.coalesce("attachment_bytes", F.lit(0))).drop("attachment_bytes")
+
+
+def admitted(messages: DataFrame, attachments: DataFrame | None = None, threshold: float = THRESHOLD, max_bytes: int = MAX_BYTES, max_messages: int = MAX_MESSAGES, cap_system: bool = False, normalize: bool = True) -> DataFrame:
+    """(request, tenant, idx, text): the sanitized messages of the requests that reach the stage for personal data."""
+    rows = scan(messages.repartition("request").withColumn("trust", role_trust(F.col("role"), cap_system)), normalize=normalize)
+    size = (F.sum(F.octet_length(F.coalesce("text", F.lit("")))) + F.count("*") - 1).alias("bytes")
+    by = _with_files(rows.groupBy("request").agg(size, F.count("*").alias("n_messages"), F.max("risk_score").alias("risk1")), attachments)
+    passed = guarded(by, max_bytes, max_messages).where(F.col("guard").isNull() & (F.greatest("risk0", "risk1") < threshold))
+    return rows.join(passed.select("request"), "request", "left_semi").select("request", "tenant", "idx", F.col("cleaned").alias("text"))
+
+
+def decided(messages: DataFrame, threshold: float = THRESHOLD, max_bytes: int = MAX_BYTES, max_messages: int = MAX_MESSAGES, cap_system: bool = False, masked: DataFrame | None = None, normalize: bool = True, attachments: DataFrame | None = None) -> DataFrame:
     """One row a request: disposition, risk_score, findings in stage order, bytes, content and messages to forward.
 
     messages: (request, tenant, model, idx, role, text). Guards come first; then each stage's risk is the highest of
     its messages, and the first stage that brings the risk to the threshold ends the request, later findings left
     out. masked: (request, idx, masked, pii_findings) of the stage for personal data, for the requests that reach it.
+    attachments: as of attached(); they count for the guard, and their findings are the first stage.
     The messages are dealt out by request once; all grouping uses that."""
     dealt = messages.repartition("request").withColumn("trust", role_trust(F.col("role"), cap_system))
     rows = scan(dealt, normalize=normalize)
@@ -49,7 +76,7 @@ def decided(messages: DataFrame, threshold: float = THRESHOLD, max_bytes: int =
         rows = rows.withColumn("stage2", F.coalesce("stage2", "cleaned")).withColumn("pii", F.coalesce("pii", no_findings()))
     rows = redacted(rows, "stage2")
     one = F.struct(
-        "idx", "role", F.octet_length(F.coalesce("text", F.lit(""))).alias("bytes"), "findings", "risk_score", "was_modified", "pii", F.col("stage2").alias("masked"), "cleaned",
+        "idx", "role", F.octet_length(F.coalesce("text", F.lit(""))).alias("bytes"), F.coalesce("text", F.lit("")).alias("text"), "findings", "risk_score", "was_modified", "pii", F.col("stage2").alias("masked"), "cleaned",
         "dlp_findings", "dlp_score", "dlp_modified", "dlp_text", F.aggregate("pii", F.lit(0.0), lambda a, f: a + f["weight"]).alias("pii_score"),
     )
     by = rows.groupBy("request").agg(F.first("tenant").alias("tenant"), F.first("model").alias("model"), F.array_sort(F.collect_list(one)).alias("m"))
@@ -58,19 +85,20 @@ def decided(messages: DataFrame, threshold: float = THRESHOLD, max_bytes: int =
         "request", "tenant", "model", "m", (F.aggregate(of("bytes"), F.lit(0), lambda a, b: a + b) + F.size("m") - 1).cast("long").alias("bytes"), F.size("m").alias("n_messages"),
         F.array_max(of("risk_score")).alias("risk1"), F.least(F.lit(1.0), F.array_max(of("pii_score"))).alias("risk2"), F.least(F.lit(1.0), F.array_max(of("dlp_score"))).alias("risk3"),
     )
-    by = guarded(by, max_bytes, max_messages)
-    r1, r2 = F.col("risk1"), F.greatest("risk1", "risk2")
-    r3 = F.greatest("risk1", "risk2", "risk3")
-    ends = F.when(F.col("guard").isNotNull(), 0).when(r1 >= threshold, 1).when(r2 >= threshold, 2).when(r3 >= threshold, 3)
+    by = guarded(_with_files(by, attachments), max_bytes, max_messages)
+    r0, r1, r2 = F.col("risk0"), F.greatest("risk0", "risk1"), F.greatest("risk0", "risk1", "risk2")
+    r3 = F.greatest("risk0", "risk1", "risk2", "risk3")
+    ends = F.when(F.col("guard").isNotNull(), 0).when(r0 >= threshold, 0.5).when(r1 >= threshold, 1).when(r2 >= threshold, 2).when(r3 >= threshold, 3)
     by = by.withColumn("ends", ends)
-    risk = F.when(F.col("ends") == 0, 1.0).when(F.col("ends") == 1, r1).when(F.col("ends") == 2, r2).otherwise(r3)
+    risk = F.when(F.col("ends") == 0, 1.0).when(F.col("ends") == 0.5, r0).when(F.col("ends") == 1, r1).when(F.col("ends") == 2, r2).otherwise(r3)
     guard = F.array(F.when(F.col("guard") == "GW-001", finding("GW-001", "anomaly", "high", 1.0, 1)).otherwise(finding("GW-003", "anomaly", "high", 1.0, 1)))
     all_of = lambda name: F.flatten(of(name))
-    findings = F.when(F.col("ends") == 0, guard).when(F.col("ends") == 1, all_of("findings")).when(F.col("ends") == 2, F.concat(all_of("findings"), all_of("pii"))).otherwise(F.concat(all_of("findings"), all_of("pii"), all_of("dlp_findings")))
+    payload = F.col("payload")
+    findings = F.when(F.col("ends") == 0, guard).when(F.col("ends") == 0.5, payload).when(F.col("ends") == 1, F.concat(payload, all_of("findings"))).when(F.col("ends") == 2, F.concat(payload, all_of("findings"), all_of("pii"))).otherwise(F.concat(payload, all_of("findings"), all_of("pii"), all_of("dlp_findings")))
     modified = F.exists("m", lambda x: x["was_modified"] | x["dlp_modified"] | (x["masked"] != x["cleaned"]))
     verdict = F.when(F.col("ends").isNotNull(), "block").when(modified, "allow_modified").otherwise("allow")
     forwarded = F.when(F.col("ends").isNull(), F.transform("m", lambda x: F.struct(x["role"].alias("role"), x["dlp_text"].alias("content"))))
-    content = F.when(F.col("ends") == 0, "").otherwise(F.array_join(F.transform("m", lambda x: F.when(F.col("ends") == 1, x["cleaned"]).when(F.col("ends") == 2, x["masked"]).otherwise(x["dlp_text"])), "\n"))
+    content = F.when(F.col("ends") == 0, "").otherwise(F.array_join(F.transform("m", lambda x: F.when(F.col("ends") == 0.5, x["text"]).when(F.col("ends") == 1, x["cleaned"]).when(F.col("ends") == 2, x["masked"]).otherwise(x["dlp_text"])), "\n"))
     return by.select("request", "tenant", "model", verdict.alias("disposition"), risk.alias("risk_score"), findings.alias("findings"), content.alias("content"), forwarded.alias("forwarded"), "bytes", "n_messages")
 
 

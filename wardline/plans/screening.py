@@ -8,9 +8,10 @@ from ..functions import policy
 from ..functions.catalogue import DLP_RULES, ENGLISH, GERMAN, SECRETS, TRUSTED_SOURCES, UNTRUSTED_SOURCES, Rule, custom, extended
 from ..functions.dlp import redacted
 from ..functions.payload import payload_findings, sniffed
+from ..functions.personal import Policy
 from ..functions.scan import HIDDEN, STRONG, disposition, hidden_count, role_trust, sanitized, scan, source_trust
 from ..functions.surface import base64_payloads, surfaces
-from ..operators import decide
+from ..operators import decide, masking
 from .fixtures import MESSAGES_SQL, TRUST_SQL, WEIGHT_SQL, derived, messages, table
 from .registry import query
 
@@ -334,7 +335,14 @@ def d09(spark, d):
 
 
 def _decided(spark, d):
-    return decide.decided(messages(spark, d), max_bytes=20_000, max_messages=12)
+    """All stages. Document n is attached to conversation 3 n; names are masked as of the order of requests."""
+    limits, masks = {"max_bytes": 20_000, "max_messages": 12}, Policy(on_density="abstain")
+    rows = messages(spark, d)
+    files = decide.attached(_attachments(spark, d).select((F.col("doc_id") * 3).alias("request"), F.lit(0).alias("ord"), "bytes", "media_type"))
+    reached = decide.admitted(rows, files, **limits).select(F.col("tenant").alias("partition"), "request", "idx", (F.col("request") * 4096 + F.col("idx")).cast("long").alias("ord"), "text")
+    found, _ = masking.masked(reached, masks, second_pass="asof")
+    found = found.select("request", "idx", "masked", masking.pii_findings(F.col("counts"), F.col("density"), masks).alias("pii_findings"))
+    return decide.decided(rows, masked=found, attachments=files, **limits)
 
 
 @query("G01_decisions")
