@@ -63,25 +63,28 @@ def exact(lookups: DataFrame, entries: DataFrame, ttl: int = TTL) -> DataFrame:
     return plain.join(best, "lookup_id", "left").withColumn("kind", F.when(F.col("response").isNotNull(), "exact"))
 
 
-def semantic(misses: DataFrame, entries: DataFrame, threshold: float = SIMILAR, ttl: int = TTL, salts: int = 16) -> DataFrame:
+def semantic(misses: DataFrame, entries: DataFrame, threshold: float = SIMILAR, ttl: int = TTL, salts: int = 16, itself: bool = True) -> DataFrame:
     """(lookup_id, response, score, entry_id) of the best living entry of the same partition, model and signature whose
     vector is similar enough: the highest score, then the newest, then the smallest entry_id.
 
     Signatures are compared whole. Blocks with the same signature (the empty one above all) can be large: entries
-    are dealt over salts and each lookup meets every salt, and only the best of each salt goes on."""
+    are dealt over salts and each lookup meets every salt, and only the best of each salt goes on. Without itself, the
+    entry whose id is the lookup's is passed over."""
     block = F.xxhash64("partition", "model", "signature")
     q = misses.where("embedding is not null").withColumn("_b", block).withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).alias("q")
     e = entries.where("embedding is not null").withColumn("_b", block).withColumn("_s", F.pmod(F.xxhash64("entry_id"), F.lit(salts)).cast("int")).alias("e")
     same = (F.col("q._b") == F.col("e._b")) & (F.col("q._s") == F.col("e._s")) & (F.col("q.partition") == F.col("e.partition")) & (F.col("q.model") == F.col("e.model")) & (F.col("q.signature") == F.col("e.signature"))
+    if not itself:
+        same = same & (F.col("q.lookup_id") != F.col("e.entry_id"))
     met = q.join(e, same & alive(F.col("e.stored_at"), F.col("q.ts"), ttl)).withColumn("score", cosine(F.col("q.embedding"), F.col("e.embedding"))).where(F.col("score") >= threshold)
     rank = F.struct("score", "e.stored_at", (-F.col("e.entry_id")).alias("back"))
     return met.groupBy("q.lookup_id").agg(F.max_by(F.struct("e.response", "score", "e.entry_id"), rank).alias("b")).select("lookup_id", "b.*")
 
 
-def looked_up(lookups: DataFrame, entries: DataFrame, threshold: float = SIMILAR, ttl: int = TTL) -> DataFrame:
+def looked_up(lookups: DataFrame, entries: DataFrame, threshold: float = SIMILAR, ttl: int = TTL, itself: bool = True) -> DataFrame:
     """lookups with kind exact, semantic or miss, and the masked response."""
     first = stored(exact(lookups, entries, ttl), "exact")
-    close = semantic(first.where("kind is null").drop("response", "kind"), entries, threshold, ttl).select("lookup_id", F.col("response").alias("_near"))
+    close = semantic(first.where("kind is null").drop("response", "kind"), entries, threshold, ttl, itself=itself).select("lookup_id", F.col("response").alias("_near"))
     out = first.join(close, "lookup_id", "left")
     return out.withColumn("kind", F.coalesce("kind", F.when(F.col("_near").isNotNull(), "semantic"), F.lit("miss"))).withColumn("response", F.coalesce("response", "_near")).drop("_near")
 

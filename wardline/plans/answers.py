@@ -16,10 +16,15 @@ ENTRY = {
 }
 _E = "SELECT " + ", ".join(f"{'cast(' + e + ' as double)' if c == 'temperature' else e} AS {c}" for c, e in ENTRY.items())
 E = f"WITH e AS ({_E} FROM events WHERE event_id % 2 = 0), q AS ({_E} FROM events WHERE event_id % 2 = 1)"
+A = f"WITH e AS ({_E} FROM events)"
 TTL = 86_400
 NOW = "timestamp '2024-01-20 00:00:00'"
 
 
+def _all_entries(spark, d):
+    return derived(table(spark, d, "events"), ENTRY).withColumn("temperature", F.col("temperature").cast("double"))
+
+
 def _entries(spark, d, parity=0):
     return derived(table(spark, d, "events").where(f"event_id % 2 = {parity}"), ENTRY).withColumn("temperature", F.col("temperature").cast("double"))
 
@@ -56,7 +61,11 @@ VECTORS = {"lookup_id": "vec_id", "entry_id": "vec_id", "partition": "'p'", "mod
 
 
 def _vectors(spark, d, parity):
-    rows = derived(table(spark, d, "embeddings").where(f"vec_id % 2 = {parity}").withColumn("l", F.col("label")), VECTORS | {"signature": "array(cast(label as string))"})
+    return _all_vectors(spark, d).where(f"lookup_id % 2 = {parity}")
+
+
+def _all_vectors(spark, d):
+    rows = derived(table(spark, d, "embeddings").withColumn("l", F.col("label")), VECTORS | {"signature": "array(cast(label as string))"})
     return rows.withColumn("stored_at", F.timestamp_seconds(F.lit(0))).withColumn("ts", F.timestamp_seconds(F.lit(60)))
 
 
@@ -74,12 +83,14 @@ def c05(spark, d):
 
 
 def _looked_up(spark, d):
-    near = table(spark, d, "embeddings").where("vec_id % 10 = 3")
-    rows = _vectors(spark, d, 1).withColumns({"prompt": F.lit("?"), "temperature": F.lit(None).cast("double"), "max_tokens": F.lit(None).cast("int")})
-    copies = near.select(F.col("vec_id").alias("entry_id"), F.transform("embedding", lambda x: x * F.lit(1.01).cast("float")).alias("embedding"), F.array(F.col("label").cast("string")).alias("signature"))
-    entries = copies.select("entry_id", F.lit("p").alias("partition"), F.lit("m").alias("model"), F.when(F.col("entry_id") % 20 == 3, "?").otherwise("!").alias("prompt"), F.lit(None).cast("double").alias("temperature"), F.lit(None).cast("int").alias("max_tokens"), "embedding", "signature", F.col("entry_id").cast("string").alias("response"), F.timestamp_seconds(F.lit(0)).alias("stored_at"))
-    rows = rows.withColumn("prompt", F.when(F.col("lookup_id") % 2 == 1, F.concat(F.lit("#"), F.col("lookup_id").cast("string"))))
-    return cache.looked_up(rows, entries)
+    """Every vector is a lookup and an entry. One lookup of four asks the next one's prompt; the others' prompts are in no
+    entry, and their own entries are passed over."""
+    plain = {"temperature": F.lit(None).cast("double"), "max_tokens": F.lit(None).cast("int")}
+    rows = _all_vectors(spark, d).withColumns(plain)
+    text = lambda c: c.cast("string")
+    lookups = rows.withColumn("prompt", F.when(F.col("lookup_id") % 4 == 0, F.concat(F.lit("#"), text(F.col("lookup_id") + 1))).otherwise(F.concat(F.lit("?"), text(F.col("lookup_id")))))
+    entries = rows.withColumns({"prompt": F.concat(F.lit("#"), text(F.col("entry_id"))), "embedding": F.transform("embedding", lambda x: x * F.lit(1.01).cast("float"))})
+    return cache.looked_up(lookups, entries, itself=False)
 
 
 @query("C06_hit_kinds")
@@ -139,3 +150,40 @@ def s25(spark, d):
     return cache.restored(stored(_entries(spark, d), "snapshot"), F.expr(NOW), TTL * 5).select("entry_id")
 
 
+# All events as entries, all vectors as lookups and entries.
+
+
+@query("C04_semantic_lookup_all", """WITH s AS (SELECT q.vec_id AS lookup_id, e.vec_id AS entry_id, list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS score FROM embeddings q JOIN embeddings e ON q.label = e.label AND q.vec_id <> e.vec_id)
+ SELECT lookup_id, arg_max(entry_id, score) AS entry_id, round(max(score), 6) AS score FROM s WHERE score >= 0.3 GROUP BY lookup_id""")
+def c04_all(spark, d):
+    rows = _all_vectors(spark, d)
+    return cache.semantic(rows, rows, 0.3, itself=False).select("lookup_id", "entry_id", F.round("score", 6).alias("score"))
+
+
+@query("C08_expiry_all", f"{A} SELECT entry_id FROM e WHERE epoch_us({NOW}) - epoch_us(stored_at) <= {TTL * 5}000000")
+def c08_all(spark, d):
+    return cache.expired(_all_entries(spark, d), F.expr(NOW), TTL * 5).select("entry_id")
+
+
+@query("C10_caps_all", f"{A} SELECT entry_id FROM (SELECT *, row_number() OVER (PARTITION BY partition ORDER BY last_used DESC, entry_id) AS n FROM e) WHERE n <= 200 ORDER BY last_used DESC, entry_id LIMIT 500")
+def c10_all(spark, d):
+    return cache.capped(_all_entries(spark, d), 200, 500).select("entry_id")
+
+
+@query("C11_invalidate_all", f"{A} SELECT count(*) AS removed FROM e WHERE partition = 't1' AND model = 'm2'")
+def c11_all(spark, d):
+    e = _all_entries(spark, d)
+    left = cache.invalidated(e, "t1", "m2").agg(F.count("*").alias("left"))
+    return e.agg(F.count("*").alias("n")).crossJoin(left).select((F.col("n") - F.col("left")).alias("removed"))
+
+
+@query("C13_entries_per_partition_all", f"{A} SELECT partition, count(*) AS entries FROM e GROUP BY partition")
+def c13_all(spark, d):
+    return cache.per_partition(_all_entries(spark, d))
+
+
+@query("S25_snapshot_restore_all", f"{A} SELECT entry_id FROM e WHERE epoch_us({NOW}) - epoch_us(stored_at) <= {TTL * 5}000000 ORDER BY last_used DESC, entry_id LIMIT 1000")
+def s25_all(spark, d):
+    from ..operators.storage import stored
+
+    return cache.restored(stored(_all_entries(spark, d), "snapshot"), F.expr(NOW), TTL * 5).select("entry_id")

@@ -177,7 +177,7 @@ def m22(spark, d):
 @query("S26_vault_merge")
 def s26(spark, d):
     hits = _hits(spark, d)
-    even, odd = masking.minted(hits.where("ord % 2 = 0")), masking.minted(hits.where("ord % 3 = 0"))
+    even, odd = masking.minted(hits.where("ord % 2 = 0")), masking.minted(hits.where("ord % 2 = 1"))
     return masking.merged_vault(even, odd).select("partition", "canonical", "token", "value")
 
 
