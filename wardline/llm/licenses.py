@@ -19,15 +19,21 @@ from pyspark.sql import functions as F
 
 from .common import documents, text_rows
 
+
+def _led(name: str) -> str:
+    """Keywords of a short name: in each form it follows one of these words or stands before 'license'."""
+    return "|".join([f"{w} {name}" for w in "identifier under the of by to with license licence".split()] + [f"{name} lic"])
+
+
 #: Names of licenses as words in lower case (Java patterns): label, keywords of which each match holds one, name.
 NAMES = (
-    ("mit", "mit lic|the mit|license mit|under mit|identifier mit", "mit"),
+    ("mit", _led("mit"), "mit"),
     ("apache-2", "apache", "apache(?: software)?(?: license)?(?: version| v)? ?2(?: 0)?"),
     ("apache-1.1", "apache", "apache(?: software)?(?: license)?(?: version| v)? ?1 1"),
     ("bsd-2", "bsd", "(?:bsd 2(?: clause)?|simplified bsd|2 clause bsd|two clause bsd|freebsd)"),
     ("bsd-3", "bsd", "(?:bsd 3(?: clause)?|new bsd|modified bsd|revised bsd|3 clause bsd|three clause bsd)"),
     ("bsd-4", "bsd", "(?:bsd 4(?: clause)?|original bsd|4 clause bsd)"),
-    ("0bsd", "0bsd", "(?:0bsd|zero clause bsd)"),
+    ("0bsd", "0bsd|zero clause", "(?:0bsd|zero clause bsd)"),
     ("gpl-3", "gpl|general public", "(?:gnu )?(?:gpl|general public license)(?: version| v)? ?(?:3|v3)(?: 0)?(?: or (?:any )?later| only)?"),
     ("gpl-2", "gpl|general public", "(?:gnu )?(?:gpl|general public license)(?: version| v)? ?(?:2|v2)(?: 0)?(?: or (?:any )?later| only)?"),
     ("lgpl-3", "lgpl|lesser general", "(?:gnu )?(?:lgpl|lesser general public license)(?: version| v)? ?(?:3|v3)(?: 0)?(?: or (?:any )?later| only)?"),
@@ -40,7 +46,7 @@ NAMES = (
     ("epl-1", "epl|eclipse public", "(?:eclipse public license|epl)(?: version| v)? ?1(?: 0)?"),
     ("cddl", "cddl|common development", "(?:common development and distribution license|cddl)(?:(?: version| v)? ?1 [01])?"),
     ("eupl", "eupl|european union public", "(?:european union public licen[cs]e|eupl)(?:(?: version| v)? ?1 [12])?"),
-    ("isc", "isc lic|the isc|license isc|under isc|identifier isc", "isc"),
+    ("isc", _led("isc"), "isc"),
     ("zlib", "zlib", "zlib(?: libpng)?"),
     ("boost", "boost", "boost(?: software)?(?: license)?(?: 1 0)?"),
     ("artistic-2", "artistic", "artistic(?: license)?(?: version)? ?2(?: 0)?"),
