@@ -220,6 +220,21 @@ def i13(spark, d):
     return _scored(spark, d).select("request", "idx", F.round("risk_score", 6).alias("risk_score"))
 
 
+def _surfaced(spark, d):
+    """With the detection surface, relaxed rules and SAN-003, which SQL can't say."""
+    return scan(_hiding(spark, d))
+
+
+@query("I12_findings_all")
+def i12_all(spark, d):
+    return _surfaced(spark, d).select("request", "idx", _hits(F.col("findings")).alias("hits"), F.round("raw_score", 6).alias("raw_score"))
+
+
+@query("I13_risk_score_all")
+def i13_all(spark, d):
+    return _surfaced(spark, d).select("request", "idx", F.round("risk_score", 6).alias("risk_score"))
+
+
 SUPPRESSED = ("INJ-004", "INJ-007")
 _OFF = " + ".join(f"CASE WHEN regexp_matches(cleaned, '{r.pattern}', 'is') THEN {r.weight} ELSE 0 END::DOUBLE" for r in ALL if r.rule_id in SUPPRESSED)
 _DISPOSED = f"{SCORED}, p AS (SELECT *, least(1.0, greatest(0.0, raw - ({_OFF})) * mult) AS risk FROM s), z AS (SELECT *, CASE WHEN risk >= 0.7 THEN 'block' WHEN removed > 0 THEN 'allow_modified' ELSE 'allow' END AS disposition FROM p)"
@@ -231,6 +246,17 @@ def i14(spark, d):
     return _scored(spark, d).select("request", "idx", v["disposition"].alias("disposition"), F.round(v["risk_score"], 6).alias("risk_score"))
 
 
+@query("I14_dispositions_all")
+def i14_all(spark, d):
+    v = disposition(F.col("findings"), F.col("raw_score"), F.col("trust"), F.col("was_modified"), suppressed=SUPPRESSED)
+    return _surfaced(spark, d).select("request", "idx", v["disposition"].alias("disposition"), F.round(v["risk_score"], 6).alias("risk_score"))
+
+
+@query("I14_disposition_counts_all")
+def i14_counts_all(spark, d):
+    return i14_all(spark, d).groupBy("disposition").agg(F.count("*").alias("messages"))
+
+
 @query("I14_disposition_counts", f"{_DISPOSED} SELECT disposition, count(*) AS messages FROM z GROUP BY disposition")
 def i14_counts(spark, d):
     return i14(spark, d).groupBy("disposition").agg(F.count("*").alias("messages"))
@@ -409,6 +435,12 @@ def p12(spark, d):
     return rows.select("request", "idx", decide.near_miss(F.when(F.col("risk_score") >= 0.7, "block").otherwise("allow"), F.col("risk_score")).alias("collected"))
 
 
+@query("P12_near_miss_all")
+def p12_all(spark, d):
+    rows = _surfaced(spark, d)
+    return rows.select("request", "idx", decide.near_miss(F.when(F.col("risk_score") >= 0.7, "block").otherwise("allow"), F.col("risk_score")).alias("collected"))
+
+
 def _quarantined(spark, d):
     decisions = _decided(spark, d)
     raw = messages(spark, d).groupBy("request").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "text"))), lambda x: x["text"]), "\n").alias("raw"))

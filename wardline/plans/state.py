@@ -84,3 +84,16 @@ def t07(spark, d):
         return out.select("request", "idx", "trust", v["disposition"].alias("disposition"), _hits(F.col("findings")).alias("hits"))
 
     return replayed(spark, rows, screened).select("request", "idx", "trust")
+
+
+@query("T07_streaming_screening_all")
+def t07_all(spark, d):
+    """Each message scanned with its detection surface and decided on arrival."""
+    rows = table(spark, d, "conversations").withColumn("ts", F.timestamp_seconds(F.col("conv_id") * 60 + F.col("turn")))
+
+    def screened(s: DataFrame) -> DataFrame:
+        out = scan(derived(s, MESSAGES).withColumn("trust", role_trust(F.col("role"))))
+        v = disposition(F.col("findings"), F.col("raw_score"), F.col("trust"), F.col("was_modified"))
+        return out.select("request", "idx", "trust", v["disposition"].alias("disposition"), v["risk_score"].alias("risk_score"), _hits(F.col("findings")).alias("hits"))
+
+    return replayed(spark, rows, screened)
