@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows per Arrow batch. Texts reach 120 KB and more, so the default of 10,000 rows could hold a GB.
-BATCH_ROWS = 500
+#: Bytes of strings, and rows, that a Python function gets at a time. Spark bounds an Arrow batch by its own setting of
+#: bytes (spark.sql.execution.arrow.maxBytesPerBatch); as lists and results take several times that, it is cut further.
+SLICE_BYTES, SLICE_ROWS = 4 << 20, 1000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,15 +26,31 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound what one Arrow batch of whole texts can hold in a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in consecutive parts of at most SLICE_ROWS rows and, but for single rows that are longer, SLICE_BYTES of
+    strings and binaries."""
+    size = np.zeros(batch.num_rows, dtype=np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+            size += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    ends, at = np.cumsum(size), 0
+    while at < batch.num_rows:
+        end = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE_BYTES, side="right"))
+        end = min(max(end, at + 1), at + SLICE_ROWS)
+        yield batch.slice(at, end - at)
+        at = end
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's spark.checkpoint.dir, else (tests) a new local one."""
+    """The folder that driver and executors share, the session's spark.checkpoint.dir. Where it is unset, a session that
+    runs in this process alone (as in tests) gets a new folder; on a cluster that is an error, since each executor
+    would write to a disk of its own."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    return folder or tempfile.mkdtemp(prefix="spark-wardline-")
+    if folder:
+        return folder
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return tempfile.mkdtemp(prefix="spark-wardline-")
 
 
 def stored(df: DataFrame, name: str = "table") -> DataFrame:
@@ -64,8 +84,8 @@ def map_batches(df: DataFrame, fn: Callable[..., dict], schema: str) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                made = fn(*[c.to_pylist() for c in batch.columns])
+            for part in slices(batch):
+                made = fn(*[c.to_pylist() for c in part.columns])
                 yield pa.RecordBatch.from_arrays([pa.array(made[f.name], type=f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, schema)
@@ -79,15 +99,38 @@ def text_rows(docs: DataFrame) -> DataFrame:
 def keep_rows(docs: DataFrame, columns: list, decide: Callable[..., list]) -> DataFrame:
     """The rows of docs for which decide, given lists of the columns (a null text as ''), is true; no shuffle. Rows
     pass through whole, whatever their other columns."""
-    import pyarrow.compute as pc
-
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                got = [batch.column(names.index(c)) if c in names else pa.nulls(batch.num_rows, pa.string()) for c in columns]
+            for part in slices(batch):
+                got = [part.column(names.index(c)) if c in names else pa.nulls(part.num_rows, pa.string()) for c in columns]
                 lists = [(pc.fill_null(g, "") if c == "text" else g).to_pylist() for c, g in zip(columns, got)]
-                yield batch.filter(pa.array(decide(*lists), pa.bool_()))
+                yield part.filter(pa.array(decide(*lists), pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once, however often use names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def running(values: Column, add: Callable[[Column, Column], Column], zero: Column, chunk: int = 64) -> Column:
+    """The running results of an associative add over an array: element i is that of the first i + 1 values. zero + x
+    is x. An array that grew by one at a time would be copied whole at every step; here chunks of the array are summed
+    first, so only their sums grow that way, and then each chunk goes on from the sum before it."""
+    empty = F.slice(F.array(zero), 1, 0)
+
+    def along(some: Column, start: Column) -> Column:
+        step = lambda a, x: bound(add(a["at"], x), lambda at: F.struct(at.alias("at"), F.concat(a["out"], F.array(at)).alias("out")))
+        return F.aggregate(some, F.struct(start.alias("at"), empty.alias("out")), step, lambda a: a["out"])
+
+    def whole(all_: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / chunk).cast("int")), lambda k: F.slice(all_, k * chunk + 1, F.lit(chunk)))
+        sums = lambda ps: along(F.transform(ps, lambda p: F.aggregate(p, zero, add)), zero)
+        begins = lambda ps: F.concat(F.array(zero), sums(ps))
+        each = lambda ps: F.flatten(F.transform(F.filter(F.arrays_zip(ps.alias("part"), begins(ps).alias("from")), lambda z: z["part"].isNotNull()), lambda z: along(z["part"], z["from"])))
+        return F.when(F.size(all_) == 0, empty).otherwise(bound(parts, each))
+
+    return bound(values, whole)

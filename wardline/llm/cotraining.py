@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, keep_rows, labels, map_batches, small_batches
+from .common import documents, keep_rows, labels, map_batches
 from .quality_rules import repeated_words
 from .toxicity import held_out
 
@@ -152,7 +152,6 @@ def _scores(model: Model | None, texts: list, langs: list, sources: list) -> np.
 
 def kept(docs: DataFrame, model: Model | None, threshold: float = 0.25) -> DataFrame:
     """The rows of docs that score at least the threshold, with all their columns."""
-    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return keep_rows(docs, ["text", "lang", "source"], lambda *columns: _scores(shared.value, *columns) >= threshold)
 
@@ -164,7 +163,6 @@ def score(docs: DataFrame, model: Model | None, threshold: float = 0.25) -> Data
     Null and empty texts are scored like any other, their features being 0. Without a model (no labelled rows of
     both classes) the score is 0.5 and all are kept. Repeated rows get a row each; other columns are ignored; an
     empty table gives an empty one."""
-    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make(ids: list, texts: list, langs: list, sources: list, out: list) -> dict:

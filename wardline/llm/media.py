@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, map_batches, small_batches
+from .common import documents, map_batches
 
 PACKET, BODY = 188, 184
 #: Bytes of payload in an access unit, units from one random-access point to the next, clock ticks from unit to unit.
@@ -149,7 +149,6 @@ def padded(data: bytes, unit: int = 64) -> bytes:
 def encode(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes of the text's UTF-8, media: the transport stream of it, padded to 64 bytes. A null text counts
     as empty (64 zeros). Equal texts give equal streams; other columns are ignored; an empty table an empty one."""
-    small_batches(docs.sparkSession)
 
     def make(ids: list, data: list) -> dict:
         return {"doc_id": ids, "n_bytes": [len(d) for d in data], "media": [mux(padded(d)) for d in data]}

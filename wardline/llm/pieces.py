@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, map_batches, small_batches, text_rows
+from .common import documents, map_batches, text_rows
 
 VOCABULARY = "piece_bpe_32k.model"
 MARK = "▁"
@@ -147,7 +147,6 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     get a row each; other columns are ignored; an empty table gives an empty one. Narrow: words are shared within
     Arrow batches and through each worker's cache, not by a shuffle."""
     path = path or vocabulary_path()
-    small_batches(docs.sparkSession)
 
     def make(ids: list, texts: list) -> dict:
         return {"doc_id": ids, "text": texts, "ids": _pieces(path).encode(texts)}

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, map_batches, small_batches, text_rows
+from .common import documents, map_batches, text_rows
 
 _SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
 _SYMBOLS = "#*$%&|<>"
@@ -123,7 +123,6 @@ def cleaned(docs: DataFrame, rules: LineRules = LineRules(), with_text: bool = T
 
     Narrow, one pass. Null and empty texts have no words and fail. Of equal lines the first stays. Repeated rows
     get a row each; other columns are ignored; an empty table gives an empty one."""
-    small_batches(docs.sparkSession)
     names = [c.split()[0] for c in SCHEMA.split(", ")[1:]] + ["cleaned"] * with_text
 
     def make(ids: list, texts: list) -> dict:

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, map_batches, small_batches, stored, text_rows
+from .common import forget, map_batches, stored, text_rows
 from .graph import connected_components
 
 BITS = 64
@@ -166,12 +166,9 @@ def near_duplicates(docs: DataFrame, width: int = 4, distance: int = 4) -> DataF
     Repeated rows each get a row. A component whose doc_ids are all null has component_id null. An empty table
     gives an empty one; other columns are ignored."""
     spark = docs.sparkSession
-    small_batches(spark)
     marks = stored(fingerprints(docs, width), "fingerprints")
     firsts = stored(marks.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
-    small_batches(spark, 20_000)
     groups = stored(connected_components(links(firsts.select("fp"), distance)), "groups")
-    small_batches(spark)
     rooted = firsts.join(groups.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     lowest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     known = rooted.select("fp", "root").join(lowest, "root").select("fp", "component_id")

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, map_batches, small_batches, stored, text_rows
+from .common import documents, map_batches, stored, text_rows
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Pre-tokens that a worker remembers beside the pinned ones; then it starts anew.
@@ -146,7 +146,6 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = 1024, fr
     then in their worker's cache."""
     path = path or vocabulary_path()
     spark = docs.sparkSession
-    small_batches(spark)
     base = PreTokenCache(path, len)
     table = {}
     for word in frequent_words(docs, frequent):
@@ -283,7 +282,6 @@ def pack(docs: DataFrame, path: str | None = None, size: int = 1024, end_id: int
     (without one they have no piece). Repeated rows are packed each; ties in length go by task and place in it;
     other columns are ignored; an empty table gives an empty one."""
     spark = docs.sparkSession
-    small_batches(spark)
     pieces = stored(token_pieces(docs, path or vocabulary_path(), size, end_id), "pieces")
     dealt = pieces.groupBy("length", "task").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
