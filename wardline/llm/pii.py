@@ -3,7 +3,7 @@
 Patterns propose spans, checksums and ranges confirm them (Luhn for cards, mod 97 for IBANs, 255 for the parts of an
 address), and words just before a span raise or lower its score. Spark has no function for the positions of all
 matches; splitting by a pattern gives the text between matches and extracting gives the matches, so running sums of
-both lengths are the positions.
+both lengths are the positions. The sums take time in proportion to the matches.
 
 Patterns that start with a run of characters begin either where the last match ended or where no such character
 stands before, and their repetitions are possessive. Both only spare the matcher starts and retreats that must fail,
@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, text_rows
+from .common import bound, documents, running, text_rows
 
 #: Lengths of IBANs by country, in the public registry's order by length. Fixed values.
 IBAN_LENGTHS = {
@@ -94,17 +94,14 @@ _SPAN = "struct<kind:string,start:int,end:int,value:string,score:double>"
 def _located(kind: Kind, order: int) -> Column:
     """From the matches and the texts between them: spans of one kind that pass its checks, with scores."""
     found, gaps = F.col(f"found_{order}"), F.col(f"gaps_{order}")
-    pairs = F.zip_with(gaps, found, lambda g, v: F.struct(g.alias("gap"), v.alias("value")))
-    pairs = F.filter(pairs, lambda p: p["value"].isNotNull())
+    pairs = F.filter(F.zip_with(gaps, found, lambda g, v: F.struct(g.alias("gap"), v.alias("value"))), lambda p: p["value"].isNotNull())
 
-    def step(acc: Column, p: Column) -> Column:
-        start = acc["at"] + F.length(p["gap"])
-        end = start + F.length(p["value"])
-        span = F.struct(start.alias("start"), end.alias("end"), p["value"].alias("value"), F.right(p["gap"], F.lit(REACH)).alias("before"))
-        return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
+    def spans_of(ps: Column) -> Column:
+        ends = running(F.transform(ps, lambda p: F.length(p["gap"]) + F.length(p["value"])), lambda a, b: a + b, F.lit(0))
+        span = lambda p, end: F.struct((end - F.length(p["value"])).alias("start"), end.alias("end"), p["value"].alias("value"), F.right(p["gap"], F.lit(REACH)).alias("before"))
+        return F.zip_with(ps, ends, span)
 
-    zero = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int,value:string,before:string>>)").alias("spans"))
-    spans = F.filter(F.aggregate(pairs, zero, step, lambda acc: acc["spans"]), lambda s: _valid(kind.name, s["value"]))
+    spans = F.filter(bound(pairs, spans_of), lambda s: _valid(kind.name, s["value"]))
 
     def scored(s: Column) -> Column:
         score = F.lit(kind.score) + F.when(s["before"].rlike(f"(?i){kind.context}"), 0.25).otherwise(0.0)
@@ -141,18 +138,28 @@ def detect(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
 
 
 def redact(text: Column, spans: Column) -> Column:
-    """text with each span replaced by its kind in capitals and angle brackets. Of overlapping spans the first by
-    start stands, the longer one of those that start together."""
+    """text with each span replaced by its kind in capitals and angle brackets. Spans that overlap are replaced together,
+    from the first one's start to the furthest end, by the first one's kind (the longer's of those that start
+    together), so nothing of any span stays."""
     ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind"))))
-
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
-        taken = F.struct((-s["back"]).alias("at"), F.concat(acc["parts"], F.array(gap, F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">")))).alias("parts"))
-        return F.when(s["start"] >= acc["at"], taken).otherwise(acc)
-
-    zero = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("parts"))
-    rest = lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(text, acc["at"] + 1, F.length(text)))
-    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(ordered, zero, step, rest))
+    reach = lambda o: running(F.transform(o, lambda s: -s["back"]), lambda a, b: F.greatest(a, b), F.lit(-1))
+
+    def replaced(both: Column) -> Column:  # (ordered spans, furthest end so far)
+        o, r = both["o"], both["r"]
+        before = F.concat(F.array(F.lit(-1)), r)
+        heads = F.filter(F.arrays_zip(o.alias("s"), before.alias("e")), lambda z: z["s"].isNotNull() & (z["s"]["start"] >= z["e"]))
+        tails = F.filter(F.zip_with(r, F.concat(F.slice(o, 2, F.size(o)), F.array(F.lit(None).cast("struct<start:int,back:int,kind:string>"))), lambda e, n: F.when(n.isNull() | (n["start"] >= e), e)), lambda e: e.isNotNull())
+        groups = F.zip_with(heads, tails, lambda h, e: F.struct(h["s"]["start"].alias("start"), e.alias("end"), h["s"]["kind"].alias("kind")))
+        return bound(groups, _cut)
+
+    def _cut(groups: Column) -> Column:
+        starts = F.concat(F.array(F.lit(0)), F.transform(groups, lambda g: g["end"]))
+        wide = F.encode(text, "UTF-32")  # four bytes a character: any part is cut without a walk from the beginning
+        part = lambda w, a, n: F.decode(F.substring(w, 4 * a + 1, 4 * n), "UTF-32")
+        piece = lambda w: F.zip_with(groups, starts, lambda g, at: F.when(g.isNotNull(), F.concat(part(w, at, g["start"] - at), F.lit("<"), F.upper(g["kind"]), F.lit(">"))).otherwise(part(w, at, F.length(text))))
+        return F.array_join(bound(wide, piece), "")
+
+    return F.when(F.size(spans) == 0, text).otherwise(bound(ordered, lambda o: bound(F.struct(o.alias("o"), reach(o).alias("r")), replaced)))
 
 
 def redacted(docs: DataFrame) -> DataFrame:
