@@ -2,8 +2,8 @@
 
 A word's vector is the mean of the vectors of its character n-grams, so an unseen misspelling shares most of them
 with the word it comes from. A passage of WINDOW words averages its words, and a linear softmax gives its class. A
-document is as toxic as its most toxic passage: few words decide, whatever the text's length. Training alternates
-between choosing each document's leading passage and gradient steps on those.
+document is judged by its most toxic passage and its most toxic words: few words decide, whatever the text's length.
+Training alternates between choosing each toxic document's leading passages and gradient steps on those.
 
 With two classes, the softmax of an average is a logistic function of the average of one number for each n-gram, so
 scoring needs a table of numbers alone, and each worker remembers the number of each word it has met.
@@ -21,15 +21,19 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, keep_rows, labels, map_batches, small_batches, text_rows
+from .common import documents, keep_rows, labels, map_batches, text_rows
 
-BUCKETS, WIDTH, SIZES, WINDOW = 1 << 19, 4, (3, 4, 5), 3
-#: How often the word itself counts among its n-grams.
-WHOLE = 6
-#: The labelled rows that training takes at most, of each class, and of each of them that many passages.
-TRAIN_ROWS, TRAIN_PASSAGES = {0: 2500, 1: 1200}, 480
-#: Passages of class 0 that a training round takes.
+BUCKETS, WIDTH, SIZES, WINDOW = 1 << 19, 4, (3, 4, 5, 6), 3
+#: The labelled rows that training takes at most, of each class; all their passages count.
+TRAIN_ROWS = {0: 2500, 1: 1200}
+#: Passages of class 0 that a gradient step averages over: half at random, a quarter those that seem most toxic.
 NEGATIVES = 80_000
+#: Passages of a toxic document that a training round takes.
+LEADS = 3
+#: A document's features are its leading passage and the means of its so many most toxic different words.
+TOPS = (1, 3, 6, 10)
+#: Of so many training rows one is for calibration.
+FOLD = 3
 #: Documents that an n-gram's first vector is tempered by.
 PRIOR = 3.0
 CACHE_WORDS = 500_000
@@ -42,22 +46,22 @@ def held_out(doc_id):
 
 
 def n_grams(token: str) -> list[int]:
-    """Buckets of the n-grams of a token without the signs around it, and of the word itself, which counts WHOLE times."""
+    """Buckets of the n-grams of a token without the signs around it, and of the word itself."""
     word = f"<{token.strip(_EDGES)}>"
     if len(word) == 2:
         return []
     data = [word[i : i + n].encode("utf-8", "surrogatepass") for n in SIZES for i in range(max(1, len(word) - n + 1)) if n == SIZES[0] or len(word) >= n]
-    return [zlib.crc32(d) & (BUCKETS - 1) for d in data] + [zlib.crc32(b"=" + word.encode("utf-8", "surrogatepass")) & (BUCKETS - 1)] * WHOLE
+    return [zlib.crc32(d) & (BUCKETS - 1) for d in data] + [zlib.crc32(b"=" + word.encode("utf-8", "surrogatepass")) & (BUCKETS - 1)]
 
 
 @dataclass
 class Model:
-    """weight of each n-gram, slope and bias; a score is a logistic function of the leading passage's mean weight."""
+    """weight of each n-gram, slopes and bias; a score is a logistic function of a document's features."""
 
     weight: np.ndarray
     bias: float
     empty: float
-    slope: float = 1.0
+    slope: np.ndarray
 
     def scores(self, texts: list[str], numbers: dict[str, float]) -> list[float]:
         """The score of each text; numbers is the worker's Numbers of this model."""
@@ -70,7 +74,7 @@ class Model:
             if not n:
                 out.append(self.empty)
                 continue
-            logit = self.slope * leading(words, numbers) + self.bias
+            logit = float(self.slope @ features(words, numbers)) + self.bias
             out.append(round(1 / (1 + math.exp(-min(max(logit, -30.0), 30.0))), 6))
         return out
 
@@ -84,6 +88,13 @@ def leading(words: list[str], numbers: dict[str, float]) -> float:
     return float((total[WINDOW:] - total[:-WINDOW]).max() / WINDOW)
 
 
+def features(words: list[str], numbers: dict[str, float]) -> np.ndarray:
+    """What the score of a text with words depends on. Where there are fewer different words than asked for, the rest
+    count as 0."""
+    top = -np.sort(-np.fromiter(map(numbers.__getitem__, set(words)), dtype=np.float64))[: TOPS[-1]]
+    return np.array([leading(words, numbers), *(top[:k].sum() / k for k in TOPS)])
+
+
 class Numbers(dict):
     """Token -> the mean weight of its n-grams, found when first asked for."""
 
@@ -97,19 +108,6 @@ class Numbers(dict):
         return out
 
 
-def passages(text: str) -> list[str]:
-    """The words of evenly spread passages of a text, TRAIN_PASSAGES at most, one after the other: WINDOW words each,
-    the last ending with the text. A text of fewer words is one passage."""
-    words = text.lower().split()
-    n = len(words)
-    if n <= WINDOW:
-        return words
-    first = np.unique(np.append(np.arange(0, n - WINDOW + 1, WINDOW), n - WINDOW))
-    if len(first) > TRAIN_PASSAGES:
-        first = first[np.linspace(0, len(first) - 1, TRAIN_PASSAGES).astype(int)]
-    return [w for i in first for w in words[i : i + WINDOW]]
-
-
 def _within(sizes: np.ndarray) -> np.ndarray:
     """0, 1, ... within each of consecutive runs of these sizes."""
     return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
@@ -122,13 +120,13 @@ def _mean(columns: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 
 def fit(docs: Iterable[tuple[str, int]], seed: int = 0, rounds: int = 6, steps: int = 20, rate: float = 0.05, least: int = 4) -> Model:
-    """Train on documents given as the joined words of their passages, with their classes. Embeddings and softmax learn
-    together, by Adam.
+    """Train on documents given as their joined words, with their classes. Embeddings and softmax learn together, by Adam.
 
-    Passages of documents of class 0 are all of class 0; each round takes some of them at random and those that seem
-    most toxic, NEGATIVES at most. Of a document of class 1 a round takes the passage that the model so far finds most
-    toxic. The first vectors lean along one axis by the log odds of an n-gram's documents, so that the first choice
-    of passages is a sound one. N-grams that fewer than least documents hold have no vector."""
+    Each WINDOW words are a passage. Passages of documents of class 0 are all of class 0; a round's steps average over
+    some of them, taken anew at random, and over those that seem most toxic. Of a document of class 1 a round takes the
+    LEADS passages that the model so far finds most toxic. The first vectors lean along one axis by the log odds of an
+    n-gram's documents, so that the first choice of passages is a sound one. N-grams that fewer than least documents
+    hold have no vector."""
     vocab: dict[str, int] = {}
     parts, classes = [], []
     for text, c in docs:
@@ -138,17 +136,16 @@ def fit(docs: Iterable[tuple[str, int]], seed: int = 0, rounds: int = 6, steps:
             classes.append(c)
     y_all = np.array(classes, dtype=np.int64)
     share = float(np.clip(y_all.mean(), 0.01, 0.5)) if len(y_all) else 0.01
-    nothing = Model(np.zeros(BUCKETS, dtype=np.float32), float(np.log(share / (1 - share))), round(share, 6))
+    nothing = Model(np.zeros(BUCKETS, dtype=np.float32), float(np.log(share / (1 - share))), round(share, 6), np.zeros(1 + len(TOPS)))
     if not len(y_all) or y_all.min() == y_all.max():
         return nothing
     rng = np.random.default_rng(seed)
     words = np.concatenate(parts)
     n_words = np.array([len(p) for p in parts])
-    n_passages = np.maximum(1, n_words // WINDOW)
-    size = np.repeat(np.where(n_words < WINDOW, n_words, WINDOW), n_passages).astype(np.int32)
+    n_passages = -(-n_words // WINDOW)
+    size = np.minimum(WINDOW, np.repeat(n_words, n_passages) - WINDOW * _within(n_passages)).astype(np.int32)
     end = np.cumsum(size)
     doc_of = np.repeat(np.arange(len(parts)), n_passages)
-    doc_start = np.cumsum(n_passages) - n_passages
 
     gram = [n_grams(w) or [0] for w in vocab]
     gram_size = np.array([len(g) for g in gram])
@@ -180,14 +177,16 @@ def fit(docs: Iterable[tuple[str, int]], seed: int = 0, rounds: int = 6, steps:
         some = rng.choice(clean, min(NEGATIVES, len(clean)), replace=False)
         number = _mean(((soft[1] - soft[0]) @ table)[None, gram], gram_end)[0]
         logit = np.add.reduceat(number[words], end - size) / size
-        best = np.maximum.reduceat(logit, doc_start)
-        lead = np.flatnonzero((logit == best[doc_of]) & (y_all[doc_of] == 1))
-        toxic = lead[np.unique(doc_of[lead], return_index=True)[1]]
+        lead = np.flatnonzero(y_all[doc_of] == 1)
+        lead = lead[np.lexsort((-logit[lead], doc_of[lead]))]
+        many = np.unique(doc_of[lead], return_counts=True)[1]
+        toxic = lead[_within(many) < LEADS]
+        many = np.minimum(many, LEADS)
         hard = clean[np.argsort(-logit[clean], kind="stable")[: NEGATIVES // 4]]
         some = np.unique(np.concatenate([some[: NEGATIVES // 2], hard]))
         chosen = np.concatenate([some, toxic])
         y = np.concatenate([np.zeros(len(some), dtype=np.int64), np.ones(len(toxic), dtype=np.int64)])
-        weight = np.where(y == 1, 0.3 / len(toxic), 0.7 / len(some)).astype(np.float32)
+        weight = np.concatenate([np.full(len(some), 0.7 / len(some)), np.repeat(0.3 / len(many) / many, many)]).astype(np.float32)
 
         own_size = size[chosen]
         own = words[np.repeat(end[chosen] - own_size, own_size) + _within(own_size)]
@@ -223,52 +222,49 @@ def fit(docs: Iterable[tuple[str, int]], seed: int = 0, rounds: int = 6, steps:
                 param -= rate * (first[k] / (1 - 0.9**t)) / (np.sqrt(second[k] / (1 - 0.99**t)) + 1e-7)
     numbers = np.zeros(BUCKETS, dtype=np.float32)
     numbers[used] = (soft[1] - soft[0]) @ table[:, :-1]
-    return Model(numbers, float(bias[1, 0] - bias[0, 0]), round(share, 6))
+    return Model(numbers, float(bias[1, 0] - bias[0, 0]), round(share, 6), np.array([1.0] + [0.0] * len(TOPS)))
 
 
-def calibrated(model: Model, docs: list[tuple[str, int]]) -> Model:
-    """The model with slope and bias from documents that it hasn't learnt from, by logistic regression on their leading
-    passages, toxic ones counted twice."""
+def calibrated(model: Model, docs: list[tuple[str, int]], ridge: float = 0.3) -> Model:
+    """The model with slopes and bias from whole documents that it hasn't learnt from, by logistic regression on their
+    features, toxic ones counted twice."""
     numbers = Numbers(model)
-    x = np.array([leading(t.split(" "), numbers) for t, _ in docs if t])
+    x = np.array([features(t.split(" "), numbers) for t, _ in docs if t])
     y = np.array([c for t, c in docs if t], dtype=float)
     if not len(y) or y.min() == y.max():
         return model
-    mean, scale, each = x.mean(), x.std() + 1e-6, 1 + y
-    z, w = np.stack([(x - mean) / scale, np.ones(len(x))], axis=1), np.zeros(2)
+    mean, scale, each = x.mean(axis=0), x.std(axis=0) + 1e-6, 1 + y
+    z, w = np.hstack([(x - mean) / scale, np.ones((len(x), 1))]), np.zeros(x.shape[1] + 1)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        w -= np.linalg.solve((z * (each * (p * (1 - p) + 1e-6))[:, None]).T @ z + 0.1 * np.eye(2), z.T @ (each * (p - y)) + 0.1 * w)
-    if w[0] <= 0:
-        return model
-    return Model(model.weight, float(w[1] - w[0] * mean / scale), model.empty, float(w[0] / scale))
+        w -= np.linalg.solve((z * (each * (p * (1 - p) + 1e-6))[:, None]).T @ z + ridge * np.eye(len(w)), z.T @ (each * (p - y)) + ridge * w)
+    return Model(model.weight, float(w[-1] - w[:-1] @ (mean / scale)), model.empty, w[:-1] / scale)
 
 
 def training_rows(docs: DataFrame, marks: DataFrame, column: str = "toxic") -> DataFrame:
-    """doc_id, class of the labelled rows to learn from: not held out, of each class the TRAIN_ROWS first by a hash
-    of doc_id. A doc_id labelled twice counts once, with its larger label."""
+    """doc_id, class of the labelled rows among docs to learn from: not held out, of each class the TRAIN_ROWS first by a
+    hash of doc_id. A doc_id labelled twice counts once, with its larger label."""
     rows = marks.where(F.col("doc_id").isNotNull() & F.col(column).isin(0, 1) & ~held_out(F.col("doc_id")))
-    rows = rows.groupBy("doc_id").agg(F.max(column).alias("class"))
+    rows = rows.groupBy("doc_id").agg(F.max(column).alias("class")).join(docs.select("doc_id"), "doc_id", "left_semi")
     some = [rows.where(F.col("class") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for c, n in TRAIN_ROWS.items()]
     return some[0].union(some[1])
 
 
 def train(docs: DataFrame, marks: DataFrame) -> Model:
-    """Fit on a bounded sample of labelled documents. Their passages are cut on the executors; at most TRAIN_ROWS times
-    TRAIN_PASSAGES passages reach the driver."""
-    chosen = text_rows(docs).join(F.broadcast(training_rows(docs, marks)), "doc_id").select("doc_id", "class", "text")
+    """Fit on a bounded sample of labelled documents among docs, whole texts each. At most TRAIN_ROWS texts reach the driver."""
+    known = text_rows(docs).join(F.broadcast(training_rows(docs, marks)), "doc_id").select("doc_id", "class", "text")
 
     def cut(ids: list, classes: list, texts: list) -> dict:
-        return {"doc_id": ids, "class": classes, "words": [" ".join(passages(t)) for t in texts]}
+        return {"doc_id": ids, "class": classes, "words": [" ".join(t.lower().split()) for t in texts]}
 
-    rows = map_batches(chosen, cut, "doc_id long, class int, words string").collect()
-    rows.sort(key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id, r.words))
-    return trained([(r.words, r["class"]) for r in rows])
+    rows = [(zlib.crc32(str(r.doc_id).encode()), r.doc_id, r.words, r["class"]) for r in map_batches(known, cut, "doc_id long, class int, words string").collect()]
+    rows.sort()
+    return trained([(words, c) for _, _, words, c in rows])
 
 
 def trained(rows: list[tuple[str, int]]) -> Model:
-    """Fit on four rows of five and calibrate on the fifth."""
-    return calibrated(fit(r for i, r in enumerate(rows) if i % 5), rows[::5])
+    """Fit on all rows but one of FOLD, and calibrate on the others."""
+    return calibrated(fit(r for i, r in enumerate(rows) if i % FOLD), rows[::FOLD])
 
 
 _KEPT: dict = {}
@@ -284,7 +280,6 @@ def _numbers(shared) -> Numbers:
 def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
     """doc_id, held_out, score, predicted for each document. Null and empty texts get the training share of toxic
     rows, at most a half. Repeated rows get a row each; other columns are ignored; an empty table gives an empty one."""
-    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make(ids: list, out: list, texts: list) -> dict:
@@ -297,7 +292,6 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
 
 def kept(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
     """The rows of docs that score below the threshold, with all their columns."""
-    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return keep_rows(docs, ["text"], lambda texts: [s < threshold for s in shared.value.scores(texts, _numbers(shared))])
 
