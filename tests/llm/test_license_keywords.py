@@ -18,7 +18,9 @@ def _texts(parsed) -> list[str]:
             some = _texts(arg[-1])
         elif op is _parser.BRANCH:
             some = [t for branch in arg[1] for t in _texts(branch)]
-        elif op is _parser.MAX_REPEAT:
+        elif op is _parser.ANY:
+            some = ["x"]
+        elif op in (_parser.MAX_REPEAT, _parser.MIN_REPEAT):
             some = ["", *_texts(arg[2])] if arg[0] == 0 else _texts(arg[2])
         else:
             assert op is _parser.ASSERT_NOT
@@ -27,17 +29,23 @@ def _texts(parsed) -> list[str]:
     return out
 
 
-def test_each_name_in_each_form_passes_its_gates():
-    lost = set()
-    for form, _, _ in licenses.FORMS:
-        said = _texts(_parser.parse(form.replace("{}", "NAME")))
-        for label, keys, name in licenses.NAMES:
-            for own in _texts(_parser.parse(name)):
-                for words in (t.replace("NAME", own) for t in said):
-                    ok = any(s in words for s in licenses.STEMS) and any(g in f" {words}" for g in licenses.GATE) and any(k in words for k in keys.split("|"))
-                    if not ok:
-                        lost.add((label, words))
+def test_each_match_of_each_rule_passes_its_gates():
+    table, lost = licenses.rules(), set()
+    for r in table:
+        for words in _texts(_parser.parse(r.pattern)):
+            if not (any(g in words for g in licenses.GATE) and any(k in words for k in r.keyword.split("|"))):
+                lost.add((r.label, r.keyword, words))
     assert not lost, sorted(lost)[:20]
+    assert len({r.pattern for r in table}) == len(table) >= 240
+
+
+def test_each_rule_finds_its_own_words(spark):
+    table = licenses.rules()
+    said = [(i, t[0]) for i, r in enumerate(table) if (t := _texts(_parser.parse(r.pattern)))]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(said, "doc_id long, text string")).collect()}
+    assert all(got[i].labels and got[i].score > 0 for i, _ in said)
+    strong = [i for i, _ in said if table[i].priority == 3]
+    assert all(table[i].label in got[i].labels for i in strong), [(table[i].label, got[i].labels) for i in strong if table[i].label not in got[i].labels]
 
 
 def test_short_names_are_found(spark):

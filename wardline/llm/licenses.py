@@ -1,12 +1,9 @@
 """License statements in whole texts by ordered signature rules, in built-in expressions only.
 
-A text is first brought to lower-case words with one blank between them. One cheap test for any keyword lets through
-the few texts that may say anything of a license; of the rules only those whose own keyword stands in the text are
-tried. A rule's matches become intervals of words. An interval that lies inside another of the same or a higher
-priority is suppressed, so 'mit license' inside 'released under the mit license' says nothing more.
-
-The signature rules are written by hand as names and as forms of statement; each name in each form is a rule, which
-makes several hundred. Longer legal texts have rules of their own.
+A text is first brought to lower-case words with one blank between them. One test for any of a few literals lets
+through the texts that may say anything of a license; of the rules (license_rules) only those whose own keyword stands
+in the text are tried. A rule's matches become intervals of words. An interval that lies inside another of the same or
+a higher priority is suppressed, so 'mit license' inside 'released under the mit license' says nothing more.
 """
 
 from __future__ import annotations
@@ -17,112 +14,22 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, text_rows
-
-
-def _led(name: str) -> str:
-    """Keywords of a short name: in each form it follows one of these words or stands before 'license'."""
-    return "|".join([f"{w} {name}" for w in "identifier under the of by to with license licence".split()] + [f"{name} lic"])
-
-
-#: Names of licenses as words in lower case (Java patterns): label, keywords of which each match holds one, name.
-NAMES = (
-    ("mit", _led("mit"), "mit"),
-    ("apache-2", "apache", "apache(?: software)?(?: license)?(?: version| v)? ?2(?: 0)?"),
-    ("apache-1.1", "apache", "apache(?: software)?(?: license)?(?: version| v)? ?1 1"),
-    ("bsd-2", "bsd", "(?:bsd 2(?: clause)?|simplified bsd|2 clause bsd|two clause bsd|freebsd)"),
-    ("bsd-3", "bsd", "(?:bsd 3(?: clause)?|new bsd|modified bsd|revised bsd|3 clause bsd|three clause bsd)"),
-    ("bsd-4", "bsd", "(?:bsd 4(?: clause)?|original bsd|4 clause bsd)"),
-    ("0bsd", "0bsd|zero clause", "(?:0bsd|zero clause bsd)"),
-    ("gpl-3", "gpl|general public", "(?:gnu )?(?:gpl|general public license)(?: version| v)? ?(?:3|v3)(?: 0)?(?: or (?:any )?later| only)?"),
-    ("gpl-2", "gpl|general public", "(?:gnu )?(?:gpl|general public license)(?: version| v)? ?(?:2|v2)(?: 0)?(?: or (?:any )?later| only)?"),
-    ("lgpl-3", "lgpl|lesser general", "(?:gnu )?(?:lgpl|lesser general public license)(?: version| v)? ?(?:3|v3)(?: 0)?(?: or (?:any )?later| only)?"),
-    ("lgpl-2.1", "lgpl|lesser general|library general", "(?:gnu )?(?:lgpl|(?:lesser|library) general public license)(?: version| v)? ?(?:2|v2)(?: [01])?(?: or (?:any )?later| only)?"),
-    ("agpl-3", "agpl|affero general", "(?:gnu )?(?:agpl|affero general public license)(?: version| v)? ?(?:3|v3)(?: 0)?(?: or (?:any )?later| only)?"),
-    ("gfdl", "documentation", "(?:gnu )?free documentation license(?:(?: version| v)? ?1 [123])?"),
-    ("mpl-2", "mpl|mozilla public", "(?:mozilla public license|mpl)(?: version| v)? ?2(?: 0)?"),
-    ("mpl-1.1", "mpl|mozilla public", "(?:mozilla public license|mpl)(?: version| v)? ?1 1"),
-    ("epl-2", "epl|eclipse public", "(?:eclipse public license|epl)(?: version| v)? ?2(?: 0)?"),
-    ("epl-1", "epl|eclipse public", "(?:eclipse public license|epl)(?: version| v)? ?1(?: 0)?"),
-    ("cddl", "cddl|common development", "(?:common development and distribution license|cddl)(?:(?: version| v)? ?1 [01])?"),
-    ("eupl", "eupl|european union public", "(?:european union public licen[cs]e|eupl)(?:(?: version| v)? ?1 [12])?"),
-    ("isc", _led("isc"), "isc"),
-    ("zlib", "zlib", "zlib(?: libpng)?"),
-    ("boost", "boost", "boost(?: software)?(?: license)?(?: 1 0)?"),
-    ("artistic-2", "artistic", "artistic(?: license)?(?: version)? ?2(?: 0)?"),
-    ("artistic-1", "artistic", "artistic(?: license)?(?: version)? ?1(?: 0)?"),
-    ("wtfpl", "wtfpl|you want to public", "(?:wtfpl|do what the f[a-z]* you want to public license)"),
-    ("unlicense", "unlicense", "unlicense"),
-    ("postgresql", "postgresql", "postgresql"),
-    ("python", "psf|python software", "(?:python software foundation|psf)(?: license)?"),
-    ("php", "php", "php(?: license)?(?: version)? ?3(?: 0?1)?"),
-    ("openssl", "openssl", "openssl"),
-    ("w3c", "w3c", "w3c(?: software)?"),
-    ("x11", "x11", "x11"),
-    ("ofl", "ofl|open font", "(?:sil )?(?:open font license|ofl)(?: 1 1)?"),
-    ("odbl", "odbl|open database", "(?:open database license|odbl)(?: 1 0)?"),
-    ("pddl", "pddl|domain dedication", "(?:public domain dedication and license|pddl)"),
-    ("odc-by", "odc by|open data commons", "(?:open data commons attribution license|odc by)"),
-    ("upl", "upl|universal permissive", "(?:universal permissive license|upl)(?: 1 0)?"),
-    ("ms-pl", "ms pl|microsoft public", "(?:microsoft public license|ms pl)"),
-    ("ms-rl", "ms rl|microsoft reciprocal", "(?:microsoft reciprocal license|ms rl)"),
-    ("bsl", "bsl|business source", "(?:business source license|bsl)(?: 1 1)?"),
-    ("elastic-2", "elastic", "elastic(?: license)?(?: 2 0| v2)"),
-    ("sspl", "sspl|server side public", "(?:server side public license|sspl)(?:(?: version| v)? ?1)?"),
-    ("cc0", "cc0|creative commons zero", "(?:cc0|creative commons zero)(?: 1 0)?(?: universal)?"),
-    ("cc-by", "cc by|commons attribution", "(?:cc by|creative commons attribution)(?: [1-4] [05])?(?: international)?(?! (?:nc|nd|sa|non|no|share))"),
-    ("cc-by-sa", "cc by sa|attribution share", "(?:cc by sa|creative commons attribution share ?alike)(?: [1-4] [05])?(?: international)?"),
-    ("cc-by-nd", "cc by nd|attribution no", "(?:cc by nd|creative commons attribution no ?deriv[a-z]*)(?: [1-4] [05])?(?: international)?"),
-    ("cc-by-nc", "cc by nc|attribution non", "(?:cc by nc|creative commons attribution non ?commercial)(?: [1-4] [05])?(?: international)?(?! (?:nd|sa|no|share))"),
-    ("cc-by-nc-sa", "cc by nc|attribution non", "(?:cc by nc sa|creative commons attribution non ?commercial share ?alike)(?: [1-4] [05])?(?: international)?"),
-    ("cc-by-nc-nd", "cc by nc|attribution non", "(?:cc by nc nd|creative commons attribution non ?commercial no ?deriv[a-z]*)(?: [1-4] [05])?(?: international)?"),
-)
-
-#: Forms of statement around a name: pattern, priority, strength.
-FORMS = (
-    ("spdx license identifier {}(?: license)?", 3, 0.98),
-    ("(?:licen[cs]ed|released|distributed|published|provided|available|offered|shared|dual licensed) (?:to you )?under (?:the )?(?:terms (?:and conditions )?of (?:the )?)?{}(?: licen[cs]e)?", 2, 0.95),
-    ("(?:covered|governed) by (?:the )?(?:terms of (?:the )?)?{}(?: licen[cs]e)?", 2, 0.9),
-    ("(?:subject to|in accordance with|terms of|under) (?:the )?(?:terms of (?:the )?)?{}(?: licen[cs]e)?", 2, 0.8),
-    ("licen[cs]e {}", 1, 0.7),
-    ("{} licen[cs](?:e|ed)", 1, 0.6),
-)
+from .common import bound, documents, running, text_rows
+from .license_rules import CREATIVE_COMMONS, IDENTIFIERS, NOTICES, SENTENCES, STATEMENTS
 
-#: Statements that name no license, and telling sentences of license texts: label, keyword, pattern, priority, strength.
-TEXTS = (
-    ("mit", "permission", "permission is hereby granted free of charge to any person obtaining a copy of this software", 3, 0.97),
-    ("isc", "permission", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", 3, 0.97),
-    ("bsd-2", "redistribution", "redistribution and use in source and binary forms with or without modification are permitted", 2, 0.85),
-    ("bsd-3", "endorse", "neither the name of .{1,80}? nor the names of its contributors may be used to endorse", 3, 0.95),
-    ("bsd-4", "advertising", "all advertising materials mentioning features or use of this software must display", 3, 0.95),
-    ("apache-2", "compliance", "you may not use this file except in compliance with the license", 2, 0.85),
-    ("gpl-3", "gnu", "gnu general public license .{0,60}?either version 3 of the license", 3, 0.97),
-    ("gpl-2", "gnu", "gnu general public license .{0,60}?either version 2 of the license", 3, 0.97),
-    ("gpl", "gnu", "gnu general public license", 1, 0.5),
-    ("lgpl", "gnu", "gnu lesser general public license", 2, 0.5),
-    ("agpl", "gnu", "gnu affero general public license", 2, 0.5),
-    ("mpl-2", "mozilla", "this source code form is subject to the terms of the mozilla public license v 2 0", 3, 0.97),
-    ("zlib", "altered", "altered source versions must be plainly marked as such", 3, 0.9),
-    ("boost", "permission", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation", 3, 0.97),
-    ("unlicense", "unencumbered", "this is free and unencumbered software released into the public domain", 3, 0.97),
-    ("public-domain", "public", "(?:released|placed|dedicated) (?:in|into|to) the public domain", 2, 0.8),
-    ("public-domain", "public", "is in the public domain", 2, 0.7),
-    ("proprietary", "reserved|vorbehalten", "(?:alle rechte vorbehalten|all rights reserved)", 1, 0.4),
-    ("proprietary", "proprietary", "proprietary and confidential", 2, 0.7),
-    ("proprietary", "permission", "without (?:the )?(?:prior )?(?:express )?written permission of", 1, 0.5),
-    ("cc", "creative", "creative commons licen[cs]e", 1, 0.5),
-)
 
 #: The phrases of the base: words, label.
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 
-#: Each rule's matches hold one of these, as part of a word of the lower-case text.
-STEMS = "licen spdx cc permission redistribution endorse advertising compliance gnu mozilla altered unencumbered domain reserved vorbehalten proprietary commons under covered governed subject accordance terms".split()
-#: And of these, among the words with single blanks.
+#: Each rule's matches hold one of these, among the words with single blanks.
 GATE = (
-    "licen", "spdx", "cc by", "permission", "redistribution", "used to endorse", "advertising materials", "in compliance with", "gnu ", "mozilla ",
-    "altered source", "unencumbered", "public domain", "rights reserved", "rechte vorbehalten", "proprietary and", "creative commons", " under ",
-    "covered by", "governed by", "subject to", "in accordance with", "terms of",
+    "licen", "lizenz", "spdx", "apache", "bsd", "gpl", "mpl 2", "cddl", "eupl", "eclipse org", "under mit", "under the mit", "terms of mit", "terms of the mit", "by mit", "by the mit",
+    "to mit", "to the mit", "with mit", "with the mit", "mit no attribution", "under isc", "under the isc", "by isc", "by the isc", "of isc", "of the isc", "to isc", "to the isc", "with isc", "with the isc", "same terms as perl", "wtfpl",
+    "odbl", "odc by", "cecill", "good not evil", "openrail", "cc by", "cc0", "creative commons", "creativecommons org", "permission", "redistribution", "used to endorse",
+    "advertising materials", "as is without warranty", "contents of this file", "altered source", "origin of this software", "unencumbered", "you just do what", "psf is making", "openssl toolkit",
+    "reserved font name", "font software", "functionality of the program", "buy me a beer", "waived all copyright", "invariant sections", "developed by the apache", "public domain", "gemeinfrei", "domaine public",
+    "dominio público", "rights reserved", "rights are reserved", "rechte vorbehalten", "droits réservés", "derechos reservados", "diritti riservati", "proprietary", "may not be reproduced", "copying of this",
+    "commercial use only", "personal use only", "research purposes only",
 )
 
 
@@ -136,10 +43,9 @@ class Rule:
 
 
 def rules() -> list[Rule]:
-    """All signature rules, strongest forms first: every name in every form, the texts, the base's phrases."""
-    named = [Rule(label, key, form.format(name), p, s) for form, p, s in FORMS for label, key, name in NAMES]
-    own = [Rule(*t) for t in TEXTS] + [Rule(label, words, words, 1, 0.6) for words, label in BASE]
-    return sorted(named + own, key=lambda r: -r.priority)
+    """All signature rules, those of the highest priority first, and the base's phrases."""
+    own = [Rule(*r) for table in (IDENTIFIERS, STATEMENTS, CREATIVE_COMMONS, SENTENCES, NOTICES) for r in table]
+    return sorted(own + [Rule(label, words, words, 1, 0.6) for words, label in BASE], key=lambda r: -r.priority)
 
 
 def lower_ascii(text: Column) -> Column:
@@ -162,29 +68,40 @@ def _blanks(s: Column) -> Column:
     return F.length(s) - F.length(F.replace(s, F.lit(" "), F.lit("")))
 
 
-def _places(words: Column, pattern: Column) -> Column:
-    """(start, end) in words of each match of a pattern that starts and ends with whole words."""
-    whole = F.concat(F.lit("(?<![^ ])(?:"), pattern, F.lit(")(?![^ ])"))
-    pairs = F.filter(F.zip_with(F.split(words, whole, -1), F.regexp_extract_all(words, whole, F.lit(0)), lambda g, v: F.struct(g.alias("gap"), v.alias("hit"))), lambda p: p["hit"].isNotNull())
+def _whole(pattern: str) -> str:
+    return f"(?<![^ ])(?:{pattern})(?![^ ])"
+
 
-    def step(acc: Column, p: Column) -> Column:
-        start = acc["at"] + _blanks(p["gap"])
-        last = start + _blanks(p["hit"])
-        return F.struct(last.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), (last + 1).alias("end")))).alias("out"))
+def _cut(words: Column, pattern: str) -> tuple[Column, Column]:
+    """The texts between the matches of a pattern that starts and ends with whole words, and the matches."""
+    return F.split(words, _whole(pattern), -1).alias("gaps"), F.regexp_extract_all(words, F.lit(_whole(pattern)), F.lit(0)).alias("hits")
 
-    zero = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int>>)").alias("out"))
-    return F.aggregate(pairs, zero, step, lambda acc: acc["out"])
+
+def _places(gaps: Column, hits: Column) -> Column:
+    """(start, end) in words of each match: running sums of the blanks up to it."""
+    pairs = F.filter(F.zip_with(gaps, hits, lambda g, v: F.struct(_blanks(g).alias("gap"), _blanks(v).alias("hit"))), lambda p: p["hit"].isNotNull())
+
+    def places(ps: Column) -> Column:
+        last = running(F.transform(ps, lambda p: p["gap"] + p["hit"]), lambda a, b: a + b, F.lit(0))
+        return F.zip_with(ps, last, lambda p, at: F.struct((at - p["hit"]).alias("start"), (at + 1).alias("end")))
+
+    return bound(pairs, places)
 
 
 _DETECTION = "struct<start:int,back:int,rank:int,label:string,strength:double>"
 
 
-def _detections(words: Column, table: list[Rule]) -> Column:
-    """All matches of the rules whose keyword stands in the text: by start, longer ones first, then by priority."""
-    known = F.array(*[F.struct(F.lit(r.label).alias("label"), F.array(*map(F.lit, r.keyword.split("|"))).alias("keywords"), F.lit(r.pattern).alias("pattern"), F.lit(r.priority).alias("priority"), F.lit(r.strength).alias("strength")) for r in table])
-    tried = F.filter(known, lambda r: F.exists(r["keywords"], lambda k: F.contains(words, k)))
-    tried = F.filter(tried, lambda r: F.regexp_like(words, r["pattern"]))
-    found = F.transform(tried, lambda r: F.transform(_places(words, r["pattern"]), lambda p: F.struct(p["start"].alias("start"), (-p["end"]).alias("back"), (-r["priority"]).alias("rank"), r["label"].alias("label"), r["strength"].alias("strength"))))
+def _detections(table: list[Rule]) -> Column:
+    """All matches, in the column words, of the rules whose keyword stands in the text: by start, longer ones first, then by priority. The
+    rules are one constant, which keeps the plan small; of them only those behind a keyword that is there are compiled."""
+
+
+    quoted = lambda t: "'" + t + "'"
+    each = [f"struct('{r.label}' AS label, array({', '.join(map(quoted, r.keyword.split('|')))}) AS keywords, '{_whole(r.pattern)}' AS pattern, {-r.priority} AS rank, double({r.strength}) AS strength)" for r in table]
+    named = "filter(rules, r -> exists(r.keywords, k -> contains(words, k)) AND regexp_like(words, r.pattern))"
+    cut = "split(words, r.pattern, -1) AS gaps, regexp_extract_all(words, r.pattern, 0) AS hits"
+    fired = F.expr(f"transform(array(array({', '.join(each)})), rules -> transform({named}, r -> struct(r.label, r.rank, r.strength, {cut})))[0]")
+    found = F.transform(fired, lambda f: F.transform(_places(f["gaps"], f["hits"]), lambda p: F.struct(p["start"].alias("start"), (-p["end"]).alias("back"), f["rank"].alias("rank"), f["label"].alias("label"), f["strength"].alias("strength"))))
     return F.array_sort(F.flatten(found))
 
 
@@ -210,15 +127,13 @@ def scan(docs: DataFrame, table: list[Rule] | None = None) -> DataFrame:
     Narrow. Null and empty texts have no words and no labels. Equal intervals resolve to the higher priority, then
     to the label first in order. Repeated rows get a row each; other columns are ignored; an empty table gives an
     empty one."""
-    lower, words = F.col("lower"), F.col("words")
-    out = text_rows(docs).select("doc_id", "text", lower_ascii(F.col("text")).alias("lower"))
-    out = out.select("doc_id", "text", F.when(_any_of(lower, STEMS), normal_words(lower)).alias("words"))
+    words = F.col("words")
+    out = text_rows(docs).select("doc_id", normal_words(lower_ascii(F.col("text"))).alias("words"))
     nothing = F.expr("cast(array() as array<struct<word:int,label:string>>)")
     base = F.concat(*[_base(words, phrase, label, nothing) for phrase, label in BASE])
-    counted = F.when(words == "", 0).when(words.isNotNull(), _blanks(words) + 1)
     out = out.select(
-        "doc_id", F.coalesce(counted, F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))).cast("long").alias("n_words"),
-        base.alias("base"), F.when(_any_of(F.concat(F.lit(" "), words), GATE), _detections(words, table or rules())).alias("detections"),
+        "doc_id", F.when(words == "", 0).otherwise(_blanks(words) + 1).cast("long").alias("n_words"),
+        base.alias("base"), F.when(_any_of(words, GATE), _detections(table or rules())).alias("detections"),
     )
     out = out.withColumn("found", F.when(F.size("detections") > 0, _resolved(F.col("detections"))))
     own = F.coalesce(F.col("found.labels"), F.expr("cast(array() as array<string>)"))
@@ -228,7 +143,7 @@ def scan(docs: DataFrame, table: list[Rule] | None = None) -> DataFrame:
 
 
 def _base(words: Column, phrase: str, label: str, nothing: Column) -> Column:
-    places = F.transform(_places(words, F.lit(phrase)), lambda x: F.struct(x["start"].alias("word"), F.lit(label).alias("label")))
+    places = F.transform(_places(*_cut(words, phrase)), lambda x: F.struct(x["start"].alias("word"), F.lit(label).alias("label")))
     return F.when(F.contains(words, F.lit(phrase)), places).otherwise(nothing)
 
 
