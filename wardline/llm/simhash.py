@@ -18,12 +18,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, map_batches, stored, text_rows
-from .graph import connected_components
+from .common import map_batches, stored, text_rows
+from .graph import assigned, connected_components, spread_join
 
 BITS = 64
 #: Fingerprints under one key that one task compares at a time. Larger groups are dealt out in pairs of parts.
 PART = 1024
+#: Keys with more fingerprints than that are first refined by blocks of the bits that the key leaves open.
+REFINE = 16 * PART
 
 
 def fingerprint(text: str, width: int = 4, seed: int = 42) -> int:
@@ -137,19 +139,41 @@ def _runs(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.Recor
         yield made
 
 
+def _finer(mask: int, distance: int) -> list[int]:
+    """Masks of the bits outside mask: they are cut into distance + 2 blocks, and two fingerprints at most distance bits
+    apart agree on two of those blocks at least."""
+    left = [b for b in range(BITS) if not mask >> b & 1]
+    cut = [round(i * len(left) / (distance + 2)) for i in range(distance + 3)]
+    blocks = [sum(1 << b for b in left[x:y]) for x, y in zip(cut, cut[1:])]
+    masks = [a | b for a, b in combinations(blocks, 2)]
+    return [m - (1 << BITS) if m >= 1 << (BITS - 1) else m for m in masks]
+
+
+def _shared(keys: DataFrame, total: int) -> DataFrame:
+    """keys (mask, key, fp) whose key another fingerprint has too, with n of them."""
+    sizes = stored(keys.groupBy("mask", "key").agg(F.count("*").alias("n")).where("n > 1"), "key-sizes")
+    return spread_join(keys, sizes, ["mask", "key"], total)
+
+
 def links(fps: DataFrame, distance: int = 4) -> DataFrame:
     """fps (fp), all different -> edges (u, v) between fingerprints at most distance bits apart, enough of them
     to connect all that such links connect, and no more than a small multiple of the rows.
 
-    Keys that only one fingerprint has go at once. A key with more than PART of them is split: its fingerprints
-    are dealt into parts by hash and each pair of parts is a group of its own, so no task gets an unbounded group
-    and every pair still meets."""
+    Keys that only one fingerprint has go at once. A key with more than REFINE of them gives way to finer keys, which
+    every pair of it that may link shares too. A key with more than PART is split: its fingerprints are dealt into
+    parts by hash and each pair of parts is a group of its own, so no task gets an unbounded group and every pair
+    still meets."""
     n = fps.count()
     masks = _masks(_blocks(n, distance), distance)
     choice = F.explode(F.array(*[F.struct(F.lit(i).alias("mask"), F.lit(m).alias("bits")) for i, m in enumerate(masks)]))
     keys = fps.select("fp", choice.alias("c")).select("c.mask", F.col("fp").bitwiseAND(F.col("c.bits")).alias("key"), "fp")
-    sizes = keys.groupBy("mask", "key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = keys.join(sizes, ["mask", "key"])
+    shared = stored(_shared(keys, n * len(masks)), "shared-keys")
+    large = shared.where(F.col("n") > REFINE)
+    if (rows := large.count()) > 0:
+        finer = F.array(*[F.array(*map(F.lit, _finer(m & (1 << BITS) - 1, distance))) for m in masks])
+        own = large.select("mask", "key", "fp", F.posexplode(F.element_at(finer, F.col("mask") + 1)).alias("i", "bits"))
+        own = own.select(((F.col("mask") + 1) * 1000 + F.col("i")).alias("mask"), F.xxhash64("key", F.col("fp").bitwiseAND(F.col("bits"))).alias("key"), "fp")
+        shared = shared.where(F.col("n") <= REFINE).unionByName(_shared(stored(own, "finer-keys"), 15 * rows))
     parts = F.ceil(F.col("n") / PART).cast("int")
     mine = F.pmod(F.xxhash64("fp"), parts).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), parts - 1), lambda o: F.struct(F.least(o, F.col("mine")).alias("p"), F.greatest(o, F.col("mine")).alias("q")))
@@ -165,14 +189,10 @@ def near_duplicates(docs: DataFrame, width: int = 4, distance: int = 4) -> DataF
     Null and empty texts have fingerprint 0 and link like any other. Ties can't arise: the component is a set.
     Repeated rows each get a row. A component whose doc_ids are all null has component_id null. An empty table
     gives an empty one; other columns are ignored."""
-    spark = docs.sparkSession
     marks = stored(fingerprints(docs, width), "fingerprints")
-    firsts = stored(marks.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
-    groups = stored(connected_components(links(firsts.select("fp"), distance)), "groups")
-    rooted = firsts.join(groups.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    lowest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    known = rooted.select("fp", "root").join(lowest, "root").select("fp", "component_id")
-    return marks.join(known, "fp").select("doc_id", "fp", "component_id")
+    firsts = stored(marks.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "distinct-fingerprints")
+    groups = connected_components(links(firsts.select("fp"), distance))
+    return assigned(marks, firsts, groups).select("doc_id", "fp", "component_id")
 
 
 def op2_simhash(spark, sf_dir: str) -> DataFrame:
