@@ -7,6 +7,9 @@ an encoding exactly if each two neighbours encode to themselves, so a piece ends
 follow the last piece of the prefix before it. The state depends on the prefix alone. So the different words of a
 batch are sorted, which orders them as a depth-first walk of their trie, and each word goes on from the states of
 what it shares with the word before it.
+
+A unigram model's words take the same walk with the scores of a Viterbi search as states: of each prefix the best sum
+of its pieces' scores, and the piece that ends it.
 """
 
 from __future__ import annotations
@@ -34,8 +37,44 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+UNIGRAM = 1
+#: How far below the lowest score of a piece a character without one stands, as in the library.
+UNKNOWN = 10.0
+
+
+def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """(number, value) of the fields of a message in the wire format of protocol buffers."""
+    at = 0
+
+    def varint() -> int:
+        nonlocal at
+        out = shift = 0
+        while True:
+            byte = data[at]
+            at += 1
+            out |= (byte & 127) << shift
+            shift += 7
+            if byte < 128:
+                return out
+
+    while at < len(data):
+        key = varint()
+        kind = key & 7
+        size = varint() if kind in (0, 2) else {1: 8, 5: 4}[kind]
+        if kind:
+            yield key >> 3, data[at : at + size]
+            at += size
+        else:
+            yield key >> 3, size
+
+
+def model_type(data: bytes) -> int:
+    """The kind of a serialized model: field 3 of its trainer's settings, field 2."""
+    return next((v for n, own in _fields(data) if n == 2 for m, v in _fields(own) if m == 3), UNIGRAM)
+
+
 class Pieces:
-    """The pieces of a model file, as text and as bytes, and which two may stand side by side."""
+    """The pieces of a model file, as text and as bytes, and which two may stand side by side, or their scores."""
 
     def __init__(self, path: str):
         import sentencepiece
@@ -60,6 +99,12 @@ class Pieces:
                 kids = kids.setdefault(c, (-1, {}))[1]
             kids[piece[0]] = (i, kids.get(piece[0], (-1, {}))[1])
         self.names = names
+        self.unigram = model_type(model.serialized_model_proto()) == UNIGRAM
+        if self.unigram:
+            self.scores = [model.get_score(i) for i in range(n)]
+            self.unknown = min(self.scores[i] for i in self.ids.values()) - UNKNOWN
+            if any(MARK in p[1:].lstrip(MARK) for p in self.ids) or min(self.byte_ids) == model.unk_id():
+                raise ValueError("a unigram model is read word by word, with a piece for each byte: its pieces mustn't span words")
         self.fits: dict[int, bool] = {}
         self.known: dict[str, bytes] = {}
 
@@ -115,6 +160,40 @@ class Pieces:
             before = word
         return out
 
+    def best_sorted(self, words: list[str]) -> list[bytes]:
+        """As encode_sorted, by a unigram model: states[i] is the best sum of scores of the first i characters and the length
+        of the last piece there, 0 for a character without a piece of its own. Of equal sums the longer last piece."""
+        backward, before, out, states = self.backward, "", [], [(0.0, 0)]
+        for word in words:
+            shared, both = 0, min(len(word), len(before))
+            while shared < both and word[shared] == before[shared]:
+                shared += 1
+            del states[shared + 1 :]
+            for end in range(shared + 1, len(word) + 1):
+                at, kids, best = end, backward, None
+                while at and (node := kids.get(word[at - 1])):
+                    at -= 1
+                    piece, kids = node
+                    if piece >= 0 and (best is None or states[at][0] + self.scores[piece] >= best[0]):
+                        best = states[at][0] + self.scores[piece], end - at
+                if word[end - 1] not in self.ids:
+                    alone = states[end - 1][0] + self.unknown
+                    best = (alone, 0) if best is None or alone > best[0] else best
+                states.append(best)
+            ids, at = [], len(word)
+            while at:
+                size = states[at][1]
+                if size:
+                    ids.append(self.ids[word[at - size : at]])
+                else:
+                    size = 1
+                    ids.extend(self.byte_ids[b] for b in reversed(word[at - 1].encode("utf-8", "surrogatepass")))
+                at -= size
+            ids.reverse()
+            out.append(array("i", ids).tobytes())
+            before = word
+        return out
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, as the library gives them."""
         split = [_WORDS(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
@@ -122,7 +201,7 @@ class Pieces:
             self.known.clear()
         known = self.known
         new = sorted(set().union(*split).difference(known))
-        fresh = dict(zip(new, self.encode_sorted(new)))
+        fresh = dict(zip(new, self.best_sorted(new) if self.unigram else self.encode_sorted(new)))
         known.update((w, v) for w, v in fresh.items() if len(w) <= CACHE_CHARS)
         long = {w: v for w, v in fresh.items() if len(w) > CACHE_CHARS}
         look = known.__getitem__ if not long else lambda w: known[w] if w in known else long[w]
