@@ -101,8 +101,9 @@ def _read_section(packets: np.ndarray) -> bytes:
 
 
 def demux(stream: bytes) -> dict:
-    """payload of a stream's first private-data stream, with pts and random_access of each unit, the number of
-    packets and of continuity errors. Raises ValueError for what isn't a transport stream."""
+    """payload of a stream's first private-data stream (by program number, then as listed), with pts and random_access of
+    each unit, the number of packets and of continuity errors. A packet sent twice counts once, and a jump that its
+    packet announces as a discontinuity is no error. Raises ValueError for what isn't a transport stream."""
     if len(stream) % PACKET or not stream:
         raise ValueError("not a whole number of packets")
     packets = np.frombuffer(stream, dtype=np.uint8).reshape(-1, PACKET)
@@ -111,16 +112,28 @@ def demux(stream: bytes) -> dict:
     pid = (packets[:, 1].astype(np.int32) & 0x1F) << 8 | packets[:, 2]
     pat = _read_section(packets[pid == PAT_PID])
     programs = {int.from_bytes(pat[i : i + 2]): int.from_bytes(pat[i + 2 : i + 4]) & 0x1FFF for i in range(8, len(pat) - 4, 4)}
-    pmt = _read_section(packets[pid == next(p for n, p in programs.items() if n)])
-    at, streams = 12 + (int.from_bytes(pmt[10:12]) & 0x0FFF), {}
-    while at < len(pmt) - 4:
-        streams[int.from_bytes(pmt[at + 1 : at + 3]) & 0x1FFF] = pmt[at]
-        at += 5 + (int.from_bytes(pmt[at + 3 : at + 5]) & 0x0FFF)
-    own = packets[pid == next(p for p, kind in streams.items() if kind == PRIVATE_DATA)]
+    found = None
+    for number, table in sorted(programs.items()):
+        if not number or found is not None:
+            continue
+        pmt = _read_section(packets[pid == table])
+        at = 12 + (int.from_bytes(pmt[10:12]) & 0x0FFF)
+        while at < len(pmt) - 4 and found is None:
+            if pmt[at] == PRIVATE_DATA:
+                found = int.from_bytes(pmt[at + 1 : at + 3]) & 0x1FFF
+            at += 5 + (int.from_bytes(pmt[at + 3 : at + 5]) & 0x0FFF)
+    if found is None:
+        raise ValueError("no private-data stream")
+    own = packets[pid == found]
     control = own[:, 3] >> 4 & 3
     own, control = own[control & 1 == 1], control[control & 1 == 1]
+    again = np.zeros(len(own), dtype=bool)
+    again[1:] = (own[1:] == own[:-1]).all(axis=1)
+    once = ~again | np.roll(again, 1)  # a packet may be sent twice, not three times
+    own, control = own[once], control[once]
     counters = own[:, 3] & 15
-    errors = int(((counters[1:] - counters[:-1] & 15) != 1).sum())
+    announced = (control == 3) & (own[:, 4] > 0) & (own[:, 5] & 0x80 > 0)
+    errors = int((((counters[1:] - counters[:-1] & 15) != 1) & ~announced[1:]).sum())
     begin = np.where(control == 3, 5 + own[:, 4].astype(np.int32), 4)
     flagged = (control == 3) & (own[:, 4] > 0) & (own[:, 5] & 0x40 > 0)
     data = own[np.arange(PACKET)[None, :] >= begin[:, None]].tobytes()
