@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from .common import documents, map_batches, stored, text_rows
 
 VOCABULARY = "byte_bpe_50k.json"
-#: Pre-tokens that a worker remembers beside the pinned ones; then it starts anew.
-CACHE_ENTRIES = 800_000
+#: Pre-tokens that a worker remembers beside the pinned ones, then it starts anew; longer ones aren't remembered.
+CACHE_ENTRIES, CACHE_CHARS = 800_000, 64
 #: Rows of the broadcast table of frequent pre-tokens, at most 64 characters each: below 4 MB at any input size.
 FREQUENT = 32_768
 PINNED_CHARS = 64
@@ -100,9 +100,12 @@ class PreTokenCache:
         parts = [self.split(t) for t in texts]
         known = self.known
         new = set().union(*(p for p in parts if p)).difference(known)
-        known.update((w, self.value(self.pre_token(w))) for w in new)
+        fresh = {w: self.value(self.pre_token(w)) for w in new}
+        long = {w: v for w, v in fresh.items() if len(w) > CACHE_CHARS}
+        known.update((w, v) for w, v in fresh.items() if len(w) <= CACHE_CHARS)
+        look = known.__getitem__ if not long else lambda w: known[w] if w in known else long[w]
         for text, part in zip(texts, parts):
-            yield [self.value(self.encode([text])[0])] if part is None else list(map(known.__getitem__, part))
+            yield [self.value(self.encode([text])[0])] if part is None else list(map(look, part))
 
 
 def _cache(key: tuple, make) -> PreTokenCache:
