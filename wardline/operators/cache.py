@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.policy import RECORD, UNIT
 from ..streaming.state import by_key
-from .storage import stored
+from .storage import latest_before, stored
 
 KEY = ["partition", "model", "prompt", "temperature", "max_tokens"]
 TTL, PER_PARTITION, TOTAL, SIMILAR = 3600, 200, 1000, 0.95
@@ -51,32 +51,52 @@ def _same_key(a: str, b: str) -> Column:
     return plain[0] & plain[1] & plain[2] & F.col(f"{a}.temperature").eqNullSafe(F.col(f"{b}.temperature")) & F.col(f"{a}.max_tokens").eqNullSafe(F.col(f"{b}.max_tokens"))
 
 
+def _whole_key(rows: DataFrame) -> DataFrame:
+    """rows with _key, the five parts as one text: two keys are equal exactly if their texts are."""
+    return rows.withColumn("_key", F.to_json(F.array(*[F.col(c).cast("string") for c in KEY]), {"ignoreNullFields": "false"}))
+
+
 def exact(lookups: DataFrame, entries: DataFrame, ttl: int = TTL) -> DataFrame:
-    """lookups with response and kind 'exact' where a living entry has the whole key; else null. Of several the newest
-    stands. Whole prompts are compared, not only their hashes; a hash in front keeps the shuffled key short."""
-    hashed = F.xxhash64("partition", "model", "prompt")
-    q = lookups.withColumn("_h", hashed).alias("q")
-    e = entries.withColumn("_h", hashed).alias("e")
-    met = q.join(e, (F.col("q._h") == F.col("e._h")) & _same_key("q", "e") & alive(F.col("e.stored_at"), F.col("q.ts"), ttl))
-    best = met.groupBy("q.lookup_id").agg(F.max_by("e.response", F.struct("e.stored_at", "e.response")).alias("response"))
-    plain = lookups.drop("response", "kind")
-    return plain.join(best, "lookup_id", "left").withColumn("kind", F.when(F.col("response").isNotNull(), "exact"))
+    """lookups with response and kind 'exact' where the cache holds a living entry of the whole key at that time; else null.
+
+    A key's last entry before or at the lookup is the one that the cache holds; it must not be older than ttl. Entries
+    and lookups pass together in the order of time, so no pair of them is made, and a key that is asked very often is
+    spread over many tasks. Of entries of one time the larger response stands."""
+    none = F.lit(None).cast("struct<stored_at:timestamp,response:string>")
+    e = _whole_key(entries).select("_key", F.col("stored_at").alias("_at"), F.lit(0).alias("_turn"), F.col("response").alias("_tie"), F.struct("stored_at", "response").alias("_held"), F.lit(None).cast("long").alias("lookup_id"))
+    q = _whole_key(lookups).select("_key", F.col("ts").alias("_at"), F.lit(1).alias("_turn"), F.lit("").alias("_tie"), none.alias("_held"), F.col("lookup_id").cast("long").alias("lookup_id"))
+    held = latest_before(e.unionByName(q), ["_key"], ["_at", "_turn", "_tie", "lookup_id"], "_held").where("_turn = 1")
+    found = held.where(alive(F.col("_held.stored_at"), F.col("_at"), ttl)).select("lookup_id", F.col("_held.response").alias("response"))
+    return lookups.drop("response", "kind").join(found, "lookup_id", "left").withColumn("kind", F.when(F.col("response").isNotNull(), "exact"))
+
+
+def versions(entries: DataFrame) -> DataFrame:
+    """entries with until: when the next one of the same key was stored, null for a key's last. Of entries of one time the
+    one with the larger id is the later."""
+    n = Window.partitionBy("_key").orderBy("stored_at", "entry_id")
+    return _whole_key(entries).withColumn("until", F.lead("stored_at").over(n)).drop("_key")
 
 
 def semantic(misses: DataFrame, entries: DataFrame, threshold: float = SIMILAR, ttl: int = TTL, salts: int = 16, itself: bool = True) -> DataFrame:
-    """(lookup_id, response, score, entry_id) of the best living entry of the same partition, model and signature whose
-    vector is similar enough: the highest score, then the newest, then the smallest entry_id.
+    """(lookup_id, response, score, entry_id) of the best entry of the same partition, model and signature that the cache
+    holds at that time and whose vector is similar enough: the highest score, then the newest, then the smallest
+    entry_id. entries with until (as of versions()) count until then; without it each is its own key's only one.
 
     Signatures are compared whole. Blocks with the same signature (the empty one above all) can be large: entries
-    are dealt over salts and each lookup meets every salt, and only the best of each salt goes on. Without itself, the
-    entry whose id is the lookup's is passed over."""
+    are dealt over salts and each lookup meets every salt, and only the best of each salt goes on. Vectors are brought
+    to length 1 before they meet. Without itself, the entry whose id is the lookup's is passed over."""
     block = F.xxhash64("partition", "model", "signature")
-    q = misses.where("embedding is not null").withColumn("_b", block).withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).alias("q")
-    e = entries.where("embedding is not null").withColumn("_b", block).withColumn("_s", F.pmod(F.xxhash64("entry_id"), F.lit(salts)).cast("int")).alias("e")
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    unit = lambda rows: rows.withColumn("_n", norm).where("_n > 0").withColumn("_v", F.transform("embedding", lambda x: x.cast("double") / F.col("_n"))).withColumn("_b", block)
+    e = entries if "until" in entries.columns else entries.withColumn("until", F.lit(None).cast("timestamp"))
+    q = unit(misses).withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).alias("q")
+    e = unit(e).withColumn("_s", F.pmod(F.xxhash64("entry_id"), F.lit(salts)).cast("int")).alias("e")
     same = (F.col("q._b") == F.col("e._b")) & (F.col("q._s") == F.col("e._s")) & (F.col("q.partition") == F.col("e.partition")) & (F.col("q.model") == F.col("e.model")) & (F.col("q.signature") == F.col("e.signature"))
     if not itself:
         same = same & (F.col("q.lookup_id") != F.col("e.entry_id"))
-    met = q.join(e, same & alive(F.col("e.stored_at"), F.col("q.ts"), ttl)).withColumn("score", cosine(F.col("q.embedding"), F.col("e.embedding"))).where(F.col("score") >= threshold)
+    held = (F.col("e.stored_at") <= F.col("q.ts")) & (F.col("e.until").isNull() | (F.col("e.until") > F.col("q.ts"))) & alive(F.col("e.stored_at"), F.col("q.ts"), ttl)
+    score = F.when(F.size("q._v") == F.size("e._v"), F.aggregate(F.zip_with("q._v", "e._v", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x))
+    met = q.join(e, same & held).withColumn("score", score).where(F.col("score") >= threshold)
     rank = F.struct("score", "e.stored_at", (-F.col("e.entry_id")).alias("back"))
     return met.groupBy("q.lookup_id").agg(F.max_by(F.struct("e.response", "score", "e.entry_id"), rank).alias("b")).select("lookup_id", "b.*")
 
@@ -84,7 +104,7 @@ def semantic(misses: DataFrame, entries: DataFrame, threshold: float = SIMILAR,
 def looked_up(lookups: DataFrame, entries: DataFrame, threshold: float = SIMILAR, ttl: int = TTL, itself: bool = True) -> DataFrame:
     """lookups with kind exact, semantic or miss, and the masked response."""
     first = stored(exact(lookups, entries, ttl), "exact")
-    close = semantic(first.where("kind is null").drop("response", "kind"), entries, threshold, ttl, itself=itself).select("lookup_id", F.col("response").alias("_near"))
+    close = semantic(first.where("kind is null").drop("response", "kind"), versions(entries), threshold, ttl, itself=itself).select("lookup_id", F.col("response").alias("_near"))
     out = first.join(close, "lookup_id", "left")
     return out.withColumn("kind", F.coalesce("kind", F.when(F.col("_near").isNotNull(), "semantic"), F.lit("miss"))).withColumn("response", F.coalesce("response", "_near")).drop("_near")
 
@@ -118,6 +138,11 @@ def restored(snapshot: DataFrame, now: Column, ttl: int = TTL, total: int = TOTA
     return capped(expired(snapshot, now, ttl), 0, total)
 
 
+def without(entries: DataFrame, left: DataFrame) -> DataFrame:
+    """The entries that aren't left, by entry_id."""
+    return entries.join(left.select("entry_id"), "entry_id", "left_anti")
+
+
 def invalidated(entries: DataFrame, partition: str | None = None, model: str | None = None) -> DataFrame:
     """entries without those of a partition, a model, or both together."""
     gone = F.lit(partition is not None or model is not None)
@@ -141,13 +166,19 @@ def replayed(log: DataFrame, ttl: int = TTL) -> DataFrame:
     return by_key(log.select("key", F.unix_micros("ts").alias("at"), "event_id"), "key", ["at", "event_id"], fold, "key string, event_id long, kind string")
 
 
-def statistics(results: DataFrame) -> DataFrame:
-    """Counts of lookups by kind; the rate is null without lookups."""
-    n = F.count("*")
-    hits = F.count_if(F.col("kind") != "miss")
-    return results.agg(
-        n.alias("lookups"), F.count_if(F.col("kind") == "exact").alias("exact_hits"), F.count_if(F.col("kind") == "semantic").alias("semantic_hits"),
-        F.count_if(F.col("kind") == "miss").alias("misses"), F.when(n > 0, hits / n).alias("hit_rate"),
+def statistics(results: DataFrame, stored_: DataFrame | None = None, expired_: DataFrame | None = None, evicted: DataFrame | None = None, invalidated_: DataFrame | None = None) -> DataFrame:
+    """One row of counts: lookups by kind, and the entries that were stored, expired, evicted and invalidated, from tables of
+    them; the rate is null without lookups. All are counted in one aggregate."""
+    tagged = lambda rows, tag: rows.select(F.lit(tag).alias("kind"))
+    all_ = results.select("kind")
+    for rows, tag in ((stored_, "store"), (expired_, "expiration"), (evicted, "eviction"), (invalidated_, "invalidation")):
+        if rows is not None:
+            all_ = all_.unionByName(tagged(rows, tag))
+    count = lambda *kinds: F.count_if(F.col("kind").isin(*kinds))
+    lookups, hits = count("exact", "semantic", "miss"), count("exact", "semantic")
+    return all_.agg(
+        lookups.alias("lookups"), count("exact").alias("exact_hits"), count("semantic").alias("semantic_hits"), count("miss").alias("misses"), count("store").alias("stores"),
+        count("eviction").alias("evictions"), count("expiration").alias("expirations"), count("invalidation").alias("invalidations"), F.when(lookups > 0, hits / lookups).alias("hit_rate"),
     )
 
 

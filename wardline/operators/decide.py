@@ -10,7 +10,7 @@ from ..functions.payload import payload_findings
 from ..functions.scan import FINDING, SEVERITIES, finding, multiplier, no_findings, role_trust, scan
 
 MAX_BYTES, MAX_MESSAGES, THRESHOLD = 1_000_000, 1000, 0.7
-GUARD_TEXT = ("GW-001", "GW-003")
+STAGES = ("malware", "injection", "pii", "dlp")
 
 
 def size_guard(content_bytes: Column, attachment_bytes: Column | int = 0, limit: int = MAX_BYTES) -> Column:
@@ -35,82 +35,122 @@ def budget_verdict(timings: Column, budget: float = 50.0, fail_closed: bool = Tr
     return F.struct((F.size(slow) > 0).alias("degraded"), first.alias("slow_stage"), ((F.size(slow) > 0) & F.lit(fail_closed)).alias("blocked"))
 
 
-def attached(files: DataFrame) -> DataFrame:
+def attached(files: DataFrame, suppressed: tuple[str, ...] = ()) -> DataFrame:
     """files (request, ord, bytes, media_type) -> a row a request: attachment_bytes, payload (findings in order), risk0."""
     rows = files.select("request", "ord", F.octet_length("bytes").alias("n"), payload_findings(F.col("bytes"), F.col("media_type")).alias("f"))
-    rows = rows.withColumn("score", F.least(F.lit(1.0), F.aggregate("f", F.lit(0.0), lambda a, f: a + f["weight"])))
+    rows = rows.withColumn("score", _stage_risk(F.col("f"), F.lit(1.0), suppressed))
     listed = F.array_sort(F.collect_list(F.struct("ord", "f")))
     return rows.groupBy("request").agg(F.sum("n").alias("attachment_bytes"), F.flatten(F.transform(listed, lambda x: x["f"])).alias("payload"), F.max("score").alias("risk0"))
 
 
-def _with_files(requests: DataFrame, attachments: DataFrame | None) -> DataFrame:
-    """requests with payload, risk0, and the attachments in bytes."""
-    if attachments is None:
-        return requests.withColumns({"payload": no_findings(), "risk0": F.lit(0.0)})
-    out = requests.join(attachments, "request", "left").withColumns({"payload": F.coalesce("payload", no_findings()), "risk0": F.coalesce("risk0", F.lit(0.0))})
-    return out.withColumn("bytes", F.col("bytes") + F.coalesce("attachment_bytes", F.lit(0))).drop("attachment_bytes")
+def _stage_risk(findings: Column, times: Column, suppressed: tuple[str, ...]) -> Column:
+    """What findings weigh, those of suppressed rules taken off, times the trust of the source."""
+    total = F.aggregate(findings, F.lit(0.0), lambda a, f: a + f["weight"])
+    if suppressed:
+        off = F.aggregate(F.filter(findings, lambda f: f["rule_id"].isin(*suppressed)), F.lit(0.0), lambda a, f: a + f["weight"])
+        total = F.greatest(F.lit(0.0), total - off)
+    return F.least(F.lit(1.0), total * times)
 
 
-def admitted(messages: DataFrame, attachments: DataFrame | None = None, threshold: float = THRESHOLD, max_bytes: int = MAX_BYTES, max_messages: int = MAX_MESSAGES, cap_system: bool = False, normalize: bool = True) -> DataFrame:
-    """(request, tenant, idx, text): the sanitized messages of the requests that reach the stage for personal data."""
-    rows = scan(messages.repartition("request").withColumn("trust", role_trust(F.col("role"), cap_system)), normalize=normalize)
+def received(messages: DataFrame, attachments: DataFrame | None = None, max_bytes: int = MAX_BYTES, max_messages: int = MAX_MESSAGES) -> DataFrame:
+    """A row a request: tenant, model, bytes (attachments among them), n_messages, payload, risk0, guard. Nothing is scanned."""
     size = (F.sum(F.octet_length(F.coalesce("text", F.lit("")))) + F.count("*") - 1).alias("bytes")
-    by = _with_files(rows.groupBy("request").agg(size, F.count("*").alias("n_messages"), F.max("risk_score").alias("risk1")), attachments)
-    passed = guarded(by, max_bytes, max_messages).where(F.col("guard").isNull() & (F.greatest("risk0", "risk1") < threshold))
-    return rows.join(passed.select("request"), "request", "left_semi").select("request", "tenant", "idx", F.col("cleaned").alias("text"))
-
-
-def decided(messages: DataFrame, threshold: float = THRESHOLD, max_bytes: int = MAX_BYTES, max_messages: int = MAX_MESSAGES, cap_system: bool = False, masked: DataFrame | None = None, normalize: bool = True, attachments: DataFrame | None = None) -> DataFrame:
-    """One row a request: disposition, risk_score, findings in stage order, bytes, content and messages to forward.
-
-    messages: (request, tenant, model, idx, role, text). Guards come first; then each stage's risk is the highest of
-    its messages, and the first stage that brings the risk to the threshold ends the request, later findings left
-    out. masked: (request, idx, masked, pii_findings) of the stage for personal data, for the requests that reach it.
-    attachments: as of attached(); they count for the guard, and their findings are the first stage.
-    The messages are dealt out by request once; all grouping uses that."""
-    dealt = messages.repartition("request").withColumn("trust", role_trust(F.col("role"), cap_system))
-    rows = scan(dealt, normalize=normalize)
+    by = messages.repartition("request").groupBy("request").agg(F.first("tenant").alias("tenant"), F.first("model").alias("model"), size, F.count("*").alias("n_messages"))
+    if attachments is None:
+        by = by.withColumns({"payload": no_findings(), "risk0": F.lit(0.0)})
+    else:
+        by = by.join(attachments, "request", "left").withColumns({"payload": F.coalesce("payload", no_findings()), "risk0": F.coalesce("risk0", F.lit(0.0))})
+        by = by.withColumn("bytes", F.col("bytes") + F.coalesce("attachment_bytes", F.lit(0))).drop("attachment_bytes")
+    return guarded(by, max_bytes, max_messages)
+
+
+def scanned(messages: DataFrame, requests: DataFrame, threshold: float = THRESHOLD, cap_system: bool = False, normalize: bool = True) -> DataFrame:
+    """The messages, scanned, of the requests that pass the guards and whose attachments don't end them."""
+    passed = requests.where(F.col("guard").isNull() & (F.col("risk0") < threshold)).select("request")
+    rows = messages.repartition("request").join(passed, "request", "left_semi")
+    return scan(rows.withColumn("trust", role_trust(F.col("role"), cap_system)), normalize=normalize)
+
+
+def admitted(messages: DataFrame, attachments: DataFrame | None = None, threshold: float = THRESHOLD, max_bytes: int = MAX_BYTES, max_messages: int = MAX_MESSAGES, cap_system: bool = False, normalize: bool = True, rows: DataFrame | None = None) -> DataFrame:
+    """(request, tenant, idx, text): the sanitized messages of the requests that reach the stage for personal data. rows:
+    what scanned() gives of these messages, where it is at hand."""
+    if rows is None:
+        rows = scanned(messages, received(messages, attachments, max_bytes, max_messages), threshold, cap_system, normalize)
+    stopped = rows.groupBy("request").agg(F.max("risk_score").alias("risk1")).where(F.col("risk1") >= threshold)
+    return rows.join(stopped, "request", "left_anti").select("request", "tenant", "idx", F.col("cleaned").alias("text"))
+
+
+def decided(messages: DataFrame, threshold: float = THRESHOLD, max_bytes: int = MAX_BYTES, max_messages: int = MAX_MESSAGES, cap_system: bool = False, masked: DataFrame | None = None, normalize: bool = True, attachments: DataFrame | None = None, suppressed: tuple[str, ...] = (), timings: DataFrame | None = None, budget: float = 50.0, fail_closed: bool = False, rows: DataFrame | None = None) -> DataFrame:
+    """One row a request: disposition, risk_score, findings in stage order, bytes, content, messages to forward, total_ms,
+    degraded.
+
+    messages: (request, tenant, model, idx, role, text). Guards come first and end a request with no content; then
+    attachments, injection, personal data and redaction, each stage's risk the highest of its parts. The first stage
+    that brings the risk to the threshold ends the request with its original text; later stages' findings are left
+    out, and messages of requests that guards or attachments end aren't scanned. masked: (request, idx, masked,
+    pii_findings) for the requests that reach that stage. attachments: as of attached(). suppressed: rules that are
+    listed but don't weigh. timings: (request, timings array of (stage, ms)); a stage over budget degrades the request
+    and, with fail_closed, ends it by GW-002. rows: what scanned() gives of these messages, where it is at hand.
+    The messages are dealt out by request; all grouping uses that."""
+    by = received(messages, attachments, max_bytes, max_messages)
+    if rows is None:
+        rows = scanned(messages, by, threshold, cap_system, normalize)
+    rows = rows.select("request", "idx", "role", F.coalesce("text", F.lit("")).alias("text"), "cleaned", "findings", "was_modified", "trust")
     rows = rows.withColumn("stage2", F.col("cleaned")).withColumn("pii", no_findings())
     if masked is not None:
         rows = rows.drop("stage2", "pii").join(masked.select("request", "idx", F.col("masked").alias("stage2"), F.col("pii_findings").alias("pii")), ["request", "idx"], "left")
         rows = rows.withColumn("stage2", F.coalesce("stage2", "cleaned")).withColumn("pii", F.coalesce("pii", no_findings()))
     rows = redacted(rows, "stage2")
     one = F.struct(
-        "idx", "role", F.octet_length(F.coalesce("text", F.lit(""))).alias("bytes"), F.coalesce("text", F.lit("")).alias("text"), "findings", "risk_score", "was_modified", "pii", F.col("stage2").alias("masked"), "cleaned",
-        "dlp_findings", "dlp_score", "dlp_modified", "dlp_text", F.aggregate("pii", F.lit(0.0), lambda a, f: a + f["weight"]).alias("pii_score"),
+        "idx", "role", "text", "dlp_text", (F.col("was_modified") | F.col("dlp_modified") | (F.col("stage2") != F.col("cleaned"))).alias("modified"), "findings", "pii", "dlp_findings",
+        _stage_risk(F.col("findings"), multiplier(F.col("trust")), suppressed).alias("risk1"), _stage_risk(F.col("pii"), F.lit(1.0), suppressed).alias("risk2"),
+        _stage_risk(F.col("dlp_findings"), multiplier(role_trust(F.col("role"))), suppressed).alias("risk3"),
     )
-    by = rows.groupBy("request").agg(F.first("tenant").alias("tenant"), F.first("model").alias("model"), F.array_sort(F.collect_list(one)).alias("m"))
+    live = rows.groupBy("request").agg(F.array_sort(F.collect_list(one)).alias("m"))
+    ended = by.where(F.col("guard").isNull() & (F.col("risk0") >= threshold)).select("request")
+    said = messages.repartition("request").join(ended, "request", "left_semi").groupBy("request").agg(F.array_sort(F.collect_list(F.struct("idx", F.coalesce("text", F.lit("")).alias("text")))).alias("said"))
+    by = by.join(live, "request", "left").join(said, "request", "left")
+    none = F.expr("cast(array() as array<struct<stage:string,ms:double>>)")
+    by = by.withColumn("timings", none) if timings is None else by.join(timings.select("request", "timings"), "request", "left").withColumn("timings", F.coalesce("timings", none))
+
     of = lambda name: F.transform("m", lambda x: x[name])
-    by = by.select(
-        "request", "tenant", "model", "m", (F.aggregate(of("bytes"), F.lit(0), lambda a, b: a + b) + F.size("m") - 1).cast("long").alias("bytes"), F.size("m").alias("n_messages"),
-        F.array_max(of("risk_score")).alias("risk1"), F.least(F.lit(1.0), F.array_max(of("pii_score"))).alias("risk2"), F.least(F.lit(1.0), F.array_max(of("dlp_score"))).alias("risk3"),
-    )
-    by = guarded(_with_files(by, attachments), max_bytes, max_messages)
-    r0, r1, r2 = F.col("risk0"), F.greatest("risk0", "risk1"), F.greatest("risk0", "risk1", "risk2")
-    r3 = F.greatest("risk0", "risk1", "risk2", "risk3")
-    ends = F.when(F.col("guard").isNotNull(), 0).when(r0 >= threshold, 0.5).when(r1 >= threshold, 1).when(r2 >= threshold, 2).when(r3 >= threshold, 3)
+    listed = [F.col("payload"), *(F.coalesce(F.flatten(of(c)), no_findings()) for c in ("findings", "pii", "dlp_findings"))]
+    risks = ["risk0", F.array_max(of("risk1")), F.array_max(of("risk2")), F.array_max(of("risk3"))]
+    so_far = [F.coalesce(F.greatest(*risks[: k + 1]) if k else F.col("risk0"), F.col("risk0")) for k in range(4)]
+    late_at = lambda stage: F.exists("timings", lambda t: (t["stage"] == stage) & (t["ms"] > budget))
+    slow = [F.lit(fail_closed) & late_at(stage) for stage in STAGES]
+    by = by.withColumns({f"r{k}": r for k, r in enumerate(so_far)} | {f"f{k}": F.concat(*listed[: k + 1]) for k in range(4)} | {f"slow{k}": x for k, x in enumerate(slow)})
+    ends = F.when(F.col("guard").isNotNull(), -1)
+    for k in range(4):
+        ends = ends.when((F.col(f"r{k}") >= threshold) | F.col(f"slow{k}"), k)
     by = by.withColumn("ends", ends)
-    risk = F.when(F.col("ends") == 0, 1.0).when(F.col("ends") == 0.5, r0).when(F.col("ends") == 1, r1).when(F.col("ends") == 2, r2).otherwise(r3)
+    last = F.coalesce("ends", F.lit(3))
+    pick = lambda name: F.element_at(F.array(*[F.col(f"{name}{k}") for k in range(4)]), F.greatest(last, F.lit(0)) + 1)
+    late = F.col("ends").isNotNull() & (pick("r") < threshold)
+    over = F.when(late, F.array(finding("GW-002", "anomaly", "high", 1.0, 1))).otherwise(no_findings())
     guard = F.array(F.when(F.col("guard") == "GW-001", finding("GW-001", "anomaly", "high", 1.0, 1)).otherwise(finding("GW-003", "anomaly", "high", 1.0, 1)))
-    all_of = lambda name: F.flatten(of(name))
-    payload = F.col("payload")
-    findings = F.when(F.col("ends") == 0, guard).when(F.col("ends") == 0.5, payload).when(F.col("ends") == 1, F.concat(payload, all_of("findings"))).when(F.col("ends") == 2, F.concat(payload, all_of("findings"), all_of("pii"))).otherwise(F.concat(payload, all_of("findings"), all_of("pii"), all_of("dlp_findings")))
-    modified = F.exists("m", lambda x: x["was_modified"] | x["dlp_modified"] | (x["masked"] != x["cleaned"]))
-    verdict = F.when(F.col("ends").isNotNull(), "block").when(modified, "allow_modified").otherwise("allow")
-    forwarded = F.when(F.col("ends").isNull(), F.transform("m", lambda x: F.struct(x["role"].alias("role"), x["dlp_text"].alias("content"))))
-    content = F.when(F.col("ends") == 0, "").otherwise(F.array_join(F.transform("m", lambda x: F.when(F.col("ends") == 0.5, x["text"]).when(F.col("ends") == 1, x["cleaned"]).when(F.col("ends") == 2, x["masked"]).otherwise(x["dlp_text"])), "\n"))
-    return by.select("request", "tenant", "model", verdict.alias("disposition"), risk.alias("risk_score"), findings.alias("findings"), content.alias("content"), forwarded.alias("forwarded"), "bytes", "n_messages")
+    stopped = F.col("ends").isNotNull()
+    text = F.coalesce(of("text"), F.transform("said", lambda x: x["text"]))
+    measured = F.filter("timings", lambda t: (F.array_position(F.array(*map(F.lit, STAGES)), t["stage"]) - 1) <= last)
+    return by.select(
+        "request", "tenant", "model", F.when(stopped, "block").when(F.exists("m", lambda x: x["modified"]), "allow_modified").otherwise("allow").alias("disposition"),
+        F.when((last < 0) | late, 1.0).otherwise(pick("r")).alias("risk_score"), F.when(last < 0, guard).otherwise(F.concat(pick("f"), over)).alias("findings"),
+        F.when(last < 0, "").otherwise(F.array_join(F.when(stopped, text).otherwise(of("dlp_text")), "\n")).alias("content"),
+        F.when(~stopped, F.transform("m", lambda x: F.struct(x["role"].alias("role"), x["dlp_text"].alias("content")))).alias("forwarded"), F.col("bytes").cast("long").alias("bytes"), F.col("n_messages").cast("int").alias("n_messages"),
+        F.when(last < 0, 0.0).otherwise(F.aggregate(measured, F.lit(0.0), lambda a, t: a + t["ms"])).alias("total_ms"),
+        ((last >= 0) & F.exists(measured, lambda t: t["ms"] > budget)).alias("degraded"),
+    )
 
 
 def audited(decisions: DataFrame) -> DataFrame:
     """Payload-free audit rows: rule ids in finding order with repeats, categories once each in order, the highest
-    severity, bytes of content (0 for guard blocks)."""
+    severity, bytes of content (0 for guard blocks), total time, and whether a stage was over its budget."""
     ranks = F.transform("findings", lambda f: F.array_position(F.array(*map(F.lit, SEVERITIES)), f["severity"]).cast("int"))
     top = F.when(F.size("findings") > 0, F.element_at(F.array(*map(F.lit, SEVERITIES)), F.array_max(ranks)))
     return decisions.select(
         "request", F.coalesce("tenant", F.lit("-")).alias("tenant"), F.coalesce("model", F.lit("-")).alias("model"), "disposition", "risk_score",
         F.transform("findings", lambda f: f["rule_id"]).alias("rule_ids"), F.array_distinct(F.transform("findings", lambda f: f["category"])).alias("categories"),
-        top.alias("max_severity"), F.octet_length("content").cast("long").alias("content_bytes"),
+        top.alias("max_severity"), F.octet_length("content").cast("long").alias("content_bytes"), "total_ms", "degraded",
     )
 
 
@@ -119,6 +159,7 @@ def refusals(refused: DataFrame) -> DataFrame:
     return refused.select(
         "request", F.coalesce("tenant", F.lit("-")).alias("tenant"), F.coalesce("model", F.lit("-")).alias("model"), F.lit("block").alias("disposition"), F.lit(1.0).alias("risk_score"),
         F.array(F.lit("GW-004")).alias("rule_ids"), F.array(F.lit("anomaly")).alias("categories"), F.lit("high").alias("max_severity"), F.lit(0).cast("long").alias("content_bytes"),
+        F.lit(0.0).alias("total_ms"), F.lit(False).alias("degraded"),
     )
 
 
@@ -149,7 +190,7 @@ def quarantined(decisions: DataFrame, raw: DataFrame, at: Column, detail: str =
         rows = rows.join(masked.select("request", F.col("masked").alias("sample")), "request", "left")
     else:
         rows = rows.withColumn("sample", F.lit(None).cast("string"))
-    return rows.drop("max_severity", "content_bytes").withColumn("detail", F.lit(level)).withColumn("expires_at", at + F.expr(f"make_interval(0,0,0,0,0,0,{retention_s})"))
+    return rows.drop("max_severity", "content_bytes", "total_ms", "degraded").withColumn("detail", F.lit(level)).withColumn("expires_at", at + F.expr(f"make_interval(0,0,0,0,0,0,{retention_s})"))
 
 
 def swept(samples: DataFrame, now: Column, keep: int = 1000) -> DataFrame:

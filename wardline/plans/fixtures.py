@@ -14,6 +14,43 @@ PHRASES = (
 )
 
 
+#: What the SQL side expects of each phrase, by hand: rule and number of hits, in the order of the rules.
+SAID = {
+    0: "INJ-001:1", 1: "INJ-002:1", 2: "INJ-003:1", 3: "INJ-004:1", 4: "INJ-005:2", 5: "INJ-006:1", 6: "INJ-007:1", 7: "INJ-008:1", 8: "INJ-009:1", 9: "INJ-010:1", 10: "INJ-011:1",
+    11: "INJ-012:1", 12: "INJ-013:1", 13: "INJ-101:1,INJ-106:1", 14: "INJ-102:1", 15: "INJ-103:1", 16: "INJ-104:1", 17: "INJ-105:1", 18: "INJ-106:1", 19: "INJ-107:1", 20: "INJ-108:1",
+    21: "INJ-109:1", 22: "INJ-110:1",
+}
+SAID_DLP = {23: "DLP-001:1", 24: "DLP-002:1", 25: "DLP-003:1"}
+#: What the SQL side knows of the rules, by hand: weights, severities.
+WEIGHT = {
+    "INJ-001": 0.55, "INJ-002": 0.45, "INJ-003": 0.55, "INJ-004": 0.30, "INJ-005": 0.40, "INJ-006": 0.30, "INJ-007": 0.30, "INJ-008": 0.25, "INJ-009": 0.40, "INJ-010": 0.30, "INJ-011": 0.45,
+    "INJ-012": 0.30, "INJ-013": 0.50, "INJ-101": 0.55, "INJ-102": 0.50, "INJ-103": 0.55, "INJ-104": 0.30, "INJ-105": 0.30, "INJ-106": 0.45, "INJ-107": 0.30, "INJ-108": 0.50, "INJ-109": 0.40, "INJ-110": 0.40,
+}
+SEVERITY = {
+    "critical": "INJ-001 INJ-003 INJ-013 INJ-101 INJ-103 INJ-108 MAL-001", "high": "INJ-002 INJ-005 INJ-009 INJ-011 INJ-102 INJ-106 INJ-109 INJ-110 GW-001 GW-002 GW-003 DLP-001 DLP-002 MAL-002 PII-001 PII-900",
+    "medium": "INJ-004 INJ-006 INJ-007 INJ-010 INJ-012 INJ-104 INJ-105 INJ-107 DLP-003 PII-002 MAL-003", "low": "INJ-008",
+}
+EVERY = len(PHRASES) + 10
+
+
+def said_sql(key: str, table: dict[int, str] = SAID, none: str = "''") -> str:
+    """For a row with that key, the hits of the phrase planted in it."""
+    return f"CASE ({key}) % {EVERY} " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in table.items()) + f" ELSE {none} END"
+
+
+def weight_sql(key: str, start: str = "0.0::DOUBLE", only=None) -> str:
+    """The weights of those hits added one after the other, from start."""
+    sums = {k: " + ".join([f"({start})", *[f"{WEIGHT[h.split(':')[0]]}::DOUBLE" for h in v.split(",") if only is None or h.split(":")[0] in only]]) for k, v in SAID.items()}
+    return f"CASE ({key}) % {EVERY} " + " ".join(f"WHEN {k} THEN {v}" for k, v in sums.items()) + f" ELSE {start} END"
+
+
+def bucket_sql(caller: str, requests: int, interval: float, burst: int) -> str:
+    """Tables o and t: the events in each caller's order, and the token bucket after each of them (f: tokens before, ok)."""
+    return f"""o AS (SELECT *, row_number() OVER (PARTITION BY caller ORDER BY sec, event_id) AS i FROM (SELECT event_id, {caller} AS caller, epoch_us(ts) / 1e6 AS sec FROM events)),
+ t AS (SELECT caller, event_id, i, sec, {burst}::DOUBLE AS f, {burst} - 1::DOUBLE AS tokens, true AS ok FROM o WHERE i = 1 UNION ALL
+  SELECT caller, event_id, i, sec, f, CASE WHEN f >= 1 THEN f - 1 ELSE f END, f >= 1 FROM (SELECT o.*, least({burst}::DOUBLE, t.tokens + greatest(0::DOUBLE, o.sec - t.sec) * {requests / interval!r}::DOUBLE) AS f FROM t JOIN o ON o.caller = t.caller AND o.i = t.i + 1))"""
+
+
 def planted(key: str, phrases=PHRASES, every: int | None = None) -> str:
     n = every or len(phrases) + 10
     return f"CASE ({key}) % {n} " + " ".join(f"WHEN {i} THEN ' {p}'" for i, p in enumerate(phrases)) + " ELSE '' END"

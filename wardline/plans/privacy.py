@@ -37,7 +37,12 @@ def m02(spark, d):
     return _listed(_hits(spark, d).where("category = 'tel'"))
 
 
-@query("M03_M04_persons")
+#: Where the planted names stand behind a text of L characters: start and end of each.
+_NAMES = {0: [(6, 18)], 1: [(6, 13)], 2: [(1, 14)], 8: [(5, 10), (20, 27)], 9: [(1, 12)], 10: [(1, 15)]}
+_AT = " ".join(f"WHEN {k} THEN [" + ", ".join(f"concat('person:', L + {a}, ':', L + {b})" for a, b in at) + "]" for k, at in _NAMES.items())
+
+
+@query("M03_M04_persons", f"WITH n AS (SELECT doc_id AS request, length(coalesce(text, '')) AS L FROM documents), s AS (SELECT request, CASE request % 13 {_AT} END AS spans FROM n) SELECT request, len(spans) AS hits, array_to_string(list_sort(spans), ',') AS spans FROM s WHERE spans IS NOT NULL")
 def m03(spark, d):
     return _listed(_hits(spark, d).where("category = 'person'"))
 
@@ -57,7 +62,11 @@ def m07(spark, d):
     return _listed(_hits(spark, d))
 
 
-@query("M08_category_modes")
+_TEL = r"(?:^|[^\d.])((?:\+\d{1,3}[\s/-]?(?:\(0\)[\s/-]?)?\d{2,4}|\(0\d{1,4}\)|0\d{1,4})(?:[\s/-]?\d{2,}){1,4})\b"
+
+
+@query("M08_category_modes", f"""{N}, t AS (SELECT unnest(regexp_extract_all(text, '{_TEL}', 1)) AS hit FROM n WHERE request % 13 <> 3) SELECT 'person' AS category, count(*) + count(*) FILTER (request % 13 = 8) AS hits FROM n WHERE request % 13 IN (0, 1, 2, 8, 9, 10)
+ UNION ALL SELECT 'iban', count(*) FROM n WHERE request % 13 = 3 UNION ALL SELECT 'tel', count(*) FROM t WHERE length(regexp_replace(hit, '\\D', '', 'g')) >= 7""")
 def m08(spark, d):
     minimal = _hits(spark, d, Policy(profile="minimal", modes={"person": "alias"}, disabled=("mail",)))
     return minimal.groupBy("category").agg(F.count("*").alias("hits"))
@@ -75,15 +84,12 @@ def m10(spark, d):
     return _listed(masking.spared(masking.detected(rows), asked))
 
 
-@query("M11_canonical_form", f"{N} SELECT request, sha256(trim(regexp_replace(lower(text), '\\s+', ' ', 'g'))) AS canonical_sha256 FROM n WHERE length(text) < 400 AND NOT regexp_matches(text, '[^\\x00-\\x7F]')")
-def m11(spark, d):
-    rows = notes(spark, d).where(r"length(text) < 400 and not text rlike '[^\\x00-\\x7F]'")
-    return rows.select("request", F.sha2(canonical_column(F.col("text")), 256).alias("canonical_sha256"))
+_M11 = f"{N} SELECT request, sha256(trim(regexp_replace(lower(text), '[\\s\\x0B\\x{{85}}\\p{{Z}}]+', ' ', 'g'))) AS canonical_sha256 FROM n"
 
 
-@query("M11_canonical_form_all")
-def m11_all(spark, d):
-    """All texts, whole: DuckDB's lower and white space differ from Spark's beyond ASCII, so there is no SQL."""
+@query("M11_canonical_form", _M11)
+@query("M11_canonical_form_all", _M11)
+def m11(spark, d):
     return notes(spark, d).select("request", F.sha2(canonical_column(F.col("text")), 256).alias("canonical_sha256"))
 
 

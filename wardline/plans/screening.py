@@ -5,25 +5,22 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import policy
-from ..functions.catalogue import DLP_RULES, ENGLISH, GERMAN, SECRETS, TRUSTED_SOURCES, UNTRUSTED_SOURCES, Rule, custom, extended
+from ..functions.catalogue import DLP_RULES, ENGLISH, GERMAN, SECRETS, Rule, custom
 from ..functions.dlp import redacted
 from ..functions.payload import payload_findings, sniffed
 from ..functions.personal import Policy
 from ..functions.scan import HIDDEN, STRONG, disposition, hidden_count, role_trust, sanitized, scan, source_trust
 from ..functions.surface import base64_payloads, surfaces
 from ..operators import decide, masking
-from .fixtures import MESSAGES_SQL, TRUST_SQL, WEIGHT_SQL, derived, messages, table
+from ..operators.storage import stored
+from .fixtures import MESSAGES, MESSAGES_SQL, SAID, SAID_DLP, SEVERITY, TRUST_SQL, WEIGHT, WEIGHT_SQL, bucket_sql, derived, messages, planted, said_sql, sql_of, table, weight_sql
 from .registry import query
 
 M = f"WITH m AS ({MESSAGES_SQL}), t AS (SELECT *, {TRUST_SQL} AS trust FROM m)"
 SOURCES = {"doc_id": "doc_id", "kind": "CASE doc_id % 6 WHEN 0 THEN 'Note' WHEN 1 THEN 'web' WHEN 2 THEN 'JIRA' WHEN 3 THEN 'user' ELSE source END", "mine": "doc_id % 50 = 0"}
 
 
-def _in(words) -> str:
-    return "(" + ", ".join(f"'{w}'" for w in words) + ")"
-
-
-@query("P01_source_trust", f"""SELECT doc_id, CASE WHEN doc_id % 50 = 0 OR lower(k) IN {_in(TRUSTED_SOURCES)} THEN 'trusted' ELSE 'untrusted' END AS trust
+@query("P01_source_trust", f"""SELECT doc_id, CASE WHEN doc_id % 50 = 0 OR lower(k) IN ('note', 'manual', 'transcript', 'user', 'journal') THEN 'trusted' ELSE 'untrusted' END AS trust
  FROM (SELECT doc_id, {SOURCES['kind']} AS k FROM documents)""")
 def p01(spark, d):
     return derived(table(spark, d, "documents"), SOURCES).select("doc_id", source_trust(F.col("kind"), F.col("mine")).alias("trust"))
@@ -63,16 +60,18 @@ def p05(spark, d):
     return c.select("event_id", who.alias("resolution"), F.array_join(policy.scopes_of(F.col("scopes")), ",").alias("scopes"))
 
 
-@query("P06_size_guard", f"{M} SELECT request, octet_length(encode(string_agg(text, chr(10) ORDER BY idx))) > 20000 AS too_large FROM m GROUP BY request")
+@query("P06_size_guard", f"{M}, r AS (SELECT request, octet_length(encode(string_agg(text, chr(10) ORDER BY idx))) AS bytes FROM m GROUP BY request) SELECT request, bytes + coalesce(octet_length(encode(d.text)), 0) > 3000 AS too_large FROM r LEFT JOIN documents d ON d.doc_id * 3 = request")
 def p06(spark, d):
+    """Document n is attached to conversation 3 n."""
     by = messages(spark, d).groupBy("request").agg(F.sum(F.octet_length("text")).alias("bytes"), F.count("*").alias("n"))
-    return by.select("request", decide.size_guard(F.col("bytes") + F.col("n") - 1, 0, 20_000).alias("too_large"))
+    files = table(spark, d, "documents").select((F.col("doc_id") * 3).alias("request"), F.octet_length("text").alias("attached"))
+    return by.join(files, "request", "left").select("request", decide.size_guard(F.col("bytes") + F.col("n") - 1, F.coalesce("attached", F.lit(0)), 3000).alias("too_large"))
 
 
-@query("P07_count_guard", f"{M}, r AS (SELECT request, octet_length(encode(string_agg(text, chr(10) ORDER BY idx))) AS bytes, count(*) AS n FROM m GROUP BY request) SELECT request, CASE WHEN bytes > 20000 THEN 'GW-001' WHEN n > 6 THEN 'GW-003' END AS guard FROM r")
+@query("P07_count_guard", f"{M}, r AS (SELECT request, octet_length(encode(string_agg(text, chr(10) ORDER BY idx))) AS bytes, count(*) AS n FROM m GROUP BY request) SELECT request, CASE WHEN bytes > 900 THEN 'GW-001' WHEN n > 4 THEN 'GW-003' END AS guard FROM r")
 def p07(spark, d):
     by = messages(spark, d).groupBy("request").agg((F.sum(F.octet_length("text")) + F.count("*") - 1).alias("bytes"), F.count("*").alias("n_messages"))
-    return decide.guarded(by, 20_000, 6).select("request", "guard")
+    return decide.guarded(by, 900, 4).select("request", "guard")
 
 
 @query("P08_size_anomaly", "SELECT doc_id, length(regexp_replace(text, '" + HIDDEN + "', '', 'g')) > 10000 AS anomaly FROM documents")
@@ -114,7 +113,7 @@ def p13(spark, d):
 # --- injection and secrets ------------------------------------------------------------------------------------
 
 #: Hidden characters are planted in every seventh message.
-HIDING = {"request": "request", "idx": "idx", "trust": "trust", "text": "CASE (request + idx) % 7 WHEN 0 THEN concat('a', '\u200b', 'b', text) WHEN 1 THEN concat(text, '\u202e', 'x') ELSE text END"}
+HIDING = {"request": "request", "idx": "idx", "trust": "trust", "text": "CASE (request + idx) % 7 WHEN 0 THEN concat('a', '\u200b', 'b', text) WHEN 1 THEN concat(text, '\u202e', ' x') ELSE text END"}
 H = f"{M}, h AS (SELECT {', '.join(f'{e} AS {c}' for c, e in HIDING.items())} FROM t), c AS (SELECT *, regexp_replace(text, '{HIDDEN}', '', 'g') AS cleaned, len(regexp_extract_all(text, '{HIDDEN}')) AS removed, regexp_matches(text, '{STRONG}') AS strong FROM h)"
 
 
@@ -144,14 +143,16 @@ def _hits(findings, prefix=("INJ", "SEC", "OWN")):
     return F.array_join(F.transform(own, lambda f: F.concat(f["rule_id"], F.lit(":"), f["occurrences"].cast("string"))), ",")
 
 
-def _rule_query(name: str, rules: list[Rule]):
-    @query(name, f"{H} SELECT request, idx, {_hits_sql(rules)} AS hits FROM c")
+def _rule_query(name: str, rules: list[Rule], sql: str | None = None):
+    @query(name, sql or f"{H} SELECT request, idx, {_hits_sql(rules)} AS hits FROM c")
     def q(spark, d):
         return scan(_hiding(spark, d), rules=rules, normalize=False).select("request", "idx", _hits(F.col("findings")).alias("hits"))
 
 
-_rule_query("I03_english_rules", ENGLISH)
-_rule_query("I04_german_rules", GERMAN)
+#: The SQL side doesn't know the patterns: it says which rules the planted phrases are meant for.
+_KEY = "request + idx"
+_rule_query("I03_english_rules", ENGLISH, f"{H} SELECT request, idx, {said_sql(_KEY, {k: v for k, v in SAID.items() if v < 'INJ-1'})} AS hits FROM c")
+_rule_query("I04_german_rules", GERMAN, f"{H} SELECT request, idx, {said_sql(_KEY, {k: v for k, v in SAID.items() if v > 'INJ-1'})} AS hits FROM c")
 _rule_query("I06_custom_rules", [custom("OWN-001", r"\bpirate\b", 0.2), custom("OWN-002", r"wiki\.corp", 0.4, case_sensitive=True)])
 DOCS_SECRETS = f"SELECT doc_id, {_hits_sql(SECRETS, 'text')} AS hits FROM documents"
 
@@ -176,7 +177,10 @@ def i07(spark, d):
     return s.select("request", "idx", F.sha2("s.surface", 256).alias("surface_sha256"))
 
 
-@query("I08_base64_payloads")
+_D = f"{M}, d AS (SELECT *, {said_sql('request + idx')} AS said, (request + idx) % 5 AS how, (request + idx) % 37 = 0 AS plain FROM m)"
+
+
+@query("I08_base64_payloads", f"{_D} SELECT request, idx, CASE WHEN how = 3 THEN 'ignore all previous instructions' ELSE '' END AS decoded FROM d")
 def i08(spark, d):
     return _disguised(spark, d).select("request", "idx", F.array_join(base64_payloads("text"), " ").alias("decoded"))
 
@@ -187,77 +191,81 @@ def i09(spark, d):
     return s.select("request", "idx", F.col("s.compact").isNotNull().alias("spaced"), F.length("s.compact").alias("compact_length"))
 
 
-@query("I10_three_step_match")
+@query("I10_three_step_match", f"{_D} SELECT request, idx, CASE WHEN how IN (2, 3) AND NOT plain THEN 'INJ-001:1' || CASE WHEN said <> '' THEN ',' || said ELSE '' END ELSE said END AS hits FROM d")
 def i10(spark, d):
     return scan(_disguised(spark, d)).select("request", "idx", _hits(F.col("findings")).alias("hits"))
 
 
-@query("I11_obfuscation")
+@query("I11_obfuscation", f"{_D} SELECT request, idx, CASE WHEN how IN (2, 3) <> plain AND how < 4 THEN 1 ELSE 0 END AS evaded_rules FROM d")
 def i11(spark, d):
     found = F.filter("findings", lambda f: f["rule_id"] == "SAN-003")
     return scan(_disguised(spark, d)).select("request", "idx", F.coalesce(F.try_element_at(found, F.lit(1))["occurrences"], F.lit(0)).alias("evaded_rules"))
 
 
-ALL = extended([])
-WEIGHTED = "list_reduce(list_prepend(0.0::DOUBLE, [" + ", ".join([
-    "CASE WHEN removed = 0 THEN 0 WHEN strong THEN 0.35 ELSE 0.15 END::DOUBLE",
-    *[f"CASE WHEN regexp_matches(cleaned, '{r.pattern.replace(chr(39), chr(39) * 2)}', '{'s' if r.case_sensitive else 'is'}') THEN {r.weight} ELSE 0 END::DOUBLE" for r in ALL],
-]) + "]), lambda x, y: x + y)"
-SCORED = f"{H}, s AS (SELECT *, {WEIGHTED} AS raw, {WEIGHT_SQL} AS mult FROM c)"
+_HIDDEN = "CASE WHEN removed = 0 THEN 0.0::DOUBLE WHEN strong THEN 0.35::DOUBLE ELSE 0.15::DOUBLE END"
+SCORED = f"{H}, s AS (SELECT *, {weight_sql(_KEY, _HIDDEN)} AS raw, {said_sql(_KEY)} AS hits, {WEIGHT_SQL} AS mult FROM c)"
 
 
 def _scored(spark, d):
     return scan(_hiding(spark, d), normalize=False)
 
 
-@query("I12_findings", f"{SCORED} SELECT request, idx, {_hits_sql(ALL)} AS hits, round(raw, 6) AS raw_score FROM s")
+_I12 = f"{SCORED} SELECT request, idx, hits, round(raw, 6) AS raw_score FROM s"
+_I13 = f"{SCORED} SELECT request, idx, round(least(1.0, raw * mult), 6) AS risk_score FROM s"
+
+
+@query("I12_findings", _I12)
 def i12(spark, d):
     return _scored(spark, d).select("request", "idx", _hits(F.col("findings")).alias("hits"), F.round("raw_score", 6).alias("raw_score"))
 
 
-@query("I13_risk_score", f"{SCORED} SELECT request, idx, round(least(1.0, raw * mult), 6) AS risk_score FROM s")
+@query("I13_risk_score", _I13)
 def i13(spark, d):
     return _scored(spark, d).select("request", "idx", F.round("risk_score", 6).alias("risk_score"))
 
 
 def _surfaced(spark, d):
-    """With the detection surface, relaxed rules and SAN-003, which SQL can't say."""
+    """With the detection surface, relaxed rules and SAN-003. The SQL says what the phrases are meant for, so it's the same."""
     return scan(_hiding(spark, d))
 
 
-@query("I12_findings_all")
+@query("I12_findings_all", _I12)
 def i12_all(spark, d):
     return _surfaced(spark, d).select("request", "idx", _hits(F.col("findings")).alias("hits"), F.round("raw_score", 6).alias("raw_score"))
 
 
-@query("I13_risk_score_all")
+@query("I13_risk_score_all", _I13)
 def i13_all(spark, d):
     return _surfaced(spark, d).select("request", "idx", F.round("risk_score", 6).alias("risk_score"))
 
 
 SUPPRESSED = ("INJ-004", "INJ-007")
-_OFF = " + ".join(f"CASE WHEN regexp_matches(cleaned, '{r.pattern}', 'is') THEN {r.weight} ELSE 0 END::DOUBLE" for r in ALL if r.rule_id in SUPPRESSED)
+_OFF = weight_sql(_KEY, only=SUPPRESSED)
 _DISPOSED = f"{SCORED}, p AS (SELECT *, least(1.0, greatest(0.0, raw - ({_OFF})) * mult) AS risk FROM s), z AS (SELECT *, CASE WHEN risk >= 0.7 THEN 'block' WHEN removed > 0 THEN 'allow_modified' ELSE 'allow' END AS disposition FROM p)"
 
 
-@query("I14_dispositions", f"{_DISPOSED} SELECT request, idx, disposition, round(risk, 6) AS risk_score FROM z")
+_I14 = f"{_DISPOSED} SELECT request, idx, disposition, round(risk, 6) AS risk_score FROM z"
+_I14_COUNTS = f"{_DISPOSED} SELECT disposition, count(*) AS messages FROM z GROUP BY disposition"
+
+
+@query("I14_dispositions", _I14)
 def i14(spark, d):
     v = disposition(F.col("findings"), F.col("raw_score"), F.col("trust"), F.col("was_modified"), suppressed=SUPPRESSED)
     return _scored(spark, d).select("request", "idx", v["disposition"].alias("disposition"), F.round(v["risk_score"], 6).alias("risk_score"))
 
 
-@query("I14_dispositions_all")
+@query("I14_dispositions_all", _I14)
 def i14_all(spark, d):
     v = disposition(F.col("findings"), F.col("raw_score"), F.col("trust"), F.col("was_modified"), suppressed=SUPPRESSED)
     return _surfaced(spark, d).select("request", "idx", v["disposition"].alias("disposition"), F.round(v["risk_score"], 6).alias("risk_score"))
 
 
-@query("I14_disposition_counts_all")
+@query("I14_disposition_counts_all", _I14_COUNTS)
 def i14_counts_all(spark, d):
     return i14_all(spark, d).groupBy("disposition").agg(F.count("*").alias("messages"))
 
 
-@query("I14_disposition_counts", f"{_DISPOSED} SELECT disposition, count(*) AS messages FROM z GROUP BY disposition")
+@query("I14_disposition_counts", _I14_COUNTS)
 def i14_counts(spark, d):
     return i14(spark, d).groupBy("disposition").agg(F.count("*").alias("messages"))
 
@@ -269,21 +277,12 @@ def _dlp(spark, d):
     return redacted(messages(spark, d))
 
 
-_FLOW, _AT = M, "m"
-for _i, _r in enumerate(DLP_RULES):
-    _p, _o = _r.pattern.replace("'", "''"), "s" if _r.case_sensitive else "is"
-    _new = f"regexp_replace(text, '{_p}', '{_r.replacement}', '{_o}g')" if _r.action == "redact" else "text"
-    _FLOW += f", d{_i} AS (SELECT * EXCLUDE (text), {_new} AS text, len(regexp_extract_all(text, '{_p}', 0, '{_o}')) AS n{_i} FROM {_AT})"
-    _AT = f"d{_i}"
-_LIST = "array_to_string(list_filter([" + ", ".join(f"CASE WHEN n{i} > 0 THEN '{r.rule_id}:' || n{i} END" for i, r in enumerate(DLP_RULES)) + "], lambda x: x IS NOT NULL), ',')"
-
-
-@query("D01_dlp_findings", f"{_FLOW} SELECT request, idx, {_LIST} AS hits FROM {_AT}")
+@query("D01_dlp_findings", f"{M} SELECT request, idx, {said_sql(_KEY, SAID_DLP)} AS hits FROM m")
 def d01(spark, d):
     return _dlp(spark, d).select("request", "idx", _hits(F.col("dlp_findings"), ("DLP",)).alias("hits"))
 
 
-@query("D02_dlp_actions")
+@query("D02_dlp_actions", f"{M} SELECT request, idx, CASE WHEN (request + idx) % 37 = 23 THEN 1.0 ELSE 0.0 END::DOUBLE AS dlp_score, (request + idx) % 37 = 25 AS dlp_modified FROM m")
 def d02(spark, d):
     from dataclasses import replace
 
@@ -291,13 +290,13 @@ def d02(spark, d):
     return redacted(messages(spark, d), rules=rules).select("request", "idx", F.col("dlp_score"), F.col("dlp_modified"))
 
 
-@query("D03_markers", f"{_FLOW} SELECT request, idx, n0 + n1 AS markers FROM {_AT}")
+@query("D03_markers", f"{M} SELECT request, idx, CASE WHEN (request + idx) % 37 IN (23, 24) THEN 1 ELSE 0 END AS markers FROM m")
 def d03(spark, d):
     own = F.filter("dlp_findings", lambda f: f["rule_id"].isin("DLP-001", "DLP-002"))
     return _dlp(spark, d).select("request", "idx", F.aggregate(own, F.lit(0), lambda a, f: a + f["occurrences"]).cast("long").alias("markers"))
 
 
-@query("D04_internal_hosts", f"{_FLOW} SELECT request, idx, sha256(text) AS text_sha256 FROM {_AT}")
+@query("D04_internal_hosts", f"{M} SELECT request, idx, sha256(replace(text, 'http://wiki.corp/page', '[INTERNAL-URL]')) AS text_sha256 FROM m")
 def d04(spark, d):
     return _dlp(spark, d).select("request", "idx", F.sha2("dlp_text", 256).alias("text_sha256"))
 
@@ -360,37 +359,95 @@ def d09(spark, d):
 # --- decisions ----------------------------------------------------------------------------------------------
 
 
-def _decided(spark, d):
-    """All stages. Document n is attached to conversation 3 n; names are masked as of the order of requests."""
-    limits, masks = {"max_bytes": 20_000, "max_messages": 12}, Policy(on_density="abstain")
-    rows = messages(spark, d)
+#: Requests: in every tenth conversation a person is named, in every other tenth each message is a mail address alone.
+REQUESTS = MESSAGES | {"text": f"CASE conv_id % 10 WHEN 9 THEN 'max.muster@firma.de' WHEN 8 THEN concat(coalesce(text, ''), {planted('conv_id + turn')}, ' Herr Anna Schmidt kam.') ELSE {MESSAGES['text']} END"}
+LIMITS = {"max_bytes": 6000, "max_messages": 7}
+MASKS = Policy(on_density="abstain")
+
+
+def _requests(spark, d):
+    return derived(table(spark, d, "conversations"), REQUESTS)
+
+
+def _ordered(rows, idx="idx"):
+    return rows.select(F.col("tenant").alias("partition"), "request", F.col(idx).alias("idx"), (F.col("request") * 4096 + F.col(idx)).cast("long").alias("ord"), "text")
+
+
+def _decisions(spark, d, requests=None):
+    """(decisions, vault) by all stages. Document n is attached to conversation 3 n; names are masked as of the order of
+    requests. Messages are scanned once, for the stage of personal data and for the decision."""
+    rows = _requests(spark, d) if requests is None else requests
     files = decide.attached(_attachments(spark, d).select((F.col("doc_id") * 3).alias("request"), F.lit(0).alias("ord"), "bytes", "media_type"))
-    reached = decide.admitted(rows, files, **limits).select(F.col("tenant").alias("partition"), "request", "idx", (F.col("request") * 4096 + F.col("idx")).cast("long").alias("ord"), "text")
-    found, _ = masking.masked(reached, masks, second_pass="asof")
-    found = found.select("request", "idx", "masked", masking.pii_findings(F.col("counts"), F.col("density"), masks).alias("pii_findings"))
-    return decide.decided(rows, masked=found, attachments=files, **limits)
+    scanned = stored(decide.scanned(rows, decide.received(rows, files, **LIMITS)), "scanned")
+    found, vault = masking.masked(_ordered(decide.admitted(rows, rows=scanned)), MASKS, second_pass="asof")
+    found = found.select("request", "idx", "masked", masking.pii_findings(F.col("counts"), F.col("density"), MASKS).alias("pii_findings"))
+    return decide.decided(rows, masked=found, attachments=files, rows=scanned, **LIMITS), vault
 
 
-@query("G01_decisions")
+def _decided(spark, d):
+    return _decisions(spark, d)[0]
+
+
+#: The same by the phrases' own numbers: what each message brings, what each attachment is, and which stage ends a request.
+_LIST = lambda hits: f"list_transform(list_filter(string_split({hits}, ','), lambda x: x <> ''), lambda x: string_split(x, ':')[1])"
+_PLAIN = "request % 10 <> 9"
+G = f"""WITH m AS ({sql_of(REQUESTS, 'conversations')}),
+ r AS (SELECT *, CASE WHEN {_PLAIN} THEN {_LIST(said_sql(_KEY))} ELSE [] END AS inj, CASE WHEN {_PLAIN} THEN least(1.0, ({weight_sql(_KEY)}) * CASE role WHEN 'system' THEN 0.55 WHEN 'tool' THEN 1.35 ELSE 1.0 END::DOUBLE) ELSE 0 END AS risk,
+  CASE request % 10 WHEN 9 THEN ['PII-002', 'PII-900'] WHEN 8 THEN ['PII-001'] ELSE [] END AS pii, CASE WHEN {_PLAIN} THEN {_LIST(said_sql(_KEY, SAID_DLP))} ELSE [] END AS dlp,
+  replace(replace(text, 'Anna Schmidt', '[Person-1]'), 'http://wiki.corp/page', '[INTERNAL-URL]') AS sent FROM m),
+ q AS (SELECT request, tenant, model, count(*) AS n, string_agg(text, chr(10) ORDER BY idx) AS said, string_agg(sent, chr(10) ORDER BY idx) AS sent, string_agg(role || chr(31) || sent, chr(30) ORDER BY idx) AS roles,
+  max(risk) AS r1, flatten(list(inj ORDER BY idx)) AS inj, flatten(list(pii ORDER BY idx)) AS pii, flatten(list(dlp ORDER BY idx)) AS dlp, bool_or(sent <> text) AS changed FROM r GROUP BY request, tenant, model),
+ files AS (SELECT doc_id * 3 AS request, bytes, {{shape}} AS shape, media_type FROM ({{files}})),
+ p AS (SELECT request, octet_length(bytes) AS n_bytes, list_filter([CASE WHEN shape = 'executable' THEN 'MAL-001' END, CASE WHEN NOT ({{fits}}) THEN 'MAL-002' END, CASE WHEN shape = 'archive' THEN 'MAL-003' END], lambda x: x IS NOT NULL) AS payload,
+  CASE shape WHEN 'executable' THEN 1.0 WHEN 'archive' THEN CASE WHEN {{fits}} THEN 0.3 ELSE 0.7 END ELSE CASE WHEN {{fits}} THEN 0.0 ELSE 0.4 END END::DOUBLE AS r0 FROM files),
+ g AS (SELECT q.*, coalesce(payload, []) AS payload, coalesce(r0, 0) AS r0, greatest(coalesce(r0, 0), r1) AS r01, CASE WHEN octet_length(encode(said)) + coalesce(n_bytes, 0) > 6000 THEN 'GW-001' WHEN n > 7 THEN 'GW-003' END AS guard FROM q LEFT JOIN p ON q.request = p.request),
+ v AS (SELECT *, CASE WHEN guard IS NOT NULL THEN 'guard' WHEN r0 >= 0.7 THEN 'malware' WHEN r01 >= 0.7 THEN 'injection' WHEN request % 10 = 9 THEN 'pii' END AS ends FROM g),
+ z AS (SELECT request, tenant, model, ends, said, sent, roles, n, CASE WHEN ends IS NOT NULL THEN 'block' WHEN changed THEN 'allow_modified' ELSE 'allow' END AS disposition,
+  CASE ends WHEN 'guard' THEN 1.0 WHEN 'malware' THEN r0 WHEN 'injection' THEN r01 WHEN 'pii' THEN 1.0 ELSE r01 END AS risk,
+  CASE ends WHEN 'guard' THEN [guard] WHEN 'malware' THEN payload WHEN 'injection' THEN payload || inj WHEN 'pii' THEN payload || inj || pii ELSE payload || inj || pii || dlp END AS rules FROM v)""".replace("{shape}", _SHAPE).replace("{files}", _BYTES_SQL).replace("{fits}", _FITS)
+_RANK = " ".join(f"WHEN list_has_any(rules, [{', '.join(repr(r) for r in rules.split())}]) THEN '{s}'" for s, rules in SEVERITY.items())
+_CATEGORY = "CASE x[1:3] WHEN 'INJ' THEN 'injection' WHEN 'DLP' THEN 'dlp' WHEN 'PII' THEN 'pii' WHEN 'MAL' THEN 'malware' ELSE 'anomaly' END"
+_FIRST = f"list_reduce(list_prepend(NULL::VARCHAR, list_transform(rules, lambda x: {_CATEGORY})), lambda a, b: CASE WHEN a IS NULL THEN b WHEN list_contains(string_split(a, ','), b) THEN a ELSE a || ',' || b END)"
+
+
+@query("G01_decisions", f"{G} SELECT request, disposition, round(risk, 6) AS risk_score, array_to_string(rules, ',') AS rules FROM z")
 def g01(spark, d):
     return _decided(spark, d).select("request", "disposition", F.round("risk_score", 6).alias("risk_score"), F.array_join(F.transform("findings", lambda f: f["rule_id"]), ",").alias("rules"))
 
 
-@query("G02_forwarded")
+@query("G02_forwarded", f"{G} SELECT request, CASE WHEN ends IS NULL THEN n END AS n_forwarded, CASE WHEN ends IS NULL THEN sha256(roles) END AS forwarded_sha256 FROM z")
 def g02(spark, d):
-    rows = _decided(spark, d)
-    return rows.select("request", F.size("forwarded").alias("n_forwarded"), F.sha2(F.to_json("forwarded"), 256).alias("forwarded_sha256"))
+    told = F.array_join(F.transform("forwarded", lambda m: F.concat(m["role"], F.lit("\x1f"), m["content"])), "\x1e")
+    return _decided(spark, d).select("request", F.when(F.col("forwarded").isNotNull(), F.size("forwarded")).cast("long").alias("n_forwarded"), F.sha2(told, 256).alias("forwarded_sha256"))
 
 
-@query("G03_disposition_counts")
+@query("G03_disposition_counts", f"{G} SELECT tenant, disposition, count(*) AS requests FROM z GROUP BY tenant, disposition")
 def g03(spark, d):
     return _decided(spark, d).groupBy("tenant", "disposition").agg(F.count("*").alias("requests"))
 
 
-@query("G04_audit")
+_AUDIT = f"SELECT request, tenant, model, disposition, round(risk, 6) AS risk_score, array_to_string(rules, ',') AS rule_ids, coalesce({_FIRST}, '') AS categories, CASE {_RANK} END AS max_severity, CASE WHEN ends = 'guard' THEN 0 WHEN ends IS NOT NULL THEN octet_length(encode(said)) ELSE octet_length(encode(sent)) END AS content_bytes FROM z"
+
+
+@query("G04_audit", f"{G} {_AUDIT}")
 def g04(spark, d):
     a = decide.audited(_decided(spark, d))
-    return a.withColumns({"rule_ids": F.array_join("rule_ids", ","), "categories": F.array_join("categories", ","), "risk_score": F.round("risk_score", 6)})
+    return a.drop("total_ms", "degraded").withColumns({"rule_ids": F.array_join("rule_ids", ","), "categories": F.array_join("categories", ","), "risk_score": F.round("risk_score", 6)})
+
+
+@query("G01_stage_times", f"""WITH m AS ({sql_of(REQUESTS, 'conversations')}), r AS (SELECT request, string_agg(text, chr(10) ORDER BY idx) AS said FROM m GROUP BY request)
+ SELECT request, CASE WHEN request % 4 IN (1, 3) THEN 'GW-002' ELSE '' END AS rules, CASE WHEN request % 4 IN (1, 3) THEN 1.0 ELSE 0.0 END::DOUBLE AS risk_score,
+ CASE request % 4 WHEN 3 THEN 60.0 WHEN 1 THEN 155.0 ELSE 30.0 END::DOUBLE AS total_ms, request % 4 IN (1, 3) AS degraded, octet_length(encode(CASE WHEN request % 4 IN (1, 3) THEN said ELSE replace(said, 'http://wiki.corp/page', '[INTERNAL-URL]') END)) AS content_bytes FROM r""")
+def g01_times(spark, d):
+    """Recorded times: of each request, a slow first stage, a slow last one, or none; a slow stage ends the request."""
+    rows = _requests(spark, d)
+    k = F.col("request") % 4
+    ms = lambda stage, t: F.struct(F.lit(stage).alias("stage"), t.cast("double").alias("ms"))
+    times = rows.select("request").distinct().select("request", F.array(ms("injection", F.when(k == 3, 60).otherwise(10)), ms("pii", F.when(k == 1, 45).otherwise(10)), ms("dlp", F.when(k == 1, 100).otherwise(10))).alias("timings"))
+    quiet = tuple(WEIGHT)
+    out = decide.audited(decide.decided(rows, timings=times, fail_closed=True, suppressed=quiet, normalize=False))
+    own = F.filter("rule_ids", lambda r: r == "GW-002")
+    return out.select("request", F.array_join(own, ",").alias("rules"), "risk_score", "total_ms", "degraded", "content_bytes")
 
 
 def _refused(spark, d):
@@ -401,7 +458,10 @@ def _refused(spark, d):
     return bad.select(F.col("event_id").alias("request"), F.lit(None).cast("string").alias("tenant"), F.lit("m0").alias("model"))
 
 
-@query("G05_audit_with_refusals")
+_REFUSED = "SELECT NULL, '-', 'm0', 'block', 1.0, 'GW-004', 'anomaly', 'high', 0 FROM t WHERE NOT ok"
+
+
+@query("G05_audit_with_refusals", G.replace("WITH m", "WITH RECURSIVE m", 1) + f", {bucket_sql('user_id', 1, 86_400.0, 3)}, a AS ({_AUDIT} UNION ALL {_REFUSED}) SELECT disposition, rule_ids AS rules, count(*) AS n, sum(content_bytes) AS bytes FROM a GROUP BY disposition, rule_ids")
 def g05(spark, d):
     a = decide.audited(_decided(spark, d)).unionByName(decide.refusals(_refused(spark, d)))
     return a.groupBy("disposition", F.array_join("rule_ids", ",").alias("rules")).agg(F.count("*").alias("n"), F.sum("content_bytes").alias("bytes"))
@@ -421,7 +481,8 @@ def g06(spark, d):
     return c.select("request", "model", "status", "usage.prompt_tokens", "usage.completion_tokens", "cache_hit")
 
 
-@query("G07_audit_completion_link")
+@query("G07_audit_completion_link", f"""{G}, c AS (SELECT event_id, CASE WHEN event_id % 9 <> 0 THEN 200 ELSE 502 END AS status, event_id % 5 = 0 AS cache_hit,
+ CASE WHEN value >= 5 THEN cast(floor(value) as bigint) WHEN value >= 20 THEN 0 END AS prompt_tokens FROM events) SELECT disposition, status, cache_hit, count(*) AS requests, sum(prompt_tokens) AS prompt_tokens FROM z LEFT JOIN c ON c.event_id = z.request GROUP BY ALL""")
 def g07(spark, d):
     audit = decide.audited(_decided(spark, d))
     done = decide.completions(derived(table(spark, d, "events"), ANSWERS))
@@ -429,31 +490,55 @@ def g07(spark, d):
     return both.groupBy("disposition", "status", "cache_hit").agg(F.count("*").alias("requests"), F.sum("usage.prompt_tokens").alias("prompt_tokens"))
 
 
-@query("P12_near_miss", f"{SCORED} SELECT request, idx, least(1.0, raw * mult) >= 0.7 OR least(1.0, raw * mult) >= 0.7 - 0.15 AS collected FROM s")
+_P12 = f"{SCORED} SELECT request, idx, least(1.0, raw * mult) >= 0.7 OR least(1.0, raw * mult) >= 0.7 - 0.15 AS collected FROM s"
+
+
+@query("P12_near_miss", _P12)
 def p12(spark, d):
     rows = _scored(spark, d)
     return rows.select("request", "idx", decide.near_miss(F.when(F.col("risk_score") >= 0.7, "block").otherwise("allow"), F.col("risk_score")).alias("collected"))
 
 
-@query("P12_near_miss_all")
+@query("P12_near_miss_all", _P12)
 def p12_all(spark, d):
     rows = _surfaced(spark, d)
     return rows.select("request", "idx", decide.near_miss(F.when(F.col("risk_score") >= 0.7, "block").otherwise("allow"), F.col("risk_score")).alias("collected"))
 
 
-def _quarantined(spark, d):
-    decisions = _decided(spark, d)
-    raw = messages(spark, d).groupBy("request").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "text"))), lambda x: x["text"]), "\n").alias("raw"))
-    at = F.timestamp_seconds(F.col("request") * 3600)
-    return decide.quarantined(decisions, raw, at, detail="raw")
+def _quarantined(spark, d, detail):
+    """Samples at one level of detail. The masked ones go through the stage of personal data once more, with the vault that
+    the decisions left: guards and injection end some requests before it."""
+    decisions, vault = _decisions(spark, d)
+    decisions = stored(decisions, "decisions")
+    raw = _requests(spark, d).groupBy("tenant", "request").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "text"))), lambda x: x["text"]), "\n").alias("raw"))
+    raw = raw.join(decisions.where("disposition <> 'block' or size(findings) > 1 or findings[0].rule_id not in ('GW-001', 'GW-003')").select("request"), "request", "left_semi")
+    masked = None
+    if detail == "masked":
+        again = _ordered(raw.withColumns({"idx": F.lit(0), "text": F.col("raw")}))
+        masked = masking.masked(again, MASKS, vault, second_pass="off")[0].select("request", "masked")
+    return decide.quarantined(decisions, raw, F.timestamp_seconds(F.col("request") * 3600), detail=detail, masked=masked)
+
+
+_COLLECTED = "SELECT *, CASE WHEN ends = 'guard' THEN '' ELSE said END AS raw FROM z WHERE ends IS NOT NULL OR risk >= 0.7 - 0.15"
+_HIDDEN_AWAY = "replace(replace(raw, 'Anna Schmidt', '[Person-1]'), 'max.muster@firma.de', '[Mail-1]')"
+_LEVELS = {"raw": "raw", "masked": _HIDDEN_AWAY, "counts": "NULL::VARCHAR"}
+
+
+def _samples_sql(level: str) -> str:
+    return f"SELECT request, disposition, '{level}' AS detail, array_to_string(rules, ',') AS rules, sha256({_LEVELS[level]}) AS sample_sha256 FROM ({_COLLECTED})"
 
 
-@query("G08_quarantine")
+@query("G08_quarantine", f"{G} " + " UNION ALL ".join(map(_samples_sql, _LEVELS)))
 def g08(spark, d):
-    q = _quarantined(spark, d)
-    return q.select("request", "disposition", F.array_join("rule_ids", ",").alias("rules"), F.sha2("sample", 256).alias("sample_sha256"), "expires_at")
+    out = []
+    for level in _LEVELS:
+        q = _quarantined(spark, d, level)
+        sample = F.coalesce("sample", F.lit("")) if level != "counts" else F.col("sample")
+        out.append(q.select("request", "disposition", "detail", F.array_join("rule_ids", ",").alias("rules"), F.sha2(sample, 256).alias("sample_sha256")))
+    return out[0].unionByName(out[1]).unionByName(out[2])
 
 
-@query("G09_quarantine_sweep")
+@query("G09_quarantine_sweep", f"{G} SELECT request, epoch_us(to_timestamp(request * 3600)) + 604800000000 AS expires_us FROM ({_COLLECTED}) WHERE request * 3600 > 20 * 3600 ORDER BY expires_us DESC, request LIMIT 10")
 def g09(spark, d):
-    return decide.swept(_quarantined(spark, d), F.timestamp_seconds(F.lit(604_800 + 20 * 3600)), 10).select("request", "expires_at")
+    swept = decide.swept(_quarantined(spark, d, "raw"), F.timestamp_seconds(F.lit(604_800 + 20 * 3600)), 10)
+    return swept.select("request", F.unix_micros("expires_at").alias("expires_us"))

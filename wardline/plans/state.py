@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.scan import disposition, role_trust, scan
 from ..operators.storage import shared_path
 from ..streaming import state
-from .fixtures import MESSAGES, MESSAGES_SQL, TRUST_SQL, derived, table
+from .fixtures import MESSAGES, MESSAGES_SQL, TRUST_SQL, WEIGHT_SQL, bucket_sql, derived, said_sql, table, weight_sql
 from .registry import query
 from .screening import _hits
 
@@ -19,7 +19,11 @@ def _log(events: DataFrame) -> DataFrame:
     return events.select(F.concat_ws("|", (F.col("user_id") % 3).cast("string"), F.col("user_id").cast("string")).alias("caller"), "ts", "event_id")
 
 
-@query("T01_rate_limit")
+_CALLER = "concat(cast(user_id % 3 as string), '|', cast(user_id as string))"
+_T01 = f"WITH RECURSIVE {bucket_sql(_CALLER, 4, 3600.0, 2)} SELECT event_id, caller, ok AS allowed, CASE WHEN ok THEN 0.0 ELSE greatest(1.0, ceil((1 - f) / {4 / 3600.0!r}::DOUBLE)) END::DOUBLE AS retry_after FROM t"
+
+
+@query("T01_rate_limit", _T01)
 def t01(spark, d):
     return state.rate_limited(_log(table(spark, d, "events")), 4, 3600.0, 2)
 
@@ -30,13 +34,22 @@ def t02(spark, d):
 
 
 def _ops(events: DataFrame) -> DataFrame:
-    kind = F.pmod(F.xxhash64("event_type", "event_id"), F.lit(8))
+    kind = F.col("event_id") % 8
     op = F.when(kind < 2, "park").when(kind < 6, "fetch").when(kind == 6, "extend").otherwise("close")
-    part = F.concat(F.lit("t"), (F.col("event_id") % 2).cast("string"))
+    part = F.concat(F.lit("t"), (F.floor(F.col("event_id") / 3) % 2).cast("string"))
     return events.select(F.col("user_id").cast("string").alias("correlation"), "ts", "event_id", part.alias("partition"), op.alias("op"), (F.col("event_id") % 5).cast("int").alias("size"))
 
 
-@query("T04_sessions")
+#: Each step in turn: sp and se are the session's partition and expiry after it, null without one.
+_T04 = """WITH RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY correlation ORDER BY sec, event_id) AS i FROM (SELECT cast(user_id as string) AS correlation, epoch_us(ts) / 1e6 AS sec, event_id, (event_id // 3) % 2 AS part,
+  CASE WHEN event_id % 8 < 2 THEN 'park' WHEN event_id % 8 < 6 THEN 'fetch' WHEN event_id % 8 = 6 THEN 'extend' ELSE 'close' END AS op, event_id % 5 AS size FROM events)),
+ t AS (SELECT correlation, event_id, i, op, CASE WHEN op = 'fetch' THEN false END AS found, CASE WHEN op = 'park' AND size > 0 THEN part END AS sp, CASE WHEN op = 'park' AND size > 0 THEN sec + 900 END AS se FROM o WHERE i = 1 UNION ALL
+  SELECT o.correlation, o.event_id, o.i, o.op, CASE WHEN o.op = 'fetch' THEN coalesce(t.se > o.sec AND t.sp = o.part, false) END, CASE WHEN o.op = 'close' THEN NULL WHEN o.op = 'park' AND o.size > 0 THEN o.part ELSE t.sp END,
+   CASE WHEN o.op = 'close' THEN NULL WHEN o.op = 'park' AND o.size > 0 THEN o.sec + 900 WHEN o.op = 'extend' AND t.se > o.sec THEN o.sec + 14400 ELSE t.se END FROM t JOIN o ON o.correlation = t.correlation AND o.i = t.i + 1)
+ SELECT event_id, correlation, op, found FROM t"""
+
+
+@query("T04_sessions", _T04)
 def t04(spark, d):
     return state.sessions(_ops(table(spark, d, "events")))
 
@@ -63,31 +76,23 @@ def replayed(spark, source: DataFrame, transform, files: int = 8) -> DataFrame:
     return spark.read.parquet(f"{base}/out")
 
 
-@query("T03_streaming_rate_limit")
+@query("T03_streaming_rate_limit", _T01)
 def t03(spark, d):
     return replayed(spark, table(spark, d, "events"), lambda s: state.rate_limited_stream(_log(s), 4, 3600.0, 2))
 
 
-@query("T05_streaming_sessions")
+@query("T05_streaming_sessions", _T04)
 def t05(spark, d):
     return replayed(spark, table(spark, d, "events"), lambda s: state.session_stream(_ops(s)))
 
 
-@query("T07_streaming_screening", f"WITH m AS ({MESSAGES_SQL}), t AS (SELECT *, {TRUST_SQL} AS trust FROM m) SELECT request, idx, trust FROM t")
-def t07(spark, d):
-    rows = table(spark, d, "conversations").withColumn("ts", F.timestamp_seconds(F.col("conv_id") * 60 + F.col("turn")))
+_T07 = f"""WITH m AS ({MESSAGES_SQL}), t AS (SELECT *, {TRUST_SQL} AS trust FROM m), s AS (SELECT *, {said_sql('request + idx')} AS hits, least(1.0, ({weight_sql('request + idx')}) * {WEIGHT_SQL}) AS risk FROM t)
+ SELECT request, idx, trust, CASE WHEN risk >= 0.7 THEN 'block' ELSE 'allow' END AS disposition, risk AS risk_score, hits FROM s"""
 
-    def screened(s: DataFrame) -> DataFrame:
-        m = derived(s, MESSAGES).withColumn("trust", role_trust(F.col("role")))
-        out = scan(m, normalize=False)
-        v = disposition(F.col("findings"), F.col("raw_score"), F.col("trust"), F.col("was_modified"))
-        return out.select("request", "idx", "trust", v["disposition"].alias("disposition"), _hits(F.col("findings")).alias("hits"))
-
-    return replayed(spark, rows, screened).select("request", "idx", "trust")
 
-
-@query("T07_streaming_screening_all")
-def t07_all(spark, d):
+@query("T07_streaming_screening", _T07)
+@query("T07_streaming_screening_all", _T07)
+def t07(spark, d):
     """Each message scanned with its detection surface and decided on arrival."""
     rows = table(spark, d, "conversations").withColumn("ts", F.timestamp_seconds(F.col("conv_id") * 60 + F.col("turn")))
 

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from ..operators import decide
 from ..operators.storage import stored
 from ..sources import dialects, logs, streams
-from .fixtures import derived, messages, table
+from .fixtures import MESSAGES_SQL, derived, messages, table
 from .registry import query
-from .screening import _BYTES_SQL, ANSWERS, _attachments, _decided
+from .screening import _BYTES_SQL, ANSWERS, G, _AUDIT, _attachments, _decided
 
 DIALECTS = ("openai", "anthropic", "ollama")
 
@@ -35,11 +35,39 @@ def _lines(spark, d, dialect):
     return dialects.exported(_canonical(spark, d), dialect).select("request", odd.alias("line"))
 
 
+def _told(messages):
+    """Roles and contents of messages in order, as one text."""
+    return F.array_join(F.transform(messages, lambda m: F.concat(m["role"], F.lit("\x1f"), m["content"])), "\x1e")
+
+
+#: The messages of each request in order, in SQL: as they are, and as a dialect hands them on.
+_OWN_SQL = f"""WITH m AS ({MESSAGES_SQL}), w AS (SELECT request, list(role || chr(31) || text ORDER BY idx) AS plain, list(role ORDER BY idx) AS roles, string_agg(text, chr(10) ORDER BY idx) FILTER (role = 'system') AS system,
+ coalesce(list(CASE role WHEN 'tool' THEN 'user' ELSE role END || chr(31) || text ORDER BY idx) FILTER (role <> 'system'), []) AS rest FROM m GROUP BY request)"""
+_GIVEN = {"openai": "plain", "ollama": "plain", "anthropic": "CASE WHEN system <> '' THEN ['system' || chr(31) || system] ELSE [] END || rest"}
+_ODD = {"openai": "[x] || plain", "ollama": "[x] || plain", "anthropic": "CASE WHEN system <> '' THEN ['system' || chr(31) || system] ELSE [] END || [x] || rest"}
+_MOST = {"openai": "CASE WHEN request % 5 > 0 THEN 256 END", "ollama": "CASE WHEN request % 5 > 0 THEN 256 END", "anthropic": "CASE WHEN request % 5 > 0 THEN 256 ELSE 4096 END"}
+
+
+def _decoded_sql(dialect: str, given: str, error: str = "NULL::VARCHAR") -> str:
+    """What decoding gives: the columns of a request without an error, null for one with."""
+    columns = {
+        "model": "concat('m', cast(request % 3 as string))", "n_messages": f"len({given})", "messages_sha256": f"sha256(array_to_string({given}, chr(30)))", "stream": "request % 2 = 0",
+        "temperature": "CASE WHEN request % 3 > 0 THEN (request % 3) / 4 END", "max_tokens": _MOST[dialect],
+    }
+    return f"SELECT request, {', '.join(f'CASE WHEN error IS NULL THEN {e} END AS {c}' for c, e in columns.items())}, error FROM (SELECT *, {error} AS error, 'user' || chr(31) || 'ab' AS x FROM w)"
+
+
+_ERRORS = {d: f"CASE request % 17 WHEN 1 THEN 'not a JSON object' WHEN 2 THEN 'unsupported field tools' WHEN 3 THEN 'binary content' END" for d in DIALECTS}
+
+
+def _columns(r):
+    return r.select("request", "model", F.size("messages").cast("long").alias("n_messages"), F.sha2(_told(F.col("messages")), 256).alias("messages_sha256"), "stream", "temperature", "max_tokens", "error")
+
+
 def _decode(name, dialect):
-    @query(name)
+    @query(name, f"{_OWN_SQL} {_decoded_sql(dialect, f'CASE WHEN request % 17 = 4 THEN {_ODD[dialect]} ELSE {_GIVEN[dialect]} END', _ERRORS[dialect])}")
     def q(spark, d):
-        r = dialects.requests(_lines(spark, d, dialect), dialect)
-        return r.select("request", "model", F.size("messages").alias("n_messages"), F.sha2(F.to_json("messages"), 256).alias("messages_sha256"), "stream", "temperature", "max_tokens", "error")
+        return _columns(dialects.requests(_lines(spark, d, dialect), dialect))
 
 
 _decode("S01_openai_requests", "openai")
@@ -68,7 +96,7 @@ def s06(spark, d):
     return _lines(spark, d, "openai").select("request", F.coalesce(F.exists(entries, lambda e: dialects.carries_binary(F.try_variant_get(e, "$.content", "variant"))), F.lit(False)).alias("has_binary"))
 
 
-@query("S07_message_roles")
+@query("S07_message_roles", f"{_OWN_SQL} SELECT request, CASE WHEN request % 17 <> 1 THEN array_to_string(CASE WHEN request % 17 IN (3, 4) THEN ['user'] ELSE [] END || roles, ',') END AS roles FROM w")
 def s07(spark, d):
     entries = F.try_variant_get(dialects.parsed(F.col("line")), "$.messages", "array<variant>")
     return _lines(spark, d, "openai").select("request", F.array_join(F.transform(dialects.messages_of(entries), lambda m: m["role"]), ",").alias("roles"))
@@ -81,7 +109,9 @@ RESPONSE = {
 }
 
 
-@query("S08_responses")
+@query("S08_responses", """SELECT event_id, concat('m', cast(user_id % 3 as string)) AS model, concat('a', cast(event_id as string)) AS content,
+ CASE WHEN value >= 5 THEN CASE event_id % 3 WHEN 2 THEN 0 ELSE cast(floor(value) as bigint) END END AS prompt_tokens, CASE WHEN value >= 5 THEN CASE event_id % 3 WHEN 0 THEN 0 WHEN 1 THEN 3 ELSE cast(floor(value) as bigint) END END AS completion_tokens,
+ CASE event_id % 3 WHEN 1 THEN 'end_turn' ELSE 'stop' END AS finish_reason FROM events""")
 def s08(spark, d):
     rows = table(spark, d, "events").withColumn("model", F.concat(F.lit("m"), (F.col("user_id") % 3).cast("string")))
     out = [dialects.responses(rows.where(F.col("event_id") % 3 == i).select("event_id", F.expr(RESPONSE[x]).alias("line")), x) for i, x in enumerate(DIALECTS)]
@@ -95,13 +125,12 @@ def s09(spark, d):
     return table(spark, d, "events").select("event_id", dialects.usage_of(dialects.parsed(line)).alias("u")).select("event_id", "u.prompt_tokens", "u.completion_tokens")
 
 
-@query("S10_exported_round_trip")
+@query("S10_exported_round_trip", _OWN_SQL + " " + " UNION ALL ".join(f"SELECT '{x}' AS dialect, * FROM ({_decoded_sql(x, _GIVEN[x])})" for x in DIALECTS))
 def s10(spark, d):
-    own = _canonical(spark, d)
-    out = []
+    own, out = _canonical(spark, d), []
     for x in DIALECTS:
         back = dialects.requests(dialects.exported(own, x).select("request", "line"), x)
-        out.append(back.select("request", F.lit(x).alias("dialect"), "model", F.size("messages").alias("n_messages"), "stream", "temperature", "max_tokens", "error"))
+        out.append(_columns(back).withColumn("dialect", F.lit(x)))
     return out[0].unionByName(out[1]).unionByName(out[2])
 
 
@@ -119,12 +148,15 @@ def _events(spark, d, dialect):
     return rows.select((F.col("conv_id") * 1000 + F.col("turn")).alias("stream_id"), body.alias("body"), "text")
 
 
-@query("S12_sse_payloads")
+_CUT = "SELECT conv_id * 1000 + turn AS stream_id, len(text) // 7 + 1 AS pieces, list_sum(list_transform(range(0, len(text) // 7 + 1), lambda i: len(to_json(substr(text, i * 7 + 1, 7))))) AS quoted, text FROM conversations WHERE role = 'assistant'"
+
+
+@query("S12_sse_payloads", f"""SELECT stream_id, pieces + 2 AS payloads, quoted + pieces * len('{{"choices":[{{"delta":{{"content":}}}}]}}') + len('{{"choices":[],"usage":{{"prompt_tokens":3,"completion_tokens":9}}}}{{"error":{{"message":"late"}}}}') AS chars FROM ({_CUT})""")
 def s12(spark, d):
     return streams.payloads(_events(spark, d, "openai"), True).groupBy("stream_id").agg(F.count("*").alias("payloads"), F.sum(F.length("payload")).alias("chars"))
 
 
-@query("S13_ndjson_payloads")
+@query("S13_ndjson_payloads", f"""SELECT stream_id, pieces + 1 AS payloads, quoted + pieces * len('{{"message":{{"content":}}}}') + len('{{"done":true,"eval_count":9}}') AS chars FROM ({_CUT})""")
 def s13(spark, d):
     return streams.payloads(_events(spark, d, "ollama"), False).groupBy("stream_id").agg(F.count("*").alias("payloads"), F.sum(F.length("payload")).alias("chars"))
 
@@ -141,7 +173,7 @@ def _deltas(spark, d, dialect):
     return streams.deltas(streams.payloads(_events(spark, d, dialect), dialect != "ollama"), dialect)
 
 
-@query("S15_S16_deltas_and_usage")
+@query("S15_S16_deltas_and_usage", f"SELECT stream_id, cast(ceil(len(text) / 7) as bigint) AS deltas, 9 AS completion_tokens, dialect FROM ({_CUT}), (SELECT unnest(['openai', 'anthropic', 'ollama']) AS dialect)")
 def s15(spark, d):
     out = []
     for x in DIALECTS:
@@ -160,25 +192,47 @@ def s18(spark, d):
     return f.select("stream_id", F.sha2("content", 256).alias("content_sha256"), F.col("usage.completion_tokens").cast("int").alias("completion_tokens"))
 
 
-@query("S19_next_stage")
+@query("S19_next_stage", "SELECT conv_id, turn, CASE WHEN text <> '' THEN sha256(text) END AS delta_sha256, turn AS prompt_tokens, NULL::VARCHAR AS failure FROM conversations WHERE turn % 5 <> 4")
 def s19(spark, d):
     rows = table(spark, d, "conversations").select("conv_id", "turn", F.when(F.col("turn") % 5 == 4, "oops").otherwise(F.to_json(F.struct(F.col("text").alias("delta"), F.struct(F.col("turn").alias("prompt_tokens")).alias("usage")))).alias("line"))
     return dialects.next_stage(rows).select("conv_id", "turn", F.sha2("delta", 256).alias("delta_sha256"), "usage.prompt_tokens", "failure")
 
 
-@query("S20_handoff_lines")
+@query("S19_next_stage_answers", """SELECT event_id, CASE WHEN event_id % 4 > 0 THEN concat('a', cast(event_id as string)) END AS content, CASE event_id % 4 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE 'm' END AS model, CASE WHEN event_id % 4 > 2 THEN 'stop' END AS finish_reason,
+ CASE WHEN event_id % 4 > 2 THEN user_id END AS prompt_tokens, CASE WHEN event_id % 4 = 0 THEN 'no content' END AS error FROM events""")
+def s19_answers(spark, d):
+    """One-shot answers of the next stage, each with one field more than the one before; without content it is an error."""
+    k = F.col("event_id") % 4
+    fields = F.struct(
+        F.when(k > 0, F.concat(F.lit("a"), F.col("event_id").cast("string"))).alias("content"), F.when(k > 1, F.lit("m")).alias("model"), F.when(k > 2, F.lit("stop")).alias("finish_reason"),
+        F.when(k > 2, F.struct(F.col("user_id").alias("promptTokens"))).alias("usage"),
+    )
+    rows = table(spark, d, "events").select("event_id", F.to_json(fields).alias("line"))
+    return dialects.next_stage_response(rows).select("event_id", "content", "model", "finish_reason", "usage.prompt_tokens", "error")
+
+
+@query("S20_handoff_lines", f"{G} SELECT cast(request as string) AS correlation_id, 'correlation_id,principal,request,verdict' AS keys, 'a,b' AS scopes, tenant, disposition, round(risk, 6) AS risk_score, array_to_string(rules, ',') AS rules, sha256(roles) AS messages_sha256 FROM z WHERE ends IS NULL")
 def s20(spark, d):
     rows = _decided(spark, d).where("forwarded is not null").withColumns({"subject": F.lit("s"), "scopes": F.array(F.lit("b"), F.lit("a")), "stream": F.lit(False), "temperature": F.lit(None).cast("double"), "max_tokens": F.lit(64)})
-    return dialects.handoffs(rows).select("request", F.sha2("line", 256).alias("line_sha256"))
+    lines = dialects.handoffs(rows)
+    shape = "struct<correlation_id:string,principal:struct<scopes:array<string>,tenant:string>,request:struct<messages:array<struct<content:string,role:string>>>,verdict:struct<disposition:string,risk_score:double,findings:array<struct<rule:string>>>>"
+    read = lines.select(F.array_join(F.json_object_keys("line"), ",").alias("keys"), F.from_json("line", shape).alias("r"))
+    return read.select(
+        "r.correlation_id", "keys", F.array_join("r.principal.scopes", ",").alias("scopes"), "r.principal.tenant", "r.verdict.disposition", F.round("r.verdict.risk_score", 6).alias("risk_score"),
+        F.array_join("r.verdict.findings.rule", ",").alias("rules"), F.sha2(_told(F.col("r.request.messages")), 256).alias("messages_sha256"),
+    )
 
 
-@query("S21_audit_log")
+@query("S21_audit_log", f"{G}, a AS ({_AUDIT}) SELECT cast(request as string) AS request, tenant, model, disposition, risk_score, rule_ids, categories, max_severity, content_bytes FROM a")
 def s21(spark, d):
     lines = stored(logs.audit_lines(decide.audited(_decided(spark, d))), "audit-log")
-    return lines.select(F.from_json("value", logs.AUDIT).alias("r")).select("r.request", "r.tenant", "r.disposition", "r.max_severity", "r.content_bytes")
+    rows = lines.select(F.from_json("value", logs.AUDIT).alias("r")).select("r.*").drop("total_ms", "degraded")
+    return rows.withColumns({"rule_ids": F.array_join("rule_ids", ","), "categories": F.array_join("categories", ","), "risk_score": F.round("risk_score", 6)})
 
 
-@query("S22_completion_log")
+@query("S22_completion_log", f"""WITH a AS (SELECT {', '.join(f'{e} AS {c}' for c, e in ANSWERS.items())} FROM events)
+ SELECT cast(request as string) AS request, CASE WHEN model <> '' THEN model ELSE asked_model END AS model, CASE WHEN ok THEN 200 ELSE 502 END AS status, cache_hit, prompt_tokens,
+ CASE WHEN prompt_tokens IS NOT NULL THEN coalesce(completion_tokens, 0) END AS completion_tokens, prompt_tokens IS NOT NULL AS has_usage FROM a""")
 def s22(spark, d):
     lines = logs.completion_lines(decide.completions(derived(table(spark, d, "events"), ANSWERS)))
     rows = lines.select(F.from_json("value", logs.COMPLETION).alias("r"), F.contains("value", F.lit("prompt_tokens")).alias("has_usage"))

@@ -180,11 +180,14 @@ def next_stage(lines: DataFrame, line: str = "line") -> DataFrame:
 
 
 def next_stage_response(lines: DataFrame, line: str = "line") -> DataFrame:
-    """One-shot answers of the next stage; one without content is an error."""
+    """One-shot answers of the next stage: content, model (empty if it names none), finish_reason, usage; one that isn't an
+    object or has no content is an error, with the rest null."""
     v = F.col("_v")
     out = lines.withColumn("_v", parsed(F.col(line)))
     content = _text(v, "$.content")
-    return out.select(*lines.columns, content.alias("content"), usage_of(v, "$.usage").alias("usage"), F.when(content.isNull(), "no content").alias("error"))
+    error = F.when(v.isNull() | ~_is_object(v), "not a JSON object").when(content.isNull(), "no content")
+    good = lambda c: F.when(content.isNotNull(), c)
+    return out.select(*lines.columns, content.alias("content"), good(F.coalesce(_text(v, "$.model"), F.lit(""))).alias("model"), good(_text(v, "$.finish_reason")).alias("finish_reason"), good(usage_of(v, "$.usage")).alias("usage"), error.alias("error"))
 
 
 def embedding_of(line: Column) -> Column:

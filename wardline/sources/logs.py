@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-AUDIT = "request string, tenant string, model string, disposition string, risk_score double, rule_ids array<string>, categories array<string>, max_severity string, content_bytes long"
+AUDIT = "request string, tenant string, model string, disposition string, risk_score double, rule_ids array<string>, categories array<string>, max_severity string, content_bytes long, total_ms double, degraded boolean"
 COMPLETION = "request string, model string, status int, cache_hit boolean, prompt_tokens long, completion_tokens long"
 
 
