@@ -24,7 +24,7 @@ def test_queries_block_attachments_and_mask_names(spark, sf, monkeypatch):
 
     all_rules = {r.rule_id for r in screening._decided(spark, sf).select(F.explode("findings.rule_id").alias("rule_id")).collect()}
     assert "MAL-001" in all_rules
-    monkeypatch.setattr(screening, "messages", planted)
+    monkeypatch.setattr(screening, "_requests", planted)
     got = {r.request: r for r in screening._decided(spark, sf).collect()}
     assert "Schmidt" not in got[1].forwarded[0].content and "PII-001" in [f.rule_id for f in got[1].findings]
     assert got[2].disposition == "block" and "PII-900" in [f.rule_id for f in got[2].findings]
