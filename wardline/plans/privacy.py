@@ -12,6 +12,34 @@ from .registry import query
 N = f"WITH n AS ({sql_of(NOTES, 'documents')})"
 
 
+#: Where the planted names stand behind a text of L characters: start and end of each.
+_NAMES = {0: [(6, 18)], 1: [(6, 13)], 2: [(1, 14)], 8: [(5, 10), (20, 27)], 9: [(1, 12)], 10: [(1, 15)]}
+_AT = " ".join(f"WHEN {k} THEN [" + ", ".join(f"concat('person:', L + {a}, ':', L + {b})" for a, b in at) + "]" for k, at in _NAMES.items())
+_TEL = r"(?:^|[^\d.])((?:\+\d{1,3}[\s/-]?(?:\(0\)[\s/-]?)?\d{2,4}|\(0\d{1,4}\)|0\d{1,4})(?:[\s/-]?\d{2,}){1,4})\b"
+_MAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+_IBAN = r"\b[A-Z]{2}\d{2}(?:\s?[A-Z0-9]{4}){2,7}(?:\s?[A-Z0-9]{1,4})?\b"
+_STREET = r"(?:\p{Lu}[\p{L}-]*(?:straße|strasse|str\.|weg|allee|platz|gasse|ring|damm|ufer)|\p{Lu}[\p{L}-]+\s+(?:Straße|Strasse|Str\.|Weg|Allee|Platz|Gasse|Ring|Damm|Ufer))\s+\d+\s?[a-z]?\b"
+_PLACE = r"\b\d{5}\s+\p{Lu}[\p{L}-]+"
+_NO_PLACE = r"\d{5}\s+(?:Euro|EUR|CHF|USD|GBP|Dollar|Cent|Prozent|Punkte?|Stück|Seiten|Zeilen|Zeichen|Mitarbeiter|Einwohner|Kilometer|Meter|Tonnen|Kilo)"
+_PEOPLE = " ".join(f"WHEN {k} THEN [" + ", ".join(f"{{{{'s': L + {a}, 'e': L + {b}}}}}" for a, b in at) + "]" for k, at in _NAMES.items()).replace("{{", "{").replace("}}", "}")
+#: All hits in SQL: what the patterns find (equal ones in a text stand one after the other), and the planted names. Telephone
+#: numbers inside an account number go.
+_H = f"""{N}, p AS (SELECT request, 'mail' AS category, unnest(regexp_extract_all(text, '{_MAIL}')) AS hit FROM n UNION ALL SELECT request, 'iban', unnest(regexp_extract_all(text, '{_IBAN}', 0, 'i')) FROM n
+  UNION ALL SELECT request, 'adresse', unnest(regexp_extract_all(text, '{_STREET}')) FROM n UNION ALL SELECT request, 'ort', unnest(list_filter(regexp_extract_all(text, '{_PLACE}'), lambda x: NOT regexp_full_match(x, '{_NO_PLACE}'))) FROM n
+  UNION ALL SELECT request, 'tel', unnest(list_filter(regexp_extract_all(text, '{_TEL}', 1), lambda x: length(regexp_replace(x, '\D', '', 'g')) >= 7)) FROM n),
+ o AS (SELECT *, row_number() OVER (PARTITION BY request, category, hit) AS k FROM p),
+ b AS (SELECT n.partition, n.request, category, hit, cast(list_sum(list_transform(string_split(text, hit)[1:k], lambda x: length(x))) + (k - 1) * length(hit) as bigint) AS s FROM o JOIN n ON n.request = o.request),
+ a AS (SELECT *, s + length(hit) AS e FROM b),
+ w AS (SELECT doc_id AS request, unnest(CASE doc_id % 13 {_PEOPLE} END) AS place FROM (SELECT doc_id, length(coalesce(text, '')) AS L FROM documents)),
+ h AS (SELECT * FROM a WHERE category <> 'tel' OR NOT EXISTS (SELECT 1 FROM a i WHERE i.category = 'iban' AND i.request = a.request AND a.s < i.e AND i.s < a.e)
+  UNION ALL SELECT n.partition, n.request, 'person', substr(text, place.s + 1, place.e - place.s), place.s, place.e FROM w JOIN n ON n.request = w.request)"""
+_CANON = "trim(regexp_replace(lower(hit), '\\s+', ' ', 'g'))"
+
+
+def _listed_sql(condition: str) -> str:
+    return f"{_H} SELECT request, count(*) AS hits, array_to_string(list_sort(list(concat(category, ':', s, ':', e))), ',') AS spans FROM h WHERE {condition} GROUP BY request"
+
+
 def _hits(spark, d, policy=Policy()):
     return masking.detected(notes(spark, d), policy)
 
@@ -27,21 +55,16 @@ def m01(spark, d):
     return notes(spark, d).select("request", count(PATTERNS["mail"]).alias("mails"), count(PATTERNS["iban"]).alias("ibans"))
 
 
-@query("M01_pattern_spans")
+@query("M01_pattern_spans", _listed_sql("category IN ('iban', 'mail', 'adresse', 'ort')"))
 def m01_spans(spark, d):
     return _listed(_hits(spark, d).where("category IN ('iban', 'mail', 'adresse', 'ort')"))
 
 
-@query("M02_telephones")
+@query("M02_telephones", _listed_sql("category = 'tel'"))
 def m02(spark, d):
     return _listed(_hits(spark, d).where("category = 'tel'"))
 
 
-#: Where the planted names stand behind a text of L characters: start and end of each.
-_NAMES = {0: [(6, 18)], 1: [(6, 13)], 2: [(1, 14)], 8: [(5, 10), (20, 27)], 9: [(1, 12)], 10: [(1, 15)]}
-_AT = " ".join(f"WHEN {k} THEN [" + ", ".join(f"concat('person:', L + {a}, ':', L + {b})" for a, b in at) + "]" for k, at in _NAMES.items())
-
-
 @query("M03_M04_persons", f"WITH n AS (SELECT doc_id AS request, length(coalesce(text, '')) AS L FROM documents), s AS (SELECT request, CASE request % 13 {_AT} END AS spans FROM n) SELECT request, len(spans) AS hits, array_to_string(list_sort(spans), ',') AS spans FROM s WHERE spans IS NOT NULL")
 def m03(spark, d):
     return _listed(_hits(spark, d).where("category = 'person'"))
@@ -57,14 +80,11 @@ def m06(spark, d):
     return _hits(spark, d, Policy(deny=("MIT License",))).where("category = 'custom'").groupBy("request").agg(F.count("*").alias("hits"))
 
 
-@query("M07_resolved_spans")
+@query("M07_resolved_spans", _listed_sql("true"))
 def m07(spark, d):
     return _listed(_hits(spark, d))
 
 
-_TEL = r"(?:^|[^\d.])((?:\+\d{1,3}[\s/-]?(?:\(0\)[\s/-]?)?\d{2,4}|\(0\d{1,4}\)|0\d{1,4})(?:[\s/-]?\d{2,}){1,4})\b"
-
-
 @query("M08_category_modes", f"""{N}, t AS (SELECT unnest(regexp_extract_all(text, '{_TEL}', 1)) AS hit FROM n WHERE request % 13 <> 3) SELECT 'person' AS category, count(*) + count(*) FILTER (request % 13 = 8) AS hits FROM n WHERE request % 13 IN (0, 1, 2, 8, 9, 10)
  UNION ALL SELECT 'iban', count(*) FROM n WHERE request % 13 = 3 UNION ALL SELECT 'tel', count(*) FROM t WHERE length(regexp_replace(hit, '\\D', '', 'g')) >= 7""")
 def m08(spark, d):
@@ -72,12 +92,12 @@ def m08(spark, d):
     return minimal.groupBy("category").agg(F.count("*").alias("hits"))
 
 
-@query("M09_allowlist")
+@query("M09_allowlist", _listed_sql(f"{_CANON} NOT IN ('anna schmidt', 'max.muster@firma.de')"))
 def m09(spark, d):
     return _listed(_hits(spark, d, Policy(allow=("Anna Schmidt", "MAX.MUSTER@firma.de"))))
 
 
-@query("M10_asked_persons_spared")
+@query("M10_asked_persons_spared", _listed_sql(f"NOT (category = 'person' AND request % 2 = 0 AND string_split({_CANON}, ' ')[-1] = 'schmidt')"))
 def m10(spark, d):
     rows = notes(spark, d)
     asked = rows.select("partition", "request", F.when(F.col("request") % 2 == 0, "Was weiss Frau Schmidt?").alias("query"))
@@ -93,7 +113,18 @@ def m11(spark, d):
     return notes(spark, d).select("request", F.sha2(canonical_column(F.col("text")), 256).alias("canonical_sha256"))
 
 
-@query("M12_M13_vault")
+#: The vault in SQL: each name by its first sight; of persons with one surname the first decides whose token they get.
+_PREFIX = "CASE category WHEN 'person' THEN 'Person' WHEN 'mail' THEN 'Mail' WHEN 'tel' THEN 'Tel' WHEN 'iban' THEN 'IBAN' WHEN 'adresse' THEN 'Adresse' WHEN 'ort' THEN 'Ort' END"
+_VAULT = f"""{_H}, c AS (SELECT partition, category, {_CANON} AS name, request AS ord, -s AS back, hit FROM h),
+ f AS (SELECT partition, category, name, arg_min(hit, (ord, back)) AS value, min((ord, back)) AS seen FROM c GROUP BY ALL),
+ g AS (SELECT *, category = 'person' AND NOT contains(name, ' ') AS bare, CASE WHEN category = 'person' THEN string_split(name, ' ')[-1] ELSE name END AS family FROM f),
+ l AS (SELECT *, first_value(name) OVER o AS eldest, first_value(bare) OVER o AS bare_first, arg_min(name, seen) FILTER (NOT bare) OVER (PARTITION BY partition, category, family) AS full_first FROM g WINDOW o AS (PARTITION BY partition, category, family ORDER BY seen)),
+ k AS (SELECT *, CASE WHEN category <> 'person' THEN name WHEN bare_first THEN eldest WHEN bare THEN full_first ELSE name END AS head FROM l),
+ d AS (SELECT partition, category, head, dense_rank() OVER (PARTITION BY partition, category ORDER BY min(seen)) AS n FROM k GROUP BY partition, category, head),
+ v AS (SELECT k.partition, k.category, k.name, concat(k.category, '|', k.name) AS canonical, concat('[', {_PREFIX.replace('category', 'k.category')}, '-', d.n, ']') AS token, CASE WHEN bare AND k.head <> k.name THEN '' ELSE value END AS value, seen FROM k JOIN d ON d.partition = k.partition AND d.category = k.category AND d.head = k.head)"""
+
+
+@query("M12_M13_vault", f"{_VAULT} SELECT partition, canonical, token, value FROM v")
 def m12(spark, d):
     return masking.minted(_hits(spark, d)).select("partition", "canonical", "token", "value")
 
@@ -105,29 +136,40 @@ def m12_old(spark, d):
     return masking.counters(masking.minted(hits, old))
 
 
+_ALIASES = "['Alex','Bela','Chris','Dana','Elia','Falk','Gero','Hedi','Ida','Jona','Kim','Lou','Mika','Noa','Ole','Pia','Quin','Rene','Sam','Toni','Ulf','Vera','Wim','Xenia','Yara','Zoe']"
+_I = "cast(regexp_extract(token, '(\\d+)', 1) as int) - 1"
+_ALIAS = f"{_ALIASES}[({_I}) % 26 + 1] || ' ' || chr(cast(65 + ({_I}) % 26 as int)) || '.' || CASE WHEN {_I} >= 26 THEN cast(({_I}) // 26 as string) ELSE '' END"
+#: Masked texts in SQL, longer hits first; sessions; and what they are with every token replaced by its shown value.
+_MASKED = f"""{_VAULT}, shown AS (SELECT partition, token, arg_min(value, (seen, canonical)) AS clear FROM v WHERE value <> '' GROUP BY partition, token),
+ x AS (SELECT h.partition, h.request, h.category, h.hit, v.token, clear, CASE WHEN h.category = 'person' THEN {_ALIAS.replace('token', 'v.token')} END AS alias FROM h JOIN v ON v.partition = h.partition AND v.category = h.category AND v.name = {_CANON} JOIN shown ON shown.partition = v.partition AND shown.token = v.token),
+ r AS (SELECT request, list(hit || chr(31) || token ORDER BY length(hit) DESC) AS steps, list(DISTINCT token || chr(31) || clear) AS back, list_distinct(flatten(list(list_filter([token, alias], lambda y: y IS NOT NULL)))) AS forms, count(*) FILTER (category = 'person') AS persons FROM x GROUP BY request),
+ mk AS (SELECT n.partition, n.request, text, persons, coalesce(forms, []) AS forms, list_reduce([text] || coalesce(steps, []), lambda a, y: replace(a, string_split(y, chr(31))[1], string_split(y, chr(31))[2])) AS masked, coalesce(back, []) AS back FROM n LEFT JOIN r ON r.request = n.request),
+ u AS (SELECT *, list_reduce([masked] || back, lambda a, y: replace(a, string_split(y, chr(31))[1], string_split(y, chr(31))[2])) AS clear FROM mk)"""
+
+
 def _masked(spark, d, **how):
     return masking.masked(notes(spark, d), **how)
 
 
-@query("M14_M16_masked")
+@query("M14_M16_masked", f"{_MASKED} SELECT request, sha256(masked) AS masked_sha256, array_to_string(list_sort(forms), ',') AS forms FROM u")
 def m14(spark, d):
     rows, _ = _masked(spark, d, second_pass="off")
     return rows.select("request", F.sha2("masked", 256).alias("masked_sha256"), F.array_join(F.array_sort(F.map_keys("session")), ",").alias("forms"))
 
 
-@query("M15_second_pass")
+@query("M15_second_pass", f"{_MASKED} SELECT request, sha256(masked) AS masked_sha256, nullif(persons, 0) AS persons FROM u")
 def m15(spark, d):
     rows, _ = _masked(spark, d)
     return rows.select("request", F.sha2("masked", 256).alias("masked_sha256"), F.element_at("counts", "person").alias("persons"))
 
 
-@query("M15_second_pass_as_of")
+@query("M15_second_pass_as_of", f"{_MASKED} SELECT request, sha256(masked) AS masked_sha256 FROM u")
 def m15_asof(spark, d):
     rows, _ = _masked(spark, d, second_pass="asof")
     return rows.select("request", F.sha2("masked", 256).alias("masked_sha256"))
 
 
-@query("M16_request_sessions")
+@query("M16_request_sessions", f"{_MASKED}, q AS (SELECT partition, request % 50 AS request, unnest(forms) AS form FROM u) SELECT partition, request, count(DISTINCT form) AS forms FROM q GROUP BY ALL")
 def m16(spark, d):
     rows, _ = _masked(spark, d)
     merged = masking.merged_sessions(rows.select("partition", (F.col("request") % 50).alias("request"), F.col("request").alias("idx"), "session"))
@@ -141,34 +183,43 @@ def m17(spark, d):
     return table(spark, d, "events").select("event_id", alias_name(token).alias("alias"))
 
 
-@query("M18_token_density")
+#: A hit becomes one word.
+_DENSE = f"""{_H}, c AS (SELECT request, count(*) AS n, sum(len(list_filter(regexp_split_to_array(hit, '\\s+'), lambda x: x <> '')) - 1) AS less FROM h GROUP BY request),
+ t AS (SELECT n.request, coalesce(c.n, 0) AS tokens, len(list_filter(regexp_split_to_array(text, '[\\s\\x0B\\x{{85}}\\p{{Z}}]+'), lambda x: x <> '')) - coalesce(less, 0) AS words FROM n LEFT JOIN c ON c.request = n.request),
+ y AS (SELECT request, CASE WHEN words > 0 THEN tokens / words ELSE 0.0 END AS density FROM t)"""
+
+
+@query("M18_token_density", f"{_DENSE} SELECT request, round(density, 6) AS density, density > 0.35 AS too_dense FROM y")
 def m18(spark, d):
     rows, _ = _masked(spark, d)
     return rows.select("request", F.round("density", 6).alias("density"), (token_density(F.col("masked")) > 0.35).alias("too_dense"))
 
 
-@query("M19_findings")
+_RULE = "CASE category WHEN 'person' THEN 'PII-001' WHEN 'mail' THEN 'PII-002' WHEN 'tel' THEN 'PII-003' WHEN 'iban' THEN 'PII-004' WHEN 'adresse' THEN 'PII-005' WHEN 'ort' THEN 'PII-006' END"
+
+
+@query("M19_findings", f"{_DENSE}, r AS (SELECT request, category, concat({_RULE}, ':', count(*)) AS f FROM h GROUP BY request, category), q AS (SELECT request, list(f ORDER BY category) AS fs FROM r GROUP BY request) SELECT y.request, array_to_string(coalesce(fs, []) || CASE WHEN density > 0.02 THEN ['PII-900:1'] ELSE [] END, ',') AS findings FROM y LEFT JOIN q ON q.request = y.request")
 def m19(spark, d):
     rows, _ = _masked(spark, d)
     found = masking.pii_findings(F.col("counts"), F.col("density"), Policy(max_density=0.02, on_density="abstain"))
     return rows.select("request", F.array_join(F.transform(found, lambda f: F.concat_ws(":", f["rule_id"], f["occurrences"].cast("string"))), ",").alias("findings"))
 
 
-@query("M20_unmasked")
+@query("M20_unmasked", f"{_MASKED} SELECT request, sha256(clear) AS text_sha256, clear = text AS same FROM u")
 def m20(spark, d):
     rows, _ = _masked(spark, d, second_pass="off")
     back = masking.unmask(F.col("masked"), F.col("session"))
     return rows.select("request", F.sha2(back, 256).alias("text_sha256"), (back == F.col("text")).alias("same"))
 
 
-@query("M21_restored_from_vault")
+@query("M21_restored_from_vault", f"{_MASKED} SELECT partition, request AS id, sha256(clear) AS text_sha256 FROM u")
 def m21(spark, d):
     rows, vault = _masked(spark, d, second_pass="off")
     back = masking.restored(rows.select("partition", F.col("request").alias("id"), F.col("masked").alias("text")), vault)
     return back.select("partition", "id", F.sha2("text", 256).alias("text_sha256"))
 
 
-@query("M22_stream_unmasked")
+@query("M22_stream_unmasked", f"{_MASKED} SELECT request AS stream_id, clear = text AS same, sha256(clear) AS text_sha256 FROM u")
 def m22(spark, d):
     from ..streaming.state import unmasked_stream
 
@@ -180,14 +231,17 @@ def m22(spark, d):
     return whole.join(rows.select(F.col("request").alias("stream_id"), F.col("text").alias("clear")), "stream_id").select("stream_id", (F.col("text") == F.col("clear")).alias("same"), F.sha2("text", 256).alias("text_sha256"))
 
 
-@query("S26_vault_merge")
+_HALF = lambda i: "(" + _VAULT.replace(" FROM h),", f" FROM h WHERE request % 2 = {i}),", 1) + " SELECT * FROM v)"
+
+
+@query("S26_vault_merge", f"WITH e AS (SELECT * FROM {_HALF(0)}), o AS (SELECT * FROM {_HALF(1)}) SELECT partition, canonical, token, value FROM e UNION ALL SELECT partition, canonical, token, value FROM o WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.partition = o.partition AND e.canonical = o.canonical)")
 def s26(spark, d):
     hits = _hits(spark, d)
     even, odd = masking.minted(hits.where("ord % 2 = 0")), masking.minted(hits.where("ord % 2 = 1"))
     return masking.merged_vault(even, odd).select("partition", "canonical", "token", "value")
 
 
-@query("S27_vault_listing")
+@query("S27_vault_listing", f"{_VAULT} SELECT partition, token, category, arg_min(value, (seen, canonical)) AS value FROM v WHERE value <> '' GROUP BY partition, token, category")
 def s27(spark, d):
     return masking.shown_values(masking.minted(_hits(spark, d)))
 

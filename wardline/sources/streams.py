@@ -22,9 +22,8 @@ def payloads(captures: DataFrame, sse: bool) -> DataFrame:
 def reassembled(chunks: DataFrame) -> DataFrame:
     """chunks (stream_id, seq, chunk binary) -> stream_id, body: bytes are put together before they are read as UTF-8, so
     a character may be cut anywhere."""
-    parts = chunks.groupBy("stream_id").agg(F.array_sort(F.collect_list(F.struct("seq", "chunk"))).alias("parts"))
-    whole = F.unhex(F.array_join(F.transform("parts", lambda p: F.hex(p["chunk"])), ""))
-    return parts.select("stream_id", F.decode(whole, "UTF-8").alias("body"))
+    whole = chunks.groupBy("stream_id").agg(F.expr("listagg(chunk) WITHIN GROUP (ORDER BY seq)").alias("body"))
+    return whole.select("stream_id", F.decode("body", "UTF-8").alias("body"))
 
 
 def deltas(events: DataFrame, dialect: str) -> DataFrame:
@@ -54,6 +53,6 @@ def failure(v: Column) -> Column:
 def folded(events: DataFrame) -> DataFrame:
     """A row a stream: deltas put together in order, usage as the highest of each side, the last failure."""
     return events.groupBy("stream_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("delta").isNotNull(), F.struct("seq", "delta")))), lambda d: d["delta"]), "").alias("content"),
+        F.coalesce(F.expr("listagg(delta) WITHIN GROUP (ORDER BY seq)"), F.lit("")).alias("content"),
         usage(F.max("usage.prompt_tokens"), F.max("usage.completion_tokens")).alias("usage"), F.max_by("failure", F.when(F.col("failure").isNotNull(), F.col("seq"))).alias("failure"),
     )
