@@ -15,7 +15,19 @@ from pyspark.sql import functions as F
 
 #: Bytes of strings, and rows, that a Python function gets at a time. Spark bounds an Arrow batch by its own setting of
 #: bytes (spark.sql.execution.arrow.maxBytesPerBatch); as lists and results take several times that, it is cut further.
-SLICE_BYTES, SLICE_ROWS = 4 << 20, 1000
+SLICE_BYTES, SLICE_ROWS = 2 << 20, 500
+
+
+_WORKER: dict = {}
+
+
+def of_worker(key: tuple, make: Callable[[], object]) -> object:
+    """What a worker process keeps from task to task, made when first asked for. Spark hands the same processes to one
+    operator after the other, so they keep one thing at a time: the last one's is dropped."""
+    if key not in _WORKER:
+        _WORKER.clear()
+        _WORKER[key] = make()
+    return _WORKER[key]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,6 +99,7 @@ def map_batches(df: DataFrame, fn: Callable[..., dict], schema: str) -> DataFram
             for part in slices(batch):
                 made = fn(*[c.to_pylist() for c in part.columns])
                 yield pa.RecordBatch.from_arrays([pa.array(made[f.name], type=f.type) for f in arrow], schema=arrow)
+            pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 
@@ -107,6 +120,7 @@ def keep_rows(docs: DataFrame, columns: list, decide: Callable[..., list]) -> Da
                 got = [part.column(names.index(c)) if c in names else pa.nulls(part.num_rows, pa.string()) for c in columns]
                 lists = [(pc.fill_null(g, "") if c == "text" else g).to_pylist() for c, g in zip(columns, got)]
                 yield part.filter(pa.array(decide(*lists), pa.bool_()))
+            pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, forget, keep_rows, labels, map_batches, stored
+from .common import documents, forget, keep_rows, labels, map_batches, of_worker, stored
 from .quality_rules import repeated_words
 from .toxicity import held_out
 
@@ -30,7 +30,7 @@ from .toxicity import held_out
 LABELLED = 3000
 ROUNDS, SURE = 4, 0.97
 SOURCES, LANGS, WORDS = 32, 8, 32
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 _UPPER, _SIGNS, _BARS = re.compile("[A-ZÀ-ÖØ-Þ]"), re.compile(r"[#*$%&<>!@^~_=+{}\[\]\\]"), re.compile(r"(?:^|\s)[|»›•·/\\–—-]+(?=\s|$)")
 
 
@@ -44,9 +44,6 @@ class _Slots(dict):
         return out
 
 
-_SLOTS = _Slots()
-
-
 def content_view(text: str) -> list[float]:
     """Of a whole text: share of different words, of words in repeated windows, of capitals, of signs, of
     separators standing alone, of digits; word length and number of words; the share of its words in each of WORDS
@@ -55,7 +52,8 @@ def content_view(text: str) -> list[float]:
     n, size = len(words), max(1, len(text))
     if not n:
         return [0.0] * (8 + WORDS)
-    bag = np.bincount(np.fromiter(map(_SLOTS.__getitem__, words), dtype=np.int64, count=n), minlength=WORDS) / n
+    slots = of_worker(("slots",), _Slots)
+    bag = np.bincount(np.fromiter(map(slots.__getitem__, words), dtype=np.int64, count=n), minlength=WORDS) / n
     return [
         len(set(words)) / n, repeated_words(words) / n, len(_UPPER.findall(text)) / size, len(_SIGNS.findall(text)) / size,
         len(_BARS.findall(text)) / n, sum(map(text.count, "0123456789")) / size, len(text) / n / 10, math.log1p(n) / 10, *bag.tolist(),

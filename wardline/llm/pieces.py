@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, map_batches, text_rows
+from .common import documents, map_batches, of_worker, text_rows
 
 VOCABULARY = "piece_bpe_32k.model"
 MARK = "▁"
@@ -212,13 +212,8 @@ class Pieces:
         return text[1:] if text.startswith(" ") else text
 
 
-_KEPT: dict[str, Pieces] = {}
-
-
 def _pieces(path: str) -> Pieces:
-    if path not in _KEPT:
-        _KEPT[path] = Pieces(path)
-    return _KEPT[path]
+    return of_worker(("pieces", path), lambda: Pieces(path))
 
 
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, map_batches, stored, text_rows
+from .common import documents, map_batches, of_worker, stored, text_rows
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Pre-tokens that a worker remembers beside the pinned ones, then it starts anew; longer ones aren't remembered.
@@ -108,17 +108,6 @@ class PreTokenCache:
             yield [self.value(self.encode([text])[0])] if part is None else list(map(look, part))
 
 
-def _cache(key: tuple, make) -> PreTokenCache:
-    """One cache for each worker process, kept while the process lives."""
-    if key not in _KEPT:
-        _KEPT.clear()
-        _KEPT[key] = make()
-    return _KEPT[key]
-
-
-_KEPT: dict = {}
-
-
 # --- counts -------------------------------------------------------------------------------------------------
 
 
@@ -157,7 +146,7 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = 1024, fr
     shared = spark.sparkContext.broadcast(table)
 
     def count(ids: list, texts: list) -> dict:
-        cache = _cache((path, "count", shared.id if hasattr(shared, "id") else id(shared)), lambda: PreTokenCache(path, len, shared.value))
+        cache = of_worker((path, "count", shared.id if hasattr(shared, "id") else id(shared)), lambda: PreTokenCache(path, len, shared.value))
         n = [sum(v) for v in cache.values(texts)]
         return {"doc_id": ids, "n_bytes": [len(t.encode()) for t in texts], "n_tokens": n, "over_limit": [x > limit for x in n]}
 
@@ -254,7 +243,7 @@ def token_pieces(docs: DataFrame, path: str, size: int, end_id: int | None) -> D
     length. A document's first piece takes what is left over; the others are full."""
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = _cache((path, "ids"), lambda: PreTokenCache(path, _bytes))
+        cache = of_worker((path, "ids"), lambda: PreTokenCache(path, _bytes))
         end = b"" if end_id is None else np.array([end_id], dtype="<u4").tobytes()
         task, seen = TaskContext.get().partitionId(), [0] * (size + 1)
         for batch in batches:

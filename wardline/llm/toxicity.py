@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, keep_rows, labels, map_batches, text_rows
+from .common import documents, keep_rows, labels, map_batches, of_worker, text_rows
 
 BUCKETS, WIDTH, SIZES, WINDOW = 1 << 19, 4, (3, 4, 5, 6), 3
 #: The labelled rows that training takes at most, of each class; all their passages count.
@@ -267,14 +267,12 @@ def trained(rows: list[tuple[str, int]]) -> Model:
     return calibrated(fit(r for i, r in enumerate(rows) if i % FOLD), rows[::FOLD])
 
 
-_KEPT: dict = {}
-
-
 def _numbers(shared) -> Numbers:
     """One table for each worker process and model."""
-    if _KEPT.get("of") is not shared.value:
-        _KEPT.update(of=shared.value, numbers=Numbers(shared.value))
-    return _KEPT["numbers"]
+    kept = of_worker(("toxicity",), dict)
+    if kept.get("of") is not shared.value:
+        kept.update(of=shared.value, numbers=Numbers(shared.value))
+    return kept["numbers"]
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
