@@ -26,7 +26,7 @@ _PEOPLE = " ".join(f"WHEN {k} THEN [" + ", ".join(f"{{{{'s': L + {a}, 'e': L + {
 #: numbers inside an account number go.
 _H = f"""{N}, p AS (SELECT request, 'mail' AS category, unnest(regexp_extract_all(text, '{_MAIL}')) AS hit FROM n UNION ALL SELECT request, 'iban', unnest(regexp_extract_all(text, '{_IBAN}', 0, 'i')) FROM n
   UNION ALL SELECT request, 'adresse', unnest(regexp_extract_all(text, '{_STREET}')) FROM n UNION ALL SELECT request, 'ort', unnest(list_filter(regexp_extract_all(text, '{_PLACE}'), lambda x: NOT regexp_full_match(x, '{_NO_PLACE}'))) FROM n
-  UNION ALL SELECT request, 'tel', unnest(list_filter(regexp_extract_all(text, '{_TEL}', 1), lambda x: length(regexp_replace(x, '\D', '', 'g')) >= 7)) FROM n),
+  UNION ALL SELECT request, 'tel', unnest(list_filter(regexp_extract_all(text, '{_TEL}', 1), lambda x: length(regexp_replace(x, '[^0-9]', '', 'g')) >= 7)) FROM n),
  o AS (SELECT *, row_number() OVER (PARTITION BY request, category, hit) AS k FROM p),
  b AS (SELECT n.partition, n.request, category, hit, cast(list_sum(list_transform(string_split(text, hit)[1:k], lambda x: length(x))) + (k - 1) * length(hit) as bigint) AS s FROM o JOIN n ON n.request = o.request),
  a AS (SELECT *, s + length(hit) AS e FROM b),
