@@ -13,9 +13,11 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of strings, and rows, that a Python function gets at a time. Spark bounds an Arrow batch by its own setting of
-#: bytes (spark.sql.execution.arrow.maxBytesPerBatch); as lists and results take several times that, it is cut further.
+#: Bytes of strings, and rows, that a Python function gets at a time.
 SLICE_BYTES, SLICE_ROWS = 2 << 20, 500
+#: Bytes of an Arrow batch. The JVM holds one or two for each running task outside its heap, so Spark's default of 64 MB is
+#: much beside small executors.
+BATCH, DEFAULT_BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", 4 << 20
 
 
 _WORKER: dict = {}
@@ -86,6 +88,12 @@ def forget(*frames: DataFrame) -> None:
             where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of BATCH_BYTES for this session's Python functions, unless the session has a bound of its own."""
+    if spark.conf.get(BATCH, DEFAULT_BATCH) == DEFAULT_BATCH:
+        spark.conf.set(BATCH, str(BATCH_BYTES))
+
+
 def map_batches(df: DataFrame, fn: Callable[..., dict], schema: str) -> DataFrame:
     """mapInArrow with plain lists: fn gets one list for each column of df and returns a dict of columns in
     the order of schema."""
@@ -93,6 +101,7 @@ def map_batches(df: DataFrame, fn: Callable[..., dict], schema: str) -> DataFram
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(_parse_datatype_string(schema))
+    bounded_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -113,6 +122,7 @@ def keep_rows(docs: DataFrame, columns: list, decide: Callable[..., list]) -> Da
     """The rows of docs for which decide, given lists of the columns (a null text as ''), is true; no shuffle. Rows
     pass through whole, whatever their other columns."""
     names = docs.columns
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

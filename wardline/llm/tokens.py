@@ -29,7 +29,7 @@ from .common import documents, map_batches, of_worker, stored, text_rows
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Pre-tokens that a worker remembers beside the pinned ones, then it starts anew; longer ones aren't remembered.
-CACHE_ENTRIES, CACHE_CHARS = 800_000, 64
+CACHE_ENTRIES, CACHE_CHARS = 500_000, 64
 #: Rows of the broadcast table of frequent pre-tokens, at most 64 characters each: below 4 MB at any input size.
 FREQUENT = 32_768
 PINNED_CHARS = 64
