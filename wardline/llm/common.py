@@ -15,9 +15,6 @@ from pyspark.sql import functions as F
 
 #: Bytes of strings, and rows, that a Python function gets at a time.
 SLICE_BYTES, SLICE_ROWS = 2 << 20, 500
-#: Bytes of an Arrow batch. The JVM holds one or two for each running task outside its heap, so Spark's default of 64 MB is
-#: much beside small executors.
-BATCH, DEFAULT_BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", 4 << 20
 
 
 _WORKER: dict = {}
@@ -42,11 +39,14 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """A batch in consecutive parts of at most SLICE_ROWS rows and, but for single rows that are longer, SLICE_BYTES of
-    strings and binaries."""
+    strings, binaries and lists of numbers (8 bytes each). Every function over Arrow batches goes by them: what it makes of
+    a part is gone before the next one, however many rows and bytes the session puts into a batch."""
     size = np.zeros(batch.num_rows, dtype=np.int64)
     for column in batch.columns:
         if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
             size += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+        elif pa.types.is_list(column.type):
+            size += 8 * pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
     ends, at = np.cumsum(size), 0
     while at < batch.num_rows:
         end = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE_BYTES, side="right"))
@@ -88,12 +88,6 @@ def forget(*frames: DataFrame) -> None:
             where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Arrow batches of BATCH_BYTES for this session's Python functions, unless the session has a bound of its own."""
-    if spark.conf.get(BATCH, DEFAULT_BATCH) == DEFAULT_BATCH:
-        spark.conf.set(BATCH, str(BATCH_BYTES))
-
-
 def map_batches(df: DataFrame, fn: Callable[..., dict], schema: str) -> DataFrame:
     """mapInArrow with plain lists: fn gets one list for each column of df and returns a dict of columns in
     the order of schema."""
@@ -101,7 +95,6 @@ def map_batches(df: DataFrame, fn: Callable[..., dict], schema: str) -> DataFram
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(_parse_datatype_string(schema))
-    bounded_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -122,7 +115,6 @@ def keep_rows(docs: DataFrame, columns: list, decide: Callable[..., list]) -> Da
     """The rows of docs for which decide, given lists of the columns (a null text as ''), is true; no shuffle. Rows
     pass through whole, whatever their other columns."""
     names = docs.columns
-    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -17,13 +17,14 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, map_batches, of_worker, text_rows
+from .common import documents, map_batches, of_worker, slices, text_rows
 
 VOCABULARY = "piece_bpe_32k.model"
 MARK = "▁"
@@ -234,11 +235,11 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     path = path or vocabulary_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column(2)
+        for part in chain.from_iterable(map(slices, batches)):
+            lists = part.column(2)
             ids, ends, null = lists.values.to_numpy(), lists.offsets.to_numpy(), lists.is_null().to_pylist()
             texts = [None if n else _pieces(path).decode(ids[a:b].tolist()) for a, b, n in zip(ends, ends[1:], null)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=["doc_id", "text", "ids", "decoded"])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=["doc_id", "text", "ids", "decoded"])
 
     return encoded.select("doc_id", "text", "ids").mapInArrow(run, "doc_id long, text string, ids array<int>, decoded string")
 

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, map_batches, of_worker, stored, text_rows
+from .common import documents, map_batches, of_worker, slices, stored, text_rows
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Pre-tokens that a worker remembers beside the pinned ones, then it starts anew; longer ones aren't remembered.
@@ -118,8 +118,8 @@ def frequent_words(docs: DataFrame, rows: int = FREQUENT, per_task: int = 4096)
 
     def summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
-        for batch in batches:
-            seen.update(chain.from_iterable(t.split(" ") for t in batch.column(0).to_pylist()))
+        for part in chain.from_iterable(map(slices, batches)):
+            seen.update(chain.from_iterable(t.split(" ") for t in part.column(0).to_pylist()))
             if len(seen) > 32 * per_task:
                 seen = Counter(dict(seen.most_common(8 * per_task)))
         top = [(w, n) for w, n in seen.most_common(per_task) if 0 < len(w) < PINNED_CHARS]
@@ -246,9 +246,9 @@ def token_pieces(docs: DataFrame, path: str, size: int, end_id: int | None) -> D
         cache = of_worker((path, "ids"), lambda: PreTokenCache(path, _bytes))
         end = b"" if end_id is None else np.array([end_id], dtype="<u4").tobytes()
         task, seen = TaskContext.get().partitionId(), [0] * (size + 1)
-        for batch in batches:
+        for part in chain.from_iterable(map(slices, batches)):
             out: list[list] = [[] for _ in range(6)]
-            for doc, values in zip(batch.column(0).to_pylist(), cache.values(batch.column(1).to_pylist())):
+            for doc, values in zip(part.column(0).to_pylist(), cache.values(part.column(1).to_pylist())):
                 ids = b"".join(values) + end
                 n = len(ids) // 4
                 start, length = 0, n % size or size
