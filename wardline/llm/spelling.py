@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from .common import documents, forget, of_worker, slices, stored, text_rows
 
 SHORTEST, LEAST, RATIO, DAMAGED = 7, 2, 10, 31
-#: Words of one batch of neighbourhoods; each has about 2 * length * symbols rows.
-WORDS = 2000
+#: Words of one batch of neighbourhoods, each of about 2 * length * symbols rows, and of one task.
+WORDS, TASK_WORDS = 2000, 20_000
 #: Bits of the map of hashes: 16 for each word, within these bounds (16 MB at most).
 FEWEST_BITS, MOST_BITS = 1 << 16, 1 << 27
 _LOWER = {c: c + 32 for c in range(65, 91)}
@@ -162,7 +162,7 @@ def _keys(words: DataFrame, r: int) -> DataFrame:
 
 def _keys_around(words: DataFrame, r: int, bits: int) -> DataFrame:
     """key, word, n: each hash of the neighbourhood of each reduced word that the map of hashes lets pass, once."""
-    known = words.sparkSession.sparkContext.broadcast(hash_map(words, r, bits))
+    known = words.sparkSession.sparkContext.broadcast(hash_map(words, r, bits))  # MOST_BITS at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags = known.value
@@ -197,7 +197,8 @@ def near_words(words: DataFrame, r: int | None = None, bits: int | None = None)
     size = words.count()
     r, bits = r or symbols(size), bits or min(max(1 << (16 * size).bit_length(), FEWEST_BITS), MOST_BITS)
     there = _keys(words, r).select("key", F.col("word").alias("other"), F.col("n").alias("other_n"))
-    return _keys_around(words, r, bits).join(there.hint("shuffle_hash"), "key").where(one_edit(F.col("word"), F.col("other"))).drop("key")
+    spread = words.repartition(max(1, -(-size // TASK_WORDS)))  # few files hold many words
+    return _keys_around(spread, r, bits).join(there.hint("shuffle_hash"), "key").where(one_edit(F.col("word"), F.col("other"))).drop("key")
 
 
 def roots(forms: DataFrame) -> DataFrame:
