@@ -13,6 +13,7 @@ from wardline.functions.scan import disposition, scan, source_trust
 from wardline.operators import decide, masking
 from wardline.sources import dialects, streams
 from wardline.streaming import state
+from wardline.streaming.rewriting import Forms
 
 
 def _scan(spark, *texts, trust="untrusted", **how):
@@ -173,9 +174,11 @@ def test_streaming_rate_limit_equals_batch(spark, sf):
 def test_rewriter_across_chunks(cut):
     session = {"[Person-1]": "Eva", "[Person-11]": "Otto", "[Mail-1]": "a@b.de"}
     text = "[Person-1] und [Person-11] an [Mail-1] [Person-2] [Per"
-    r = state.Rewriter(session)
-    out = "".join(r.push(text[i : i + cut]) for i in range(0, len(text), cut)) + r.flush()
-    assert out == "Eva und Otto an a@b.de [Person-2] [Per"
+    forms, tail, out = Forms(session), "", []
+    for i in range(0, len(text), cut):
+        ready, tail = forms.push(tail, text[i : i + cut])
+        out.append(ready)
+    assert "".join(out) + forms.clear(tail) == "Eva und Otto an a@b.de [Person-2] [Per"
 
 
 def test_dialects_and_streams(spark):

@@ -6,8 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import cache
 from ..operators.storage import stored
-from .fixtures import MESSAGES_SQL, derived, messages, table
-from .registry import query
+from .fixtures import MESSAGES_SQL, derived, messages, query, table
 
 M = f"WITH m AS ({MESSAGES_SQL})"
 #: Requests are cache entries if even, lookups if odd; a prompt is one of few, so that lookups meet entries.

@@ -1,8 +1,31 @@
-"""Inputs of the queries, made from the given tables by expressions that Spark and DuckDB read alike."""
+"""Inputs of the queries, made from the given tables by expressions that Spark and DuckDB read alike, and how queries are
+registered."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators.storage import shared_path
+from ..streaming import keyed
+
+QUERIES: dict = {}
+ORACLE_SQL: dict = {}
+
+
+def query(name: str, sql: str | None = None):
+    """Register a query (spark, sf_dir) -> DataFrame, with the same in DuckDB's SQL where that can say it."""
+
+    def add(fn):
+        QUERIES[name] = fn
+        if sql is not None:
+            ORACLE_SQL[name] = sql
+        return fn
+
+    return add
+
 
 #: One phrase for each injection rule, and some of other kinds; planted by (conv_id + turn).
 PHRASES = (
@@ -96,3 +119,23 @@ MESSAGES_SQL = sql_of(MESSAGES, "conversations")
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts with personal data, one message each."""
     return derived(table(spark, sf_dir, "documents"), NOTES).selectExpr("partition", "request", "cast(idx as int) AS idx", "ord", "text")
+
+
+def hits(findings: Column, prefix=("INJ", "SEC", "OWN")):
+    own = F.filter(findings, lambda f: F.substring(f["rule_id"], 1, 3).isin(*prefix))
+    return F.array_join(F.transform(own, lambda f: F.concat(f["rule_id"], F.lit(":"), f["occurrences"].cast("string"))), ",")
+
+
+def replayed(spark, source: DataFrame, transform, order: str = "ts", triggers: int = 4) -> DataFrame:
+    """A table read as a stream through transform into a table in the shared folder: a range of order arrives, a run takes it as
+    one micro-batch and ends, and the next one starts again from what the checkpoint holds."""
+    base, at = shared_path(spark, f"stream-{uuid.uuid4().hex}"), F.col(order).cast("double")
+    cuts = source.select(at.alias("at")).approxQuantile("at", [k / triggers for k in range(1, triggers)], 0.01)
+    own = [at <= cuts[0], *((at > a) & (at <= b) for a, b in zip(cuts, cuts[1:])), at > cuts[-1]] if cuts else [F.lit(True)]
+    live = keyed.store_session(spark)
+    for part in own:
+        source.where(part).write.mode("append").parquet(f"{base}/in")
+        stream = live.readStream.schema(source.schema).parquet(f"{base}/in")
+        run = transform(stream).writeStream.format("parquet").option("checkpointLocation", f"{base}/state").option("path", f"{base}/out").trigger(availableNow=True).start()
+        run.awaitTermination()
+    return spark.read.parquet(f"{base}/out")

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions.personal import PATTERNS, Policy, alias_name, canonical_column, token_density
 from ..operators import masking
-from .fixtures import NOTES, notes, sql_of, table
-from .registry import query
+from ..operators.storage import stored
+from ..streaming import keyed
+from .fixtures import NOTES, notes, query, replayed, sql_of, table
 
 N = f"WITH n AS ({sql_of(NOTES, 'documents')})"
 
@@ -231,6 +232,21 @@ def m22(spark, d):
     return whole.join(rows.select(F.col("request").alias("stream_id"), F.col("text").alias("clear")), "stream_id").select("stream_id", (F.col("text") == F.col("clear")).alias("same"), F.sha2("text", 256).alias("text_sha256"))
 
 
+@query("M22_streamed", f"{_MASKED} SELECT request AS stream_id, clear = text AS same, sha256(clear) AS text_sha256 FROM u")
+def m22_streamed(spark, d):
+    """As M22, as a stream: a trigger gets a part of every stream's chunks, the early ones too, and its session with some of them."""
+    rows, _ = _masked(spark, d, second_pass="off")
+    rows = stored(rows.select("request", "text", "masked", "session"), "masked")
+    size = F.greatest(F.lit(1), F.ceil(F.length("masked") / 7)).cast("int")
+    cut = F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.substring(F.col("masked"), (i * 7 + 1).cast("int"), F.lit(7)))
+    chunks = rows.select(F.col("request").alias("stream_id"), "session", size.alias("n"), F.posexplode(cut).alias("seq", "chunk"))
+    session = F.when(F.col("seq") == F.col("n") % 5 % F.col("n"), F.coalesce("session", F.create_map().cast("map<string,string>")))
+    chunks = chunks.select("stream_id", F.col("seq").cast("long").alias("seq"), "chunk", (F.col("seq") == F.col("n") - 1).alias("last"), session.alias("session"), (F.col("seq") * 7 % 4).alias("trigger"))
+    out = replayed(spark, chunks, keyed.unmasked_live, "trigger")
+    whole = out.groupBy("stream_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), "").alias("text"))
+    return whole.join(rows.select(F.col("request").alias("stream_id"), F.col("text").alias("clear")), "stream_id").select("stream_id", (F.col("text") == F.col("clear")).alias("same"), F.sha2("text", 256).alias("text_sha256"))
+
+
 _HALF = lambda i: "(" + _VAULT.replace(" FROM h),", f" FROM h WHERE request % 2 = {i}),", 1) + " SELECT * FROM v)"
 
 

@@ -2,20 +2,5 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
-
-
-def query(name: str, sql: str | None = None):
-    """Register a query (spark, sf_dir) -> DataFrame, with the same in DuckDB's SQL where that can say it."""
-
-    def add(fn):
-        QUERIES[name] = fn
-        if sql is not None:
-            ORACLE_SQL[name] = sql
-        return fn
-
-    return add
-
-
-from . import answers, privacy, screening, state, wire  # noqa: E402,F401
+from . import answers, privacy, screening, state, wire  # noqa: F401
+from .fixtures import ORACLE_SQL, QUERIES, query  # noqa: F401

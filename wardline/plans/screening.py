@@ -13,8 +13,7 @@ from ..functions.scan import HIDDEN, STRONG, disposition, hidden_count, role_tru
 from ..functions.surface import base64_payloads, surfaces
 from ..operators import decide, masking
 from ..operators.storage import stored
-from .fixtures import MESSAGES, MESSAGES_SQL, SAID, SAID_DLP, SEVERITY, TRUST_SQL, WEIGHT, WEIGHT_SQL, bucket_sql, derived, messages, planted, said_sql, sql_of, table, weight_sql
-from .registry import query
+from .fixtures import MESSAGES, MESSAGES_SQL, SAID, SAID_DLP, SEVERITY, TRUST_SQL, WEIGHT, WEIGHT_SQL, bucket_sql, derived, hits, messages, planted, query, said_sql, sql_of, table, weight_sql
 
 M = f"WITH m AS ({MESSAGES_SQL}), t AS (SELECT *, {TRUST_SQL} AS trust FROM m)"
 SOURCES = {"doc_id": "doc_id", "kind": "CASE doc_id % 6 WHEN 0 THEN 'Note' WHEN 1 THEN 'web' WHEN 2 THEN 'JIRA' WHEN 3 THEN 'user' ELSE source END", "mine": "doc_id % 50 = 0"}
@@ -138,15 +137,10 @@ def _hits_sql(rules: list[Rule], text: str = "cleaned") -> str:
     return f"array_to_string(list_filter([{', '.join(each)}], lambda x: x IS NOT NULL), ',')"
 
 
-def _hits(findings, prefix=("INJ", "SEC", "OWN")):
-    own = F.filter(findings, lambda f: F.substring(f["rule_id"], 1, 3).isin(*prefix))
-    return F.array_join(F.transform(own, lambda f: F.concat(f["rule_id"], F.lit(":"), f["occurrences"].cast("string"))), ",")
-
-
 def _rule_query(name: str, rules: list[Rule], sql: str | None = None):
     @query(name, sql or f"{H} SELECT request, idx, {_hits_sql(rules)} AS hits FROM c")
     def q(spark, d):
-        return scan(_hiding(spark, d), rules=rules, normalize=False).select("request", "idx", _hits(F.col("findings")).alias("hits"))
+        return scan(_hiding(spark, d), rules=rules, normalize=False).select("request", "idx", hits(F.col("findings")).alias("hits"))
 
 
 #: The SQL side doesn't know the patterns: it says which rules the planted phrases are meant for.
@@ -160,7 +154,7 @@ DOCS_SECRETS = f"SELECT doc_id, {_hits_sql(SECRETS, 'text')} AS hits FROM docume
 @query("I05_secret_rules", DOCS_SECRETS)
 def i05(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text", F.lit("neutral").alias("trust"))
-    return scan(docs, rules=SECRETS, normalize=False).select("doc_id", _hits(F.col("findings")).alias("hits"))
+    return scan(docs, rules=SECRETS, normalize=False).select("doc_id", hits(F.col("findings")).alias("hits"))
 
 
 #: The planted phrases as a reader would still take them for what they are, though no plain pattern does.
@@ -193,7 +187,7 @@ def i09(spark, d):
 
 @query("I10_three_step_match", f"{_D} SELECT request, idx, CASE WHEN how IN (2, 3) AND NOT plain THEN 'INJ-001:1' || CASE WHEN said <> '' THEN ',' || said ELSE '' END ELSE said END AS hits FROM d")
 def i10(spark, d):
-    return scan(_disguised(spark, d)).select("request", "idx", _hits(F.col("findings")).alias("hits"))
+    return scan(_disguised(spark, d)).select("request", "idx", hits(F.col("findings")).alias("hits"))
 
 
 @query("I11_obfuscation", f"{_D} SELECT request, idx, CASE WHEN how IN (2, 3) <> plain AND how < 4 THEN 1 ELSE 0 END AS evaded_rules FROM d")
@@ -216,7 +210,7 @@ _I13 = f"{SCORED} SELECT request, idx, round(least(1.0, raw * mult), 6) AS risk_
 
 @query("I12_findings", _I12)
 def i12(spark, d):
-    return _scored(spark, d).select("request", "idx", _hits(F.col("findings")).alias("hits"), F.round("raw_score", 6).alias("raw_score"))
+    return _scored(spark, d).select("request", "idx", hits(F.col("findings")).alias("hits"), F.round("raw_score", 6).alias("raw_score"))
 
 
 @query("I13_risk_score", _I13)
@@ -231,7 +225,7 @@ def _surfaced(spark, d):
 
 @query("I12_findings_all", _I12)
 def i12_all(spark, d):
-    return _surfaced(spark, d).select("request", "idx", _hits(F.col("findings")).alias("hits"), F.round("raw_score", 6).alias("raw_score"))
+    return _surfaced(spark, d).select("request", "idx", hits(F.col("findings")).alias("hits"), F.round("raw_score", 6).alias("raw_score"))
 
 
 @query("I13_risk_score_all", _I13)
@@ -279,7 +273,7 @@ def _dlp(spark, d):
 
 @query("D01_dlp_findings", f"{M} SELECT request, idx, {said_sql(_KEY, SAID_DLP)} AS hits FROM m")
 def d01(spark, d):
-    return _dlp(spark, d).select("request", "idx", _hits(F.col("dlp_findings"), ("DLP",)).alias("hits"))
+    return _dlp(spark, d).select("request", "idx", hits(F.col("dlp_findings"), ("DLP",)).alias("hits"))
 
 
 @query("D02_dlp_actions", f"{M} SELECT request, idx, CASE WHEN (request + idx) % 37 = 23 THEN 1.0 ELSE 0.0 END::DOUBLE AS dlp_score, (request + idx) % 37 = 25 AS dlp_modified FROM m")

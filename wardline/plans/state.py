@@ -2,17 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scan import disposition, role_trust, scan
-from ..operators.storage import shared_path
-from ..streaming import state
-from .fixtures import MESSAGES, MESSAGES_SQL, TRUST_SQL, WEIGHT_SQL, bucket_sql, derived, said_sql, table, weight_sql
-from .registry import query
-from .screening import _hits
+from ..streaming import keyed, state
+from .fixtures import MESSAGES, MESSAGES_SQL, TRUST_SQL, WEIGHT_SQL, bucket_sql, derived, hits, query, replayed, said_sql, table, weight_sql
 
 
 def _log(events: DataFrame) -> DataFrame:
@@ -66,24 +61,14 @@ def t06(spark, d):
     return state.capped_sessions(live, 50)
 
 
-def replayed(spark, source: DataFrame, transform, files: int = 8) -> DataFrame:
-    """A table read as a stream, through transform, into a table in the shared folder."""
-    base = shared_path(spark, f"stream-{uuid.uuid4().hex}")
-    source.repartitionByRange(files, "ts").sortWithinPartitions("ts").write.parquet(f"{base}/in")
-    stream = spark.readStream.schema(source.schema).parquet(f"{base}/in")
-    run = transform(stream).writeStream.format("parquet").option("checkpointLocation", f"{base}/state").option("path", f"{base}/out").trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.read.parquet(f"{base}/out")
-
-
 @query("T03_streaming_rate_limit", _T01)
 def t03(spark, d):
-    return replayed(spark, table(spark, d, "events"), lambda s: state.rate_limited_stream(_log(s), 4, 3600.0, 2))
+    return replayed(spark, table(spark, d, "events"), lambda s: keyed.rate_limited_stream(_log(s), 4, 3600.0, 2, late="1 hour"))
 
 
 @query("T05_streaming_sessions", _T04)
 def t05(spark, d):
-    return replayed(spark, table(spark, d, "events"), lambda s: state.session_stream(_ops(s)))
+    return replayed(spark, table(spark, d, "events"), lambda s: keyed.session_stream(_ops(s)))
 
 
 _T07 = f"""WITH m AS ({MESSAGES_SQL}), t AS (SELECT *, {TRUST_SQL} AS trust FROM m), s AS (SELECT *, {said_sql('request + idx')} AS hits, least(1.0, ({weight_sql('request + idx')}) * {WEIGHT_SQL}) AS risk FROM t)
@@ -99,6 +84,6 @@ def t07(spark, d):
     def screened(s: DataFrame) -> DataFrame:
         out = scan(derived(s, MESSAGES).withColumn("trust", role_trust(F.col("role"))))
         v = disposition(F.col("findings"), F.col("raw_score"), F.col("trust"), F.col("was_modified"))
-        return out.select("request", "idx", "trust", v["disposition"].alias("disposition"), v["risk_score"].alias("risk_score"), _hits(F.col("findings")).alias("hits"))
+        return out.select("request", "idx", "trust", v["disposition"].alias("disposition"), v["risk_score"].alias("risk_score"), hits(F.col("findings")).alias("hits"))
 
     return replayed(spark, rows, screened)

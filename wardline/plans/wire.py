@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from ..operators import decide
 from ..operators.storage import stored
 from ..sources import dialects, logs, streams
-from .fixtures import MESSAGES_SQL, derived, messages, table
-from .registry import query
+from ..streaming import keyed
+from .fixtures import MESSAGES_SQL, derived, messages, query, replayed, table
 from .screening import _BYTES_SQL, ANSWERS, G, _AUDIT, _attachments, _decided
 
 DIALECTS = ("openai", "anthropic", "ollama")
@@ -169,6 +169,18 @@ def s14(spark, d):
     return streams.reassembled(chunks).select("stream_id", F.sha2("body", 256).alias("body_sha256"))
 
 
+@query("S14_streamed_lines", """SELECT request AS stream_id, unnest(range(0, len(parts) - 1)) AS seq, unnest(list_transform(parts[:-2], lambda p: sha256(p))) AS line_sha256
+ FROM (SELECT doc_id AS request, string_split(text, chr(10)) AS parts FROM documents WHERE octet_length(encode(text)) > 0) WHERE len(parts) > 1""")
+def s14_streamed(spark, d):
+    """The documents as streams of chunks of 997 bytes, each trigger with a part of every stream's chunks, the early ones too."""
+    data = F.encode(F.col("text"), "UTF-8")
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.octet_length("text") - 1) / 997)), lambda i: F.substring(data, (i * 997 + 1).cast("int"), F.lit(997)))
+    rows = table(spark, d, "documents").where("octet_length(text) > 0").select(F.col("doc_id").alias("stream_id"), F.size(cut).alias("n"), F.posexplode(cut).alias("seq", "chunk"))
+    rows = rows.select("stream_id", F.col("seq").cast("long").alias("seq"), "chunk", (F.col("seq") == F.col("n") - 1).alias("last"), (F.col("seq") * 7 % 4).alias("trigger"))
+    lines = replayed(spark, rows, keyed.line_stream, "trigger")
+    return lines.where("not last").select("stream_id", "seq", F.sha2("line", 256).alias("line_sha256"))
+
+
 def _deltas(spark, d, dialect):
     return streams.deltas(streams.payloads(_events(spark, d, dialect), dialect != "ollama"), dialect)
 
@@ -192,6 +204,21 @@ def s18(spark, d):
     return f.select("stream_id", F.sha2("content", 256).alias("content_sha256"), F.col("usage.completion_tokens").cast("int").alias("completion_tokens"))
 
 
+@query("S18_streamed_folds", "SELECT conv_id * 1000 + turn AS stream_id, sha256(text) AS content_sha256, 9 AS completion_tokens FROM conversations WHERE role = 'assistant'")
+def s18_streamed(spark, d):
+    """The captures as streams of chunks of 100 bytes, each trigger with a part of every stream's, put together to lines as they
+    come; the lines' events folded by a second stream."""
+    bodies = _events(spark, d, "anthropic").select("stream_id", F.encode("body", "UTF-8").alias("data"))
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.octet_length("data") - 1) / 100)), lambda i: F.substring(F.col("data"), (i * 100 + 1).cast("int"), F.lit(100)))
+    rows = bodies.select("stream_id", F.size(cut).alias("n"), F.posexplode(cut).alias("seq", "chunk"))
+    rows = rows.select("stream_id", F.col("seq").cast("long").alias("seq"), "chunk", (F.col("seq") == F.col("n") - 1).alias("last"), (F.col("seq") * 7 % 4).alias("trigger"))
+    lines = replayed(spark, rows, keyed.line_stream, "trigger")
+    payload = F.when(F.startswith("line", F.lit("data:")), F.trim(F.substring("line", 6, 1 << 30)))
+    events = streams.deltas(lines.withColumn("payload", payload), "anthropic").withColumn("trigger", F.col("seq") % 3)
+    f = replayed(spark, events, keyed.fold_stream, "trigger")
+    return f.select("stream_id", F.sha2("content", 256).alias("content_sha256"), F.col("completion_tokens").cast("int").alias("completion_tokens"))
+
+
 @query("S19_next_stage", "SELECT conv_id, turn, CASE WHEN text <> '' THEN sha256(text) END AS delta_sha256, turn AS prompt_tokens, NULL::VARCHAR AS failure FROM conversations WHERE turn % 5 <> 4")
 def s19(spark, d):
     rows = table(spark, d, "conversations").select("conv_id", "turn", F.when(F.col("turn") % 5 == 4, "oops").otherwise(F.to_json(F.struct(F.col("text").alias("delta"), F.struct(F.col("turn").alias("prompt_tokens")).alias("usage")))).alias("line"))

@@ -1,16 +1,17 @@
 """State kept by key: token buckets, masking sessions, chunked answers. The folds are plain Python on sorted rows; batch
-jobs walk a key's rows with them in batches, streams keep what they carry as state."""
+jobs walk a key's rows with them in batches, streams (keyed.py) keep what they carry as state."""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .rewriting import Forms
+
 RATE, INTERVAL, BURST = 60, 60.0, 10
 PARK_TTL, EXTENDED_TTL = 900.0, 14_400.0
 
@@ -115,97 +116,16 @@ def capped_sessions(live: DataFrame, most: int = 10_000) -> DataFrame:
     return live.orderBy(F.desc("expires_at"), "correlation").limit(most)
 
 
-class Rewriter:
-    """Puts clear values into a stream of chunks. What could be the start of a known form waits for the next chunk."""
-
-    def __init__(self, session: dict[str, str]):
-        self.forms = sorted((k for k in session if k), key=lambda k: (-len(k), k))
-        self.session, self.rest = session, ""
-
-    def _clear(self, text: str) -> str:
-        for form in self.forms:
-            text = text.replace(form, self.session[form])
-        return text
-
-    def push(self, chunk: str) -> str:
-        text = self.rest + chunk
-        hold = 0
-        for form in self.forms:
-            for n in range(min(len(form) - 1, len(text)), hold, -1):
-                if text.endswith(form[:n]):
-                    hold = n
-                    break
-        self.rest = text[len(text) - hold :]
-        return self._clear(text[: len(text) - hold])
-
-    def flush(self) -> str:
-        out, self.rest = self._clear(self.rest), ""
-        return out
-
-
 def unmasked_stream(chunks: DataFrame, sessions: DataFrame) -> DataFrame:
     """chunks (stream_id, seq, chunk) and sessions (stream_id, session) -> stream_id, seq, text: each chunk's clear part
-    as it can go out, and after the last one a row with what was held back (seq null if nothing was)."""
-    ends = chunks.groupBy("stream_id").agg(F.max("seq").alias("last"))
-    rows = chunks.join(ends, "stream_id").join(sessions, "stream_id", "left").select("stream_id", "seq", "chunk", "last", F.map_entries("session").alias("session"))
+    as it can go out; the last one's row has what was held back, too. A session travels with its stream's first chunk alone."""
+    ends = chunks.groupBy("stream_id").agg(F.max("seq").alias("last"), F.min("seq").alias("first"))
+    rows = chunks.join(ends, "stream_id").join(sessions, "stream_id", "left")
+    rows = rows.select("stream_id", "seq", "chunk", (F.col("seq") == F.col("last")).alias("last"), F.when(F.col("seq") == F.col("first"), F.map_entries("session")).alias("session"))
 
     def fold(state, row):
-        state = state or Rewriter({e["key"]: e["value"] for e in row[4] or []})
-        out = state.push(row[2] or "")
-        if row[1] == row[3]:
-            out += state.flush()
-        return state, (row[0], row[1], out)
+        forms, tail = state or (Forms({e["key"]: e["value"] for e in row[4] or []}), "")
+        out, tail = forms.push(tail, row[2] or "")
+        return (forms, tail), (row[0], row[1], out + forms.clear(tail) if row[3] else out)
 
     return by_key(rows, "stream_id", ["seq"], fold, "stream_id long, seq long, text string")
-
-
-# --- streams ------------------------------------------------------------------------------------------------
-
-
-def rate_limited_stream(log: DataFrame, requests: int = RATE, interval: float = INTERVAL, burst: int = BURST, rest_s: float = 3600.0, late: str = "1 day") -> DataFrame:
-    """A streaming log (caller, ts, event_id): buckets are kept as state by caller. One that has rested for rest_s of
-    event time, and by then is full again, is dropped; the watermark that tells so waits for late rows."""
-    from pyspark.sql.streaming.state import GroupStateTimeout
-
-    def judge(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        bucket = state.get if state.exists else None
-        rows = pd.concat(list(frames)).sort_values(["at", "event_id"])
-        out = []
-        for at, event in zip(rows["at"], rows["event_id"]):
-            bucket, ok, wait = admit(tuple(bucket) if bucket is not None else None, max(at, bucket[1]) if bucket is not None else at, requests, interval, burst)
-            out.append((event, key[0], ok, wait))
-        state.update(tuple(bucket))
-        state.setTimeoutTimestamp(max(int((bucket[1] + rest_s) * 1000), state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["event_id", "caller", "allowed", "retry_after"])
-
-    rows = log.withWatermark("ts", late).select("caller", "ts", (F.unix_micros("ts") / 1e6).alias("at"), "event_id")
-    return rows.groupBy("caller").applyInPandasWithState(judge, "event_id long, caller string, allowed boolean, retry_after double", "tokens double, updated double", "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def session_stream(ops: DataFrame, late: str = "1 day") -> DataFrame:
-    """A streaming log of session operations, with a session's partition and expiry as state, dropped once the watermark
-    has passed the expiry."""
-    from pyspark.sql.streaming.state import GroupStateTimeout
-
-    def walk(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        now = dict(zip(("partition", "expires"), state.get)) if state.exists else None
-        rows, out = pd.concat(list(frames)).sort_values(["at", "event_id"]), []
-        for at, event, partition, op, size in zip(*[rows[c] for c in ("at", "event_id", "partition", "op", "size")]):
-            now, found = session_step(now, op, partition, size, at)
-            out.append((event, key[0], op, found))
-        if now is None:
-            if state.exists:
-                state.remove()
-        else:
-            state.update((now["partition"], now["expires"]))
-            state.setTimeoutTimestamp(max(int(now["expires"] * 1000), state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["event_id", "correlation", "op", "found"])
-
-    rows = ops.withWatermark("ts", late).select("correlation", "ts", (F.unix_micros("ts") / 1e6).alias("at"), "event_id", "partition", "op", "size")
-    return rows.groupBy("correlation").applyInPandasWithState(walk, "event_id long, correlation string, op string, found boolean", "partition string, expires double", "append", GroupStateTimeout.EventTimeTimeout)
