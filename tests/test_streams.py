@@ -151,3 +151,24 @@ def test_ten_thousand_forms():
         out.append(ready)
     assert "".join(out) + forms.clear(tail) == "".join(f"x N{i}" for i in range(0, 10_000, 7))
     assert not tail
+
+
+# --- hot keys in batch --------------------------------------------------------------------------------------
+
+
+def test_a_hot_callers_log_is_walked_by_many_tasks(spark, sf):
+    from wardline.plans import state as plans
+    from wardline.plans.fixtures import table
+
+    log = plans._hot_log(table(spark, sf, "events"))
+    got = state.rate_limited(log, 60, 3600.0, 2, hot_rows=100).where("caller = 'one'")
+    assert got.select(F.spark_partition_id()).distinct().count() > 1
+    parts = state.limit_parts(log, 60, 3600.0, 2).where("caller = 'one'").first()
+    assert parts.rows == got.count() and parts.parts > 100 and parts.longest < parts.rows / 10
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, state.rate_limited(log, 60, 3600.0, 2).where("caller = 'one'").collect()))
+
+
+def test_a_log_without_reset_points_is_one_part(spark):
+    log = spark.range(300).select(F.lit("c").alias("caller"), F.timestamp_seconds("id").alias("ts"), F.col("id").alias("event_id"))
+    assert tuple(state.limit_parts(log, 0, 60.0, 5).first()) == ("c", 1, 300, 300)
+    assert state.rate_limited(log, 0, 60.0, 5, hot_rows=10).where("allowed").count() == 5

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.policy import RECORD, UNIT
-from ..streaming.state import by_key
+from ..streaming.state import HOT_ROWS, by_parts
 from .storage import latest_before, stored
 
 KEY = ["partition", "model", "prompt", "temperature", "max_tokens"]
@@ -153,17 +153,20 @@ def invalidated(entries: DataFrame, partition: str | None = None, model: str | N
     return entries.where(~gone)
 
 
-def replayed(log: DataFrame, ttl: int = TTL) -> DataFrame:
+def replayed(log: DataFrame, ttl: int = TTL, hot_rows: int = HOT_ROWS) -> DataFrame:
     """log (key, ts, event_id) -> key, event_id, kind: a request is a hit while the entry lives that the last miss
     stored; a hit doesn't lengthen its life, the first request after it stores anew. Each key's times pass one after
-    the other; only the time of the last store is held."""
+    the other; only the time of the last store is held. A hot key's log is cut where nothing was asked for longer than an
+    entry lives (with ttl 0 nothing ends, and nothing is cut)."""
 
     def fold(at, row):
         if at is not None and (ttl == 0 or row[1] - at <= ttl * 1_000_000):
             return at, (row[0], row[2], "exact")
         return row[1], (row[0], row[2], "miss")
 
-    return by_key(log.select("key", F.unix_micros("ts").alias("at"), "event_id"), "key", ["at", "event_id"], fold, "key string, event_id long, kind string")
+    rows = log.select("key", F.unix_micros("ts").alias("at"), "event_id")
+    fresh = lambda before: F.lit(ttl != 0) & (F.col("at") - before > ttl * 1_000_000)
+    return by_parts(rows, "key", ["at", "event_id"], fold, "key string, event_id long, kind string", fresh, "at", hot_rows)
 
 
 def statistics(results: DataFrame, stored_: DataFrame | None = None, expired_: DataFrame | None = None, evicted: DataFrame | None = None, invalidated_: DataFrame | None = None) -> DataFrame:

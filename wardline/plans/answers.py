@@ -140,6 +140,16 @@ def c09(spark, d):
     return cache.replayed(log, 3600)
 
 
+@query("C09_hot_key", """WITH RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY us, event_id) AS i FROM (SELECT CASE WHEN event_id % 10 < 9 THEN 'one' ELSE event_type END AS key, epoch_us(ts) AS us, event_id FROM events)),
+ t AS (SELECT key, event_id, i, us AS since, 'miss' AS kind FROM o WHERE i = 1 UNION ALL
+  SELECT o.key, o.event_id, o.i, CASE WHEN o.us - t.since <= 600000000 THEN t.since ELSE o.us END, CASE WHEN o.us - t.since <= 600000000 THEN 'exact' ELSE 'miss' END FROM t JOIN o ON o.key = t.key AND o.i = t.i + 1)
+ SELECT key, event_id, kind FROM t""")
+def c09_hot(spark, d):
+    """Nine of ten requests ask for one key."""
+    log = table(spark, d, "events").select(F.expr("CASE WHEN event_id % 10 < 9 THEN 'one' ELSE event_type END").alias("key"), "ts", "event_id")
+    return cache.replayed(log, 600, hot_rows=100)
+
+
 @query("C10_caps", f"{E} SELECT entry_id FROM (SELECT *, row_number() OVER (PARTITION BY partition ORDER BY last_used DESC, entry_id) AS n FROM e) WHERE n <= 200 ORDER BY last_used DESC, entry_id LIMIT 500")
 def c10(spark, d):
     return cache.capped(_entries(spark, d), 200, 500).select("entry_id")

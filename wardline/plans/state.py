@@ -23,16 +23,36 @@ def t01(spark, d):
     return state.rate_limited(_log(table(spark, d, "events")), 4, 3600.0, 2)
 
 
+#: Nine of ten events are one caller's.
+_HOT = "CASE WHEN event_id % 10 < 9 THEN 'one' ELSE cast(user_id as string) END"
+
+
+def _hot_log(events: DataFrame) -> DataFrame:
+    return events.select(F.expr(_HOT).alias("caller"), "ts", "event_id")
+
+
+@query("T01_hot_caller", f"WITH RECURSIVE {bucket_sql(_HOT, 20, 3600.0, 2)} SELECT event_id, caller, ok AS allowed, CASE WHEN ok THEN 0.0 ELSE greatest(1.0, ceil((1 - f) / {20 / 3600.0!r}::DOUBLE)) END::DOUBLE AS retry_after FROM t")
+def t01_hot(spark, d):
+    return state.rate_limited(_hot_log(table(spark, d, "events")), 20, 3600.0, 2, hot_rows=100)
+
+
+@query("T01_limit_parts", f"""WITH o AS (SELECT {_HOT} AS caller, event_id, epoch_us(ts) / 1e6 AS sec FROM events), b AS (SELECT *, lag(sec) OVER (PARTITION BY caller ORDER BY sec, event_id) AS before FROM o),
+ p AS (SELECT *, count(*) FILTER (before IS NULL OR (sec - before) * {20 / 3600.0!r}::DOUBLE >= 2) OVER (PARTITION BY caller ORDER BY sec, event_id) AS part FROM b)
+ SELECT caller, count(*) AS parts, sum(n)::BIGINT AS rows, max(n) AS longest FROM (SELECT caller, part, count(*) AS n FROM p GROUP BY caller, part) GROUP BY caller""")
+def t01_parts(spark, d):
+    return state.limit_parts(_hot_log(table(spark, d, "events")), 20, 3600.0, 2)
+
+
 @query("T02_retry_after", "SELECT event_id, greatest(1.0, ceil((1 - (value % 1)) * 15.0)) AS wait FROM events")
 def t02(spark, d):
     return table(spark, d, "events").select("event_id", state.retry_after(F.col("value") % 1, 4, 60.0).alias("wait"))
 
 
-def _ops(events: DataFrame) -> DataFrame:
+def _ops(events: DataFrame, correlation: str = "cast(user_id as string)") -> DataFrame:
     kind = F.col("event_id") % 8
     op = F.when(kind < 2, "park").when(kind < 6, "fetch").when(kind == 6, "extend").otherwise("close")
     part = F.concat(F.lit("t"), (F.floor(F.col("event_id") / 3) % 2).cast("string"))
-    return events.select(F.col("user_id").cast("string").alias("correlation"), "ts", "event_id", part.alias("partition"), op.alias("op"), (F.col("event_id") % 5).cast("int").alias("size"))
+    return events.select(F.expr(correlation).alias("correlation"), "ts", "event_id", part.alias("partition"), op.alias("op"), (F.col("event_id") % 5).cast("int").alias("size"))
 
 
 #: Each step in turn: sp and se are the session's partition and expiry after it, null without one.
@@ -49,6 +69,12 @@ def t04(spark, d):
     return state.sessions(_ops(table(spark, d, "events")))
 
 
+@query("T04_hot_session", _T04.replace("SELECT cast(user_id as string) AS correlation", f"SELECT {_HOT} AS correlation"))
+def t04_hot(spark, d):
+    events = table(spark, d, "events")
+    return state.sessions(_ops(events, _HOT), hot_rows=100)
+
+
 @query("T04_parked_lookups", """SELECT f.event_id, EXISTS (SELECT 1 FROM events p WHERE p.event_id % 2 = 0 AND p.user_id = f.user_id AND p.event_type = f.event_type AND epoch_us(f.ts) >= epoch_us(p.ts) AND epoch_us(f.ts) - epoch_us(p.ts) < 90000000000) AS found FROM events f WHERE f.event_id % 2 = 1""")
 def t04_parked(spark, d):
     rows = table(spark, d, "events").select("event_id", F.col("user_id").cast("string").alias("correlation"), F.col("event_type").alias("partition"), "ts")

@@ -7,9 +7,10 @@ import math
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.storage import stored
 from .rewriting import Forms
 
 RATE, INTERVAL, BURST = 60, 60.0, 10
@@ -36,7 +37,7 @@ def retry_after(tokens: Column, requests: int = RATE, interval: float = INTERVAL
     return F.greatest(F.lit(1.0), F.ceil((1 - tokens) * (interval / requests)).cast("double"))
 
 
-def by_key(df: DataFrame, key: str, order: list[str], fold, schema: str) -> DataFrame:
+def by_key(df: DataFrame, key: str | list[str], order: list[str], fold, schema: str) -> DataFrame:
     """Walk each key's rows in order with fold(state, row) -> (state, row out or None). Rows are dealt by key and sorted;
     Arrow batches pass one after the other and only the state of the key at hand is held, so a key's rows never
     stand in memory together."""
@@ -44,35 +45,91 @@ def by_key(df: DataFrame, key: str, order: list[str], fold, schema: str) -> Data
     from pyspark.sql.types import _parse_datatype_string
 
     arrow = to_arrow_schema(_parse_datatype_string(schema))
-    at = df.columns.index(key)
+    keys = [key] if isinstance(key, str) else key
+    at = [df.columns.index(k) for k in keys]
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, state = object(), None
         for batch in batches:
             out: list[list] = [[] for _ in arrow]
             for row in zip(*[c.to_pylist() for c in batch.columns]):
-                if row[at] != last:
-                    last, state = row[at], None
+                own = [row[i] for i in at]
+                if own != last:
+                    last, state = own, None
                 state, made = fold(state, row)
                 if made is not None:
                     for column, value in zip(out, made):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, arrow)], schema=arrow)
 
-    return df.repartition(key).sortWithinPartitions(key, *order).mapInArrow(walk, schema)
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(walk, schema)
+
+
+#: Keys with more rows than that, and with more than a thousandth of all rows, are walked in parts.
+HOT_ROWS = 10_000
+
+
+def parted(df: DataFrame, key: str, order: list[str], fresh, previous: str) -> DataFrame:
+    """df with _first, the place in order of the first row of the part that a row lies in. A part begins where fresh(what
+    previous was in the key's row before) is true: where a walk's state doesn't depend on what went before.
+
+    A key's rows are dealt by ranges of their order. Each range looks among its own rows; what the ranges before it end
+    with, a row for each key and range, is carried on."""
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = stored(df.repartitionByRange(ranges, key, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    own, before = Window.partitionBy(key, "_range").orderBy(*order), Window.partitionBy(key).orderBy("_range")
+    place = F.struct(*order)
+    ends = dealt.groupBy(key, "_range").agg(F.max_by(previous, place).alias("_end")).withColumn("_end", F.lag("_end").over(before))
+    rows = dealt.join(ends, [key, "_range"]).withColumn("_before", F.coalesce(F.lag(previous).over(own), "_end"))
+    rows = stored(rows.withColumn("_first", F.when(F.col("_before").isNull() | fresh(F.col("_before")), place)).drop("_before", "_end"), "firsts")
+    firsts = rows.groupBy(key, "_range").agg(F.max("_first").alias("_carried"))
+    firsts = firsts.withColumn("_carried", F.last("_carried", ignorenulls=True).over(before.rowsBetween(Window.unboundedPreceding, -1)))
+    within = F.last("_first", ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("_first", within).join(firsts, [key, "_range"]).withColumn("_first", F.coalesce("_first", "_carried")).drop("_range", "_carried")
+
+
+def by_parts(df: DataFrame, key: str, order: list[str], fold, schema: str, fresh, previous: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """As by_key, with the rows of hot keys walked part by part (see parted), each part by whichever task gets it. There are
+    fewer than a thousand hot keys, so they can be broadcast."""
+    sizes = stored(df.groupBy(key).agg(F.count("*").alias("n")), "key-sizes")
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    hot = sizes.where(F.col("n") > max(hot_rows, total // 1000)).select(key)
+    if not hot.take(1):
+        return by_key(df, key, order, fold, schema)
+    some = parted(df.join(F.broadcast(hot), key, "left_semi"), key, order, fresh, previous)
+    names = [f"_first{i}" for i in range(len(order))]
+    some = some.select(*df.columns, *[F.col("_first")[c].alias(n) for c, n in zip(order, names)])
+    rest = df.join(F.broadcast(hot), key, "left_anti")
+    return by_key(some, [key, *names], order, fold, schema).unionByName(by_key(rest, key, order, fold, schema))
+
+
+def _full_again(requests: int, interval: float, burst: int):
+    """Whether a bucket is full at a time, whatever it held at the one before: not less than a burst has flown back."""
+    rate = requests / interval if interval > 0 else 0.0
+    return lambda before: (F.col("at") - before) * rate >= float(max(1, burst))
+
+
+def _judged(log: DataFrame) -> DataFrame:
+    return log.select("caller", (F.unix_micros("ts") / 1e6).alias("at"), "event_id")
 
 
-def rate_limited(log: DataFrame, requests: int = RATE, interval: float = INTERVAL, burst: int = BURST) -> DataFrame:
+def rate_limited(log: DataFrame, requests: int = RATE, interval: float = INTERVAL, burst: int = BURST, hot_rows: int = HOT_ROWS) -> DataFrame:
     """log (caller, ts, event_id) -> event_id, caller, allowed, retry_after, in the order of (ts, event_id) of each
-    caller. A caller's requests can't be judged apart from one another, so a hot caller is one pass in one task, with
-    a state of two numbers."""
-    rows = log.select("caller", (F.unix_micros("ts") / 1e6).alias("at"), "event_id")
+    caller. A hot caller's log is cut where its bucket is surely full again; between two such times it is one pass in one
+    task, with a state of two numbers (limit_parts says how long those are)."""
 
     def fold(state, row):
         state, ok, wait = admit(state, row[1], requests, interval, burst)
         return state, (row[2], row[0], ok, wait)
 
-    return by_key(rows, "caller", ["at", "event_id"], fold, "event_id long, caller string, allowed boolean, retry_after double")
+    schema = "event_id long, caller string, allowed boolean, retry_after double"
+    return by_parts(_judged(log), "caller", ["at", "event_id"], fold, schema, _full_again(requests, interval, burst), "at", hot_rows)
+
+
+def limit_parts(log: DataFrame, requests: int = RATE, interval: float = INTERVAL, burst: int = BURST) -> DataFrame:
+    """caller, parts, rows, longest: in how many parts each caller's log can be walked apart, and the rows of the longest."""
+    each = parted(_judged(log), "caller", ["at", "event_id"], _full_again(requests, interval, burst), "at").groupBy("caller", "_first").agg(F.count("*").alias("n"))
+    return each.groupBy("caller").agg(F.count("*").alias("parts"), F.sum("n").alias("rows"), F.max("n").alias("longest"))
 
 
 def session_step(state: dict | None, op: str, partition: str, size: int, now: float) -> tuple[dict | None, bool | None]:
@@ -91,15 +148,17 @@ def session_step(state: dict | None, op: str, partition: str, size: int, now: fl
     return state, None
 
 
-def sessions(ops: DataFrame) -> DataFrame:
-    """ops (correlation, ts, event_id, partition, op, size) -> event_id, correlation, op, found."""
+def sessions(ops: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """ops (correlation, ts, event_id, partition, op, size) -> event_id, correlation, op, found. A hot id's log is cut where a
+    session is parked or closed, which leaves nothing of what was there."""
     rows = ops.select("correlation", (F.unix_micros("ts") / 1e6).alias("at"), "event_id", "partition", "op", "size")
 
     def fold(state, row):
         state, found = session_step(state, row[4], row[3], row[5], row[1])
         return state, (row[2], row[0], row[4], found)
 
-    return by_key(rows, "correlation", ["at", "event_id"], fold, "event_id long, correlation string, op string, found boolean")
+    fresh = lambda before: (F.col("op") == "close") | (F.col("op") == "park") & (F.col("size") > 0)
+    return by_parts(rows, "correlation", ["at", "event_id"], fold, "event_id long, correlation string, op string, found boolean", fresh, "at", hot_rows)
 
 
 def parked_lookups(parks: DataFrame, fetches: DataFrame, ttl: float = PARK_TTL) -> DataFrame:
