@@ -48,10 +48,23 @@ def test_runs_without_sql(spark, sf, name):
 
 
 def test_guards_attachments_and_dense_texts_all_occur(spark, sf):
-    rules = ",".join(r.rules for r in registry.QUERIES["G01_decisions"](spark, sf).collect())
-    assert all(r in rules for r in ("GW-001", "MAL-001", "PII-900", "PII-001", "INJ-", "DLP-"))
+    rules = ",".join(r.rules for r in registry.QUERIES["G01_decisions"](spark, "/root/testdata/sf0.01").collect())  # 20 requests are too few
+    assert all(r in rules for r in ("GW-001", "GW-003", "MAL-001", "PII-900", "PII-001", "INJ-", "DLP-"))
     assert {r.guard for r in registry.QUERIES["P07_count_guard"](spark, sf).collect()} == {"GW-001", "GW-003", None}
     assert {r.too_large for r in registry.QUERIES["P06_size_guard"](spark, sf).collect()} == {True, False}
+    assert {r.too_dense for r in registry.QUERIES["M18_token_density"](spark, sf).collect()} == {True, False}
+
+
+def test_exact_lookups_hit_miss_and_expire(spark, sf):
+    got = registry.QUERIES["C03_exact_lookup"](spark, sf).collect()
+    assert {r.hit for r in got} == {True, False} and len(got) == spark.read.parquet(f"{sf}/events.parquet").count()
+    assert all(int(r.response.split()[1]) != r.lookup_id for r in got if r.hit)
+
+
+def test_second_passes_differ(spark, sf):
+    rows = {n: {r.request: (r.masked_sha256, r.persons) for r in registry.QUERIES[f"M15_second_pass{n}"](spark, sf).collect()} for n in ("", "_as_of", "_off")}
+    differ = lambda a, b: sum(rows[a][k] != rows[b][k] for k in rows[a])
+    assert differ("", "_off") > differ("_as_of", "_off") > 0 and differ("", "_as_of") > 0
 
 
 def test_entry_runs(spark):

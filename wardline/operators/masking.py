@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.personal import CATEGORIES, Policy, alias_name, canonical_column, detector, replacer, token_density
+from ..functions.personal import CATEGORIES, Policy, alias_name, canonical_column, detector, name_core, name_parts, replacer, run_keys, token_density
 from .storage import numbered, stored
 
 VAULT = "partition string, canonical string, token string, value string, category string, seq long"
@@ -133,8 +133,8 @@ def masked(messages: DataFrame, policy: Policy = Policy(), vault: DataFrame | No
     """(messages with masked text, counts, density and the map back; the vault after them).
 
     second_pass: 'corpus' replaces every name of the partition wherever it stands in any message; 'asof' only names
-    first seen up to that message; 'off' none. Names meet messages by an equi-join on their last words, so no message
-    is compared with names of which it holds nothing. Null and empty texts pass unmasked."""
+    first seen up to that message; 'off' none. Names meet messages by an equi-join of whole names with the messages' runs of
+    as many words, so a message meets the names that stand in it and no others. Null and empty texts pass unmasked."""
     messages = messages.withColumn("text", F.coalesce("text", F.lit("")))
     hits = detected(messages, policy)
     if policy.keep_asked and queries is not None:
@@ -152,8 +152,10 @@ def masked(messages: DataFrame, policy: Policy = Policy(), vault: DataFrame | No
         names = book.where("category = 'person'").select("partition", F.regexp_replace("canonical", r"^person\|", "").alias("name"), "token", "seq")
         if policy.allow:
             names = names.where(~F.col("name").isin([" ".join(a.lower().split()) for a in policy.allow]))
-        words = out.select(*key, "ord", F.explode(_words(F.col("masked"))).alias("word"))
-        met = words.join(names.withColumn("word", _key_word(F.col("name"))), ["partition", "word"])
+        names = names.withColumn("run", name_core(F.col("name")))
+        sizes = sorted(r.n for r in names.select(name_parts(F.col("run")).alias("n")).distinct().where("n > 0").collect())  # different numbers of words
+        runs = out.select(*key, "ord", F.explode(run_keys(sizes)("masked")).alias("run"))
+        met = runs.join(names, ["partition", "run"])
         if second_pass == "asof":
             met = met.where("seq <= ord")
         known = met.groupBy(*key).agg(F.collect_set(F.struct("name", shown(F.col("token")).alias("shown"), "token")).alias("known"))

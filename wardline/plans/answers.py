@@ -9,7 +9,7 @@ from ..operators.storage import stored
 from .fixtures import MESSAGES_SQL, derived, messages, query, table
 
 M = f"WITH m AS ({MESSAGES_SQL})"
-#: Requests are cache entries if even, lookups if odd; a prompt is one of few, so that lookups meet entries.
+#: A prompt is one of few, so that lookups meet entries.
 ENTRY = {
     "entry_id": "event_id", "lookup_id": "event_id", "partition": "concat('t', cast(user_id % 4 as string))", "model": "concat('m', cast(user_id % 3 as string))", "prompt": "concat(event_type, ' ', cast(user_id % 20 as string))",
     "temperature": "CASE WHEN user_id % 2 = 0 THEN 0.2 END", "max_tokens": "CASE WHEN user_id % 5 = 0 THEN 100 END", "stored_at": "ts", "ts": "ts", "response": "concat('answer ', cast(event_id as string))", "last_used": "event_id",
@@ -42,7 +42,6 @@ _C02 = f"""{M} SELECT request, idx, sha256(array_to_string(list_sort(list_distin
 
 
 @query("C02_entity_signature", _C02)
-@query("C02_entity_signature_all", _C02)
 def c02(spark, d):
     return messages(spark, d).select("request", "idx", F.sha2(F.array_join(cache.signature(F.col("text")), ","), 256).alias("signature_sha256"))
 
@@ -56,33 +55,25 @@ def _exact(lookups, entries):
     return cache.exact(lookups, entries, TTL).select("lookup_id", "response", F.col("response").isNotNull().alias("hit"))
 
 
-@query("C03_exact_lookup", _C03.replace("{e}", E))
+@query("C03_exact_lookup", _C03.replace("{e}", f"WITH q AS ({_E} FROM events), e AS (SELECT * REPLACE (stored_at + INTERVAL 1 SECOND AS stored_at) FROM q)"))
 def c03(spark, d):
-    return _exact(_entries(spark, d, 1), _entries(spark, d))
-
-
-@query("C03_exact_lookup_all", _C03.replace("{e}", f"WITH e AS ({_E} FROM events), q AS (SELECT * FROM e)"))
-def c03_all(spark, d):
-    """Each event asks for and stores an answer of its prompt."""
-    return _exact(_all_entries(spark, d), _all_entries(spark, d))
+    """Each event asks for an answer of its prompt, and stores one a second later."""
+    return _exact(_all_entries(spark, d), _all_entries(spark, d).withColumn("stored_at", F.expr("stored_at + interval 1 second")))
 
 
 VECTORS = {"lookup_id": "vec_id", "entry_id": "vec_id", "partition": "'p'", "model": "'m'", "embedding": "embedding", "response": "cast(vec_id as string)"}
 
 
-def _vectors(spark, d, parity):
-    return _all_vectors(spark, d).where(f"lookup_id % 2 = {parity}")
-
-
 def _all_vectors(spark, d):
     rows = derived(table(spark, d, "embeddings").withColumn("l", F.col("label")), VECTORS | {"signature": "array(cast(label as string))"})
     return rows.withColumn("stored_at", F.timestamp_seconds(F.lit(0))).withColumn("ts", F.timestamp_seconds(F.lit(60)))
 
 
-@query("C04_semantic_lookup", """WITH s AS (SELECT q.vec_id AS lookup_id, e.vec_id AS entry_id, list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS score FROM embeddings q JOIN embeddings e ON q.label = e.label AND q.vec_id % 2 = 1 AND e.vec_id % 2 = 0)
+@query("C04_semantic_lookup", """WITH s AS (SELECT q.vec_id AS lookup_id, e.vec_id AS entry_id, list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS score FROM embeddings q JOIN embeddings e ON q.label = e.label AND q.vec_id <> e.vec_id)
  SELECT lookup_id, arg_max(entry_id, score) AS entry_id, round(max(score), 6) AS score FROM s WHERE score >= 0.3 GROUP BY lookup_id""")
 def c04(spark, d):
-    return cache.semantic(_vectors(spark, d, 1), _vectors(spark, d, 0), 0.3).select("lookup_id", "entry_id", F.round("score", 6).alias("score"))
+    rows = _all_vectors(spark, d)
+    return cache.semantic(rows, rows, 0.3, itself=False).select("lookup_id", "entry_id", F.round("score", 6).alias("score"))
 
 
 @query("C05_cosine", "SELECT a.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a JOIN embeddings b ON a.vec_id + 1 = b.vec_id")
@@ -114,10 +105,9 @@ def c06(spark, d):
     return _looked_up(spark, d).select("lookup_id", "kind", "response")
 
 
-@query("C07_store_rule", f"""{E} SELECT lookup_id FROM q WHERE lookup_id % 3 = 0 AND lookup_id % 5 <> 0 AND lookup_id % 7 <> 0""")
+@query("C07_store_rule", f"""{A} SELECT lookup_id FROM e WHERE lookup_id % 3 = 0 AND lookup_id % 5 <> 0 AND lookup_id % 7 <> 0""")
 def c07(spark, d):
-    q = _entries(spark, d, 1)
-    rows = q.withColumns({"kind": F.when(F.col("lookup_id") % 3 == 0, "miss").otherwise("exact"), "cacheable": F.col("lookup_id") % 5 != 0, "ok": F.lit(True), "answer": F.when(F.col("lookup_id") % 7 == 0, "").otherwise("text")})
+    rows = _all_entries(spark, d).withColumns({"kind": F.when(F.col("lookup_id") % 3 == 0, "miss").otherwise("exact"), "cacheable": F.col("lookup_id") % 5 != 0, "ok": F.lit(True), "answer": F.when(F.col("lookup_id") % 7 == 0, "").otherwise("text")})
     return cache.stores(rows).select("lookup_id")
 
 
@@ -126,9 +116,9 @@ def c07_append(spark, d):
     return cache.per_partition(cache.appended(_entries(spark, d), _entries(spark, d, 1)))
 
 
-@query("C08_expiry", f"{E} SELECT entry_id FROM e WHERE epoch_us({NOW}) - epoch_us(stored_at) <= {TTL * 5}000000")
+@query("C08_expiry", f"{A} SELECT entry_id FROM e WHERE epoch_us({NOW}) - epoch_us(stored_at) <= {TTL * 5}000000")
 def c08(spark, d):
-    return cache.expired(_entries(spark, d), F.expr(NOW), TTL * 5).select("entry_id")
+    return cache.expired(_all_entries(spark, d), F.expr(NOW), TTL * 5).select("entry_id")
 
 
 @query("C09_replay", """WITH RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY us, event_id) AS i FROM (SELECT cast(user_id % 20 as string) || '|' || event_type AS key, epoch_us(ts) AS us, event_id FROM events)),
@@ -150,14 +140,14 @@ def c09_hot(spark, d):
     return cache.replayed(log, 600, hot_rows=100)
 
 
-@query("C10_caps", f"{E} SELECT entry_id FROM (SELECT *, row_number() OVER (PARTITION BY partition ORDER BY last_used DESC, entry_id) AS n FROM e) WHERE n <= 200 ORDER BY last_used DESC, entry_id LIMIT 500")
+@query("C10_caps", f"{A} SELECT entry_id FROM (SELECT *, row_number() OVER (PARTITION BY partition ORDER BY last_used DESC, entry_id) AS n FROM e) WHERE n <= 200 ORDER BY last_used DESC, entry_id LIMIT 500")
 def c10(spark, d):
-    return cache.capped(_entries(spark, d), 200, 500).select("entry_id")
+    return cache.capped(_all_entries(spark, d), 200, 500).select("entry_id")
 
 
-@query("C11_invalidate", f"{E} SELECT count(*) AS removed FROM e WHERE partition = 't1' AND model = 'm2'")
+@query("C11_invalidate", f"{A} SELECT count(*) AS removed FROM e WHERE partition = 't1' AND model = 'm2'")
 def c11(spark, d):
-    e = _entries(spark, d)
+    e = _all_entries(spark, d)
     return cache.without(e, cache.invalidated(e, "t1", "m2")).agg(F.count("*").alias("removed"))
 
 
@@ -176,47 +166,11 @@ def c12(spark, d):
     return cache.statistics(results, cache.stores(results), cache.without(entries, living), cache.without(living, kept), cache.without(kept, cache.invalidated(kept, "t1")))
 
 
-@query("C13_entries_per_partition", f"{E} SELECT partition, count(*) AS entries FROM e GROUP BY partition")
+@query("C13_entries_per_partition", f"{A} SELECT partition, count(*) AS entries FROM e GROUP BY partition")
 def c13(spark, d):
-    return cache.per_partition(_entries(spark, d))
-
-
-@query("S25_snapshot_restore", f"{E} SELECT entry_id FROM e WHERE epoch_us({NOW}) - epoch_us(stored_at) <= {TTL * 5}000000 ORDER BY last_used DESC, entry_id LIMIT 1000")
-def s25(spark, d):
-    return cache.restored(stored(_entries(spark, d), "snapshot"), F.expr(NOW), TTL * 5).select("entry_id")
-
-
-# All events as entries, all vectors as lookups and entries.
-
-
-@query("C04_semantic_lookup_all", """WITH s AS (SELECT q.vec_id AS lookup_id, e.vec_id AS entry_id, list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS score FROM embeddings q JOIN embeddings e ON q.label = e.label AND q.vec_id <> e.vec_id)
- SELECT lookup_id, arg_max(entry_id, score) AS entry_id, round(max(score), 6) AS score FROM s WHERE score >= 0.3 GROUP BY lookup_id""")
-def c04_all(spark, d):
-    rows = _all_vectors(spark, d)
-    return cache.semantic(rows, rows, 0.3, itself=False).select("lookup_id", "entry_id", F.round("score", 6).alias("score"))
-
-
-@query("C08_expiry_all", f"{A} SELECT entry_id FROM e WHERE epoch_us({NOW}) - epoch_us(stored_at) <= {TTL * 5}000000")
-def c08_all(spark, d):
-    return cache.expired(_all_entries(spark, d), F.expr(NOW), TTL * 5).select("entry_id")
-
-
-@query("C10_caps_all", f"{A} SELECT entry_id FROM (SELECT *, row_number() OVER (PARTITION BY partition ORDER BY last_used DESC, entry_id) AS n FROM e) WHERE n <= 200 ORDER BY last_used DESC, entry_id LIMIT 500")
-def c10_all(spark, d):
-    return cache.capped(_all_entries(spark, d), 200, 500).select("entry_id")
-
-
-@query("C11_invalidate_all", f"{A} SELECT count(*) AS removed FROM e WHERE partition = 't1' AND model = 'm2'")
-def c11_all(spark, d):
-    e = _all_entries(spark, d)
-    return cache.without(e, cache.invalidated(e, "t1", "m2")).agg(F.count("*").alias("removed"))
-
-
-@query("C13_entries_per_partition_all", f"{A} SELECT partition, count(*) AS entries FROM e GROUP BY partition")
-def c13_all(spark, d):
     return cache.per_partition(_all_entries(spark, d))
 
 
-@query("S25_snapshot_restore_all", f"{A} SELECT entry_id FROM e WHERE epoch_us({NOW}) - epoch_us(stored_at) <= {TTL * 5}000000 ORDER BY last_used DESC, entry_id LIMIT 1000")
-def s25_all(spark, d):
+@query("S25_snapshot_restore", f"{A} SELECT entry_id FROM e WHERE epoch_us({NOW}) - epoch_us(stored_at) <= {TTL * 5}000000 ORDER BY last_used DESC, entry_id LIMIT 1000")
+def s25(spark, d):
     return cache.restored(stored(_all_entries(spark, d), "snapshot"), F.expr(NOW), TTL * 5).select("entry_id")

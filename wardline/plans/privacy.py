@@ -8,7 +8,7 @@ from ..functions.personal import PATTERNS, Policy, alias_name, canonical_column,
 from ..operators import masking
 from ..operators.storage import stored
 from ..streaming import keyed
-from .fixtures import NOTES, notes, query, replayed, sql_of, table
+from .fixtures import NOTES, derived, notes, query, replayed, sql_of, table
 
 N = f"WITH n AS ({sql_of(NOTES, 'documents')})"
 
@@ -109,7 +109,6 @@ _M11 = f"{N} SELECT request, sha256(trim(regexp_replace(lower(text), '[\\s\\x0B\
 
 
 @query("M11_canonical_form", _M11)
-@query("M11_canonical_form_all", _M11)
 def m11(spark, d):
     return notes(spark, d).select("request", F.sha2(canonical_column(F.col("text")), 256).alias("canonical_sha256"))
 
@@ -158,16 +157,38 @@ def m14(spark, d):
     return rows.select("request", F.sha2("masked", 256).alias("masked_sha256"), F.array_join(F.array_sort(F.map_keys("session")), ",").alias("forms"))
 
 
-@query("M15_second_pass", f"{_MASKED} SELECT request, sha256(masked) AS masked_sha256, nullif(persons, 0) AS persons FROM u")
+#: Bare repeats of planted names, behind the other planted text: what stands there, the name that it is, and the surname in it.
+REPEATS = {4: (" klaus WEBER ging.", "klaus WEBER", "WEBER"), 7: (" Fischerei mit sabine fischer", "sabine fischer", ""), 11: (" x-LEHMANN, bernd schmidt-krause und weberin", "", "LEHMANN"), 12: (" anna  schmidt kam", "", "schmidt")}
+_REPEATED = NOTES | {"text": f"concat({NOTES['text']}, CASE doc_id % 13 " + " ".join(f"WHEN {k} THEN '{v[0]}'" for k, v in REPEATS.items()) + " ELSE '' END)"}
+_PART = lambda i: "CASE request % 13 " + " ".join(f"WHEN {k} THEN '{v[i]}'" for k, v in REPEATS.items()) + " ELSE '' END"
+
+
+def _again_sql(when: str) -> str:
+    """Masked texts after the second pass, with the names of which when holds: the whole name if it is known, else the surname."""
+    known = lambda i: f"LEFT JOIN v AS n{i} ON n{i}.partition = u.partition AND n{i}.category = 'person' AND n{i}.name = lower({_PART(i)}) AND {when.format(i)}"
+    return f"""{_MASKED.replace(sql_of(NOTES, 'documents'), sql_of(_REPEATED, 'documents'))} SELECT request, sha256(CASE WHEN n1.token IS NOT NULL THEN replace(masked, {_PART(1)}, n1.token) WHEN n2.token IS NOT NULL THEN replace(masked, {_PART(2)}, n2.token) ELSE masked END) AS masked_sha256,
+ nullif(coalesce(persons, 0) + CASE WHEN coalesce(n1.token, n2.token) IS NOT NULL THEN 1 ELSE 0 END, 0) AS persons FROM u {known(1)} {known(2)}"""
+
+
+def _again(spark, d, second_pass):
+    rows = derived(table(spark, d, "documents"), _REPEATED).selectExpr("partition", "request", "cast(idx as int) AS idx", "ord", "text")
+    out, _ = masking.masked(rows, second_pass=second_pass)
+    return out.select("request", F.sha2("masked", 256).alias("masked_sha256"), F.element_at("counts", "person").cast("long").alias("persons"))
+
+
+@query("M15_second_pass", _again_sql("true"))
 def m15(spark, d):
-    rows, _ = _masked(spark, d)
-    return rows.select("request", F.sha2("masked", 256).alias("masked_sha256"), F.element_at("counts", "person").alias("persons"))
+    return _again(spark, d, "corpus")
 
 
-@query("M15_second_pass_as_of", f"{_MASKED} SELECT request, sha256(masked) AS masked_sha256 FROM u")
+@query("M15_second_pass_as_of", _again_sql("n{0}.seen[1] <= request"))
 def m15_asof(spark, d):
-    rows, _ = _masked(spark, d, second_pass="asof")
-    return rows.select("request", F.sha2("masked", 256).alias("masked_sha256"))
+    return _again(spark, d, "asof")
+
+
+@query("M15_second_pass_off", _again_sql("false"))
+def m15_off(spark, d):
+    return _again(spark, d, "off")
 
 
 @query("M16_request_sessions", f"{_MASKED}, q AS (SELECT partition, request % 50 AS request, unnest(forms) AS form FROM u) SELECT partition, request, count(DISTINCT form) AS forms FROM q GROUP BY ALL")
@@ -190,9 +211,15 @@ _DENSE = f"""{_H}, c AS (SELECT request, count(*) AS n, sum(len(list_filter(rege
  y AS (SELECT request, CASE WHEN words > 0 THEN tokens / words ELSE 0.0 END AS density FROM t)"""
 
 
-@query("M18_token_density", f"{_DENSE} SELECT request, round(density, 6) AS density, density > 0.35 AS too_dense FROM y")
+#: One text of two is the planted one alone, so that some are dense.
+_SHORT = NOTES | {"text": NOTES["text"].replace("substr(coalesce(text, ''), 1)", "CASE WHEN doc_id % 2 = 0 THEN '' ELSE coalesce(text, '') END")}
+_DENSE_SHORT = _DENSE.replace(sql_of(NOTES, "documents"), sql_of(_SHORT, "documents")).replace("length(coalesce(text, '')) AS L", "CASE WHEN doc_id % 2 = 0 THEN 0 ELSE length(coalesce(text, '')) END AS L")
+
+
+@query("M18_token_density", f"{_DENSE_SHORT} SELECT request, round(density, 6) AS density, density > 0.35 AS too_dense FROM y")
 def m18(spark, d):
-    rows, _ = _masked(spark, d)
+    notes_ = derived(table(spark, d, "documents"), _SHORT).selectExpr("partition", "request", "cast(idx as int) AS idx", "ord", "text")
+    rows, _ = masking.masked(notes_)
     return rows.select("request", F.round("density", 6).alias("density"), (token_density(F.col("masked")) > 0.35).alias("too_dense"))
 
 

@@ -67,10 +67,10 @@ def p06(spark, d):
     return by.join(files, "request", "left").select("request", decide.size_guard(F.col("bytes") + F.col("n") - 1, F.coalesce("attached", F.lit(0)), 3000).alias("too_large"))
 
 
-@query("P07_count_guard", f"{M}, r AS (SELECT request, octet_length(encode(string_agg(text, chr(10) ORDER BY idx))) AS bytes, count(*) AS n FROM m GROUP BY request) SELECT request, CASE WHEN bytes > 900 THEN 'GW-001' WHEN n > 4 THEN 'GW-003' END AS guard FROM r")
+@query("P07_count_guard", f"{M}, r AS (SELECT request, octet_length(encode(string_agg(text, chr(10) ORDER BY idx))) AS bytes, count(*) AS n FROM m GROUP BY request) SELECT request, CASE WHEN bytes > 3000 THEN 'GW-001' WHEN n > 4 THEN 'GW-003' END AS guard FROM r")
 def p07(spark, d):
     by = messages(spark, d).groupBy("request").agg((F.sum(F.octet_length("text")) + F.count("*") - 1).alias("bytes"), F.count("*").alias("n_messages"))
-    return decide.guarded(by, 900, 4).select("request", "guard")
+    return decide.guarded(by, 3000, 4).select("request", "guard")
 
 
 @query("P08_size_anomaly", "SELECT doc_id, length(regexp_replace(text, '" + HIDDEN + "', '', 'g')) > 10000 AS anomaly FROM documents")

@@ -102,7 +102,6 @@ _T07 = f"""WITH m AS ({MESSAGES_SQL}), t AS (SELECT *, {TRUST_SQL} AS trust FROM
 
 
 @query("T07_streaming_screening", _T07)
-@query("T07_streaming_screening_all", _T07)
 def t07(spark, d):
     """Each message scanned with its detection surface and decided on arrival."""
     rows = table(spark, d, "conversations").withColumn("ts", F.timestamp_seconds(F.col("conv_id") * 60 + F.col("turn")))
