@@ -53,9 +53,10 @@ def _stage_risk(findings: Column, times: Column, suppressed: tuple[str, ...]) ->
 
 
 def received(messages: DataFrame, attachments: DataFrame | None = None, max_bytes: int = MAX_BYTES, max_messages: int = MAX_MESSAGES) -> DataFrame:
-    """A row a request: tenant, model, bytes (attachments among them), n_messages, payload, risk0, guard. Nothing is scanned."""
+    """A row a request: tenant, model, bytes (attachments among them), n_messages, payload, risk0, guard. Nothing is scanned, and
+    lengths are summed before anything is shuffled."""
     size = (F.sum(F.octet_length(F.coalesce("text", F.lit("")))) + F.count("*") - 1).alias("bytes")
-    by = messages.repartition("request").groupBy("request").agg(F.first("tenant").alias("tenant"), F.first("model").alias("model"), size, F.count("*").alias("n_messages"))
+    by = messages.groupBy("request").agg(F.first("tenant").alias("tenant"), F.first("model").alias("model"), size, F.count("*").alias("n_messages"))
     if attachments is None:
         by = by.withColumns({"payload": no_findings(), "risk0": F.lit(0.0)})
     else:
@@ -65,7 +66,8 @@ def received(messages: DataFrame, attachments: DataFrame | None = None, max_byte
 
 
 def scanned(messages: DataFrame, requests: DataFrame, threshold: float = THRESHOLD, cap_system: bool = False, normalize: bool = True) -> DataFrame:
-    """The messages, scanned, of the requests that pass the guards and whose attachments don't end them."""
+    """The messages, scanned, of the requests that pass the guards and whose attachments don't end them. Texts are shuffled once,
+    by request."""
     passed = requests.where(F.col("guard").isNull() & (F.col("risk0") < threshold)).select("request")
     rows = messages.repartition("request").join(passed, "request", "left_semi")
     return scan(rows.withColumn("trust", role_trust(F.col("role"), cap_system)), normalize=normalize)
@@ -107,9 +109,13 @@ def decided(messages: DataFrame, threshold: float = THRESHOLD, max_bytes: int =
         _stage_risk(F.col("dlp_findings"), multiplier(role_trust(F.col("role"))), suppressed).alias("risk3"),
     )
     live = rows.groupBy("request").agg(F.array_sort(F.collect_list(one)).alias("m"))
-    ended = by.where(F.col("guard").isNull() & (F.col("risk0") >= threshold)).select("request")
-    said = messages.repartition("request").join(ended, "request", "left_semi").groupBy("request").agg(F.array_sort(F.collect_list(F.struct("idx", F.coalesce("text", F.lit("")).alias("text")))).alias("said"))
-    by = by.join(live, "request", "left").join(said, "request", "left")
+    by = by.join(live, "request", "left")
+    if attachments is None:  # nothing ends a request before its messages are scanned but guards, which leave no content
+        by = by.withColumn("said", F.expr("cast(null as array<struct<idx:int,text:string>>)"))
+    else:
+        ended = by.where(F.col("guard").isNull() & (F.col("risk0") >= threshold)).select("request")
+        said = messages.join(ended, "request", "left_semi").groupBy("request").agg(F.array_sort(F.collect_list(F.struct("idx", F.coalesce("text", F.lit("")).alias("text")))).alias("said"))
+        by = by.join(said, "request", "left")
     none = F.expr("cast(array() as array<struct<stage:string,ms:double>>)")
     by = by.withColumn("timings", none) if timings is None else by.join(timings.select("request", "timings"), "request", "left").withColumn("timings", F.coalesce("timings", none))
 
@@ -142,13 +148,33 @@ def decided(messages: DataFrame, threshold: float = THRESHOLD, max_bytes: int =
     )
 
 
-def audited(decisions: DataFrame) -> DataFrame:
-    """Payload-free audit rows: rule ids in finding order with repeats, categories once each in order, the highest
+def arrived(messages: DataFrame, threshold: float = THRESHOLD, max_bytes: int = MAX_BYTES, cap_system: bool = False, normalize: bool = True) -> DataFrame:
+    """A decision for each message by itself, as it arrives: (request, tenant, model, idx, role, text) -> request, idx, tenant, model,
+    disposition, risk_score, findings, content, total_ms, degraded. Size guard, then injection, then redaction; the first that
+    reaches the threshold ends it with the original text. Nothing is grouped, so it runs on streams."""
+    text = F.coalesce("text", F.lit(""))
+    rows = redacted(scan(messages.withColumn("text", text).withColumn("trust", role_trust(F.col("role"), cap_system)), normalize=normalize), "cleaned")
+    one = _stage_risk(F.col("findings"), multiplier(F.col("trust")), ())
+    both = F.greatest(one, _stage_risk(F.col("dlp_findings"), multiplier(role_trust(F.col("role"))), ()))
+    ends = F.when(F.octet_length("text") > max_bytes, 0).when(one >= threshold, 1).when(both >= threshold, 2).otherwise(3)
+    rows = rows.withColumn("ends", ends)
+    too_large = F.array(finding("GW-001", "anomaly", "high", 1.0, 1))
+    changed = F.col("was_modified") | F.col("dlp_modified")
+    return rows.select(
+        "request", "idx", "tenant", "model", F.when(F.col("ends") < 3, "block").when(changed, "allow_modified").otherwise("allow").alias("disposition"),
+        F.when(F.col("ends") == 0, 1.0).when(F.col("ends") == 1, one).otherwise(both).alias("risk_score"),
+        F.when(F.col("ends") == 0, too_large).when(F.col("ends") == 1, F.col("findings")).otherwise(F.concat("findings", "dlp_findings")).alias("findings"),
+        F.when(F.col("ends") == 0, "").when(F.col("ends") < 3, F.col("text")).otherwise(F.col("dlp_text")).alias("content"), F.lit(0.0).alias("total_ms"), F.lit(False).alias("degraded"),
+    )
+
+
+def audited(decisions: DataFrame, key: tuple[str, ...] = ("request",)) -> DataFrame:
+    """Payload-free audit rows, with the columns of key: rule ids in finding order with repeats, categories once each in order, the highest
     severity, bytes of content (0 for guard blocks), total time, and whether a stage was over its budget."""
     ranks = F.transform("findings", lambda f: F.array_position(F.array(*map(F.lit, SEVERITIES)), f["severity"]).cast("int"))
     top = F.when(F.size("findings") > 0, F.element_at(F.array(*map(F.lit, SEVERITIES)), F.array_max(ranks)))
     return decisions.select(
-        "request", F.coalesce("tenant", F.lit("-")).alias("tenant"), F.coalesce("model", F.lit("-")).alias("model"), "disposition", "risk_score",
+        *key, F.coalesce("tenant", F.lit("-")).alias("tenant"), F.coalesce("model", F.lit("-")).alias("model"), "disposition", "risk_score",
         F.transform("findings", lambda f: f["rule_id"]).alias("rule_ids"), F.array_distinct(F.transform("findings", lambda f: f["category"])).alias("categories"),
         top.alias("max_severity"), F.octet_length("content").cast("long").alias("content_bytes"), "total_ms", "degraded",
     )

@@ -67,6 +67,17 @@ def weight_sql(key: str, start: str = "0.0::DOUBLE", only=None) -> str:
     return f"CASE ({key}) % {EVERY} " + " ".join(f"WHEN {k} THEN {v}" for k, v in sums.items()) + f" ELSE {start} END"
 
 
+def rules_sql(hits: str) -> str:
+    """The rules of a list of hits."""
+    return f"list_transform(list_filter(string_split({hits}, ','), lambda x: x <> ''), lambda x: string_split(x, ':')[1])"
+
+
+#: Of a list of rules the highest severity (the branches of a CASE), and the categories in order, once each.
+RANK_SQL = " ".join(f"WHEN list_has_any(rules, [{', '.join(repr(r) for r in own.split())}]) THEN '{s}'" for s, own in SEVERITY.items())
+_CATEGORY = "CASE x[1:3] WHEN 'INJ' THEN 'injection' WHEN 'DLP' THEN 'dlp' WHEN 'PII' THEN 'pii' WHEN 'MAL' THEN 'malware' ELSE 'anomaly' END"
+FIRST_SQL = f"list_reduce(list_prepend(NULL::VARCHAR, list_transform(rules, lambda x: {_CATEGORY})), lambda a, b: CASE WHEN a IS NULL THEN b WHEN list_contains(string_split(a, ','), b) THEN a ELSE a || ',' || b END)"
+
+
 def bucket_sql(caller: str, requests: int, interval: float, burst: int) -> str:
     """Tables o and t: the events in each caller's order, and the token bucket after each of them (f: tokens before, ok)."""
     return f"""o AS (SELECT *, row_number() OVER (PARTITION BY caller ORDER BY sec, event_id) AS i FROM (SELECT event_id, {caller} AS caller, epoch_us(ts) / 1e6 AS sec FROM events)),

@@ -13,7 +13,7 @@ from ..functions.scan import HIDDEN, STRONG, disposition, hidden_count, role_tru
 from ..functions.surface import base64_payloads, surfaces
 from ..operators import decide, masking
 from ..operators.storage import stored
-from .fixtures import MESSAGES, MESSAGES_SQL, SAID, SAID_DLP, SEVERITY, TRUST_SQL, WEIGHT, WEIGHT_SQL, bucket_sql, derived, hits, messages, planted, query, said_sql, sql_of, table, weight_sql
+from .fixtures import FIRST_SQL, MESSAGES, MESSAGES_SQL, RANK_SQL, SAID, SAID_DLP, TRUST_SQL, WEIGHT, WEIGHT_SQL, bucket_sql, derived, hits, messages, planted, query, rules_sql, said_sql, sql_of, table, weight_sql
 
 M = f"WITH m AS ({MESSAGES_SQL}), t AS (SELECT *, {TRUST_SQL} AS trust FROM m)"
 SOURCES = {"doc_id": "doc_id", "kind": "CASE doc_id % 6 WHEN 0 THEN 'Note' WHEN 1 THEN 'web' WHEN 2 THEN 'JIRA' WHEN 3 THEN 'user' ELSE source END", "mine": "doc_id % 50 = 0"}
@@ -383,11 +383,10 @@ def _decided(spark, d):
 
 
 #: The same by the phrases' own numbers: what each message brings, what each attachment is, and which stage ends a request.
-_LIST = lambda hits: f"list_transform(list_filter(string_split({hits}, ','), lambda x: x <> ''), lambda x: string_split(x, ':')[1])"
 _PLAIN = "request % 10 <> 9"
 G = f"""WITH m AS ({sql_of(REQUESTS, 'conversations')}),
- r AS (SELECT *, CASE WHEN {_PLAIN} THEN {_LIST(said_sql(_KEY))} ELSE [] END AS inj, CASE WHEN {_PLAIN} THEN least(1.0, ({weight_sql(_KEY)}) * CASE role WHEN 'system' THEN 0.55 WHEN 'tool' THEN 1.35 ELSE 1.0 END::DOUBLE) ELSE 0 END AS risk,
-  CASE request % 10 WHEN 9 THEN ['PII-002', 'PII-900'] WHEN 8 THEN ['PII-001'] ELSE [] END AS pii, CASE WHEN {_PLAIN} THEN {_LIST(said_sql(_KEY, SAID_DLP))} ELSE [] END AS dlp,
+ r AS (SELECT *, CASE WHEN {_PLAIN} THEN {rules_sql(said_sql(_KEY))} ELSE [] END AS inj, CASE WHEN {_PLAIN} THEN least(1.0, ({weight_sql(_KEY)}) * CASE role WHEN 'system' THEN 0.55 WHEN 'tool' THEN 1.35 ELSE 1.0 END::DOUBLE) ELSE 0 END AS risk,
+  CASE request % 10 WHEN 9 THEN ['PII-002', 'PII-900'] WHEN 8 THEN ['PII-001'] ELSE [] END AS pii, CASE WHEN {_PLAIN} THEN {rules_sql(said_sql(_KEY, SAID_DLP))} ELSE [] END AS dlp,
   replace(replace(text, 'Anna Schmidt', '[Person-1]'), 'http://wiki.corp/page', '[INTERNAL-URL]') AS sent FROM m),
  q AS (SELECT request, tenant, model, count(*) AS n, string_agg(text, chr(10) ORDER BY idx) AS said, string_agg(sent, chr(10) ORDER BY idx) AS sent, string_agg(role || chr(31) || sent, chr(30) ORDER BY idx) AS roles,
   max(risk) AS r1, flatten(list(inj ORDER BY idx)) AS inj, flatten(list(pii ORDER BY idx)) AS pii, flatten(list(dlp ORDER BY idx)) AS dlp, bool_or(sent <> text) AS changed FROM r GROUP BY request, tenant, model),
@@ -399,9 +398,6 @@ G = f"""WITH m AS ({sql_of(REQUESTS, 'conversations')}),
  z AS (SELECT request, tenant, model, ends, said, sent, roles, n, CASE WHEN ends IS NOT NULL THEN 'block' WHEN changed THEN 'allow_modified' ELSE 'allow' END AS disposition,
   CASE ends WHEN 'guard' THEN 1.0 WHEN 'malware' THEN r0 WHEN 'injection' THEN r01 WHEN 'pii' THEN 1.0 ELSE r01 END AS risk,
   CASE ends WHEN 'guard' THEN [guard] WHEN 'malware' THEN payload WHEN 'injection' THEN payload || inj WHEN 'pii' THEN payload || inj || pii ELSE payload || inj || pii || dlp END AS rules FROM v)""".replace("{shape}", _SHAPE).replace("{files}", _BYTES_SQL).replace("{fits}", _FITS)
-_RANK = " ".join(f"WHEN list_has_any(rules, [{', '.join(repr(r) for r in rules.split())}]) THEN '{s}'" for s, rules in SEVERITY.items())
-_CATEGORY = "CASE x[1:3] WHEN 'INJ' THEN 'injection' WHEN 'DLP' THEN 'dlp' WHEN 'PII' THEN 'pii' WHEN 'MAL' THEN 'malware' ELSE 'anomaly' END"
-_FIRST = f"list_reduce(list_prepend(NULL::VARCHAR, list_transform(rules, lambda x: {_CATEGORY})), lambda a, b: CASE WHEN a IS NULL THEN b WHEN list_contains(string_split(a, ','), b) THEN a ELSE a || ',' || b END)"
 
 
 @query("G01_decisions", f"{G} SELECT request, disposition, round(risk, 6) AS risk_score, array_to_string(rules, ',') AS rules FROM z")
@@ -420,7 +416,7 @@ def g03(spark, d):
     return _decided(spark, d).groupBy("tenant", "disposition").agg(F.count("*").alias("requests"))
 
 
-_AUDIT = f"SELECT request, tenant, model, disposition, round(risk, 6) AS risk_score, array_to_string(rules, ',') AS rule_ids, coalesce({_FIRST}, '') AS categories, CASE {_RANK} END AS max_severity, CASE WHEN ends = 'guard' THEN 0 WHEN ends IS NOT NULL THEN octet_length(encode(said)) ELSE octet_length(encode(sent)) END AS content_bytes FROM z"
+_AUDIT = f"SELECT request, tenant, model, disposition, round(risk, 6) AS risk_score, array_to_string(rules, ',') AS rule_ids, coalesce({FIRST_SQL}, '') AS categories, CASE {RANK_SQL} END AS max_severity, CASE WHEN ends = 'guard' THEN 0 WHEN ends IS NOT NULL THEN octet_length(encode(said)) ELSE octet_length(encode(sent)) END AS content_bytes FROM z"
 
 
 @query("G04_audit", f"{G} {_AUDIT}")

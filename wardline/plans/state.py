@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scan import disposition, role_trust, scan
+from ..operators import decide
+from ..operators.storage import shared_path
+from ..sources import logs
 from ..streaming import keyed, state
-from .fixtures import MESSAGES, MESSAGES_SQL, TRUST_SQL, WEIGHT_SQL, bucket_sql, derived, hits, query, replayed, said_sql, table, weight_sql
+from .fixtures import FIRST_SQL, MESSAGES, MESSAGES_SQL, RANK_SQL, SAID_DLP, TRUST_SQL, WEIGHT_SQL, bucket_sql, derived, hits, query, replayed, rules_sql, said_sql, table, weight_sql
 
 
 def _log(events: DataFrame) -> DataFrame:
@@ -112,3 +117,24 @@ def t07(spark, d):
         return out.select("request", "idx", "trust", v["disposition"].alias("disposition"), v["risk_score"].alias("risk_score"), hits(F.col("findings")).alias("hits"))
 
     return replayed(spark, rows, screened)
+
+
+_T07_AUDIT = f"""WITH m AS ({MESSAGES_SQL}), t AS (SELECT *, {TRUST_SQL} AS trust FROM m),
+ r AS (SELECT *, replace(text, 'http://wiki.corp/page', '[INTERNAL-URL]') AS sent, {rules_sql(said_sql('request + idx'))} AS inj, {rules_sql(said_sql('request + idx', SAID_DLP))} AS dlp, least(1.0, ({weight_sql('request + idx')}) * {WEIGHT_SQL}) AS risk FROM t),
+ z AS (SELECT *, CASE WHEN risk >= 0.7 THEN inj ELSE inj || dlp END AS rules, CASE WHEN risk >= 0.7 THEN 'block' WHEN sent <> text THEN 'allow_modified' ELSE 'allow' END AS disposition FROM r)
+ SELECT request, idx, tenant, model, disposition, round(risk, 6) AS risk_score, array_to_string(rules, ',') AS rule_ids, coalesce({FIRST_SQL}, '') AS categories, CASE {RANK_SQL} END AS max_severity, octet_length(encode(CASE WHEN risk >= 0.7 THEN text ELSE sent END)) AS content_bytes FROM z"""
+
+
+@query("T07_streaming_audit", _T07_AUDIT)
+def t07_audit(spark, d):
+    """Each message guarded, scanned and redacted on arrival, its audit row appended to a log that is then read back."""
+    rows = derived(table(spark, d, "conversations"), MESSAGES).repartition(4, "request")
+    base = shared_path(spark, f"firewall-{uuid.uuid4().hex}")
+    rows.write.parquet(f"{base}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/in")
+    logs.append_audit(decide.audited(decide.arrived(stream), ("request", "idx")), f"{base}/log", f"{base}/state", availableNow=True).awaitTermination()
+    a = logs.read_audit(spark, f"{base}/log", "idx int")
+    return a.select(
+        F.col("request").cast(dict(rows.dtypes)["request"]).alias("request"), F.col("idx").cast(dict(rows.dtypes)["idx"]).alias("idx"), "tenant", "model", "disposition", F.round("risk_score", 6).alias("risk_score"),
+        F.array_join("rule_ids", ",").alias("rule_ids"), F.array_join("categories", ",").alias("categories"), "max_severity", "content_bytes",
+    )

@@ -24,8 +24,19 @@ def write_lines(lines: DataFrame, path: str, mode: str = "append") -> None:
     lines.write.mode(mode).text(path)
 
 
-def read_audit(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(AUDIT).json(path)
+def append_audit(audit: DataFrame, path: str, checkpoint: str, **trigger):
+    """Start appending a stream of audit rows to a log: each micro-batch has a folder of its own, written whole, so one that
+    is run again after a failure replaces its own lines and no other's."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        write_lines(audit_lines(batch), f"{path}/batch={number}", "overwrite")
+
+    return audit.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
+def read_audit(spark: SparkSession, path: str, more: str = "") -> DataFrame:
+    """An audit log; more: columns (a schema) that its lines have besides."""
+    return spark.read.schema(AUDIT + (f", {more}" if more else "")).json(path)
 
 
 def read_completions(spark: SparkSession, path: str) -> DataFrame:
