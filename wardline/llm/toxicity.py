@@ -12,16 +12,18 @@ scoring needs a table of numbers alone, and each worker remembers the number of
 from __future__ import annotations
 
 import math
+import pickle
 import zlib
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, keep_rows, labels, map_batches, of_worker, text_rows
+from .common import documents, keep_rows, labels, map_batches, of_worker, slices, text_rows
 
 BUCKETS, WIDTH, SIZES, WINDOW = 1 << 19, 4, (3, 4, 5, 6), 3
 #: The labelled rows that training takes at most, of each class; all their passages count.
@@ -251,15 +253,24 @@ def training_rows(docs: DataFrame, marks: DataFrame, column: str = "toxic") -> D
 
 
 def train(docs: DataFrame, marks: DataFrame) -> Model:
-    """Fit on a bounded sample of labelled documents among docs, whole texts each. At most TRAIN_ROWS texts reach the driver."""
+    """Fit on a bounded sample of labelled documents among docs, whole texts each. At most TRAIN_ROWS texts reach one task, which
+    fits the model and hands the driver its weights; the task is run again where its executor is lost."""
     known = text_rows(docs).join(F.broadcast(training_rows(docs, marks)), "doc_id").select("doc_id", "class", "text")
 
     def cut(ids: list, classes: list, texts: list) -> dict:
         return {"doc_id": ids, "class": classes, "words": [" ".join(t.lower().split()) for t in texts]}
 
-    rows = [(zlib.crc32(str(r.doc_id).encode()), r.doc_id, r.words, r["class"]) for r in map_batches(known, cut, "doc_id long, class int, words string").collect()]
-    rows.sort()
-    return trained([(words, c) for _, _, words, c in rows])
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of_worker(("toxicity",), dict)  # the last operator's cache goes
+        rows = []
+        for part in chain.from_iterable(map(slices, batches)):
+            rows += [(zlib.crc32(str(doc).encode()), doc, words, c) for doc, c, words in zip(*[x.to_pylist() for x in part.columns])]
+        rows.sort()
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(trained([(words, c) for _, _, words, c in rows]))], pa.binary())], names=["model"])
+
+    words = map_batches(known, cut, "doc_id long, class int, words string")
+    learnt = words.repartition(1).mapInArrow(learn, "model binary").first()
+    return pickle.loads(learnt.model) if learnt else trained([])
 
 
 def trained(rows: list[tuple[str, int]]) -> Model:
