@@ -1,9 +1,11 @@
 """Known names in texts: the walk over runs of words against a pattern a name, one after the other."""
 
 import random
+import time
 
 import pytest
 import regex
+from pyspark.sql import functions as F
 
 from wardline.functions.personal import with_names, word_runs
 from wardline.operators import masking
@@ -47,3 +49,15 @@ def test_names_learnt_later_count_for_the_whole_corpus_only(spark):
     rows = spark.createDataFrame([("p", 1, 0, 1, "anna schmidt"), ("p", 2, 0, 2, "Herr Anna Schmidt")], "partition string, request int, idx int, ord long, text string")
     got = {m: masking.masked(rows, second_pass=m)[0].where("request = 1").first().masked for m in ("corpus", "asof")}
     assert got == {"corpus": "[Person-1]", "asof": "anna schmidt"}
+
+
+def test_many_spans_and_forms_take_one_walk(spark):
+    """100,000 spans in a text, and an answer with 100,000 tokens: by a copy of the text for each these would take minutes."""
+    n = 100_000
+    mails = " ".join(f"a{i}@b.de" for i in range(n))
+    rows = spark.createDataFrame([("p", 1, 0, 1, mails)], "partition string, request int, idx int, ord long, text string")
+    began = time.time()
+    out, _ = masking.masked(rows, second_pass="off")
+    got = out.select("masked", masking.unmask(F.col("masked"), F.col("session")).alias("clear")).first()
+    assert got.clear == mails and got.masked.count("[Mail-") == n and f"[Mail-{n}]" in got.masked
+    assert time.time() - began < 120

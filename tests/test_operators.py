@@ -13,7 +13,7 @@ from wardline.functions.scan import disposition, scan, source_trust
 from wardline.operators import decide, masking
 from wardline.sources import dialects, streams
 from wardline.streaming import state
-from wardline.streaming.rewriting import Forms
+from wardline.functions.forms import Forms
 
 
 def _scan(spark, *texts, trust="untrusted", **how):

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wardline.streaming import keyed, state
-from wardline.streaming.rewriting import Forms
+from wardline.functions.forms import Forms
 
 
 def _streamed(spark, rows, schema, transform, base, triggers, restart_at):

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.personal import CATEGORIES, Policy, alias_name, canonical_column, detector, name_core, name_parts, replacer, run_keys, token_density
+from ..functions.personal import CATEGORIES, Policy, alias_name, canonical_column, cleared, detector, name_core, name_parts, replacer, run_keys, spliced, token_density
 from .storage import numbered, stored
 
 VAULT = "partition string, canonical string, token string, value string, category string, seq long"
@@ -122,13 +122,6 @@ def counters(vault: DataFrame) -> DataFrame:
     return vault.groupBy("partition", F.regexp_extract("token", r"^\[(\w+)-", 1).alias("prefix")).agg(F.max(n).alias("highest"))
 
 
-def _replaced(text: Column, spans: Column) -> Column:
-    """text with each span (start, end, shown) replaced; spans don't overlap."""
-    step = lambda a, s: F.struct(s["end"].alias("at"), F.concat(a["out"], F.substring(text, a["at"] + 1, s["start"] - a["at"]), s["shown"]).alias("out"))
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    return F.aggregate(F.array_sort(spans), zero, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
-
-
 def masked(messages: DataFrame, policy: Policy = Policy(), vault: DataFrame | None = None, queries: DataFrame | None = None, second_pass: str = "corpus") -> tuple[DataFrame, DataFrame]:
     """(messages with masked text, counts, density and the map back; the vault after them).
 
@@ -147,7 +140,7 @@ def masked(messages: DataFrame, policy: Policy = Policy(), vault: DataFrame | No
     spans = placed.groupBy(*key).agg(
         F.collect_list(F.struct("start", "end", shown(F.col("token")).alias("shown"))).alias("spans"), F.collect_set("token").alias("tokens"), F.collect_list("category").alias("categories"),
     )
-    out = messages.join(spans, key, "left").withColumn("masked", F.when(F.col("spans").isNull(), F.col("text")).otherwise(_replaced(F.col("text"), F.col("spans"))))
+    out = messages.join(spans, key, "left").withColumn("masked", spliced()("text", "spans"))
     if second_pass != "off" and policy.mode("person") != "off":
         names = book.where("category = 'person'").select("partition", F.regexp_replace("canonical", r"^person\|", "").alias("name"), "token", "seq")
         if policy.allow:
@@ -193,9 +186,9 @@ def pii_findings(counts: Column, density: Column, policy: Policy = Policy()) ->
 
 
 def unmask(text: Column, session: Column) -> Column:
-    """Every known form replaced by its clear value, longest first; unknown tokens stay."""
-    entries = F.transform(F.map_entries(session), lambda e: F.struct((-F.length(e["key"])).alias("n"), e["key"].alias("k"), e["value"].alias("v")))
-    return F.when(session.isNull(), text).otherwise(F.aggregate(F.array_sort(entries), text, lambda t, e: F.replace(t, e["k"], e["v"])))
+    """Every known form replaced by its clear value, longest first; unknown tokens stay. One walk over the text, whatever the
+    number of forms."""
+    return cleared()(text, F.map_entries(session))
 
 
 def restored(texts: DataFrame, vault: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from .rewriting import Forms
+from ..functions.forms import Forms
 from .state import BURST, INTERVAL, RATE, admit, session_step
 
 STORE = "spark.sql.streaming.stateStore.providerClass"

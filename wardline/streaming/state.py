@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.storage import stored
-from .rewriting import Forms
+from ..functions.forms import Forms
 
 RATE, INTERVAL, BURST = 60, 60.0, 10
 PARK_TTL, EXTENDED_TTL = 900.0, 14_400.0
