@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.policy import RECORD, UNIT
 from ..streaming.state import HOT_ROWS, by_parts
-from .storage import latest_before, stored
+from .storage import latest_before, numbered, one_before, stored
 
 KEY = ["partition", "model", "prompt", "temperature", "max_tokens"]
 TTL, PER_PARTITION, TOTAL, SIMILAR = 3600, 200, 1000, 0.95
@@ -169,6 +170,81 @@ def replayed(log: DataFrame, ttl: int = TTL, hot_rows: int = HOT_ROWS) -> DataFr
     return by_parts(rows, "key", ["at", "event_id"], fold, "key string, event_id long, kind string", fresh, "at", hot_rows)
 
 
+#: Uses of one task in counting reuse distances.
+BLOCK = 1 << 16
+
+
+def _earlier(values: list[int], groups: list[int]) -> list[int]:
+    """For each place how many places of smaller groups have a value that isn't larger; groups don't decrease. By a tree of
+    counts over the values."""
+    rank = {v: k for k, v in enumerate(sorted(set(values)), 1)}
+    at, tree, out, waiting, now = [rank[v] for v in values], [0] * (len(rank) + 1), [], [], None
+    for k, g in zip(at, groups):
+        if g != now:
+            for w in waiting:
+                while w < len(tree):
+                    tree[w] += 1
+                    w += w & -w
+            waiting, now = [], g
+        waiting.append(k)
+        n = 0
+        while k:
+            n += tree[k]
+            k -= k & -k
+        out.append(n)
+    return out
+
+
+def reuse_distances(log: DataFrame, block: int = BLOCK) -> DataFrame:
+    """log (partition, key, ts, event_id) -> partition, key, event_id, distance: how many other keys of the partition were used since
+    the key's last use; null for its first.
+
+    With uses numbered by time and p the number of a use's last one, the other keys since then are the earlier uses whose
+    own p isn't larger, less p. Numbers are cut into blocks, and so are the values of p, which differ but for first uses. A task
+    counts within a block of uses, another within a block of values; between other blocks their sizes say it. So no task
+    holds more than a block, however many uses a partition has."""
+    uses = numbered(log.select("partition", "key", "ts", "event_id"), ["partition"], ["ts", "event_id"], "i")
+    uses = one_before(uses, ["partition", "key"], ["i"], "i", "p").withColumn("first", F.col("p").isNull()).withColumn("p", F.coalesce("p", F.lit(0)))
+    cut = lambda c: F.floor((F.col(c) - 1) / block).cast("long")  # noqa: E731  first uses are block -1 of the values
+    uses = stored(uses.select("partition", "key", "event_id", "first", "i", "p", cut("i").alias("b"), cut("p").alias("c")), "uses")
+
+    def within(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("i")
+        return pd.DataFrame({"partition": rows["partition"], "i": rows["i"], "n": _earlier(rows["p"].tolist(), rows["i"].tolist())})
+
+    def across(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("i")
+        return pd.DataFrame({"partition": rows["partition"], "i": rows["i"], "n": _earlier(rows["p"].tolist(), rows["b"].tolist())})
+
+    place = uses.select("partition", "i", "p", "b", "c")
+    near = place.groupBy("partition", "b").applyInPandas(within, "partition string, i long, n long")
+    same = place.where("c >= 0").groupBy("partition", "c").applyInPandas(across, "partition string, i long, n long")
+    counted = near.unionByName(same).groupBy("partition", "i").agg(F.sum("n").alias("n"))
+    blocks = uses.groupBy("partition").agg(F.max("b").alias("last")).select("partition", "last", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("b"))
+    cells = blocks.select("partition", "b", F.explode(F.sequence(F.lit(-1).cast("long"), "last")).alias("c"))
+    sizes = cells.join(uses.groupBy("partition", "b", "c").agg(F.count("*").alias("n")), ["partition", "b", "c"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    before = lambda by, over: Window.partitionBy("partition", by).orderBy(over).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("n", F.coalesce(F.sum("n").over(before("c", "b")), F.lit(0))).withColumn("coarse", F.coalesce(F.sum("n").over(before("b", "c")), F.lit(0))).drop("n")
+    rows = uses.join(counted, ["partition", "i"]).join(sizes, ["partition", "b", "c"])
+    return rows.select("partition", "key", "event_id", F.when(~F.col("first"), F.col("n") + F.col("coarse") - F.col("p")).alias("distance"))
+
+
+def capped_replay(log: DataFrame, per_partition: int = PER_PARTITION, block: int = BLOCK) -> DataFrame:
+    """log (partition, key, ts, event_id) through a cache that keeps each partition's per_partition most recently used keys (0: all)
+    -> partition, key, event_id, kind. A request is a hit if fewer other keys were used since the key's last use; a miss stores."""
+    hit = F.col("distance").isNotNull() & (F.lit(per_partition == 0) | (F.col("distance") < per_partition))
+    return reuse_distances(log, block).select("partition", "key", "event_id", F.when(hit, "exact").otherwise("miss").alias("kind"))
+
+
+def replay_statistics(replay: DataFrame, per_partition: int = PER_PARTITION) -> DataFrame:
+    """partition, lookups, exact_hits, misses, stores, evictions, entries, hit_rate of a replay under a cap: every miss stores, and what
+    was stored and isn't there at the end was evicted."""
+    keys = replay.select("partition", "key").distinct().groupBy("partition").agg(F.count("*").alias("keys"))
+    entries = F.col("keys") if per_partition == 0 else F.least("keys", F.lit(per_partition).cast("long"))
+    by = replay.groupBy("partition").agg(F.count("*").alias("lookups"), F.count_if(F.col("kind") == "exact").alias("exact_hits"), F.count_if(F.col("kind") == "miss").alias("misses")).join(keys, "partition")
+    return by.select("partition", "lookups", "exact_hits", "misses", F.col("misses").alias("stores"), (F.col("misses") - entries).alias("evictions"), entries.alias("entries"), (F.col("exact_hits") / F.col("lookups")).alias("hit_rate"))
+
+
 def statistics(results: DataFrame, stored_: DataFrame | None = None, expired_: DataFrame | None = None, evicted: DataFrame | None = None, invalidated_: DataFrame | None = None) -> DataFrame:
     """One row of counts: lookups by kind, and the entries that were stored, expired, evicted and invalidated, from tables of
     them; the rate is null without lookups. All are counted in one aggregate."""

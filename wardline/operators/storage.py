@@ -46,6 +46,17 @@ def latest_before(rows: DataFrame, keys: list[str], order: list[str], value: str
     return own.join(carried, [*keys, "_range"]).withColumn(value, F.coalesce(value, "_carried")).drop("_range", "_carried")
 
 
+def one_before(rows: DataFrame, keys: list[str], order: list[str], value: str, name: str) -> DataFrame:
+    """rows with name, what value was in the row before in their key, by order; null for a key's first. As in latest_before(), a
+    large key is spread over ranges of its order, and what the range before ends with is carried on."""
+    ranges = rows.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    dealt = stored(rows.repartitionByRange(int(ranges), *keys, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    ends = dealt.groupBy(*keys, "_range").agg(F.max_by(value, F.struct(*order)).alias("_end"))
+    ends = ends.withColumn("_end", F.lag("_end").over(Window.partitionBy(*keys).orderBy("_range")))
+    within = F.lag(value).over(Window.partitionBy(*keys, "_range").orderBy(*order))
+    return dealt.join(ends, [*keys, "_range"]).withColumn(name, F.coalesce(within, "_end")).drop("_range", "_end")
+
+
 def shared_path(spark, name: str) -> str:
     """A new place in the folder that driver and executors share, the session's spark.checkpoint.dir. Where it is unset, a
     session that runs in this process alone (as in tests) gets a new folder; on a cluster that is an error, since each

@@ -145,6 +145,34 @@ def c10(spark, d):
     return cache.capped(_all_entries(spark, d), 200, 500).select("entry_id")
 
 
+#: Requests of four partitions for some 400 prompts each, and what a cache of the 60 most recently used ones makes of them.
+_USES = """WITH u AS (SELECT concat('t', cast(user_id % 4 as string)) AS partition, concat(event_type, ' ', cast(event_id * 7 % 101 as string)) AS key, event_id, epoch_us(ts) AS us FROM events),
+ o AS (SELECT *, row_number() OVER (PARTITION BY partition ORDER BY us, event_id) AS i FROM u), l AS (SELECT *, lag(i) OVER (PARTITION BY partition, key ORDER BY i) AS p FROM o),
+ d AS (SELECT l.partition, l.key, l.event_id, CASE WHEN l.p IS NOT NULL THEN count(DISTINCT k.key) END AS distance FROM l LEFT JOIN l k ON k.partition = l.partition AND k.i > l.p AND k.i < l.i GROUP BY l.partition, l.key, l.event_id, l.p),
+ r AS (SELECT *, CASE WHEN distance < 60 THEN 'exact' ELSE 'miss' END AS kind FROM d)"""
+
+
+def _uses(spark, d):
+    return table(spark, d, "events").select(F.concat(F.lit("t"), (F.col("user_id") % 4).cast("string")).alias("partition"), F.concat("event_type", F.lit(" "), (F.col("event_id") * 7 % 101).cast("string")).alias("key"), "ts", "event_id")
+
+
+@query("C10_reuse_distances", f"{_USES} SELECT partition, key, event_id, distance FROM d")
+def c10_reuse(spark, d):
+    return cache.reuse_distances(_uses(spark, d), 500)
+
+
+@query("C10_capped_replay", f"{_USES} SELECT partition, key, event_id, kind FROM r")
+def c10_replay(spark, d):
+    return cache.capped_replay(_uses(spark, d), 60)
+
+
+@query("C12_replay_statistics", f"""{_USES} SELECT partition, count(*) AS lookups, count(*) FILTER (kind = 'exact') AS exact_hits, count(*) FILTER (kind = 'miss') AS misses, count(*) FILTER (kind = 'miss') AS stores,
+ count(*) FILTER (kind = 'miss') - least(count(DISTINCT key), 60) AS evictions, least(count(DISTINCT key), 60) AS entries, count(*) FILTER (kind = 'exact') / count(*) AS hit_rate FROM r GROUP BY partition""")
+def c12_replay(spark, d):
+    """Hits, misses, stores and evictions of one log through one cache."""
+    return cache.replay_statistics(cache.capped_replay(_uses(spark, d), 60), 60)
+
+
 @query("C11_invalidate", f"{A} SELECT count(*) AS removed FROM e WHERE partition = 't1' AND model = 'm2'")
 def c11(spark, d):
     e = _all_entries(spark, d)
