@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import decide
-from ..operators.storage import stored
+from ..operators.storage import shared_path
 from ..sources import dialects, logs, streams
 from ..streaming import keyed
 from .fixtures import MESSAGES_SQL, derived, messages, query, replayed, table
@@ -252,8 +254,9 @@ def s20(spark, d):
 
 @query("S21_audit_log", f"{G}, a AS ({_AUDIT}) SELECT cast(request as string) AS request, tenant, model, disposition, risk_score, rule_ids, categories, max_severity, content_bytes FROM a")
 def s21(spark, d):
-    lines = stored(logs.audit_lines(decide.audited(_decided(spark, d))), "audit-log")
-    rows = lines.select(F.from_json("value", logs.AUDIT).alias("r")).select("r.*").drop("total_ms", "degraded")
+    path = shared_path(spark, f"audit-log-{uuid.uuid4().hex}")
+    logs.write_lines(logs.audit_lines(decide.audited(_decided(spark, d))), path)
+    rows = logs.read_audit(spark, path).drop("total_ms", "degraded")
     return rows.withColumns({"rule_ids": F.array_join("rule_ids", ","), "categories": F.array_join("categories", ","), "risk_score": F.round("risk_score", 6)})
 
 
@@ -261,9 +264,10 @@ def s21(spark, d):
  SELECT cast(request as string) AS request, CASE WHEN model <> '' THEN model ELSE asked_model END AS model, CASE WHEN ok THEN 200 ELSE 502 END AS status, cache_hit, prompt_tokens,
  CASE WHEN prompt_tokens IS NOT NULL THEN coalesce(completion_tokens, 0) END AS completion_tokens, prompt_tokens IS NOT NULL AS has_usage FROM a""")
 def s22(spark, d):
-    lines = logs.completion_lines(decide.completions(derived(table(spark, d, "events"), ANSWERS)))
-    rows = lines.select(F.from_json("value", logs.COMPLETION).alias("r"), F.contains("value", F.lit("prompt_tokens")).alias("has_usage"))
-    return rows.select("r.*", "has_usage")
+    path = shared_path(spark, f"completion-log-{uuid.uuid4().hex}")
+    logs.write_lines(logs.completion_lines(decide.completions(derived(table(spark, d, "events"), ANSWERS))), path)
+    said = spark.read.text(path).where(F.contains("value", F.lit("prompt_tokens"))).select(F.get_json_object("value", "$.request").alias("request"), F.lit(True).alias("has_usage"))
+    return logs.read_completions(spark, path).join(said, "request", "left").withColumn("has_usage", F.coalesce("has_usage", F.lit(False)))
 
 
 @query("S23_embedding_responses", "SELECT vec_id, len(embedding) AS dims, round(list_sum(embedding::DOUBLE[]), 4) AS total FROM embeddings")
