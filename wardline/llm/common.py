@@ -39,8 +39,8 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """A batch in consecutive parts of at most SLICE_ROWS rows and, but for single rows that are longer, SLICE_BYTES of
-    strings, binaries and lists of numbers (8 bytes each). Every function over Arrow batches goes by them: what it makes of
-    a part is gone before the next one, however many rows and bytes the session puts into a batch."""
+    strings, binaries and lists of numbers (8 bytes each). Every function over texts goes by them: what it makes of a part
+    is gone before the next one, however many rows and bytes the session puts into a batch."""
     size = np.zeros(batch.num_rows, dtype=np.int64)
     for column in batch.columns:
         if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
