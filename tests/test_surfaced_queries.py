@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def test_screening_on_arrival_equals_batch(spark, sf):
     rows = scan(messages(spark, sf).withColumn("trust", role_trust(F.col("role"))))
     v = disposition(F.col("findings"), F.col("raw_score"), F.col("trust"), F.col("was_modified"))
-    want = rows.select("request", "idx", "trust", v["disposition"], v["risk_score"], screening._hits(F.col("findings"))).collect()
+    want = rows.select("request", "idx", "trust", v["disposition"], v["risk_score"], screening.hits(F.col("findings"))).collect()
     got = QUERIES["T07_streaming_screening"](spark, sf).select("request", "idx", "trust", "disposition", "risk_score", "hits").collect()
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, map(tuple, want)))
 
