@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -29,6 +31,14 @@ def of_worker(key: tuple, make: Callable[[], object]) -> object:
     return _WORKER[key]
 
 
+def release() -> None:
+    """Hand back to the system what this worker has freed, at the end of a task: Spark keeps worker processes, and the C library
+    would keep the memory for them beside the next operator's."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux" and hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -102,6 +112,7 @@ def map_batches(df: DataFrame, fn: Callable[..., dict], schema: str) -> DataFram
                 made = fn(*[c.to_pylist() for c in part.columns])
                 yield pa.RecordBatch.from_arrays([pa.array(made[f.name], type=f.type) for f in arrow], schema=arrow)
             pa.default_memory_pool().release_unused()
+        release()
 
     return df.mapInArrow(run, schema)
 
@@ -123,6 +134,7 @@ def keep_rows(docs: DataFrame, columns: list, decide: Callable[..., list]) -> Da
                 lists = [(pc.fill_null(g, "") if c == "text" else g).to_pylist() for c, g in zip(columns, got)]
                 yield part.filter(pa.array(decide(*lists), pa.bool_()))
             pa.default_memory_pool().release_unused()
+        release()
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -14,6 +14,7 @@ from __future__ import annotations
 import math
 import pickle
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import chain
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, keep_rows, labels, map_batches, of_worker, slices, text_rows
+from .common import documents, keep_rows, labels, map_batches, of_worker, release, slices, text_rows
 
 BUCKETS, WIDTH, SIZES, WINDOW = 1 << 19, 4, (3, 4, 5, 6), 3
 #: The labelled rows that training takes at most, of each class; all their passages count.
@@ -38,7 +39,7 @@ TOPS = (1, 3, 6, 10)
 FOLD = 3
 #: Documents that an n-gram's first vector is tempered by.
 PRIOR = 3.0
-CACHE_WORDS = 500_000
+CACHE_WORDS = 250_000
 _EDGES = "".join(chr(i) for i in range(33, 127) if not chr(i).isalnum()) + "“”‘’«»…–—¡¿"
 
 
@@ -149,9 +150,12 @@ def fit(docs: Iterable[tuple[str, int]], seed: int = 0, rounds: int = 6, steps:
     end = np.cumsum(size)
     doc_of = np.repeat(np.arange(len(parts)), n_passages)
 
-    gram = [n_grams(w) or [0] for w in vocab]
-    gram_size = np.array([len(g) for g in gram])
-    gram, gram_end = np.fromiter(chain.from_iterable(gram), dtype=np.int32, count=int(gram_size.sum())), np.cumsum(gram_size)
+    packed, gram_size = array("i"), np.zeros(len(vocab), dtype=np.int64)  # as lists of numbers these would be the most by far
+    for k, w in enumerate(vocab):
+        own = n_grams(w) or [0]
+        packed.extend(own)
+        gram_size[k] = len(own)
+    gram, gram_end = np.frombuffer(packed, dtype=np.int32), np.cumsum(gram_size)
     held = np.zeros((2, BUCKETS), dtype=np.int32)  # documents of each class with each n-gram
     for own, c in zip(parts, y_all):
         at = np.unique(own)
@@ -266,7 +270,10 @@ def train(docs: DataFrame, marks: DataFrame) -> Model:
         for part in chain.from_iterable(map(slices, batches)):
             rows += [(zlib.crc32(str(doc).encode()), doc, words, c) for doc, c, words in zip(*[x.to_pylist() for x in part.columns])]
         rows.sort()
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(trained([(words, c) for _, _, words, c in rows]))], pa.binary())], names=["model"])
+        model = pickle.dumps(trained([(words, c) for _, _, words, c in rows]))
+        rows.clear()
+        release()
+        yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], names=["model"])
 
     words = map_batches(known, cut, "doc_id long, class int, words string")
     learnt = words.repartition(1).mapInArrow(learn, "model binary").first()
