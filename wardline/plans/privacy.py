@@ -129,8 +129,21 @@ def m12(spark, d):
     return masking.minted(_hits(spark, d)).select("partition", "canonical", "token", "value")
 
 
-@query("M12_tokens_after_older_vault")
+_HALF = lambda i: "(" + _VAULT.replace(" FROM h),", f" FROM h WHERE request % 2 = {i}),", 1) + " SELECT * FROM v)"
+#: Of names that an older vault lacks: a surname whose first name is a bare one brings a token if that is new, else each new
+#: full name brings one; of other kinds each name does.
+_LATER = f"""WITH e AS (SELECT * FROM {_HALF(0)}), a AS ({_VAULT} SELECT * FROM v), new AS (SELECT * FROM a WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.partition = a.partition AND e.canonical = a.canonical)),
+ u AS (SELECT partition, category, name, 0 AS gen, seen FROM e UNION ALL SELECT partition, category, name, 1 AS gen, seen FROM new),
+ p AS (SELECT partition, gen, seen, NOT contains(name, ' ') AS bare, string_split(name, ' ')[-1] AS family FROM u WHERE category = 'person'),
+ f AS (SELECT partition, family, arg_min(bare, (gen, seen)) AS bare_first, min(gen) AS gen, count(*) FILTER (gen = 1 AND NOT bare) AS fulls FROM p GROUP BY ALL),
+ more AS (SELECT partition, 'Person' AS prefix, sum(CASE WHEN bare_first THEN gen ELSE fulls END) AS n FROM f GROUP BY partition UNION ALL SELECT partition, {_PREFIX}, count(*) FROM new WHERE category <> 'person' GROUP BY ALL),
+ high AS (SELECT partition, {_PREFIX} AS prefix, max(cast(regexp_extract(token, '-(\\d+)\\]', 1) AS BIGINT)) AS high FROM e GROUP BY ALL)
+ SELECT partition, prefix, (coalesce(high, 0) + coalesce(n, 0))::BIGINT AS highest FROM high FULL JOIN more USING (partition, prefix)"""
+
+
+@query("M12_tokens_after_older_vault", _LATER)
 def m12_old(spark, d):
+    """The names of all texts minted after those of every second one."""
     hits = _hits(spark, d)
     old = masking.minted(hits.where("ord % 2 = 0"))
     return masking.counters(masking.minted(hits, old))
@@ -274,9 +287,6 @@ def m22_streamed(spark, d):
     return whole.join(rows.select(F.col("request").alias("stream_id"), F.col("text").alias("clear")), "stream_id").select("stream_id", (F.col("text") == F.col("clear")).alias("same"), F.sha2("text", 256).alias("text_sha256"))
 
 
-_HALF = lambda i: "(" + _VAULT.replace(" FROM h),", f" FROM h WHERE request % 2 = {i}),", 1) + " SELECT * FROM v)"
-
-
 @query("S26_vault_merge", f"WITH e AS (SELECT * FROM {_HALF(0)}), o AS (SELECT * FROM {_HALF(1)}) SELECT partition, canonical, token, value FROM e UNION ALL SELECT partition, canonical, token, value FROM o WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.partition = o.partition AND e.canonical = o.canonical)")
 def s26(spark, d):
     hits = _hits(spark, d)
