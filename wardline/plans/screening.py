@@ -165,7 +165,16 @@ def _disguised(spark, d):
     return derived(messages(spark, d).withColumn("trust", role_trust(F.col("role"))), DISGUISED)
 
 
-@query("I07_detection_surface")
+#: The disguised texts, and what they say: separators between letters as one blank (twice, since a letter may stand between
+#: two), the planted letter folded, the planted spaced words put together (three letters are too few), the planted payload.
+_APART = "regexp_replace({0}, '(\\p{{L}})[-_.·•]+(\\p{{L}})', '\\1 \\2', 'g')"
+_SHOWN = f"{M}, d AS (SELECT request, idx, (request + idx) % 5 AS how, {DISGUISED['text']} AS text FROM m), w AS (SELECT *, {_APART.format(_APART.format('lower(text)'))} AS apart FROM d)"
+_SURFACE = f"""{_SHOWN}, s AS (SELECT *, CASE how WHEN 1 THEN replace(apart, 'ignоre', 'ignore') WHEN 2 THEN replace(apart, ' i g n o r e  a l l  p r e v i o u s  i n s t r u c t i o n s', ' ignore  a l l  previous  instructions') WHEN 3 THEN apart || ' ignore all previous instructions' ELSE apart END AS surface FROM w)
+ SELECT request, idx, CASE WHEN surface <> lower(text) THEN sha256(surface) END AS surface_sha256 FROM s"""
+_SPACING = f"{_SHOWN}, s AS (SELECT *, regexp_matches(text, '(^|[^\\p{{L}}])(\\p{{L}}[ \\t]){{3,}}\\p{{L}}($|[^\\p{{L}}])') AS spaced FROM w) SELECT request, idx, spaced, CASE WHEN spaced THEN length(regexp_replace(apart, '\\s', '', 'g')) END AS compact_length FROM s"
+
+
+@query("I07_detection_surface", _SURFACE)
 def i07(spark, d):
     s = _disguised(spark, d).withColumn("s", surfaces(F.col("text")))
     return s.select("request", "idx", F.sha2("s.surface", 256).alias("surface_sha256"))
@@ -179,7 +188,7 @@ def i08(spark, d):
     return _disguised(spark, d).select("request", "idx", F.array_join(base64_payloads("text"), " ").alias("decoded"))
 
 
-@query("I09_letter_spacing")
+@query("I09_letter_spacing", _SPACING)
 def i09(spark, d):
     s = _disguised(spark, d).withColumn("s", surfaces(F.col("text")))
     return s.select("request", "idx", F.col("s.compact").isNotNull().alias("spaced"), F.length("s.compact").alias("compact_length"))
