@@ -144,6 +144,8 @@ def replayed(spark, source: DataFrame, transform, order: str = "ts", triggers: i
     cuts = source.select(at.alias("at")).approxQuantile("at", [k / triggers for k in range(1, triggers)], 0.01)
     own = [at <= cuts[0], *((at > a) & (at <= b) for a, b in zip(cuts, cuts[1:])), at > cuts[-1]] if cuts else [F.lit(True)]
     live = keyed.store_session(spark)
+    tasks = min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    live.conf.set("spark.sql.shuffle.partitions", tasks)  # each is a state store of its own, and a replay has no rows to come
     for part in own:
         source.where(part).write.mode("append").parquet(f"{base}/in")
         stream = live.readStream.schema(source.schema).parquet(f"{base}/in")
