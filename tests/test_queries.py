@@ -55,6 +55,14 @@ def test_guards_attachments_and_dense_texts_all_occur(spark, sf):
     assert {r.too_dense for r in registry.QUERIES["M18_token_density"](spark, sf).collect()} == {True, False}
 
 
+def test_densities_are_of_all_whole_texts(spark, sf, duck):
+    from wardline.plans import privacy
+
+    whole = duck.execute(f"{privacy._DENSE} SELECT request, round(density, 6) FROM y").fetchall()
+    got = {r.request: r.density for r in registry.QUERIES["M18_token_density"](spark, sf).collect()}
+    assert len(whole) == spark.read.parquet(f"{sf}/documents.parquet").count() and all(abs(got[k] - v) < 1e-6 for k, v in whole)
+
+
 def test_exact_lookups_hit_miss_and_expire(spark, sf):
     got = registry.QUERIES["C03_exact_lookup"](spark, sf).collect()
     assert {r.hit for r in got} == {True, False} and len(got) == spark.read.parquet(f"{sf}/events.parquet").count()

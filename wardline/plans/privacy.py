@@ -237,15 +237,17 @@ _DENSE = f"""{_H}, c AS (SELECT request, count(*) AS n, sum(len(list_filter(rege
  y AS (SELECT request, CASE WHEN words > 0 THEN tokens / words ELSE 0.0 END AS density FROM t)"""
 
 
-#: One text of two is the planted one alone, so that some are dense.
-_SHORT = NOTES | {"text": NOTES["text"].replace("substr(coalesce(text, ''), 1)", "CASE WHEN doc_id % 2 = 0 THEN '' ELSE coalesce(text, '') END")}
-_DENSE_SHORT = _DENSE.replace(sql_of(NOTES, "documents"), sql_of(_SHORT, "documents")).replace("length(coalesce(text, '')) AS L", "CASE WHEN doc_id % 2 = 0 THEN 0 ELSE length(coalesce(text, '')) END AS L")
+#: Every whole text, and the planted one of each document once more alone, so that some are dense: their ids are shifted by
+#: a number that 13 and 4 divide, which planting and partitions go by.
+_ALONE = "doc_id + 13000000000000"
+_DENSE_BOTH = _DENSE.replace("FROM documents", f"FROM (SELECT doc_id, text FROM documents UNION ALL SELECT {_ALONE}, '' FROM documents)")
 
 
-@query("M18_token_density", f"{_DENSE_SHORT} SELECT request, round(density, 6) AS density, density > 0.35 AS too_dense FROM y")
+@query("M18_token_density", f"{_DENSE_BOTH} SELECT request, round(density, 6) AS density, density > 0.35 AS too_dense FROM y")
 def m18(spark, d):
-    notes_ = derived(table(spark, d, "documents"), _SHORT).selectExpr("partition", "request", "cast(idx as int) AS idx", "ord", "text")
-    rows, _ = masking.masked(notes_)
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    both = docs.union(docs.selectExpr(_ALONE, "''"))
+    rows, _ = masking.masked(derived(both, NOTES).selectExpr("partition", "request", "cast(idx as int) AS idx", "ord", "text"))
     return rows.select("request", F.round("density", 6).alias("density"), (token_density(F.col("masked")) > 0.35).alias("too_dense"))
 
 
