@@ -168,3 +168,12 @@ def test_a_third_of_equal_rows_are_ranked_each(spark):
     assert sorted(r.rank for r in got) == list(range(1, 901)) and set(got[0].asDict()) == {"doc_id", "n_features", "weight", "score", "rank"}
     by = sorted(got, key=lambda r: r["rank"])
     assert all((-a.score, a.doc_id) <= (-b.score, b.doc_id) for a, b in zip(by, by[1:]))
+
+
+def test_n_grams_of_many_words_at_once_are_those_of_each():
+    from wardline.llm import toxicity
+
+    words = ["", "a", "--", "word", "Straße", "“été”", "日本語", "😀😀x", "x\ud800", "x" * 300, "İK", "!!a!!"]
+    of, found = toxicity.buckets(words)
+    assert [found[of == i].tolist() for i in range(len(words))] == [toxicity.n_grams(w) for w in words]
+    assert [len(x) for x in toxicity.buckets(["", "--"])] == [0, 0]

@@ -66,7 +66,7 @@ class Model:
     empty: float
     slope: np.ndarray
 
-    def scores(self, texts: list[str], numbers: dict[str, float]) -> list[float]:
+    def scores(self, texts: list[str], numbers: Numbers) -> list[float]:
         """The score of each text; numbers is the worker's Numbers of this model."""
         if len(numbers) > CACHE_WORDS:
             numbers.clear()
@@ -91,24 +91,76 @@ def leading(words: list[str], numbers: dict[str, float]) -> float:
     return float((total[WINDOW:] - total[:-WINDOW]).max() / WINDOW)
 
 
-def features(words: list[str], numbers: dict[str, float]) -> np.ndarray:
+def features(words: list[str], numbers: Numbers) -> np.ndarray:
     """What the score of a text with words depends on. Where there are fewer different words than asked for, the rest
     count as 0."""
-    top = -np.sort(-np.fromiter(map(numbers.__getitem__, set(words)), dtype=np.float64))[: TOPS[-1]]
+    different = set(words)
+    numbers.learn(different)
+    top = -np.sort(-np.fromiter(map(numbers.__getitem__, different), dtype=np.float64))[: TOPS[-1]]
     return np.array([leading(words, numbers), *(top[:k].sum() / k for k in TOPS)])
 
 
+def _crc_table() -> np.ndarray:
+    """CRC-32 of each byte, without the inversions."""
+    table = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        table = np.where(table & 1, table >> 1 ^ np.uint32(0xEDB88320), table >> 1)
+    return table
+
+
+_CRC = _crc_table()
+
+
+def buckets(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """n_grams() of many tokens at once: the number of the token in the list and the bucket, for each n-gram. The CRCs of all
+    n-grams that start at a character grow together, by one character at a time."""
+    words = [f"<{t.strip(_EDGES)}>".encode("utf-8", "surrogatepass") for t in tokens]
+    full = [i for i, w in enumerate(words) if len(w) > 2]
+    if not full:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    own = [words[i] for i in full]
+    data = np.frombuffer(b"".join(own), dtype=np.uint8)
+    first = np.flatnonzero(data & 0xC0 != 0x80)  # the first byte of each character
+    size = np.diff(np.append(first, len(data)))
+    ends = np.cumsum([len(w) for w in own])
+    end = np.searchsorted(first, ends)  # the character behind each word's last one
+    word = np.repeat(np.arange(len(own)), np.diff(end, prepend=0))
+    start, behind, crc = np.arange(len(first)), end[word], np.full(len(first), 0xFFFFFFFF, dtype=np.uint32)
+    of, found = [], []
+    for k in range(SIZES[-1]):
+        inside = start + k < behind
+        start, behind, crc = start[inside], behind[inside], crc[inside]
+        at, long = first[start + k], size[start + k]
+        crc = _CRC[(crc ^ data[at]) & 255] ^ crc >> np.uint32(8)
+        for more in range(1, int(long.max(initial=1))):
+            some = np.flatnonzero(long > more)
+            crc[some] = _CRC[(crc[some] ^ data[at[some] + more]) & 255] ^ crc[some] >> np.uint32(8)
+        if k + 1 in SIZES:
+            of.append(word[start])
+            found.append(~crc & np.uint32(BUCKETS - 1))
+    of.append(np.arange(len(own)))
+    found.append(np.array([zlib.crc32(b"=" + w) & (BUCKETS - 1) for w in own], dtype=np.uint32))
+    return np.array(full)[np.concatenate(of)], np.concatenate(found).astype(np.int64)
+
+
 class Numbers(dict):
     """Token -> the mean weight of its n-grams, found when first asked for."""
 
     def __init__(self, model: Model):
         super().__init__()
-        self.weight = model.weight.tolist()
+        self.weight = model.weight
+
+    def learn(self, tokens: Iterable[str]) -> None:
+        """Find the numbers of those tokens that are new, together."""
+        new = [t for t in tokens if t not in self]
+        if new:
+            of, found = buckets(new)
+            total = np.bincount(of, weights=self.weight[found], minlength=len(new))
+            self.update(zip(new, (total / np.maximum(np.bincount(of, minlength=len(new)), 1)).tolist()))
 
     def __missing__(self, token: str) -> float:
-        grams = n_grams(token)
-        self[token] = out = sum(map(self.weight.__getitem__, grams)) / len(grams) if grams else 0.0
-        return out
+        self.learn([token])
+        return self[token]
 
 
 def _within(sizes: np.ndarray) -> np.ndarray:
