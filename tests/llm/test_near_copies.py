@@ -63,3 +63,29 @@ def test_odd_rows(spark, odd, none):
     got = near_copies.near_copies(odd).collect()
     assert len(got) == odd.count() and {r.doc_id: r.component_id for r in got}[10] == 1
     assert near_copies.near_copies(none).count() == 0
+
+
+def test_fingerprints_at_most_four_bits_apart_are_compared(spark):
+    r, sims = random.Random(3), []
+    for _ in range(30):
+        base = r.getrandbits(64)
+        sims += [base] + [base ^ sum(1 << b for b in r.sample(range(64), k)) for k in (0, 1, 3, 4, 5, 9)]
+    rows = [(i, s - (1 << 64) if s >> 63 else s) for i, s in enumerate(sims)]
+
+    def joined(pairs):
+        low = list(range(len(sims)))
+
+        def root(i):
+            while low[i] != i:
+                i = low[i]
+            return i
+
+        for a, b in pairs:
+            x, y = sorted((root(a), root(b)))
+            low[y] = x
+        return [root(i) for i in low]
+
+    close = [tuple(x) for x in near_copies._close(spark.createDataFrame(rows, "fp long, sim long")).collect()]
+    near = [(a, b) for a in range(len(sims)) for b in range(a) if (sims[a] ^ sims[b]).bit_count() <= 4]
+    assert joined(close) == joined(near)
+    assert all((sims[a] ^ sims[b]).bit_count() <= 4 and a < b for a, b in close)

@@ -1,8 +1,10 @@
-"""Near copies by Jaccard similarity: MinHash bands propose pairs, the whole sets of 5-word shingles decide.
+"""Near copies by Jaccard similarity: SimHash and MinHash bands propose pairs, the whole sets of 5-word shingles decide.
 
-At similarity 0.8 fingerprints of SimHash differ in about 10 bits of 64, and up to 18: blocks that find those pairs are
-too short to select anything. A band of 5 minima agrees for similarity s with probability s^5, so of 24 bands one or
-more agree for 0.99993 of the pairs at 0.8 and for more above. No pair links on its bands alone.
+Each set has a SimHash fingerprint. Its blocks propose, as in simhash.py, the pairs that differ in at most 4 bits. At
+similarity 0.8 fingerprints differ in about 10 bits of 64, and up to 18: blocks that find those pairs are too short to
+select anything. So bands of minima propose the others: a band of 5 agrees for similarity s with probability s^5, so of
+24 bands one or more agree for 0.99993 of the pairs at 0.8 and for more above. No pair links on its fingerprints or its
+bands alone.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import forget, map_batches, of_worker, release, slices, stored, text_rows
 from .graph import assigned, connected_components, spread_join
+from .simhash import links, majority
 
 WIDTH, BANDS, ROWS = 5, 24, 5
 #: Texts of one group that one task compares at a time. Larger groups are dealt out in parts.
@@ -64,15 +67,16 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def _marks(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, fp, keys): fp is equal for equal sets of shingles."""
+    """(doc_id, text, fp, sim, keys): fp is equal for equal sets of shingles, sim is the set's SimHash fingerprint."""
 
     def make(ids: list, texts: list) -> dict:
         of_worker(("near copies",), dict)  # nothing is kept here: the last operator's cache goes
         sets = [shingles(t) for t in texts]
         fps = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], dtype=np.uint64).view(np.int64)
-        return {"doc_id": ids, "text": texts, "fp": fps, "keys": [bands(s) for s in sets]}
+        sims = np.array([majority(s) for s in sets], dtype=np.uint64).view(np.int64)
+        return {"doc_id": ids, "text": texts, "fp": fps, "sim": sims, "keys": [bands(s) for s in sets]}
 
-    return map_batches(text_rows(docs), make, "doc_id long, text string, fp long, keys array<long>")
+    return map_batches(text_rows(docs), make, "doc_id long, text string, fp long, sim long, keys array<long>")
 
 
 def _grouped(rows: DataFrame, compare: Callable[[list, list, list], list]) -> DataFrame:
@@ -121,9 +125,20 @@ def _dealt(n: Column) -> tuple[Column, Column]:
     return parts, F.pmod(F.xxhash64("fp"), parts).cast("int")
 
 
-def _hub_edges(shared: DataFrame, texts: DataFrame) -> DataFrame:
-    """Each member of a group is compared to the group's smallest, once for each such pair."""
-    pairs = stored(shared.where("fp != low").select(F.col("low").alias("g"), "fp").distinct(), "pairs")
+def _close(firsts: DataFrame) -> DataFrame:
+    """(low, fp): sets with one fingerprint, each with the smallest of them, and the smallest of each two fingerprints that SimHash
+    links."""
+    sims = stored(firsts.groupBy("sim").agg(F.min("fp").alias("low"), F.count("*").alias("n")), "fingerprints")
+    same = spread_join(firsts.select("fp", "sim"), sims, ["sim"], firsts.count()).where("fp != low").select("low", "fp")
+    ends = stored(links(sims.select(F.col("sim").alias("fp"))).distinct(), "fingerprint-links")
+    low = lambda end, name: sims.select(F.col("sim").alias(end), F.col("low").alias(name))
+    return same.union(ends.join(low("u", "a"), "u").join(low("v", "b"), "v").select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("fp")))
+
+
+def _hub_edges(shared: DataFrame, close: DataFrame, texts: DataFrame) -> DataFrame:
+    """Each member of a band's group is compared to the group's smallest, and the two of each close pair, once for each such pair."""
+    pairs = shared.where("fp != low").select(F.col("low").alias("g"), "fp").union(close.select("low", "fp"))
+    pairs = stored(pairs.distinct(), "pairs")
     sizes = stored(pairs.groupBy("g").agg(F.count("*").alias("n")), "pair-sizes")
     parts, mine = _dealt(F.col("n"))
     others = spread_join(pairs, sizes, ["g"], pairs.count()).select("g", mine.alias("p"), "fp", F.lit(0).cast("long").alias("tag"))
@@ -150,16 +165,18 @@ def near_copies(docs: DataFrame) -> DataFrame:
     Texts with equal shingles are one component, those without words another. Repeated rows each get a row. A component
     whose doc_ids are all null has component_id null. An empty table gives an empty one."""
     marks = stored(_marks(docs), "marks")
-    firsts = stored(marks.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"), F.first("keys").alias("keys")), "distinct-sets")
+    firsts = stored(marks.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"), F.first("sim").alias("sim"), F.first("keys").alias("keys")), "distinct-sets")
     keys = firsts.select("fp", F.explode("keys").alias("g"))
     sizes = stored(keys.groupBy("g").agg(F.count("*").alias("n"), F.min("fp").alias("low")).where("n > 1"), "band-sizes")
     different, rows = firsts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     total = BANDS * different
     shared = stored(spread_join(keys, sizes, ["g"], total).select("g", "fp", "n", "low"), "shared-bands")
-    wanted = stored(firsts.select("fp", "n").join(shared.select("fp").distinct(), "fp", "left_semi"), "wanted")
+    close = stored(_close(firsts), "close")
+    compared = shared.select("fp").union(close.select("fp")).union(close.select("low")).distinct()
+    wanted = stored(firsts.select("fp", "n").join(compared, "fp", "left_semi"), "wanted")
     texts = stored(spread_join(marks.select("fp", "text"), wanted, ["fp"], rows).select("fp", "text").dropDuplicates(["fp"]), "texts")
-    roots = stored(connected_components(stored(_hub_edges(shared, texts), "hub-edges")), "roots")
+    roots = stored(connected_components(stored(_hub_edges(shared, close, texts), "hub-edges")), "roots")
     rest = stored(_rest_edges(shared, texts, roots, total), "rest-edges")
     groups = stored(connected_components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(rest)), "groups")
-    forget(sizes, shared, wanted, texts, roots, rest)
+    forget(sizes, shared, close, wanted, texts, roots, rest)
     return assigned(marks.select("doc_id", "fp"), firsts.select("fp", "first", "n"), groups).select("doc_id", "component_id")

@@ -43,9 +43,14 @@ def fingerprint(text: str, width: int = 4, seed: int = 42) -> int:
         starts = [0, *(e + 1 for e in ends[:-1])]
         digest = xxhash.xxh64_intdigest
         hashes = [digest(joined[s:e], seed) for s, e in zip(starts, ends[width - 1 :])]
+    return majority(np.array(hashes, dtype=np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint of hashes: a bit is 1 if it is set in over half of them."""
     ones = np.zeros(BITS, dtype=np.int64)
     for k in range(0, len(hashes), 4096):
-        part = np.array(hashes[k : k + 4096], dtype="<u8").view(np.uint8).reshape(-1, 8)
+        part = hashes[k : k + 4096].astype("<u8").view(np.uint8).reshape(-1, 8)
         ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
