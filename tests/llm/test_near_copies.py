@@ -89,3 +89,16 @@ def test_fingerprints_at_most_four_bits_apart_are_compared(spark):
     near = [(a, b) for a in range(len(sims)) for b in range(a) if (sims[a] ^ sims[b]).bit_count() <= 4]
     assert joined(close) == joined(near)
     assert all((sims[a] ^ sims[b]).bit_count() <= 4 and a < b for a, b in close)
+
+
+def test_joins_with_hot_keys_make_no_rows_but_the_result(spark):
+    from pyspark.sql import functions as F
+    from wardline.llm.common import stored
+    from wardline.llm.graph import spread_join
+
+    rows = spark.range(1000).select(F.when(F.col("id") < 200, 7).otherwise(F.col("id")).alias("g"), F.col("id").alias("fp"))
+    sizes = stored(rows.groupBy("g").agg(F.count("*").alias("n")).where("g % 3 = 1"))
+    got = spread_join(rows, sizes, ["g"], 1000)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, rows.join(sizes, "g").collect()))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" not in plan and plan.count("Join Inner") == 2

@@ -16,11 +16,14 @@ def spread_join(rows: DataFrame, by_key: DataFrame, keys: list[str], total: int)
     """rows (total of them at most) joined with by_key, a stored table of different keys with n, the number of rows of each.
 
     Keys with more than total / HEAVY_KEYS rows are fewer than HEAVY_KEYS at any size: they are broadcast, so that a
-    key's rows stay where they are, in many tasks. All other keys meet by a shuffle, a small share of the rows each."""
-    heavy = F.col("n") > max(LIGHT, total // HEAVY_KEYS)
-    hot = by_key.where(heavy)
-    others = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
-    return rows.join(F.broadcast(hot), keys).unionByName(others.join(by_key.where(~heavy), keys))
+    key's rows stay where they are, in many tasks. All other keys meet by a shuffle, a small share of the rows each. Which
+    keys are broadcast is told by their hashes, which the driver gets: a key of the same hash goes with them."""
+    own = F.xxhash64(*keys)
+    hot = [r[0] for r in by_key.where(F.col("n") > max(LIGHT, total // HEAVY_KEYS)).select(own).collect()]
+    if not hot:
+        return rows.join(by_key, keys)
+    with_hot, others = rows.where(own.isin(hot)), rows.where(~own.isin(hot))
+    return with_hot.join(F.broadcast(by_key.where(own.isin(hot))), keys).unionByName(others.join(by_key.where(~own.isin(hot)), keys))
 
 
 def _large_star(edges: DataFrame, total: int) -> DataFrame:
