@@ -236,3 +236,21 @@ def test_lookups_meet_the_entry_of_their_time(spark):
     v = lambda df, x: df.withColumns({"embedding": F.array(*map(F.lit, x)), "signature": F.array(F.lit("s"))})
     near = cache.semantic(v(lookups, [1.0, 0.0]), cache.versions(v(entries, [2.0, 0.1])), 0.9, 7200).collect()
     assert {r.lookup_id: r.response for r in near} == {1: "old", 2: "old", 3: "new"}
+
+
+def test_semantic_lookup_by_cells_equals_the_plain_join(spark):
+    """Blocks cut into cells give what pairs give: times, equal vectors, other lengths, norms of 0, no entry of one's own."""
+    import random
+
+    from wardline.operators import cache
+
+    rng = random.Random(3)
+    dims = lambda i: [0.0] * 3 if i % 17 == 0 else [float(rng.randint(-2, 2)) for _ in range(3 if i % 5 else 2)]
+    rows = [(i, "p", "m", ["a"] if i % 4 else ["b"], dims(i), rng.randint(0, 90), rng.randint(0, 90), f"r{i}") for i in range(160)]
+    shape = "lookup_id long, partition string, model string, signature array<string>, embedding array<float>, at long, asked long, response string"
+    v = spark.createDataFrame(rows, shape).selectExpr("*", "lookup_id AS entry_id", "timestamp_seconds(at) AS stored_at", "timestamp_seconds(asked) AS ts")
+    e = v.selectExpr("*", "CASE WHEN entry_id % 3 = 0 THEN timestamp_seconds(at + 20) END AS until")
+    for ttl in (0, 30):
+        for itself in (True, False):
+            plain = sorted(map(tuple, cache.semantic(v, e, 0.8, ttl, itself=itself).collect()))
+            assert plain and plain == sorted(map(tuple, cache.semantic(v, e, 0.8, ttl, chunk=40, few=0, itself=itself).collect()))

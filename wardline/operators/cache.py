@@ -5,9 +5,12 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.policy import RECORD, UNIT
 from ..streaming.state import HOT_ROWS, by_parts
+from .similar import best_of_cell
 from .storage import latest_before, numbered, one_before, stored
 
 KEY = ["partition", "model", "prompt", "temperature", "max_tokens"]
@@ -78,34 +81,55 @@ def versions(entries: DataFrame) -> DataFrame:
     return _whole_key(entries).withColumn("until", F.lead("stored_at").over(n)).drop("_key")
 
 
-def semantic(misses: DataFrame, entries: DataFrame, threshold: float = SIMILAR, ttl: int = TTL, salts: int = 16, itself: bool = True) -> DataFrame:
+#: Rows of a block's lookups or entries in one cell, and pairs of a block up to which they meet in a plain join.
+CHUNK, FEW = 8192, 1 << 16
+
+
+def semantic(misses: DataFrame, entries: DataFrame, threshold: float = SIMILAR, ttl: int = TTL, chunk: int = CHUNK, itself: bool = True, few: int = FEW) -> DataFrame:
     """(lookup_id, response, score, entry_id) of the best entry of the same partition, model and signature that the cache
     holds at that time and whose vector is similar enough: the highest score, then the newest, then the smallest
     entry_id. entries with until (as of versions()) count until then; without it each is its own key's only one.
 
-    Signatures are compared whole. Blocks with the same signature (the empty one above all) can be large: entries
-    are dealt over salts and each lookup meets every salt, and only the best of each salt goes on. Vectors are brought
-    to length 1 before they meet. Without itself, the entry whose id is the lookup's is passed over."""
-    block = F.xxhash64("partition", "model", "signature")
+    Signatures are compared whole. Blocks with the same signature (the empty one above all) can be large: those of more than few
+    pairs are cut into cells, chunk lookups by chunk entries each, whose vectors meet as matrices, and only the best of each
+    cell goes on; the others meet in a join. Vectors are brought to length 1 before they meet. Without itself, the entry whose
+    id is the lookup's is passed over."""
+    block = ["partition", "model", "signature"]
+    rows = lambda t: t.where(F.forall("embedding", lambda x: x.isNotNull())).withColumn("_b", F.xxhash64(*block))
+    until = F.coalesce(F.unix_micros("until"), F.lit((1 << 63) - 1)) if "until" in entries.columns else F.lit((1 << 63) - 1)
+    q = rows(misses).select("lookup_id", *block, "_b", "embedding", F.unix_micros("ts").alias("_t")).where("_t is not null")
+    fresh = lambda *names: [F.col(c).alias(c) for c in names]  # noqa: E731  lookups and entries may be one table
+    e = rows(entries).select(*fresh("entry_id", *block, "_b", "embedding", "response"), F.unix_micros("stored_at").alias("_at"), until.alias("_until")).where("_at is not null")
+    count = lambda t, name: t.groupBy("_b").agg(F.count("*").alias(name))
+    # a row for each large block, of which there are at most a few hundredths as many as rows
+    large = F.broadcast(stored(count(q, "_i").join(count(e, "_j"), "_b").where(F.col("_i") * F.col("_j") > few).select("_b", F.ceil(F.col("_i") / chunk).alias("_i"), F.ceil(F.col("_j") / chunk).alias("_j")), "blocks"))
+    every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    own = lambda key, c: F.pmod(F.xxhash64(key), F.col(c))
+    cell = [*block, "_i", "_j"]
+    in_cells = q.join(large, "_b").withColumn("_i", own("lookup_id", "_i")).withColumn("_j", every("_j")).drop("_b").groupBy(*cell)
+    out = misses.select("lookup_id").schema.fields + entries.select("response").schema.fields + [T.StructField("score", T.DoubleType())] + entries.select("entry_id").schema.fields + [T.StructField("_at", T.LongType())]
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in out])
+    of_cells = in_cells.cogroup(e.join(large, "_b").withColumn("_j", own("entry_id", "_j")).withColumn("_i", every("_i")).drop("_b").groupBy(*cell))
+    met = of_cells.applyInArrow(best_of_cell(threshold, ttl, itself, to_arrow_schema(schema)), schema)
+
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    unit = lambda rows: rows.withColumn("_n", norm).where("_n > 0").withColumn("_v", F.transform("embedding", lambda x: x.cast("double") / F.col("_n"))).withColumn("_b", block)
-    e = entries if "until" in entries.columns else entries.withColumn("until", F.lit(None).cast("timestamp"))
-    q = unit(misses).withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).alias("q")
-    e = unit(e).withColumn("_s", F.pmod(F.xxhash64("entry_id"), F.lit(salts)).cast("int")).alias("e")
-    same = (F.col("q._b") == F.col("e._b")) & (F.col("q._s") == F.col("e._s")) & (F.col("q.partition") == F.col("e.partition")) & (F.col("q.model") == F.col("e.model")) & (F.col("q.signature") == F.col("e.signature"))
+    unit = lambda t: t.join(large, "_b", "left_anti").withColumn("_n", norm).where("_n > 0").withColumn("_v", F.transform("embedding", lambda x: x.cast("double") / F.col("_n")))
+    side = lambda t, p: t.select(*[F.col(c).alias(p + c) for c in t.columns])
+    same = (F.col("q_b") == F.col("e_b")) & (F.col("qpartition") == F.col("epartition")) & (F.col("qmodel") == F.col("emodel")) & (F.col("qsignature") == F.col("esignature"))
     if not itself:
-        same = same & (F.col("q.lookup_id") != F.col("e.entry_id"))
-    held = (F.col("e.stored_at") <= F.col("q.ts")) & (F.col("e.until").isNull() | (F.col("e.until") > F.col("q.ts"))) & alive(F.col("e.stored_at"), F.col("q.ts"), ttl)
-    score = F.when(F.size("q._v") == F.size("e._v"), F.aggregate(F.zip_with("q._v", "e._v", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x))
-    met = q.join(e, same & held).withColumn("score", score).where(F.col("score") >= threshold)
-    rank = F.struct("score", "e.stored_at", (-F.col("e.entry_id")).alias("back"))
-    return met.groupBy("q.lookup_id").agg(F.max_by(F.struct("e.response", "score", "e.entry_id"), rank).alias("b")).select("lookup_id", "b.*")
+        same = same & (F.col("qlookup_id") != F.col("eentry_id"))
+    held = (F.col("e_at") <= F.col("q_t")) & (F.col("e_until") > F.col("q_t")) & (F.lit(ttl == 0) | (F.col("q_t") - F.col("e_at") <= ttl * 1_000_000))
+    score = F.when(F.size("q_v") == F.size("e_v"), F.aggregate(F.zip_with("q_v", "e_v", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x))
+    pairs = side(unit(q), "q").join(side(unit(e), "e"), same & held).withColumn("score", score).where((F.col("score") >= threshold) & ~F.isnan("score"))
+    met = met.unionByName(pairs.select(F.col("qlookup_id").alias("lookup_id"), F.col("eresponse").alias("response"), "score", F.col("eentry_id").alias("entry_id"), F.col("e_at").alias("_at")))
+    rank = F.struct("score", "_at", (-F.col("entry_id")).alias("back"))
+    return met.groupBy("lookup_id").agg(F.max_by(F.struct("response", "score", "entry_id"), rank).alias("b")).select("lookup_id", "b.*")
 
 
 def looked_up(lookups: DataFrame, entries: DataFrame, threshold: float = SIMILAR, ttl: int = TTL, itself: bool = True) -> DataFrame:
     """lookups with kind exact, semantic or miss, and the masked response."""
     first = stored(exact(lookups, entries, ttl), "exact")
-    close = semantic(first.where("kind is null").drop("response", "kind"), versions(entries), threshold, ttl, itself=itself).select("lookup_id", F.col("response").alias("_near"))
+    close = semantic(first.where("kind is null").drop("response", "kind"), stored(versions(entries), "versions"), threshold, ttl, itself=itself).select("lookup_id", F.col("response").alias("_near"))
     out = first.join(close, "lookup_id", "left")
     return out.withColumn("kind", F.coalesce("kind", F.when(F.col("_near").isNotNull(), "semantic"), F.lit("miss"))).withColumn("response", F.coalesce("response", "_near")).drop("_near")
 
