@@ -172,3 +172,28 @@ def test_a_log_without_reset_points_is_one_part(spark):
     log = spark.range(300).select(F.lit("c").alias("caller"), F.timestamp_seconds("id").alias("ts"), F.col("id").alias("event_id"))
     assert tuple(state.limit_parts(log, 0, 60.0, 5).first()) == ("c", 1, 300, 300)
     assert state.rate_limited(log, 0, 60.0, 5, hot_rows=10).where("allowed").count() == 5
+
+
+def test_early_chunks_of_many_pages(spark, tmp_path):
+    """More chunks than a page of early ones holds, in any order, over triggers and a restart."""
+    rng = random.Random(9)
+    streams = {k: [bytearray(rng.choice([b"a", b"b\n", "ü".encode()])) for _ in range(5 * keyed.PAGE + k)] for k in range(3)}
+    got = _streamed(spark, _arrivals(rng, streams, 4), "stream_id long, seq long, chunk binary, last boolean", keyed.line_stream, str(tmp_path), 4, 2).collect()
+    bodies = {k: b"".join(map(bytes, cs)).decode() for k, cs in streams.items()}
+    want = [(k, i, line, False) for k, b in bodies.items() for i, line in enumerate(b.split("\n")[:-1])] + [(k, b.count("\n"), None, True) for k, b in bodies.items()]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
+def test_long_captures_are_cut_in_proportion_to_their_length(spark):
+    """The size of a split capture stood beside its lines, and was made again for each of them."""
+    import time
+
+    from wardline.plans.fixtures import chunked
+    from wardline.sources import streams
+
+    rows = spark.range(1).selectExpr("id AS stream_id", "repeat('data: x\\n', 40000) AS body")
+    t0 = time.monotonic()
+    assert streams.payloads(rows, True).where("payload = 'x'").count() == 40_000
+    cut = chunked(rows.selectExpr("stream_id", "encode(body, 'UTF-8') AS data"), 8)
+    assert cut.where("chunk = encode('data: x\n', 'UTF-8')").count() == 40_000 and [r.seq for r in cut.where("last").collect()] == [39_999]
+    assert time.monotonic() - t0 < 60

@@ -10,7 +10,7 @@ from ..operators import decide
 from ..operators.storage import shared_path
 from ..sources import dialects, logs, streams
 from ..streaming import keyed
-from .fixtures import MESSAGES_SQL, derived, messages, query, replayed, table
+from .fixtures import MESSAGES_SQL, chunked, derived, messages, query, replayed, sevens, table
 from .screening import _BYTES_SQL, ANSWERS, G, _AUDIT, _attachments, _decided
 
 DIALECTS = ("openai", "anthropic", "ollama")
@@ -139,8 +139,8 @@ def s10(spark, d):
 def _events(spark, d, dialect):
     """A capture for each answer of a conversation: an event for every seven characters, usage at the end."""
     rows = table(spark, d, "conversations").where("role = 'assistant'")
-    pieces = F.transform(F.sequence(F.lit(0), F.floor(F.length("text") / 7)), lambda i: F.substring(F.col("text"), (i * 7 + 1).cast("int"), F.lit(7)))
-    quoted = lambda c: F.substring(F.to_json(F.struct(c.alias("x"))), F.lit(6), F.length(F.to_json(F.struct(c.alias("x")))) - 6)
+    pieces = F.concat(sevens(F.col("text")), F.when(F.length("text") % 7 == 0, F.array(F.lit(""))).otherwise(F.array().cast("array<string>")))
+    quoted = lambda c: F.regexp_extract(F.to_json(F.struct(c.alias("x"))), r"(?s)^.{5}(.*).$", 1)
     shape = {"openai": ('{"choices":[{"delta":{"content":', "}}]}"), "anthropic": ('{"type":"content_block_delta","delta":{"text":', "}}"), "ollama": ('{"message":{"content":', "}}")}[dialect]
     end = {"openai": '{"choices":[],"usage":{"prompt_tokens":3,"completion_tokens":9}}', "anthropic": '{"type":"message_delta","usage":{"output_tokens":9}}', "ollama": '{"done":true,"eval_count":9}'}[dialect]
     prefix = F.lit("" if dialect == "ollama" else "data: ")
@@ -175,10 +175,7 @@ def s14(spark, d):
  FROM (SELECT doc_id AS request, string_split(text, chr(10)) AS parts FROM documents WHERE octet_length(encode(text)) > 0) WHERE len(parts) > 1""")
 def s14_streamed(spark, d):
     """The documents as streams of chunks of 997 bytes, each trigger with a part of every stream's chunks, the early ones too."""
-    data = F.encode(F.col("text"), "UTF-8")
-    cut = F.transform(F.sequence(F.lit(0), F.floor((F.octet_length("text") - 1) / 997)), lambda i: F.substring(data, (i * 997 + 1).cast("int"), F.lit(997)))
-    rows = table(spark, d, "documents").where("octet_length(text) > 0").select(F.col("doc_id").alias("stream_id"), F.size(cut).alias("n"), F.posexplode(cut).alias("seq", "chunk"))
-    rows = rows.select("stream_id", F.col("seq").cast("long").alias("seq"), "chunk", (F.col("seq") == F.col("n") - 1).alias("last"), (F.col("seq") * 7 % 4).alias("trigger"))
+    rows = chunked(table(spark, d, "documents").where("octet_length(text) > 0").select(F.col("doc_id").alias("stream_id"), F.encode("text", "UTF-8").alias("data")), 997)
     lines = replayed(spark, rows, keyed.line_stream, "trigger")
     return lines.where("not last").select("stream_id", "seq", F.sha2("line", 256).alias("line_sha256"))
 
@@ -210,10 +207,7 @@ def s18(spark, d):
 def s18_streamed(spark, d):
     """The captures as streams of chunks of 100 bytes, each trigger with a part of every stream's, put together to lines as they
     come; the lines' events folded by a second stream."""
-    bodies = _events(spark, d, "anthropic").select("stream_id", F.encode("body", "UTF-8").alias("data"))
-    cut = F.transform(F.sequence(F.lit(0), F.floor((F.octet_length("data") - 1) / 100)), lambda i: F.substring(F.col("data"), (i * 100 + 1).cast("int"), F.lit(100)))
-    rows = bodies.select("stream_id", F.size(cut).alias("n"), F.posexplode(cut).alias("seq", "chunk"))
-    rows = rows.select("stream_id", F.col("seq").cast("long").alias("seq"), "chunk", (F.col("seq") == F.col("n") - 1).alias("last"), (F.col("seq") * 7 % 4).alias("trigger"))
+    rows = chunked(_events(spark, d, "anthropic").select("stream_id", F.encode("body", "UTF-8").alias("data")), 100)
     lines = replayed(spark, rows, keyed.line_stream, "trigger")
     payload = F.when(F.startswith("line", F.lit("data:")), F.trim(F.substring("line", 6, 1 << 30)))
     events = streams.deltas(lines.withColumn("payload", payload), "anthropic").withColumn("trigger", F.col("seq") % 3)

@@ -11,7 +11,8 @@ from .dialects import _kind, _number, _text, parsed, usage, usage_of
 def payloads(captures: DataFrame, sse: bool) -> DataFrame:
     """captures (stream_id, body) -> stream_id, seq, payload. Server-sent events: what follows 'data:', trimmed, if there
     is any; JSON lines: each line that isn't blank. A last line without an end isn't taken."""
-    lines = captures.select("stream_id", F.posexplode(F.split("body", "\n")).alias("seq", "raw"), F.size(F.split("body", "\n")).alias("n")).where("seq < n - 1")
+    parts = F.split("body", "\n")  # cut before the explode: what stands beside it is made again for every line
+    lines = captures.select("stream_id", F.posexplode(F.slice(parts, F.lit(1), F.size(parts) - 1)).alias("seq", "raw"))
     text = F.trim(F.regexp_replace("raw", "\r$", ""))
     if sse:
         lines = lines.where(F.startswith(text, F.lit("data:")))
